@@ -83,6 +83,14 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
+_KEPT = WordHashes()
+
+
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    """The worker's word hashes, kept from task to task."""
+    return _KEPT(ws)
+
+
 def mix_int(x: int) -> int:
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK64
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK64

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_batches, map_groups, mix, words
+from .common import WordHashes, cut, map_batches, map_groups, mix, word_hashes, words
 from .components import connected_components
 
 BANDS, ROWS, STEP = 24, 4, 16
@@ -129,12 +129,10 @@ def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
     """row, doc_id, key, set (fingerprint of the shingle set) and signature."""
-    hashes = WordHashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, signatures = [], []
         for t in batch.column(3).to_pylist():
-            s = shingles(t, hashes, n)
+            s = shingles(t, word_hashes, n)
             if len(s):
                 with np.errstate(over="ignore"):
                     sets.append(s.sum(dtype=np.uint64).tobytes() + mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little"))
@@ -193,10 +191,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toler
     wanted = likely.join(signs.select(F.col("row").alias("rep"), "key"), "rep")
     # rows equal in id and text give one another's shingles
     sets = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(wanted, "key").dropDuplicates(["key", "rep"]).select("rep", "t", "component")
-    hashes = WordHashes()
-
     def with_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, hashes, n) for t in batch.column(1).to_pylist()]
+        found = [shingles(t, word_hashes, n) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([minhash(s).tobytes() for s in found], pa.binary())], names=["rep", "component", "shingles", "signature"])
 
     shingled = cut(map_batches(sets, with_shingles, "rep long, component long, shingles binary, signature binary").join(classes.select("rep", "copies"), "rep"))

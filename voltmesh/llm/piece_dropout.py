@@ -22,19 +22,34 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MASK64, mix, mix_int
+from .token_files import part_text
 
 SPACE = "▁"
+#: Parts between which no merge can reach: a line feed, or spaces and the word after them.
 _PARTS = re.compile(r"\n| *[^ \n]+| +")
 LONG = 64
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def characters(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def pieces_for(model: bytes, dropout: float, seed: int, variants: int) -> Pieces:
+    """The worker's tables and memory, kept from task to task."""
+    return Pieces(model, dropout, seed, variants)
+
+
 class Pieces:
     """Tables of one model, and the merging."""
 
@@ -62,25 +77,46 @@ class Pieces:
         pairs.sort()
         self.pair, self.merged = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
         self.pair_of = dict(pairs)
-        self.split_lines = not any("\n" in p for p in self.id_of)
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for piece, i in self.id_of.items():
+            if len(piece) == 1:
+                self.char_id[ord(" " if piece == SPACE else piece)] = i
+        self.lines = not any("\n" in p for p in self.id_of)
         self.below, self.seed, self.variants, self.most = int(dropout * 2**32), seed, variants, most
         self.clear()
 
     def clear(self) -> None:
         self.at, self.offset, self.length, self.ids = {}, np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-        self._end = 0
-
-    def key(self, part: str, variant: int) -> int:
-        data = part.encode()
-        return mix_int(((zlib.crc32(data) << 32 | zlib.adler32(data)) + self.seed * 0xD6E8FEB86659FD93 + variant * _GOLD) & MASK64)
+        self.used = np.zeros(0, np.int64)
+        self.end = 0
+
+    def shrink(self) -> None:
+        """Keep the half of the parts that was used most."""
+        v, n = self.variants, len(self.at)
+        keep = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.most // 2])
+        slots = (keep[:, None] * v + np.arange(v)).ravel()
+        length, offset = self.length[slots].astype(np.int64), self.offset[slots]
+        ends = np.cumsum(length)
+        self.ids = self.ids[np.repeat(offset - ends + length, length) + np.arange(ends[-1])]
+        self.offset, self.length, self.end = np.where(offset < 0, -1, ends - length), self.length[slots], int(ends[-1])
+        parts = list(self.at)
+        self.at, self.used = {parts[k]: i for i, k in enumerate(keep.tolist())}, self.used[keep] >> 1
+
+    def keys(self, chars: np.ndarray, starts: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """The dropout keys of parts, given all their characters and where each starts."""
+        size = np.diff(np.append(starts, len(chars)))
+        place = np.arange(len(chars)) - np.repeat(starts, size)
+        with np.errstate(over="ignore"):
+            h = mix(chars.astype(np.uint64) * np.uint64(_GOLD) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            return mix(np.add.reduceat(h, starts) + np.uint64(self.seed * 0xD6E8FEB86659FD93 & MASK64) + variants.astype(np.uint64) * np.uint64(_GOLD))
 
     def skipped(self, key: int, place: int, piece: int) -> bool:
         return (mix_int((key + place * 0xC2B2AE3D27D4EB4F + piece * _GOLD) & MASK64) >> 32) < self.below
 
-    def symbols(self, part: str) -> list[int]:
+    def symbols(self, chars: np.ndarray) -> np.ndarray:
         """Ids of single characters; ``-1 - code point`` of those outside the vocabulary."""
-        get = self.id_of.get
-        return [get(SPACE, -33) if c == " " else -1 - ord(c) if c == SPACE else get(c, -1 - ord(c)) for c in part]
+        found = self.char_id[chars]
+        return np.where((found < 0) | (chars == ord(SPACE)), -1 - chars.astype(np.int32), found)
 
     def as_ids(self, symbols: list[int]) -> list[int]:
         out = []
@@ -93,7 +129,8 @@ class Pieces:
 
     def agenda(self, part: str, variant: int) -> list[int]:
         """One part, by a heap of candidate merges."""
-        key, sym = self.key(part, variant), self.symbols(part)
+        chars = characters(part)
+        key, sym = int(self.keys(chars, np.zeros(1, np.int64), np.array([variant]))[0]), self.symbols(chars).tolist()
         n, end = len(sym), len(sym)
         nxt, prv, ver = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
         heap: list[tuple[int, int, int, int, int, int]] = []
@@ -125,52 +162,72 @@ class Pieces:
             at = nxt[at]
         return self.as_ids(out)
 
+    def candidate(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (``size``: none) and piece of the merges of adjacent symbols."""
+        want = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
+        found = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
+        piece = self.merged[found]
+        ok = self.pair[found] == want
+        if self.below:
+            with np.errstate(over="ignore"):
+                h = mix(key + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
+            ok &= (h >> np.uint64(32)) >= np.uint64(self.below)
+        return np.where(ok, self.rank[piece], self.size).astype(np.int32), piece.astype(np.int32)
+
     def together(self, parts: list[str], variants: list[int]) -> list[list[int]]:
         """Many parts of at most LONG characters, each round merging the best pair of every part."""
         out: list[list[int]] = [[]] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
         for i in range(0, len(order), 8192):
             rows = order[i : i + 8192]
-            syms = [self.symbols(parts[r]) for r in rows]
-            width = max(map(len, syms))
-            m = np.full((len(rows), width + 1), -1, np.int64)
-            for k, s in enumerate(syms):
-                m[k, : len(s)] = s
-            pos = np.tile(np.arange(width + 1, dtype=np.uint64), (len(rows), 1))
-            key = np.array([self.key(parts[r], variants[r]) for r in rows], np.uint64)
-            length, live = np.array([len(s) for s in syms]), np.arange(len(rows))
-            final: list = [None] * len(rows)
-            while len(live):
-                left, right = m[:, :-1], m[:, 1:]
-                want = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-                found = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
-                piece = self.merged[found]
-                ok = self.pair[found] == want
-                if self.below:
-                    with np.errstate(over="ignore"):
-                        h = mix(key[:, None] + pos[:, :-1] * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
-                    ok &= (h >> np.uint64(32)) >= np.uint64(self.below)
-                rank = np.where(ok, self.rank[piece], self.size)
+            length = np.array([len(parts[r]) for r in rows])
+            chars = characters("".join([parts[r] for r in rows]))
+            starts = np.cumsum(length) - length
+            key = self.keys(chars, starts, np.array([variants[r] for r in rows]))
+            n, width = len(rows), int(length.max())
+            at = np.repeat(np.arange(n), length)
+            col = np.arange(len(chars)) - np.repeat(starts, length)
+            m = np.full((n, width + 2), -1, np.int32)
+            m[at, col] = self.symbols(chars)
+            place = np.tile(np.arange(width + 2, dtype=np.int32), (n, 1))
+            rank, piece = np.full((n, width + 1), self.size, np.int32), np.zeros((n, width + 1), np.int32)
+            r, p = self.candidate(m[at, col], m[at, col + 1], key[at], col)
+            rank[at, col], piece[at, col] = r, p
+            live, final = np.arange(n), np.full((n, width), -1, np.int32)
+            sizes = length.copy()
+            while True:
                 best = rank.argmin(1)
-                rows_at = np.arange(len(live))
-                going = rank[rows_at, best] < self.size
-                for k in np.flatnonzero(~going):
-                    final[live[k]] = m[k, : length[k]].tolist()
+                going = rank[np.arange(len(live)), best] < self.size
                 if not going.all():
-                    m, pos, key, length, live, best, piece = m[going], pos[going], key[going], length[going], live[going], best[going], piece[going]
+                    done = ~going
+                    shown = min(width, m.shape[1])
+                    final[live[done], :shown] = m[done, :shown]
+                    sizes[live[done]] = length[done]
+                    m, place, rank, piece, key, length, live, best = m[going], place[going], rank[going], piece[going], key[going], length[going], live[going], best[going]
                     if not len(live):
                         break
-                    rows_at = np.arange(len(live))
-                m[rows_at, best] = piece[rows_at, best]
-                at = np.arange(m.shape[1] - 1)[None, :]
-                at = at + (at > best[:, None])
-                m, pos = np.take_along_axis(m, at, 1), np.take_along_axis(pos, at, 1)
-                m[:, -1] = -1
-                if m.shape[1] < 2:
-                    m, pos = np.pad(m, ((0, 0), (0, 1)), constant_values=-1), np.pad(pos, ((0, 0), (0, 1)))
-                length -= 1
-            for r, s in zip(rows, final):
+                    used = int(length.max())
+                    m, place, rank, piece = m[:, : used + 2], place[:, : used + 2], rank[:, : used + 1], piece[:, : used + 1]
+                k = np.arange(len(live))
+                m[k, best] = piece[k, best]
+                # close the gap that the right symbol leaves
+                after = np.arange(m.shape[1] - 1)[None, :] > best[:, None]
+                m[:, :-1] = np.where(after, m[:, 1:], m[:, :-1])
+                place[:, :-1] = np.where(after, place[:, 1:], place[:, :-1])
+                rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+                piece[:, :-1] = np.where(after[:, :-1], piece[:, 1:], piece[:, :-1])
+                rank[:, -1] = self.size
+                length = length - 1
+                rank[k, best], piece[k, best] = self.candidate(m[k, best], m[k, best + 1], key, place[k, best])
+                before = np.maximum(best - 1, 0)
+                r, p = self.candidate(m[k, before], m[k, before + 1], key, place[k, before])
+                rank[k, before], piece[k, before] = np.where(best > 0, r, rank[k, before]), np.where(best > 0, p, piece[k, before])
+            flat, bounds = final[np.arange(width)[None, :] < sizes[:, None]].tolist(), np.cumsum(sizes).tolist()
+            begin = 0
+            for r, end in zip(rows, bounds):
+                s = flat[begin:end]
                 out[r] = s if min(s) >= 0 else self.as_ids(s)
+                begin = end
         return out
 
     def segment(self, parts: list[str], variants: list[int]) -> list[list[int]]:
@@ -183,23 +240,36 @@ class Pieces:
                 out[i] = self.agenda(p, variants[i])
         return out
 
+    def parts_of(self, text: str | None) -> list[str]:
+        """The parts of a text, as keys: a word after a space is itself, a line feed is itself, any other part has a NUL before it."""
+        if not text:
+            return []
+        if not self.lines or "\x00" in text:
+            return ["\x00 " + text]
+        parts = text.replace("\n", " \n \x00").split(" ")
+        if "" in parts or "\x00" in parts or text[0] == "\n":  # spaces next to spaces or line feeds, or at an end
+            return [p[1:] if p[0] == " " and p[1:2] not in ("", " ") else p if p == "\n" else "\x00" + p for p in _PARTS.findall(" " + text)]
+        return parts
+
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
         """The ids of each text; ``keys`` name the documents."""
         out: list[np.ndarray | None] = []
         v = self.variants
         for i in range(0, len(texts), 256):
-            group = [(_PARTS.findall(" " + t) if self.split_lines else [" " + t]) if t else [] for t in texts[i : i + 256]]
+            group = [self.parts_of(t) for t in texts[i : i + 256]]
             flat = [p for parts in group for p in parts]
             if len(self.at) > self.most:
-                self.clear()
+                self.shrink()
             at = self.at
             try:
                 number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
             except KeyError:
-                for p in flat:
-                    if p not in at:
-                        at[p] = len(at)
+                new = list(set(flat) - at.keys())
+                at.update(zip(new, range(len(at), len(at) + len(new))))
                 number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+            if len(self.used) < len(at):
+                self.used = np.concatenate([self.used, np.zeros(len(at) * 3 // 2 - len(self.used), np.int64)])
+            self.used += np.bincount(number, minlength=len(self.used))
             if len(self.offset) < len(at) * v:
                 grow = len(at) * v * 3 // 2 - len(self.offset)
                 self.offset = np.concatenate([self.offset, np.full(grow, -1)])
@@ -214,11 +284,11 @@ class Pieces:
             fresh, where = np.unique(slot[self.offset[slot] < 0], return_index=True)
             if len(fresh):
                 missing = np.flatnonzero(self.offset[slot] < 0)[where]
-                got = self.segment([flat[k] for k in missing], [int(variant[k]) for k in missing])
+                got = self.segment([part_text(flat[k]) for k in missing], [int(variant[k]) for k in missing])
                 sizes = np.array([len(g) for g in got], np.int64)
-                self.offset[fresh] = self.ids_end() + np.cumsum(sizes) - sizes
+                self.offset[fresh] = self.end + np.cumsum(sizes) - sizes
                 self.length[fresh] = sizes
-                self.add(np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum())))
+                self.add(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
             size = self.length[slot].astype(np.int64)
             ends = np.cumsum(size)
             ids = self.ids[np.repeat(self.offset[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -227,16 +297,12 @@ class Pieces:
             out += [x if t is not None else None for x, t in zip(cutted, texts[i : i + 256])]
         return out
 
-    def ids_end(self) -> int:
-        return self._end
-
     def add(self, more: np.ndarray) -> None:
-        end = self.ids_end()
-        if end + len(more) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:end], more, np.zeros((end + len(more)) // 2 + 1024, np.int32)])
+        if self.end + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.end], more, np.zeros((self.end + len(more)) // 2 + 1024, np.int32)])
         else:
-            self.ids[end : end + len(more)] = more
-        self._end = end + len(more)
+            self.ids[self.end : self.end + len(more)] = more
+        self.end += len(more)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -245,14 +311,7 @@ class Pieces:
 def _shared(spark: SparkSession, model_file: str, dropout: float, seed: int, variants: int):
     with open(model_file, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    made: list[Pieces] = []
-
-    def get() -> Pieces:
-        if not made:
-            made.append(Pieces(model.value, dropout, seed, variants))
-        return made[0]
-
-    return get
+    return lambda: pieces_for(model.value, dropout, seed, variants)
 
 
 def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:

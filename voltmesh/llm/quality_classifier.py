@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mix, words
+from .common import WordHashes, map_batches, mix, word_hashes, words
 
 GRADES = 3
 
@@ -96,10 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 8000
     graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade_column()).alias("grade"))
     drawn = graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).join(F.broadcast(drawn), "doc_id")  # at most `sample` rows
-    hashes = WordHashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [hashed(t, hashes, bits) for t in batch.column(1).to_pylist()]
+        got = [hashed(t, word_hashes, bits) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.astype(np.int32).tobytes() for c, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "grade", "cols", "vals"])
 
     rows = map_batches(texts, run, "doc_id long, grade int, cols binary, vals binary").orderBy("doc_id", "cols").limit(2 * sample).collect()
@@ -115,8 +113,6 @@ def score(docs: DataFrame, model: dict | None, cutoff: float = 0.5) -> DataFrame
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(2.0), "p_tail": F.lit(1.0), "keep": has_words})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    hashes = WordHashes()
-
     @F.pandas_udf("expected_grade double, p_tail double")
     def judge(texts):
         import pandas as pd
@@ -124,7 +120,7 @@ def score(docs: DataFrame, model: dict | None, cutoff: float = 0.5) -> DataFrame
         m = shared.value
         z = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            cols, vals = hashed(None if t is None else bytes(t), hashes, m["bits"])
+            cols, vals = hashed(None if t is None else bytes(t), word_hashes, m["bits"])
             z[i] = float(m["w"][cols] @ vals) if len(cols) else 0.0
         above = [1 - sigmoid(t - z) for t in m["thresholds"]]
         return pd.DataFrame({"expected_grade": above[0] + above[1], "p_tail": above[1]})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_batches, mix, words
+from .common import WordHashes, cut, map_batches, mix, word_hashes, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 BINS = 1000
@@ -60,10 +60,8 @@ def statistics_of(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and STATS of every row."""
-    hashes = WordHashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [statistics_of(t, hashes) for t in batch.column(1).to_pylist()]
+        rows = [statistics_of(t, word_hashes) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", *STATS])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))

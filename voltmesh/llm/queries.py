@@ -76,7 +76,7 @@ ORACLE_SQL = {
 with recursive a as (
   select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as bytes,
          substr(md5(coalesce(doc_id::varchar, 'null')), 1, 8) || substr(md5(coalesce(text, '')), 1, 7) as hex from documents),
-b as (select doc_id, bytes, list_aggregate(list_transform(string_split(hex, ''), x -> lpad(bin(instr('0123456789abcdef', x) - 1), 4, '0')), 'string_agg', '') as address from a),
+b as (select doc_id, bytes, list_aggregate(list_transform(string_split(hex, ''), lambda x: lpad(bin(instr('0123456789abcdef', x) - 1), 4, '0')), 'string_agg', '') as address from a),
 d as (select unnest(range(0, 61)) as depth),
 s as (select depth, substr(address, 1, depth) as shard, sum(bytes)::bigint as shard_bytes, count(*) as shard_docs from b, d group by all),
 f as (select doc_id, bytes, address, min(depth) as depth from b, s where s.shard = substr(b.address, 1, s.depth) and shard_bytes <= {SHARD_BYTES} group by all)
@@ -92,8 +92,8 @@ o as (select *, row_number() over (order by 3.0 * n / weight, encode(source) nul
 c as (select *, sum(3 * n) over (order by k) - 3 * n as capped, sum(weight) over () - sum(weight) over (order by k) + weight as free from o),
 g as (select *, (total - capped)::bigint as left_words, (total - capped) * weight <= 3 * n * free as fits from c),
 h as (select *, min(case when fits then k end) over () as first_free from g),
-lambda as (select left_words, free from h where k = first_free),
-t as (select source, n, case when first_free is null or k < first_free then (3 * n)::double else ((select left_words from lambda) * weight)::double / (select free from lambda)::double end as target from h),
+level as (select left_words, free from h where k = first_free),
+t as (select source, n, case when first_free is null or k < first_free then (3 * n)::double else ((select left_words from level) * weight)::double / (select free from level)::double end as target from h),
 p as (select a.*, t.n, t.target, sum(a.size) over (partition by a.source order by a.place, a.rid) - a.size as start from a join t on a.source is not distinct from t.source)
 select doc_id, size, n as source_size, target,
        (case when n = 0 then 0 else floor(target)::bigint // n * size + greatest(0, least(start + size, floor(target)::bigint % n) - start) end)::bigint as taken

@@ -29,6 +29,8 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,46 +41,103 @@ from .common import cut, map_batches
 
 BLOCK = 4096
 HEAD, TRAILER, MARK = "<IBIH", "<QQQQ8s", b"VMPFOR01"
+#: Parts whose ends the tokenizer always cuts at: white space but its last character, and runs without white space with a space before them.
 _PARTS = re.compile(r"\s+(?!\S)| ?\S+|\s")
-_ODD = re.compile("[\x1c-\x1f]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ODD = "\x00\x1c\x1d\x1e\x1f"  # the mark below, and white space for Python alone: such texts are encoded whole
+
+
+def parts_of(text: str | None) -> list[str]:
+    """The parts of a text, as keys: a word after a space is itself, a line feed is itself, any other part has a NUL before it."""
+    if not text:
+        return []
+    if any(c in text for c in _ODD):
+        return ["\x00" + text]
+    parts = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
+    if "" in parts or "\x00" in parts:  # white space next to white space, or at an end
+        return [p[1:] if p[0] == " " and len(p) > 1 and not p.isspace() else p if p == "\n" else "\x00" + p for p in _PARTS.findall(text)]
+    return parts
+
+
+def part_text(key: str) -> str:
+    return key[1:] if key[0] == "\x00" else key if key == "\n" else " " + key
+
+
+@lru_cache(maxsize=1)
+def encoder_for(definition: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task."""
+    return WordEncoder(definition)
 
 
 class WordEncoder:
     """Texts to ids, with the ids of parts remembered."""
 
-    def __init__(self, definition: str, most: int = 300_000):
+    def __init__(self, definition: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        line = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("\n", " a\n b")]
+        self.line = line[0][0] if len(line[0]) == 1 and line[1].count(line[0][0]) == 1 else None
         self.clear()
 
+    def together(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some parts in a row, and how many each has. Words are encoded as lines of one text: its line feeds are ids of their own."""
+        texts = list(map(part_text, keys))
+        lines = "\n".join([*texts, ""])
+        if self.line is not None and not _OTHER_SPACE.search(lines):
+            ids = np.array(self.tokenizer.encode(lines, add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(keys):
+                return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
+        return self.one_by_one(texts)
+
+    def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def clear(self) -> None:
-        self.at, self.start, self.ids, self.count = {}, np.zeros(1, np.int64), np.empty(0, np.uint32), 0
+        self.at, self.start, self.ids, self.used = {}, np.zeros(1, np.int64), np.empty(0, np.uint32), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keep the half that was used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        size = (self.start[1:] - self.start[:-1])[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.start[keep] - ends + size, size) + np.arange(ends[-1])]
+        self.start = np.concatenate([[0], ends])
+        parts = list(self.at)
+        self.at, self.used = {parts[k]: i for i, k in enumerate(keep.tolist())}, self.used[keep] >> 1
 
     def learn(self, parts: list[str]) -> None:
         if len(self.at) > self.most:
-            self.clear()
-        new = list(dict.fromkeys(p for p in parts if p not in self.at))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.shrink()
+        new, plain = [], []
+        for p in set(parts) - self.at.keys():
+            (plain if p[0] != "\x00" and p != "\n" or p[1:].isalpha() else new).append(p)
+        got = [self.together(plain[i : i + 2000]) for i in range(0, len(plain), 2000)]
+        got += [self.one_by_one(list(map(part_text, new)))] if new else []
+        new = plain + new
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32)])
+        sizes = np.concatenate([g[1] for g in got])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, *(g[0] for g in got)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [_PARTS.findall(t) if t and not _ODD.search(t) else [t] if t else [] for t in texts]
         out = []
-        for i in range(0, len(split), 256):
-            group = split[i : i + 256]
+        for i in range(0, len(texts), 256):
+            group = [parts_of(t) for t in texts[i : i + 256]]
             flat = [p for parts in group for p in parts]
             try:
                 number = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
             except KeyError:
                 self.learn(flat)
                 number = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+            self.used += np.bincount(number, minlength=len(self.used))
             size = self.start[number + 1] - self.start[number]
             ends = np.cumsum(size)
             ids = self.ids[np.repeat(self.start[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -129,7 +188,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, file
         definition = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder, rest, at = WordEncoder(definition.value), np.empty(0, np.uint32), 0
+        encoder, rest, at = encoder_for(definition.value), np.empty(0, np.uint32), 0
         starts, lengths, names, nulls, total = [], [], [], [], 0
 
         def record(data: bytes) -> pa.RecordBatch:
