@@ -35,8 +35,8 @@ def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch (or a factory of one, see ``per_worker``)."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema) -> DataFrame:
+    """``mapInArrow`` with a function of one batch that gives one or several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,10 +26,12 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MASK64, mix, mix_int
+from .common import MASK64, map_batches, mix, mix_int
 from .token_files import part_text
 
 SPACE = "▁"
@@ -251,51 +253,46 @@ class Pieces:
             return [p[1:] if p[0] == " " and p[1:2] not in ("", " ") else p if p == "\n" else "\x00" + p for p in _PARTS.findall(" " + text)]
         return parts
 
-    def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
-        """The ids of each text; ``keys`` name the documents."""
-        out: list[np.ndarray | None] = []
+    def encode(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts in a row, and where each text's begin and the last one's end; ``keys`` name the documents."""
         v = self.variants
-        for i in range(0, len(texts), 256):
-            group = [self.parts_of(t) for t in texts[i : i + 256]]
-            flat = [p for parts in group for p in parts]
-            if len(self.at) > self.most:
-                self.shrink()
-            at = self.at
-            try:
-                number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-            except KeyError:
-                new = list(set(flat) - at.keys())
-                at.update(zip(new, range(len(at), len(at) + len(new))))
-                number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-            if len(self.used) < len(at):
-                self.used = np.concatenate([self.used, np.zeros(len(at) * 3 // 2 - len(self.used), np.int64)])
-            self.used += np.bincount(number, minlength=len(self.used))
-            if len(self.offset) < len(at) * v:
-                grow = len(at) * v * 3 // 2 - len(self.offset)
-                self.offset = np.concatenate([self.offset, np.full(grow, -1)])
-                self.length = np.concatenate([self.length, np.zeros(grow, np.int32)])
-            counts = np.array([len(parts) for parts in group], np.int64)
-            bounds = np.cumsum(counts)
-            inner = np.arange(len(flat)) - np.repeat(bounds - counts, counts)
-            doc = np.repeat(np.array([mix_int((k + self.seed * _GOLD) & MASK64) for k in keys[i : i + 256]], np.uint64), counts)
-            with np.errstate(over="ignore"):
-                variant = (mix(doc + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(v)
-            slot = number * v + variant.astype(np.int64)
-            fresh, where = np.unique(slot[self.offset[slot] < 0], return_index=True)
-            if len(fresh):
-                missing = np.flatnonzero(self.offset[slot] < 0)[where]
-                got = self.segment([part_text(flat[k]) for k in missing], [int(variant[k]) for k in missing])
-                sizes = np.array([len(g) for g in got], np.int64)
-                self.offset[fresh] = self.end + np.cumsum(sizes) - sizes
-                self.length[fresh] = sizes
-                self.add(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
-            size = self.length[slot].astype(np.int64)
-            ends = np.cumsum(size)
-            ids = self.ids[np.repeat(self.offset[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-            at_end = np.concatenate([[0], ends])[bounds]
-            cutted = np.split(ids, at_end[:-1]) if len(at_end) else []
-            out += [x if t is not None else None for x, t in zip(cutted, texts[i : i + 256])]
-        return out
+        group = [self.parts_of(t) for t in texts]
+        flat = [p for parts in group for p in parts]
+        if len(self.at) > self.most:
+            self.shrink()
+        at = self.at
+        try:
+            number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+        except KeyError:
+            new = list(set(flat) - at.keys())
+            at.update(zip(new, range(len(at), len(at) + len(new))))
+            number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+        if len(self.used) < len(at):
+            self.used = np.concatenate([self.used, np.zeros(len(at) * 3 // 2 - len(self.used), np.int64)])
+        self.used += np.bincount(number, minlength=len(self.used))
+        if len(self.offset) < len(at) * v:
+            grow = len(at) * v * 3 // 2 - len(self.offset)
+            self.offset = np.concatenate([self.offset, np.full(grow, -1)])
+            self.length = np.concatenate([self.length, np.zeros(grow, np.int32)])
+        counts = np.array([len(parts) for parts in group], np.int64)
+        bounds = np.cumsum(counts)
+        inner = np.arange(len(flat)) - np.repeat(bounds - counts, counts)
+        doc = np.repeat(np.array([mix_int((k + self.seed * _GOLD) & MASK64) for k in keys], np.uint64), counts)
+        with np.errstate(over="ignore"):
+            variant = (mix(doc + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(v)
+        slot = number * v + variant.astype(np.int64)
+        fresh, where = np.unique(slot[self.offset[slot] < 0], return_index=True)
+        if len(fresh):
+            missing = np.flatnonzero(self.offset[slot] < 0)[where]
+            got = self.segment([part_text(flat[k]) for k in missing], [int(variant[k]) for k in missing])
+            sizes = np.array([len(g) for g in got], np.int64)
+            self.offset[fresh] = self.end + np.cumsum(sizes) - sizes
+            self.length[fresh] = sizes
+            self.add(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
+        size = self.length[slot].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.offset[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], bounds])]
 
     def add(self, more: np.ndarray) -> None:
         if self.end + len(more) > len(self.ids):
@@ -314,51 +311,62 @@ def _shared(spark: SparkSession, model_file: str, dropout: float, seed: int, var
     return lambda: pieces_for(model.value, dropout, seed, variants)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256):
+    """A batch a few rows at a time, so texts and ids never stand in memory for all of it."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def document_keys(column: pa.Array) -> list[int]:
+    return [-1 & MASK64 if k is None else k & MASK64 for k in column.to_pylist()]
+
+
 def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
     """``docs`` with ``ids``, from its doc_id and text."""
     get = _shared(docs.sparkSession, model_file, dropout, seed, variants)
+    docs = docs.drop("ids")
+    at = docs.columns.index("text"), docs.columns.index("doc_id")
 
-    @F.pandas_udf("array<int>")
-    def run(texts, keys):
-        import pandas as pd
+    def run(batch: pa.RecordBatch):
+        for some in slices(batch):
+            texts = some.column(at[0]).to_pylist()
+            ids, offsets = get().encode(texts, document_keys(some.column(at[1])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*some.schema.names, "ids"])
 
-        return pd.Series(get().encode([None if t is None else t for t in texts], [int(k) & MASK64 for k in keys]), dtype=object)
-
-    return docs.withColumn("ids", run("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model_file: str, into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids``."""
     get = _shared(encoded.sparkSession, model_file, 0.0, 0, 1)
+    encoded = encoded.drop(into)
+    at = encoded.columns.index("ids")
 
-    @F.pandas_udf("string")
-    def run(ids):
-        import pandas as pd
-
-        p = get()
-        return pd.Series([None if x is None else p.decode(x.tolist()) for x in ids], dtype=object)
+    def run(batch: pa.RecordBatch):
+        for some in slices(batch):
+            texts = [None if x is None else get().decode(x) for x in some.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, into])
 
-    return encoded.withColumn(into, run("ids"))
+    return map_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and lossless of every row."""
-    get = _shared(docs.sparkSession, model_file, dropout, seed, variants)
-
-    @F.pandas_udf("n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
-    def run(texts, keys):
-        import hashlib
+    import hashlib
 
-        import pandas as pd
-
-        p = get()
-        rows = []
-        for t, ids in zip(texts, p.encode(list(texts), [int(k) & MASK64 for k in keys])):
-            if ids is None:
-                rows.append((0, 0, None, True))
-                continue
-            back = p.decode(ids.tolist())
-            rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+    get = _shared(docs.sparkSession, model_file, dropout, seed, variants)
 
-    return docs.select("doc_id", run("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("r")).select("doc_id", "r.*")
+    def run(batch: pa.RecordBatch):
+        for some in slices(batch):
+            texts = some.column(1).to_pylist()
+            ids, offsets = get().encode(texts, document_keys(some.column(0)))
+            crc, sha, same = [], [], []
+            for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist()):
+                back = None if t is None else get().decode(ids[a:b].tolist())
+                crc.append(zlib.crc32(ids[a:b].astype("<i4").tobytes()))
+                sha.append(None if back is None else hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                same.append(back == t)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
