@@ -397,7 +397,7 @@ def _injected(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("text", F.lit(7)), F.lit("\x01"), "text")).otherwise(F.col("text")).alias("x"))
 
 
-@query(f"select doc_id, x like '%' || chr(1) || '%' as bad, case when doc_id % 3 = 0 then octet_length(encode(left(replace(x, chr(1), ''), 7))) end as at from ({_INJECTED})")
+@query(f"select doc_id, x like '%' || chr(1) || '%' as bad, case when doc_id % 3 = 0 then octet_length(encode(split_part(x, chr(1), 1))) end as at from ({_INJECTED})")
 def xml_illegal_scan(spark, sf):
     return _injected(spark, sf).select("doc_id", X.has_illegal(F.col("x")).alias("bad"), X.illegal_offset(F.col("x")).cast("long").alias("at"))
 
