@@ -57,8 +57,14 @@ def is_lexical(text: Column, primitive: Column) -> Column:
     return F.when(primitive == "Decimal", text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$")).when(primitive == "Float", text.rlike(PLAIN_FLOAT) | text.rlike(r"^(-?INF|NaN)$")).otherwise(F.lit(True))
 
 
+def canonical_float(value: Column | str) -> Column:
+    """The canonical text of a double; null stays null (pandas itself can't tell it from NaN)."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value.isNotNull(), _canonical(value))
+
+
 @F.pandas_udf(T.StringType())
-def canonical_float(values: pd.Series) -> pd.Series:
+def _canonical(values: pd.Series) -> pd.Series:
     """Shortest text that reads back: plain from 1e-5 to 1e16, else like 1.5E300; NaN, INF, -INF; minus zero is 0."""
 
     def one(x: float | None) -> str | None:
