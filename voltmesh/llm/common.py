@@ -50,6 +50,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so texts and ids never stand in memory for all of it."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """Maximal runs outside space, tab, line feed, vertical tab, form feed and carriage return."""
     if not text:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MASK64, map_batches, mix, mix_int
+from .common import MASK64, map_batches, mix, mix_int, slices
 from .token_files import part_text
 
 SPACE = "▁"
@@ -311,12 +311,6 @@ def _shared(spark: SparkSession, model_file: str, dropout: float, seed: int, var
     return lambda: pieces_for(model.value, dropout, seed, variants)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256):
-    """A batch a few rows at a time, so texts and ids never stand in memory for all of it."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def document_keys(column: pa.Array) -> list[int]:
     return [-1 & MASK64 if k is None else k & MASK64 for k in column.to_pylist()]
 

@@ -15,9 +15,8 @@ A file is a run of records, each followed by one 0x0A byte (little-endian number
 The width is the least that holds the ``percentile`` of a block's values; larger ones are exceptions, so
 one rare id doesn't widen a block.
 
-Words are encoded once per worker and remembered: a text is cut only where the tokenizer's own splitting always
-cuts (before a single space or around white space), and each part is encoded by the library; the memory is
-emptied at a bound.
+Words are encoded once per worker and remembered (at most ``most`` parts and ``most_chars`` characters, the most used ones stay): a text is cut only where the tokenizer's own splitting always
+cuts (before a single space or around white space), and each part is encoded by the library.
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; repeated rows are all stored;
 ties of doc_id are ordered by text; an empty table gives no file and an empty result; extra columns are ignored.
@@ -25,6 +24,7 @@ ties of doc_id are ordered by text; an empty table gives no file and an empty re
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, slices
 
 BLOCK = 4096
 HEAD, TRAILER, MARK = "<IBIH", "<QQQQ8s", b"VMPFOR01"
 #: Parts whose ends the tokenizer always cuts at: white space but its last character, and runs without white space with a space before them.
 _PARTS = re.compile(r"\s+(?!\S)| ?\S+|\s")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: ASCII punctuation that the splitting puts into one part after letters; the apostrophe may begin a contraction.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = "\x00\x1c\x1d\x1e\x1f"  # the mark below, and white space for Python alone: such texts are encoded whole
 
 
@@ -63,6 +65,24 @@ def part_text(key: str) -> str:
     return key[1:] if key[0] == "\x00" else key if key == "\n" else " " + key
 
 
+class Parts(dict):
+    """Numbers of parts; a part that is looked up for the first time gets the next number and stands in ``new``."""
+
+    new: list[str]
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable Latin-1 stands for itself, the others follow from U+0100."""
+    itself = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=1)
 def encoder_for(definition: str) -> WordEncoder:
     """The worker's encoder, kept from task to task."""
@@ -72,58 +92,98 @@ def encoder_for(definition: str) -> WordEncoder:
 class WordEncoder:
     """Texts to ids, with the ids of parts remembered."""
 
-    def __init__(self, definition: str, most: int = 600_000):
+    def __init__(self, definition: str, most: int = 150_000, most_chars: int = 8_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        self.tokenizer, self.most, self.most_chars = Tokenizer.from_str(definition), most, most_chars
         line = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("\n", " a\n b")]
+        told = json.loads(definition)
+        split = told.get("pre_tokenizer") or {}
+        # of such a tokenizer, letters after a space and the punctuation after them are two parts, each given to the model as it is
+        self.direct = told.get("normalizer") is None and (told.get("model") or {}).get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.written = byte_characters()
         self.line = line[0][0] if len(line[0]) == 1 and line[1].count(line[0][0]) == 1 else None
         self.clear()
 
-    def together(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of some parts in a row, and how many each has. Words are encoded as lines of one text: its line feeds are ids of their own."""
+    def together(self, keys: list[str]) -> list[list[int]]:
+        """The ids of each of some parts. Words are encoded as lines of one text: its line feeds are ids of their own."""
         texts = list(map(part_text, keys))
         lines = "\n".join([*texts, ""])
         if self.line is not None and not _OTHER_SPACE.search(lines):
-            ids = np.array(self.tokenizer.encode(lines, add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(ids == self.line)
             if len(ends) == len(keys):
-                return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
+                return [x[:-1].tolist() for x in np.split(ids, ends[:-1] + 1)]
         return self.one_by_one(texts)
 
-    def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+    def one_by_one(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def tail(self, text: str) -> list[int]:
+        """The ids of punctuation."""
+        found = self.tails.get(text)
+        if found is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            found = self.tails[text] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        return found
+
+    def direct_ids(self, keys: list[str]) -> list[list[int] | None]:
+        """The ids of parts that are Latin letters with or without punctuation after them; None for any others."""
+        tokenize, written, out = self.tokenizer.model.tokenize, self.written, []
+        space = written[32]
+        for key in keys:
+            first, word = ("", key[1:]) if key[0] == "\x00" else (space, key)
+            stem = word.rstrip(_TAIL)
+            if not stem.isalpha() or max(stem) > "\u02af":
+                out.append(None)
+                continue
+            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(written)
+            ids = [t.id for t in tokenize(first + spelled)]
+            out.append(ids + self.tail(word[len(stem) :]) if len(stem) < len(word) else ids)
+        return out
 
     def clear(self) -> None:
-        self.at, self.start, self.ids, self.used = {}, np.zeros(1, np.int64), np.empty(0, np.uint32), np.zeros(0, np.int64)
+        self.at, self.start, self.ids, self.used = Parts(), np.zeros(1, np.int64), np.empty(0, np.uint32), np.zeros(0, np.int64)
+        self.at.new, self.chars, self.tails = [], 0, {}
 
     def shrink(self) -> None:
-        """Keep the half that was used most."""
-        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        """Keep what was used most, up to half of either bound."""
+        parts = list(self.at)
+        chars = np.fromiter(map(len, parts), np.int64, len(parts))
+        keep = np.argsort(-self.used, kind="stable")[: self.most // 2]
+        keep = np.sort(keep[np.cumsum(chars[keep]) <= self.most_chars // 2])
+        if not len(keep):
+            self.clear()
+            return
+        self.chars = int(chars[keep].sum())
         size = (self.start[1:] - self.start[:-1])[keep]
         ends = np.cumsum(size)
         self.ids = self.ids[np.repeat(self.start[keep] - ends + size, size) + np.arange(ends[-1])]
         self.start = np.concatenate([[0], ends])
-        parts = list(self.at)
-        self.at, self.used = {parts[k]: i for i, k in enumerate(keep.tolist())}, self.used[keep] >> 1
-
-    def learn(self, parts: list[str]) -> None:
-        if len(self.at) > self.most:
-            self.shrink()
-        new, plain = [], []
-        for p in set(parts) - self.at.keys():
-            (plain if p[0] != "\x00" and p != "\n" or p[1:].isalpha() else new).append(p)
-        got = [self.together(plain[i : i + 2000]) for i in range(0, len(plain), 2000)]
-        got += [self.one_by_one(list(map(part_text, new)))] if new else []
-        new = plain + new
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        sizes = np.concatenate([g[1] for g in got])
+        self.at, self.used = Parts((parts[k], i) for i, k in enumerate(keep.tolist())), self.used[keep] >> 1
+        self.at.new = []
+
+    def learn(self) -> None:
+        """Encode the parts that have a number only."""
+        new, self.at.new = self.at.new, []
+        got = self.direct_ids(new) if self.direct else [None] * len(new)
+        todo = [i for i, x in enumerate(got) if x is None]
+        plain = [i for i in todo if new[i][0] != "\x00" and new[i] != "\n" or new[i][1:].isalpha()]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            for i, ids in zip(some, self.together([new[i] for i in some])):
+                got[i] = ids
+        other = [i for i in todo if got[i] is None]
+        for i, ids in zip(other, self.one_by_one([part_text(new[i]) for i in other])):
+            got[i] = ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.chars += sum(map(len, new))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, *(g[0] for g in got)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -132,11 +192,11 @@ class WordEncoder:
         for i in range(0, len(texts), 256):
             group = [parts_of(t) for t in texts[i : i + 256]]
             flat = [p for parts in group for p in parts]
-            try:
-                number = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-            except KeyError:
-                self.learn(flat)
-                number = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+            if len(self.at) > self.most or self.chars > self.most_chars:
+                self.shrink()
+            number = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+            if self.at.new:
+                self.learn()
             self.used += np.bincount(number, minlength=len(self.used))
             size = self.start[number + 1] - self.start[number]
             ends = np.cumsum(size)
@@ -194,7 +254,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, file
         def record(data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["record"])
 
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole)):
             doc_ids = batch.column(0).to_pylist()
             ids = encoder(batch.column(1).to_pylist())
             lengths += [len(x) + 1 for x in ids]
@@ -223,47 +283,51 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, file
     src.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def stored(batch: pa.RecordBatch):
+    """file, position in the file, doc_id and ids of the documents in some files."""
+    for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+        data = memoryview(content.as_buffer())
+        if len(data) < struct.calcsize(TRAILER):
+            continue
+        blocks, n, total, index, mark = struct.unpack_from(TRAILER, data, len(data) - 1 - struct.calcsize(TRAILER))
+        if mark != MARK:
+            raise ValueError(f"{name} is not a token file")
+        starts = np.frombuffer(data[index : index + 8 * blocks], "<u8")
+        at = index + 8 * blocks
+        lengths = np.frombuffer(data[at : at + 4 * n], "<u4").astype(np.int64)
+        names = np.frombuffer(data[at + 4 * n : at + 12 * n], "<i8")
+        nulls = np.frombuffer(data[at + 12 * n : at + 13 * n], np.uint8).astype(bool)
+        ids = np.concatenate([decode_block(data, int(s)) for s in starts])
+        if len(ids) != total or lengths.sum() != total:
+            raise ValueError(f"{name} holds {len(ids)} of {total} ids")
+        ends = np.cumsum(lengths)
+        for i in range(0, n, 2048):  # a few documents at a time
+            j = min(n, i + 2048)
+            first = int(ends[i] - lengths[i])
+            offsets = pa.array(np.concatenate([[0], ends[i:j] - first]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(np.arange(i, j)), pa.array(names[i:j], pa.int64(), mask=nulls[i:j]), pa.ListArray.from_arrays(offsets, pa.array(ids[first : int(ends[j - 1])].view(np.int32)))], names=["file", "position", "doc_id", "ids"])
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file, position in the file, doc_id and ids of every stored document."""
-
-    def run(batch: pa.RecordBatch):
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = memoryview(content.as_buffer())
-            if len(data) < struct.calcsize(TRAILER):
-                continue
-            blocks, n, total, index, mark = struct.unpack_from(TRAILER, data, len(data) - 1 - struct.calcsize(TRAILER))
-            if mark != MARK:
-                raise ValueError(f"{name} is not a token file")
-            starts = np.frombuffer(data[index : index + 8 * blocks], "<u8")
-            at = index + 8 * blocks
-            lengths = np.frombuffer(data[at : at + 4 * n], "<u4").astype(np.int64)
-            names = np.frombuffer(data[at + 4 * n : at + 12 * n], "<i8")
-            nulls = np.frombuffer(data[at + 12 * n : at + 13 * n], np.uint8).astype(bool)
-            ids = np.concatenate([decode_block(data, int(s)) for s in starts])
-            if len(ids) != total or lengths.sum() != total:
-                raise ValueError(f"{name} holds {len(ids)} of {total} ids")
-            ends = np.cumsum(lengths)
-            for i in range(0, n, 2048):  # a few documents at a time
-                j = min(n, i + 2048)
-                first = int(ends[i] - lengths[i])
-                offsets = pa.array(np.concatenate([[0], ends[i:j] - first]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(np.arange(i, j)), pa.array(names[i:j], pa.int64(), mask=nulls[i:j]), pa.ListArray.from_arrays(offsets, pa.array(ids[first : int(ends[j - 1])].view(np.int32)))], names=["file", "position", "doc_id", "ids"])
-
-    content = spark.read.format("binaryFile").load(path).select(F.col("path"), "content")
-    return map_batches(content, run, "file string, position long, doc_id long, ids array<int>")
+    return map_batches(files_of(spark, path), stored, "file string, position long, doc_id long, ids array<int>")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def summary(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(3)
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(values.astype("<i4"))).cast("B")
         crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(offsets[:-1], offsets[1:])]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "position", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = cut(map_batches(read(spark, path), run, "file string, position long, doc_id long, n_tokens long, ids_crc32 long"))
+    rows = cut(map_batches(files_of(spark, path), lambda batch: map(summary, stored(batch)), "file string, position long, doc_id long, n_tokens long, ids_crc32 long"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = totals.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n")).select("file", "before")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("position")) - F.col("n_tokens")
