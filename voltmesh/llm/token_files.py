@@ -92,7 +92,7 @@ def encoder_for(definition: str) -> WordEncoder:
 class WordEncoder:
     """Texts to ids, with the ids of parts remembered."""
 
-    def __init__(self, definition: str, most: int = 150_000, most_chars: int = 8_000_000):
+    def __init__(self, definition: str, most: int = 400_000, most_chars: int = 16_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,20 +131,30 @@ class WordEncoder:
             found = self.tails[text] = [t.id for t in self.tokenizer.model.tokenize(text)]
         return found
 
-    def direct_ids(self, keys: list[str]) -> list[list[int] | None]:
-        """The ids of parts that are Latin letters with or without punctuation after them; None for any others."""
-        tokenize, written, out = self.tokenizer.model.tokenize, self.written, []
+    def direct_ids(self, keys: list[str]) -> tuple[list[int], list[int]]:
+        """The ids, in a row, of parts that are Latin letters with or without punctuation after them, and how many each has; -1 for any other part."""
+        tokenize, written, ids, sizes = self.tokenizer.model.tokenize, self.written, [], []
         space = written[32]
         for key in keys:
             first, word = ("", key[1:]) if key[0] == "\x00" else (space, key)
-            stem = word.rstrip(_TAIL)
-            if not stem.isalpha() or max(stem) > "\u02af":
-                out.append(None)
+            stem = spelled = word.rstrip(_TAIL)
+            if not stem.isalpha():
+                sizes.append(-1)
                 continue
-            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(written)
-            ids = [t.id for t in tokenize(first + spelled)]
-            out.append(ids + self.tail(word[len(stem) :]) if len(stem) < len(word) else ids)
-        return out
+            if not stem.isascii():
+                if max(stem) > "\u02af":
+                    sizes.append(-1)
+                    continue
+                spelled = stem.encode().decode("latin-1").translate(written)
+            found = tokenize(first + spelled)
+            ids += [t.id for t in found]
+            if len(stem) < len(word):
+                tail = self.tail(word[len(stem) :])
+                ids += tail
+                sizes.append(len(found) + len(tail))
+            else:
+                sizes.append(len(found))
+        return ids, sizes
 
     def clear(self) -> None:
         self.at, self.start, self.ids, self.used = Parts(), np.zeros(1, np.int64), np.empty(0, np.uint32), np.zeros(0, np.int64)
@@ -170,20 +180,23 @@ class WordEncoder:
     def learn(self) -> None:
         """Encode the parts that have a number only."""
         new, self.at.new = self.at.new, []
-        got = self.direct_ids(new) if self.direct else [None] * len(new)
-        todo = [i for i, x in enumerate(got) if x is None]
-        plain = [i for i in todo if new[i][0] != "\x00" and new[i] != "\n" or new[i][1:].isalpha()]
+        direct, sizes = self.direct_ids(new) if self.direct else ([], [-1] * len(new))
+        sizes = np.array(sizes, np.int64)
+        left = sizes < 0
+        got: dict[int, list[int]] = dict.fromkeys(np.flatnonzero(left).tolist(), [])
+        plain = [i for i in got if new[i][0] != "\x00" and new[i] != "\n" or new[i][1:].isalpha()]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            for i, ids in zip(some, self.together([new[i] for i in some])):
-                got[i] = ids
-        other = [i for i in todo if got[i] is None]
-        for i, ids in zip(other, self.one_by_one([part_text(new[i]) for i in other])):
-            got[i] = ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+            got.update(zip(some, self.together([new[i] for i in some])))
+        other = list(got.keys() - set(plain))
+        got.update(zip(other, self.one_by_one([part_text(new[i]) for i in other])))
+        sizes[left] = list(map(len, got.values()))
+        ids, apart = np.empty(int(sizes.sum()), np.uint32), np.repeat(left, sizes)
+        ids[~apart] = direct
+        ids[apart] = np.fromiter(chain.from_iterable(got.values()), np.uint32)
         self.chars += sum(map(len, new))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
