@@ -71,7 +71,7 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, ws: list[bytes]) -> np.ndarray:

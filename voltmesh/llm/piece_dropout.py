@@ -55,7 +55,7 @@ def pieces_for(model: bytes, dropout: float, seed: int, variants: int) -> Pieces
 class Pieces:
     """Tables of one model, and the merging."""
 
-    def __init__(self, model: bytes, dropout: float, seed: int, variants: int, most: int = 250_000):
+    def __init__(self, model: bytes, dropout: float, seed: int, variants: int, most: int = 100_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_proto=model)
