@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, least_by, map_batches
 
 VECTOR = "array<double>"
 
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int
     if not lengths:
         return empty
     held = cut(entries(rows.where(F.size("vector") == lengths[0].n), k))
-    drawn = held.orderBy(F.xxhash64("vector"), "entry").limit(sample).select("vector").toPandas()
+    drawn = least_by(held, F.xxhash64("vector"), sample, "entry").select("vector").toPandas()
     n = held.count()
     lists = int(min(most_lists, max(1, n // per_list)))
     x = np.array(drawn["vector"].tolist())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mix, word_hashes, words
+from .common import WordHashes, least_by, map_batches, mix, word_hashes, words
 
 GRADES = 3
 
@@ -94,7 +94,7 @@ def grade_column() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 8000, seed: int = 5) -> dict | None:
     """The model, from at most ``sample`` labelled documents; None without labels."""
     graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade_column()).alias("grade"))
-    drawn = graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    drawn = least_by(graded, F.xxhash64(F.lit(seed), "doc_id"), sample, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).join(F.broadcast(drawn), "doc_id")  # at most `sample` rows
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [hashed(t, word_hashes, bits) for t in batch.column(1).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_batches, mix, word_hashes, words
+from .common import WordHashes, cut, least_by, map_batches, mix, word_hashes, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 BINS = 1000
@@ -139,7 +139,7 @@ def calibrated_cut(bins: list[tuple[int, int, int]], keep_good: float) -> float:
 def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, subsample: int = 256, sample: int = 8192, keep_good: float = 0.995, seed: int = 17) -> DataFrame:
     """doc_id, STATS, base_failed, score and kept of every row of ``docs``."""
     stats = cut(rule_statistics(docs))
-    drawn = stats.orderBy(F.xxhash64(F.lit(seed), "doc_id", *STATS), "doc_id", *STATS).limit(sample).select(*STATS).toPandas()
+    drawn = least_by(stats, F.xxhash64(F.lit(seed), "doc_id", *STATS), sample, "doc_id", *STATS).select(*STATS).toPandas()
     spark = docs.sparkSession
     if not len(drawn):
         return stats.withColumns({"base_failed": base_failed(), "score": F.lit(0.0), "kept": ~base_failed()})
