@@ -13,9 +13,11 @@ def escape_literal(text: Column) -> Column:
 
 
 def escape_iri(text: Column) -> Column:
-    for c in '\\<>"{}|^` ':
-        text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04X}"))
-    return text
+    """Characters that an IRI can't hold as ``\\uXXXX``; most texts have none and are left alone."""
+    escaped = text
+    for c in ("\\", *'<>"{}|^`', *map(chr, range(0x21))):
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04X}"))
+    return F.when(text.rlike(r'[\x{0}-\x{20}<>"{}|^`\\]'), escaped).otherwise(text)
 
 
 def iri(text: Column) -> Column:

@@ -60,6 +60,11 @@ class Model:
     def referrers(self, attr: str, target: str) -> DataFrame:
         return self.references().where((F.col("attr") == attr) & (F.col("target") == target)).select("mrid")
 
+    def inverse_of(self, attr: str) -> DataFrame:
+        """mrid and referrer over the other end of an association: what refers to each object by the inverse of ``attr`` (E5)."""
+        other = self.vocabulary.inverses.where(F.col("attr") == attr).select(F.col("inverse").alias("attr"))
+        return self.references().join(F.broadcast(other), "attr").select(F.col("target").alias("mrid"), F.col("mrid").alias("referrer"))
+
     def inverse_index(self) -> DataFrame:
         """target, attr and how many refer to it: edges grouped by target, counted before the shuffle."""
         return self.references().groupBy("target", "attr").agg(F.count("*").alias("referrers"), F.min("mrid").alias("first"))
@@ -72,6 +77,20 @@ class Model:
         if first.n:
             raise ValueError(f"{first.n} dangling references, among them {first.target}")
 
+    def identifiers(self, other: Model) -> DataFrame:
+        """Identifiers of either model, once each (I4)."""
+        return self.objects.select("mrid").union(other.objects.select("mrid")).distinct()
+
+    def id_styles(self, scope: int) -> DataFrame:
+        """mrid and style: ``rdf:ID`` where an export of ``scope`` (0: everything) introduces the object, else ``rdf:about``.
+
+        A profile set introduces objects of the classes it defines, and of those that none of its profiles mentions.
+        """
+        told = lambda c: F.col(c).bitwiseAND(F.lit(scope)) != 0
+        style = F.when(F.lit(scope == 0) | told("defined_in") | ~told("_mentioned"), "rdf:ID").otherwise("rdf:about")
+        classes = self.vocabulary.classes.select("class", "defined_in", F.col("profiles").alias("_mentioned"))
+        return self.objects.join(F.broadcast(classes), "class").select("mrid", style.alias("style"))
+
     def class_counts(self) -> DataFrame:
         """Objects of each class, subclasses included."""
         own = self.objects.groupBy("class").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from ..functions import mrid as M
 from ..functions import profiles as P
 from ..functions import xmltext as X
 from .model import Model
+from .vocabulary import Vocabulary
 
 #: The stable codes of the rules.
 RULES = {
@@ -118,6 +119,14 @@ def headers(h: DataFrame) -> DataFrame:
     )
 
 
+def serving(h: DataFrame, vocabulary: Vocabulary, scope: int) -> DataFrame:
+    """Headers that name a profile of ``scope`` (0: all headers) (D12). ``h``: id, profiles."""
+    if not scope:
+        return h
+    named = vocabulary.resolve_iris(h.select("id", F.explode("profiles").alias("iri"))).where(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).bitwiseAND(F.lit(scope)) != 0)
+    return h.join(named.select("id").distinct(), "id", "left_semi")
+
+
 def dependencies(h: DataFrame) -> DataFrame:
     """Models that a header depends on and no header has (K14). ``h``: id, depends_on."""
     wanted = h.select(F.col("id").alias("mrid"), F.explode("depends_on").alias("needed"))
@@ -161,5 +170,9 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule", "severity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
 
 
+def severities(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def is_conforming(findings: DataFrame) -> bool:
     return findings.where("severity = 'error'").isEmpty()

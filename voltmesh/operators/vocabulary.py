@@ -15,6 +15,7 @@ from ..functions import profiles as P
 CLASSES = "class string, ns string, parent string, concrete boolean, profiles long, defined_in long, concrete_in long, deprecated boolean"
 ATTRS = "attr string, ns string, owner string, kind string, primitive string, target string, least int, most int, used_in long, deprecated boolean, fixed string"
 LITERALS = "ns string, enum string, literal string"
+INVERSES = "attr string, inverse string"
 PROFILES = "profile string, bit int, iri string, aliases array<string>"
 
 
@@ -24,10 +25,11 @@ class Vocabulary:
     attrs: DataFrame
     literals: DataFrame
     profiles: DataFrame
+    inverses: DataFrame | None = None  # attr, inverse: the two ends of an association
 
     @staticmethod
-    def of(spark: SparkSession, classes: list[tuple], attrs: list[tuple], literals: list[tuple] = (), profiles: list[tuple] = ()) -> Vocabulary:
-        return Vocabulary(*(spark.createDataFrame(list(rows), schema) for rows, schema in ((classes, CLASSES), (attrs, ATTRS), (literals, LITERALS), (profiles, PROFILES))))
+    def of(spark: SparkSession, classes: list[tuple], attrs: list[tuple], literals: list[tuple] = (), profiles: list[tuple] = (), inverses: list[tuple] = ()) -> Vocabulary:
+        return Vocabulary(*(spark.createDataFrame(list(rows), schema) for rows, schema in ((classes, CLASSES), (attrs, ATTRS), (literals, LITERALS), (profiles, PROFILES), (inverses, INVERSES))))
 
     def closure(self) -> DataFrame:
         """class, ancestor, depth: every class with itself and its ancestors, nearest first."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -139,6 +140,22 @@ def class_closure(spark, sf):
     return star.vocabulary(spark).closure()
 
 
+@query("select 'part:' || p_partkey as mrid, p_name as value from part")
+def first_value(spark, sf):
+    return star.model(spark, sf, ("part",)).values("Thing.name").where("ord = 0").select("mrid", F.col("v_text").alias("value"))
+
+
+@query("select 'nation:' || c_nationkey as mrid, 'customer:' || c_custkey as referrer from customer union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier")
+def inverse_role(spark, sf):
+    return star.model(spark, sf, ("nation", "customer", "supplier")).inverse_of("Nation.Parties")
+
+
+@query("select 'customer:' || c_custkey as mrid, 'rdf:about' as style from customer union all select 'orders:' || o_orderkey, 'rdf:ID' from orders")
+def id_style(spark, sf):
+    """In the operations profile customers are defined elsewhere; orders are mentioned nowhere in it, so the file introduces them."""
+    return star.model(spark, sf, ("customer", "orders")).id_styles(star.OPS)
+
+
 # -- merging ---------------------------------------------------------------------------------------------------------------------------
 
 _ORDER = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
@@ -233,6 +250,16 @@ def cardinality_exceeded(spark, sf):
     return K.cardinality(m.with_(slots=_colliding(spark, sf))).select("mrid", "message")
 
 
+@query("select 'orders:' || l_orderkey as mrid, count(*)::varchar || ' < 4' as message from lineitem group by l_orderkey having count(*) < 4")
+def lower_bound(spark, sf):
+    """Orders with some parts, but fewer than the least number (K6)."""
+    v = star.vocabulary(spark)
+    parts = F.col("attr") == "LineItem.Part"
+    v = replace(v, attrs=v.attrs.withColumns({"least": F.when(parts, 4).otherwise(F.col("least")), "most": F.when(~parts, F.col("most"))}))
+    slots = star.slots_of(t(spark, sf, "lineitem"), "lineitem", ["LineItem.Part"]).withColumn("mrid", F.concat(F.lit("orders:"), F.element_at(F.split("mrid", ":"), 2)))
+    return K.cardinality(O.Model(v, star.objects_of(t(spark, sf, "orders"), "orders"), slots)).select("mrid", "message")
+
+
 @query("select 'orders:' || o_orderkey as mrid, 'Part is no Party' as message from orders where o_orderkey % 11 = 0 and o_custkey in (select p_partkey from part)")
 def wrong_target(spark, sf):
     """Orders that refer to a part; a reference to a class above the declared one is fine (K8)."""
@@ -292,6 +319,14 @@ def header_rules(spark, sf):
     return K.headers(_headers(spark, sf)).groupBy("severity", "message").agg(F.count("*").alias("n"))
 
 
+@query("select 'customer:' || c_custkey as id from customer where c_custkey % 4 in (0, 2)")
+def headers_serving(spark, sf):
+    """Headers that name the operations profile, in any version of its address."""
+    k, base = F.col("c_custkey") % 4, "http://example.org/profiles/"
+    named = F.when(k == 0, F.array(F.lit(base + "Reference/3.0"), F.lit(base + "Operation/4.1"))).when(k == 1, F.array(F.lit(base + "Reference/3.0"))).when(k == 2, F.array(F.lit(base + "Operation/3.0"))).otherwise(F.array().cast("array<string>"))
+    return K.serving(t(spark, sf, "customer").select(F.expr("concat('customer:', c_custkey)").alias("id"), named.alias("profiles")), star.vocabulary(spark), star.OPS).select("id")
+
+
 @query("select 'customer:' || c_custkey as mrid, 'nation:' || c_nationkey as needed from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 2)")
 def dependency_missing(spark, sf):
     there = t(spark, sf, "nation").where("n_regionkey <> 2").select(F.expr("concat('nation:', n_nationkey)").alias("id"), F.array().cast("array<string>").alias("depends_on"))
@@ -305,6 +340,17 @@ def report_summary(spark, sf):
     return K.summary(K.validate(star.model(spark, sf, ("customer", "part"))))
 
 
+@query("select 'warning' as severity, 2 * (select count(*) from customer) + (select count(*) from part) + (select count(*) from part where p_brand <> 'Brand#11') as n")
+def severity_counts(spark, sf):
+    return K.severities(K.validate(star.model(spark, sf, ("customer", "part"))))
+
+
+@query("select 'part:' || p_partkey as mrid, p_brand || ' is not Brand#11' as message, greatest(0, count(*) over () - 25)::bigint as dropped from part where p_brand <> 'Brand#11' order by 1 limit 25")
+def report_capped(spark, sf):
+    """A report's first findings, and how many it leaves out."""
+    return O.capped(K.fixed_value(star.model(spark, sf, ("part",))).select("mrid", "message"), 25, "mrid").withColumn("dropped", F.col("dropped").cast("long"))
+
+
 # -- identifiers and texts -------------------------------------------------------------------------------------------------------------
 
 _HEX = "md5('customer:' || c_custkey)"
@@ -324,6 +370,12 @@ def mrid_parse(spark, sf):
     return _spelled(spark, sf).select("c_custkey", M.parse(F.col("s")).alias("m")).select("c_custkey", "m.is_uuid", "m.key", "m.form")
 
 
+@query("select case c_custkey % 6 when 3 then 'compact' when 5 then 'opaque' else 'uuid' end as form, c_custkey % 6 not in (3, 5) as conforming, count(*) as n from customer group by all")
+def mrid_form(spark, sf):
+    m = _spelled(spark, sf).select(M.parse(F.col("s")).alias("m"))
+    return m.groupBy("m.form", M.is_conforming(F.col("m")).alias("conforming")).agg(F.count("*").alias("n"))
+
+
 @query(f"select count(*) as spellings, count(distinct case when c_custkey % 6 < 5 then u else trim(s) end) as identities from ({_SPELLED})")
 def mrid_dedupe(spark, sf):
     return _spelled(spark, sf).agg(F.countDistinct("s").alias("spellings"), F.countDistinct(M.parse(F.col("s"))["key"]).alias("identities"))
@@ -407,6 +459,20 @@ def xml_strip(spark, sf):
     return _injected(spark, sf).select("doc_id", F.md5(X.strip_illegal(F.col("x"))).alias("clean"))
 
 
+@query("select p_partkey, regexp_full_match(case p_partkey % 4 when 0 then p_brand when 1 then replace(p_brand, '#', '-') when 2 then '1' || p_brand else '_é.' || p_partkey end, '[A-Za-z_é][A-Za-z0-9_.é-]*') as ok from part")
+def ncname(spark, sf):
+    k = F.col("p_partkey")
+    s = F.when(k % 4 == 0, F.col("p_brand")).when(k % 4 == 1, F.replace("p_brand", F.lit("#"), F.lit("-"))).when(k % 4 == 2, F.concat(F.lit("1"), "p_brand")).otherwise(F.concat(F.lit("_é."), k))
+    return t(spark, sf, "part").select("p_partkey", X.is_ncname(s).alias("ok"))
+
+
+@query("""select doc_id, '<' || replace(replace(replace(replace(x, chr(92), chr(92) || 'u005C'), ' ', chr(92) || 'u0020'), '|', chr(92) || 'u007C'), chr(10), chr(92) || 'u000A') || '>' as iri
+ from (select doc_id, source || case when doc_id % 2 = 0 then ' |' || chr(92) || chr(10) || 'é' else '' end as x from documents)""")
+def iri_escape(spark, sf):
+    x = F.concat("source", F.when(F.col("doc_id") % 2 == 0, " |\\\né").otherwise(""))
+    return t(spark, sf, "documents").select("doc_id", R.iri(x).alias("iri"))
+
+
 @query("select page_id, regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*:[^ #<>\"]+(#[^ #<>\"]*)?') as absolute from pages")
 def absolute_iri(spark, sf):
     return t(spark, sf, "pages").select("page_id", X.is_absolute_iri(F.col("url")).alias("absolute"))
@@ -491,6 +557,38 @@ def diff_profile_scoped(spark, sf):
     return D.statements(*_edited(spark, sf), scope=star.OPS).agg(F.count("*").alias("n"))
 
 
+def _many_valued(spark, sf):
+    """Orders with the parts of their lines, reduced to three numbers so that values repeat; the target drops some lines and doubles others."""
+    lines = t(spark, sf, "lineitem").withColumn("l_partkey", F.col("l_partkey") % 3)
+    edited = lines.where("l_linenumber <> 2").unionByName(lines.where("l_linenumber = 3"))
+    whole = star.model(spark, sf, ("orders",))
+    slots = lambda rows: star.slots_of(rows, "lineitem", ["LineItem.Part"]).withColumn("mrid", F.concat(F.lit("orders:"), F.element_at(F.split("mrid", ":"), 2)))
+    return whole.with_(slots=slots(lines)), whole.with_(slots=slots(edited))
+
+
+_WAS = "select 'orders:' || l_orderkey as mrid, 'part:' || (l_partkey % 3) as value from lineitem"
+_NOW = f"{_WAS} where l_linenumber <> 2 union all {_WAS} where l_linenumber = 3"
+
+
+@query(f"select 'reverse' as direction, mrid, value from ({_WAS} except all ({_NOW})) union all select 'forward', mrid, value from (({_NOW}) except all {_WAS})")
+def diff_multiset(spark, sf):
+    """Repeated values count as often as they stand."""
+    return D.statements(*_many_valued(spark, sf)).select("direction", "mrid", "value")
+
+
+@query(f"select mrid, value, count(*) as n from ({_NOW}) where mrid in (select 'orders:' || o_orderkey from orders) group by all")
+def apply_retract_many(spark, sf):
+    """A retraction takes away one of several equal values (H9)."""
+    base, target = _many_valued(spark, sf)
+    return D.apply(base, D.statements(base, target)).slots.groupBy("mrid", F.col("v_ref").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("select 'orders:' || o_orderkey as mrid from orders union select 'orders:' || (o_orderkey + 10000000) from orders where o_orderkey % 101 = 0")
+def union_ids(spark, sf):
+    base, target = _edited(spark, sf)
+    return base.identifiers(target)
+
+
 @query("select 0::bigint as statements, (select count(*) from orders where o_orderkey % 97 <> 0) + (select count(*) from orders where o_orderkey % 101 = 0) as objects")
 def diff_apply_roundtrip(spark, sf):
     """Applying the difference gives the target: what is left between them is nothing (H7)."""
@@ -535,6 +633,12 @@ def nt_lines(spark, sf):
     return rdf.lines(rdf.triples(star.model(spark, sf, ("region", "nation")), star.REF, _NS))
 
 
+@query(f"""select '_:x' || lower(hex(encode('part:' || p_partkey))) as subject, '<{_NS}Part>' as object from part union all select '_:x' || lower(hex(encode('supplier:' || s_suppkey))), '<{_NS}Supplier>' from supplier""")
+def nt_type_rows(spark, sf):
+    found = rdf.triples(star.model(spark, sf, ("part", "supplier")), star.REF, _NS)
+    return found.where(F.col("predicate") == f"<{rdf.RDF_TYPE}>").select("subject", "object")
+
+
 @query("select 'integer' as datatype, (select count(*) from part) as n union all select '', 2 * (select count(*) from part) union all select 'decimal', (select count(*) from part) union all select null, (select count(*) from part)")
 def nt_datatype_histogram(spark, sf):
     return rdf.datatype_histogram(rdf.triples(star.model(spark, sf, ("part",)), star.REF | star.OPS, _NS))
@@ -548,6 +652,20 @@ def element_class(spark, sf):
     return O.element_class(m.objects, slots, m.vocabulary, star.OPS)
 
 
+@query("select case when c_custkey % 3 = 0 then 'Thing' else 'Customer' end as element, 'rdf:about' as style, count(*) as n from customer group by 1")
+def element_census(spark, sf):
+    """Elements of an export by name and identity style."""
+    m = star.model(spark, sf, ("customer",), ["Party.acctbal", "Party.Nation"])
+    slots = m.slots.where("NOT (attr = 'Party.acctbal' AND cast(substring_index(mrid, ':', -1) AS bigint) % 3 = 0)")
+    return O.element_class(m.objects, slots, m.vocabulary, star.OPS).join(m.id_styles(star.OPS), "mrid").groupBy("element", "style").agg(F.count("*").alias("n"))
+
+
+@query("select 'customer:' || c_custkey as mrid, case when c_custkey % 3 <> 0 then 2 else 1 end::bigint as files from customer")
+def identifier_census(spark, sf):
+    ref, ops = _two_files(spark, sf)
+    return ref.objects.select("mrid").union(ops.objects.select("mrid")).groupBy("mrid").agg(F.count("*").alias("files"))
+
+
 @query("select o_orderstatus as value, count(*) as n from orders group by 1")
 def value_census(spark, sf):
     return star.model(spark, sf, ("orders",), ["Order.status"]).slots.groupBy(F.col("v_text").alias("value")).agg(F.count("*").alias("n"))

@@ -45,12 +45,14 @@ TABLES = {
     "lineitem": ("LineItem", "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)", TXN, {"LineItem.Order": ("ref", "concat('orders:', l_orderkey)", TXN), "LineItem.Supplier": ("ref", "concat('supplier:', l_suppkey)", TXN), "LineItem.Part": ("ref", "concat('part:', l_partkey)", TXN), "LineItem.quantity": ("dbl", "l_quantity", TXN), "LineItem.amount": ("dbl", "l_extendedprice * (1 - l_discount)", TXN)}),
     "events": ("Event", "event_id", EVT, {"Event.User": ("ref", "concat('customer:', user_id)", EVT), "Event.type": ("enum", "event_type", EVT), "Event.value": ("dbl", "value", EVT)}),
 }
+#: The ends of associations that are not stored, and the attribute at the other end.
+INVERSES = [("Nation.Parties", "Party.Nation"), ("Region.Nations", "Nation.Region"), ("Party.Orders", "Order.Customer")]
 DEFAULT = ("region", "nation", "customer", "supplier", "part", "orders")
 
 
 def vocabulary(spark: SparkSession) -> Vocabulary:
     profiles = [("REF", 0, "http://example.org/profiles/Reference/3.0", ["http://example.org/ref"]), ("OPS", 1, "http://example.org/profiles/Operation/3.0", []), ("TXN", 2, "http://example.org/profiles/Transaction/3.0", []), ("EVT", 3, "http://example.org/profiles/Event/1.0", [])]
-    return Vocabulary.of(spark, CLASSES, ATTRS, [(NS, "Status", x) for x in "FOP"], profiles)
+    return Vocabulary.of(spark, CLASSES, ATTRS, [(NS, "Status", x) for x in "FOP"], profiles, INVERSES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tup
     pick = lambda name, column: F.max(F.when(F.col("predicate") == name, F.col(column)))
     about = t.groupBy("subject").agg(
         F.bit_or(mask).alias("profiles"), pick("type", "resource").alias("type"), pick("subClassOf", "resource").alias("parent"), pick("domain", "resource").alias("owner"), pick("range", "resource").alias("range"),
-        pick("dataType", "resource").alias("datatype"), pick("multiplicity", "resource").alias("multiplicity"), pick("isFixed", "text").alias("fixed"),
+        pick("dataType", "resource").alias("datatype"), pick("multiplicity", "resource").alias("multiplicity"), pick("isFixed", "text").alias("fixed"), pick("inverseRoleName", "resource").alias("inverse"),
         F.bit_or(F.when((F.col("predicate") == "stereotype") & F.col("resource").isin("concrete"), mask).otherwise(0)).alias("concrete_in"),
         F.bit_or(F.when((F.col("predicate") == "type") & (F.col("resource") == "Class"), mask).otherwise(0)).alias("typed_in"),
         F.bit_or(F.when((F.col("predicate") == "stereotype") & (F.col("text") == "Description"), mask).otherwise(0)).alias("described_in"),
@@ -54,4 +54,5 @@ def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tup
     )
     literals = about.join(F.broadcast(enums.select(F.col("subject").alias("type"))), "type").select(F.lit(ns).alias("ns"), F.col("type").alias("enum"), F.col("subject").alias("literal"))
     listed = spark.createDataFrame(profiles, "profile string, bit int, iri string, aliases array<string>")
-    return Vocabulary(classes, attrs, literals, listed)
+    inverses = about.where("type = 'Property' and inverse is not null").select(F.col("subject").alias("attr"), "inverse")
+    return Vocabulary(classes, attrs, literals, listed, inverses)
