@@ -32,14 +32,23 @@ class Vocabulary:
         return Vocabulary(*(spark.createDataFrame(list(rows), schema) for rows, schema in ((classes, CLASSES), (attrs, ATTRS), (literals, LITERALS), (profiles, PROFILES), (inverses, INVERSES))))
 
     def closure(self) -> DataFrame:
-        """class, ancestor, depth: every class with itself and its ancestors, nearest first."""
+        """class, ancestor, depth: every class with itself and its ancestors, nearest first.
+
+        The recursion runs once for a vocabulary; its rows, bounded by the classes and their depth, are then kept as a local table.
+        """
+        known = self.__dict__.get("_closure")
+        if known is not None:
+            return known
+        spark = self.classes.sparkSession
         self.classes.createOrReplaceTempView("voltmesh_classes")
-        return self.classes.sparkSession.sql("""
+        found = spark.sql("""
             WITH RECURSIVE up(class, ancestor, depth) AS (
               SELECT class, class, 0 FROM voltmesh_classes
               UNION ALL
               SELECT up.class, c.parent, up.depth + 1 FROM up JOIN voltmesh_classes c ON up.ancestor = c.class WHERE c.parent IS NOT NULL
-            ) SELECT class, ancestor, depth FROM up""")
+            ) SELECT class, ancestor, depth FROM up""").toArrow()
+        object.__setattr__(self, "_closure", spark.createDataFrame(found))
+        return self.__dict__["_closure"]
 
     def class_attrs(self) -> DataFrame:
         """class, attr, depth and the attribute's definition, inherited ones included."""
