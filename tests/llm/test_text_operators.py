@@ -296,6 +296,20 @@ def test_html(spark):
     assert html_template.extract(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script>for(var i=0;i<n;i++){}</script><article>kept text</article>",
+        "<style><!-- a{} </style><article>kept text</article>",
+        "<SCRIPT>var a='</p><!--'; if (a<b && c>d) {}</Script ><article>kept text</article>",
+        '<article><p title="the hidden cost">kept</p> <p data-hidden="false" data-id="share">text</p></article>',
+        "<article><p data-class='ad' title=\"class=ad id='nav'\">kept text</p><p hidden>gone</p><p class=x id=share>gone</p></article>",
+    ],
+)
+def test_html_raw_elements_and_attributes(page):
+    assert html_template.main_text(page, frozenset()) == "kept text"
+
+
 def test_word_hashes_bounded():
     h = WordHashes(10)
     a = h([b"w%d" % i for i in range(50)])

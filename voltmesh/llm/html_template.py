@@ -33,9 +33,11 @@ from .common import cut, map_batches, mix_int, small
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute and its value; read in sequence, so that no name is found inside another name or a value.
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _HINT = re.compile(r"[a-z]+|[0-9]+")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NOISE_TAGS = frozenset("head title nav footer aside form script style noscript template iframe svg canvas object embed button select input textarea option menu dialog audio video map".split())
@@ -68,18 +70,10 @@ def scan(html: str):
     ``noise`` and ``main`` tell whether the place lies in a noise element, and the path hash of the main element around it (0: none).
     """
     stack: list[tuple[str, int, bool, int]] = []  # name, path hash, noise, main
-    raw = ""
-    for m in _TOKEN.finditer(html):
-        t = m.group()
+    at = 0
+    while m := _TOKEN.match(html, at):
+        t, at = m.group(), m.end()
         top = stack[-1] if stack else ("", 0, False, 0)
-        if raw:
-            if t[:2] == "</" and (n := _NAME.match(t)) and n[1].lower() == raw:
-                raw = ""
-                stack.pop()
-                yield "end", n[1].lower(), top[1], top[2], top[3]
-            else:
-                yield "text", t, top[1], top[2], top[3]
-            continue
         if t[0] != "<" or len(t) == 1:
             yield "text", t, top[1], top[2], top[3]
             continue
@@ -106,7 +100,10 @@ def scan(html: str):
                     if stack[i][0] not in INLINE:
                         break
         top = stack[-1] if stack else ("", 0, False, 0)
-        attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(t[1 + len(name) :])}
+        attributes: dict[str, str] = {}
+        if len(t) > len(name) + 2:
+            for a in _ATTRIBUTE.finditer(t, _NAME.match(t).end()):
+                attributes.setdefault(a[1].lower(), (a[2] or a[3] or a[4] or "").lower())
         path = zlib.crc32(f"{top[1]}/{name}.{attributes.get('class', '')}#{attributes.get('id', '')}@{attributes.get('role', '')}".encode())
         noise = top[2] or is_noise(name, attributes, top[3] != 0)
         main = top[3] or (path if (name in MAIN or attributes.get("role") == "main") and not noise else 0)
@@ -115,7 +112,12 @@ def scan(html: str):
             continue
         stack.append((name, path, noise, main))
         if name in RAW:
-            raw = name
+            # all up to the end tag is one text, whatever stands in it
+            close = _CLOSE[name].search(html, at)
+            end = close.start() if close else len(html)
+            if end > at:
+                yield "text", html[at:end], path, noise, main
+            at = end
 
 
 def token_number(path: int, text: str = "") -> int:
