@@ -310,6 +310,17 @@ def test_html_raw_elements_and_attributes(page):
     assert html_template.main_text(page, frozenset()) == "kept text"
 
 
+def test_html_template_inside_main(spark):
+    page = "<html><body><article><h1>Head {n}</h1><div class=box><p>The site moves on <b>Monday</b>.</p></div><p>Read <i>this</i> text {n}.</p></article></body></html>"
+    pages = [(i, f"https://a.example.com/{i}", page.format(n=i)) for i in range(5)]
+    pages += [(100 + i, f"https://copies.example.com/{i}", page.format(n=7)) for i in range(5)]
+    rows = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert rows[i] == f"Head {i} Read this text {i}."
+        # nothing varies on a host of copies, so nothing is known to be template
+        assert rows[100 + i] == "Head 7 The site moves on Monday. Read this text 7."
+
+
 def test_word_hashes_bounded():
     h = WordHashes(10)
     a = h([b"w%d" % i for i in range(50)])

@@ -7,7 +7,9 @@ least ``least_share`` of the host's pages. Valid classes nest along element path
 between its tokens are the slots. The template tells the main container (an article or main
 element of the skeleton) and the fixed texts; elements that are navigation, headers, footers, asides, forms,
 scripts, adverts, notices or comments by name are never part of the main text. Extraction keeps the text of the
-main container's slots or, if there is none, of every remaining slot, fixed texts left out.
+main container's slots or, if there is none, of every remaining slot, fixed texts left out. Inside the main container a
+block (a paragraph, a heading, an item) is left out if all its text nodes are template; a fixed word in a sentence that
+varies stays. Where all of a main container is template, as on a host of copies, nothing tells the slots and it stays whole.
 
 An occurrence vector is never built: its fingerprint is the sum, over pages, of a hash of (page, count), so
 a host with a third of all pages is summed up in partial aggregates like any other. The template of
@@ -50,6 +52,8 @@ NOISE_WORDS = frozenset(
 )
 CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 MAIN = frozenset(["article", "main"])
+#: Elements that break a line inside a block.
+BREAKS = frozenset(["br"])
 
 
 def is_noise(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
@@ -172,18 +176,25 @@ def main_text(html: str | None, template: frozenset[int] | set[int]) -> str:
     if template and mains:
         known = {m for m in mains if token_number(m) in template}
         mains = known or mains
-    parts: list[str] = []
+    # the pieces of each block: text, and whether it is template
+    blocks: list[list[tuple[str, bool]]] = [[]]
     for kind, value, path, noise, main in events:
         if kind == "text":
             if noise or (mains and main not in mains):
                 continue
             text = entities.unescape(value)
-            if not mains and template and (shown := " ".join(text.split())) and token_number(path, shown) in template:
-                continue
-            parts.append(text)
+            blocks[-1].append((text, bool(template and (shown := " ".join(text.split())) and token_number(path, shown) in template)))
+        elif value in BREAKS:
+            blocks[-1].append((" ", False))
         elif value not in INLINE:
-            parts.append(" ")
-    return " ".join("".join(parts).split())
+            blocks.append([])
+    if mains:
+        # a fixed word inside a sentence that varies is content: a block of the main container goes only as a whole
+        slots = [b for b in blocks if any(not fixed and text.strip() for text, fixed in b)]
+        blocks = slots or blocks
+    else:
+        blocks = [[(text, fixed) for text, fixed in b if not fixed] for b in blocks]
+    return " ".join(" ".join("".join(text for text, _ in b) for b in blocks).split())
 
 
 def extract(pages: DataFrame, least_size: int = 3, least_share: float = 0.6) -> DataFrame:
