@@ -70,6 +70,21 @@ def test_pii_copies_are_one_context(spark):
     assert pii.disclosing_terms(docs).count() == 0
 
 
+def test_pii_rare_entities(spark):
+    docs = spark.createDataFrame([(0, "Quillfeather said mail amy@ex.org to us"), *[(1 + i, f"we said mail to us {i}") for i in range(400)], (500, "ask Quillfeather now")], "doc_id long, text string")
+    terms = pii.disclosing_terms(docs)
+    assert [r.term for r in terms.collect()] == ["quillfeather"]
+    for most in (100_000, 0):  # told by broadcast, and by join
+        spans = pii.find(docs, terms, most=most).where("doc_id in (0, 500)").orderBy("doc_id").collect()
+        assert [[(s.kind, s.start, s.end) for s in r.spans] for r in spans] == [[("email", 23, 33), ("term", 0, 12)], [("term", 4, 16)]]
+
+
+def test_pii_context_is_words_not_characters():
+    text = " ".join([f"w{i}" + "x" * 60 for i in range(8)]) + " a@b.c " + "y" * 900 + " last"
+    near = pii.context("far " + text, 4 + text.index("a@"), 4 + text.index("a@") + 5, 8)
+    assert near == [f"w{i}" + "x" * 60 for i in range(8)] + ["last"]
+
+
 def test_piece_dropout(spark, odd):
     import sentencepiece
 

@@ -8,14 +8,17 @@ corpus then tells which other terms give an entity away: for an entity c and a t
     disclosure = PMI(c; t) / IC(c)
 
 P(t | c) is the share of the entity's distinct contexts that hold t (the same words around it in
-many copies are one context), P(t) and P(c) are shares of all documents. A disclosure of 1 means that the term
-tells as much as the entity itself. Terms that reach ``generalise_at`` with at least
-``support`` distinct contexts are replaced by the entity's kind, those that reach ``remove_at`` are removed,
-in every document. Pattern matches are always replaced by their kind.
+many copies are one context), P(t) and P(c) are shares of all documents. P(t | c) is smoothed by ``prior``
+contexts in which t has its share of the corpus, so that one context tells less than many. A disclosure of 1 means
+that the term tells as much as the entity itself. Every entity is scored, those with one context too, by the terms that
+stand in more than half of its contexts or in ``support`` of them; a term in fewer is a
+chance neighbour. Terms that reach ``generalise_at`` are replaced by the entity's kind, those that
+reach ``remove_at`` are removed, in every document. Pattern matches are always replaced by their kind.
 
 Counts cover the whole corpus and are sums over keys (entity, term, context), combined before each
-shuffle. Only the terms over ``support`` are counted in all documents; the list of disclosing terms
-is broadcast only after its rows are counted, and joined by term otherwise.
+shuffle. Terms are counted in all documents; only those that are rare enough to reach ``generalise_at`` with one of their
+entities are joined back. The list of disclosing terms is broadcast only after its rows are counted, and joined by
+term otherwise.
 
 Defined cases: null and empty texts have no spans; null ids and repeated rows are answered row by row;
 equal spans of a term and a pattern: the pattern's stays; overlapping term spans cannot arise; an empty table
@@ -26,12 +29,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, small
+from .common import cut, map_batches, slices, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -86,10 +90,25 @@ def entity(kind: int, matched: str) -> str:
     return f"{KINDS[kind]}:" + (matched.lower() if kind < 2 else _NOT_DIGIT.sub("", matched))
 
 
+def words_near(text: str, start: int, end: int, window: int) -> tuple[list[str], list[str]]:
+    """The last ``window`` words of ``text`` before ``start`` and the first ones from ``end`` on."""
+    reach = 16 * window
+    while True:  # a word at the border may be cut, so one more than needed must be in reach
+        left = text[max(0, start - reach) : start].split()
+        if len(left) > window or reach >= start:
+            break
+        reach *= 4
+    reach = 16 * window
+    while True:
+        right = text[end : end + reach].split()
+        if len(right) > window or end + reach >= len(text):
+            return left[-window:], right[:window]
+        reach *= 4
+
+
 def context(text: str, start: int, end: int, window: int) -> list[str]:
     """The lower-case terms among the ``window`` words on either side; words that themselves are numbers or addresses are left out."""
-    reach = 40 * window
-    left, right = text[max(0, start - reach) : start].split()[-window:], text[end : end + reach].split()[:window]
+    left, right = words_near(text, start, end, window)
     return [t for w in (*left, *right) if "@" not in w for t in _TERM.findall(w.lower()) if not t.isdigit() and len(t) < 64]
 
 
@@ -114,35 +133,59 @@ def document_terms(docs: DataFrame) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """term and df, the number of documents that hold it, over all documents."""
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+        for batch in batches:
+            for some in slices(batch):
+                for t in some.column(0).to_pylist():
+                    counts.update(t for t in set(_TERM.findall(t.lower())) if len(t) < 64 and not t.isdigit())
+                if len(counts) > 200_000:
+                    yield rows()
+                    counts.clear()
+        if counts:
+            yield rows()
+
+    return docs.select("text").where("text is not null").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 0.5) -> DataFrame:
     """term, entity, support, disclosure and action of the terms over the thresholds."""
     distinct = cut(evidence(docs, window).groupBy("entity", "context").agg(F.min("terms").alias("terms"), F.count("*").alias("mentions")))
-    totals = distinct.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("mentions").alias("mentions")).where(F.col("contexts") >= support)
-    together = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    pairs = cut(together.join(totals, "entity"))
+    totals = distinct.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("mentions").alias("mentions"))
+    together = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support"))
+    n = docs.count()
+    p_c = F.col("mentions") / F.lit(n)
+    # the most documents a term may stand in: P(t | c) is at most 1
+    rare = together.join(totals, "entity").where((F.col("support") >= support) | (2 * F.col("support") > F.col("contexts"))).withColumn("ic", -F.log2(F.least(p_c, F.lit(0.5)))).withColumn("most", n * F.pow(F.lit(2.0), -generalise_at * F.col("ic")) + 1e-6)
+    pairs = cut(rare)
     empty = docs.sparkSession.createDataFrame([], "term string, entity string, support long, disclosure double, action string")
-    n_pairs = pairs.count()
-    if not n_pairs:
+    if pairs.isEmpty():
         return empty
-    wanted = pairs.select("term").distinct()
-    n = docs.count()
-    # at most n_pairs terms; the corpus is counted for these alone
-    frequency = docs.select(F.explode(document_terms(docs)).alias("term")).join(small(wanted, n_pairs), "term").groupBy("term").agg(F.count("*").alias("df"))
-    p_c = F.col("mentions") / n
-    measured = pairs.join(frequency, "term").withColumn("disclosure", F.log2((F.col("support") / F.col("contexts")) / (F.col("df") / n)) / -F.log2(F.least(p_c, F.lit(0.5))))
+    wanted = pairs.groupBy("term").agg(F.max("most").alias("most"))
+    likely = cut(document_frequency(docs).join(wanted, "term").where("df <= most").select("term", "df"))
+    share = F.col("df") / n
+    smoothed = (F.col("support") + prior * share) / (F.col("contexts") + prior)
+    measured = pairs.join(small(likely, likely.count()), "term").withColumn("disclosure", F.log2(smoothed / share) / F.col("ic"))
     best = measured.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "entity", "support")).alias("b"))
     return cut(best.select("term", "b.entity", "b.support", "b.disclosure", F.when(F.col("b.disclosure") >= remove_at, REMOVED).otherwise(GENERALISED).alias("action")))
 
 
-def find(docs: DataFrame, terms: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
+def find(docs: DataFrame, terms: DataFrame | None = None, keep_text: bool = True, most: int = 100_000) -> DataFrame:
     """``docs`` with ``spans`` (kind, start, end, action), by kind and start; ends exclusive, in code points."""
     n = terms.count() if terms is not None else 0
-    if n:
-        hits = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.explode(document_terms(docs)).alias("term")).join(small(terms.select("term", "entity", "action"), n), "term")
+    known = None
+    if n > most:
+        hits = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.explode(document_terms(docs)).alias("term")).join(terms.select("term", "entity", "action"), "term")
         per_doc = hits.groupBy("_key").agg(F.collect_set(F.concat_ws("\t", "term", "action", "entity")).alias("_terms"))
         src = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(per_doc, "_key", "left").drop("_key")
     else:
         src = docs.withColumn("_terms", F.lit(None).cast("array<string>"))
+        if n:
+            known = docs.sparkSession.sparkContext.broadcast({r.term: r.action for r in terms.select("term", "action").collect()})
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,action:string>>")
     def spans(texts, told):
@@ -152,14 +195,16 @@ def find(docs: DataFrame, terms: DataFrame | None = None, keep_text: bool = True
         for t, given in zip(texts, told):
             t = t or ""
             rows = [(KINDS[k], s, e, GENERALISED) for k, s, e in base_spans(t)]
-            if given is not None and len(given):
+            if known is not None or (given is not None and len(given)):
                 taken = sorted((s, e) for _, s, e, _ in rows)
-                action = {x.split("\t")[0]: x.split("\t")[1] for x in given}
+                action = known.value if known is not None else {x.split("\t")[0]: x.split("\t")[1] for x in given}
                 k = 0
                 for m in _TERM.finditer(t):
+                    if m.group().lower() not in action:
+                        continue
                     while k < len(taken) and taken[k][1] <= m.start():
                         k += 1
-                    if (m.group().lower()) in action and not (k < len(taken) and taken[k][0] < m.end()):
+                    if not (k < len(taken) and taken[k][0] < m.end()):
                         rows.append((KINDS[4], m.start(), m.end(), action[m.group().lower()]))
             out.append([{"kind": k, "start": s, "end": e, "action": a} for k, s, e, a in rows])
         return pd.Series(out)
