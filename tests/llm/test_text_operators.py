@@ -131,6 +131,23 @@ def test_token_files(spark, odd, tmp_path):
     assert token_files.digest(spark, path).count() == 0
 
 
+def test_token_files_hot_id(spark, tmp_path):
+    file, path = queries.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/tokens"
+    texts = ["same text for all"] * 3000 + [f"other text {i}" for i in range(100)] + ["long " * 60_000] * 2
+    docs = spark.createDataFrame([(5, t) for t in texts] + [(None, "none"), (9, "nine")], "doc_id long, text string").repartition(4)
+    token_files.write(docs, path, file, files=3, file_blocks=3)
+    stored = token_files.read(spark, path).collect()
+    rows = sorted(token_files.digest(spark, path).collect(), key=lambda r: r.start)
+    by_file = {}
+    for r in stored:
+        by_file.setdefault(r.file, []).append(r)
+    assert len(rows) == len(stored) == docs.count() and len(by_file) > 3  # a range rolls to new files
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f, rs in by_file.items() if any(r.doc_id == 5 for r in rs)}) == 3  # one id, several tasks
+    in_order = [r for f in sorted(by_file) for r in sorted(by_file[f], key=lambda r: r.position)]
+    assert [(r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in in_order] == [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows]
+    assert [r.doc_id for r in rows] == [None, *[5] * len(texts), 9]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(5, np.uint32), rng.integers(0, 50257, 4096, np.uint32), np.array([2**32 - 1, 0, 7], np.uint32), np.append(rng.integers(3, 9, 100, np.uint32), np.uint32(2**31))):

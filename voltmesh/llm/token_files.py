@@ -1,11 +1,13 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
 Every text is encoded by a public tokenizer of the ``tokenizers`` library and followed by an end id. Documents are
-range-partitioned by id and sorted, so the files, in name order, hold all ids in ascending doc_id order. Spark's own
+range-partitioned by id, text and row number, so that a frequent id is spread over tasks, and sorted, so the files, in name order, hold all ids in ascending doc_id order. Spark's own
 text writer stores the records (a record's bytes and a line feed), so files land on whatever store the path names and
 under Spark's commit protocol; ``binaryFile`` reads them.
 
-A file is a run of records, each followed by one 0x0A byte (little-endian numbers):
+A task begins a new file at a document's end once a file has its blocks, so no file grows with the input. A file is a run
+of records, each followed by one 0x0A byte (little-endian numbers); empty records before the index fill a file
+up to the number of records at which Spark's writer begins the next, and a record may hold several blocks:
 
     block    uint32 count, uint8 width, uint32 minimum, uint16 exceptions; count values (id - minimum) of
              ``width`` bits, low bits first; uint16 position of each exception, then its uint32 value
@@ -253,51 +255,97 @@ def decode_block(data: memoryview, at: int) -> np.ndarray:
     return ids + np.uint32(low)
 
 
-def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, files: int | None = None, percentile: float = 0.95) -> None:
-    """Write the ids of ``docs`` (doc_id, text) to ``path``. ``files``: how many; by default the session's shuffle partitions."""
+def runs(ids: list[np.ndarray], most: int):
+    """Bounds of runs of documents that end with the one that brings them to ``most`` ids."""
+    first, size = 0, 0
+    for k, x in enumerate(ids):
+        size += len(x) + 1
+        if size >= most or k == len(ids) - 1:
+            yield first, k + 1
+            first, size = k + 1, 0
+
+
+def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, files: int | None = None, percentile: float = 0.95, file_blocks: int = 3072) -> None:
+    """Write the ids of ``docs`` (doc_id, text) to ``path``.
+
+    ``files``: how many ranges; by default the session's shuffle partitions. A range goes on in a new file at the first
+    document that ends after ``file_blocks`` blocks.
+    """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = file_blocks * 4 // 3 + 2  # Spark begins a new file after so many
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder, rest, at = encoder_for(definition.value), np.empty(0, np.uint32), 0
+        encoder, rest, at, written = encoder_for(definition.value), np.empty(0, np.uint32), 0, 0
         starts, lengths, names, nulls, total = [], [], [], [], 0
+        held: list[bytes] = []  # blocks of a very long document that go into the last record before the index
+
+        def record(*data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["record"])
 
-        def record(data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["record"])
+        def index() -> bytes:
+            return b"".join([np.array(starts, "<u8").tobytes(), np.array(lengths, "<u4").tobytes(), np.array(names, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), struct.pack(TRAILER, len(starts), len(lengths), total, at, MARK)])
+
+        def blocks(ids: np.ndarray):
+            """The records of some blocks."""
+            nonlocal at, written
+            for i in range(0, len(ids), BLOCK):
+                starts.append(at)
+                data = encode_block(ids[i : i + BLOCK], percentile)
+                at += len(data)
+                if written < records - 2:
+                    at += 1
+                    written += 1
+                    yield record(data)
+                else:
+                    held.append(data)
+
+        def last():
+            """What is held, in one record."""
+            nonlocal at, written
+            if held:
+                at += 1
+                written += 1
+                yield record(b"".join(held))
+                held.clear()
 
         for batch in (some for whole in batches for some in slices(whole)):
             doc_ids = batch.column(0).to_pylist()
             ids = encoder(batch.column(1).to_pylist())
-            lengths += [len(x) + 1 for x in ids]
-            names += [x or 0 for x in doc_ids]
-            nulls += [x is None for x in doc_ids]
-            parts = [rest]
-            for x in ids:
-                parts += [x, np.array([end_id], np.uint32)]
-            rest = np.concatenate(parts)
-            total += len(rest) - len(parts[0])
-            while len(rest) >= BLOCK:
-                starts.append(at)
-                data = encode_block(rest[:BLOCK], percentile)
-                at += len(data) + 1
-                yield record(data)
-                rest = rest[BLOCK:]
+            for i, j in runs(ids, BLOCK * min(256, file_blocks)):
+                lengths += [len(x) + 1 for x in ids[i:j]]
+                names += [x or 0 for x in doc_ids[i:j]]
+                nulls += [x is None for x in doc_ids[i:j]]
+                parts = [rest]
+                for x in ids[i:j]:
+                    parts += [x, np.array([end_id], np.uint32)]
+                rest = np.concatenate(parts)
+                total += len(rest) - len(parts[0])
+                whole = len(rest) // BLOCK * BLOCK
+                yield from blocks(rest[:whole])
+                rest = rest[whole:]
+                if len(starts) >= file_blocks:
+                    yield from blocks(rest)
+                    yield from last()
+                    pad = records - 1 - written
+                    at += pad
+                    yield record(*[b""] * pad, index())
+                    starts, lengths, names, nulls, total, at, written, rest = [], [], [], [], 0, 0, 0, np.empty(0, np.uint32)
         if lengths:
-            if len(rest):
-                starts.append(at)
-                data = encode_block(rest, percentile)
-                at += len(data) + 1
-                yield record(data)
-            yield record(b"".join([np.array(starts, "<u8").tobytes(), np.array(lengths, "<u4").tobytes(), np.array(names, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), struct.pack(TRAILER, len(starts), len(lengths), total, at, MARK)]))
+            yield from blocks(rest)
+            yield from last()
+            yield record(index())
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    src.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(path)
+    # the row's number parts rows that are equal, so no id and no row is too frequent for its range
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    src = numbered.repartitionByRange(files, "doc_id", "text", "row").select("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    src.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", records).text(path)
 
 
 def stored(batch: pa.RecordBatch):
-    """file, position in the file, doc_id and ids of the documents in some files."""
+    """file, position in the file, doc_id and ids of the documents in some files, a few blocks at a time."""
     for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
         data = memoryview(content.as_buffer())
         if len(data) < struct.calcsize(TRAILER):
@@ -310,15 +358,26 @@ def stored(batch: pa.RecordBatch):
         lengths = np.frombuffer(data[at : at + 4 * n], "<u4").astype(np.int64)
         names = np.frombuffer(data[at + 4 * n : at + 12 * n], "<i8")
         nulls = np.frombuffer(data[at + 12 * n : at + 13 * n], np.uint8).astype(bool)
-        ids = np.concatenate([decode_block(data, int(s)) for s in starts])
-        if len(ids) != total or lengths.sum() != total:
-            raise ValueError(f"{name} holds {len(ids)} of {total} ids")
+        if lengths.sum() != total:
+            raise ValueError(f"{name} tells {lengths.sum()} of {total} ids")
         ends = np.cumsum(lengths)
-        for i in range(0, n, 2048):  # a few documents at a time
-            j = min(n, i + 2048)
-            first = int(ends[i] - lengths[i])
-            offsets = pa.array(np.concatenate([[0], ends[i:j] - first]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(np.arange(i, j)), pa.array(names[i:j], pa.int64(), mask=nulls[i:j]), pa.ListArray.from_arrays(offsets, pa.array(ids[first : int(ends[j - 1])].view(np.int32)))], names=["file", "position", "doc_id", "ids"])
+        rest, block, i = np.empty(0, np.uint32), 0, 0
+        while i < n:
+            done = int(ends[i] - lengths[i])
+            j = max(i + 1, min(i + 2048, int(np.searchsorted(ends, done + 256 * BLOCK, "right"))))
+            want, parts, have = int(ends[j - 1]) - done, [rest], len(rest)
+            while have < want and block < blocks:
+                parts.append(decode_block(data, int(starts[block])))
+                have, block = have + len(parts[-1]), block + 1
+            if have < want:
+                raise ValueError(f"{name} holds {done + have} of {total} ids")
+            ids = np.concatenate(parts)
+            rest = ids[want:]
+            offsets = pa.array(np.concatenate([[0], ends[i:j] - done]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i)), pa.array(np.arange(i, j)), pa.array(names[i:j], pa.int64(), mask=nulls[i:j]), pa.ListArray.from_arrays(offsets, pa.array(ids[:want].view(np.int32)))], names=["file", "position", "doc_id", "ids"])
+            i = j
+        if len(rest) or block < blocks:
+            raise ValueError(f"{name} holds more than {total} ids")
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
