@@ -7,7 +7,7 @@ stage's result to the cluster's shared folder as Parquet and reads it back for t
 2. n-gram join         one document of each class of near duplicates stays
 3. PII                 personal data and disclosing terms are replaced in the text, n_chars follows
 4. mixing              each document stands as often as the mix takes it (``taken`` words over its size,
-                       rounded so that the schedule's share of a last, partial turn is kept or left whole)
+                       rounded so that the schedule's share of a last, partial turn is kept or left whole); ``copy`` numbers its rows
 5. piece dropout       doc_id, source and the ids of the text
 """
 
@@ -35,11 +35,11 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs).select(*COLUMNS)
+    return mixing.mixed_documents(docs).select(*COLUMNS, "copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_dropout.encode(docs.select("doc_id", "source", "text"), queries.vocabulary("piece_bpe_32k.model")).select("doc_id", "source", "ids")
+    return piece_dropout.encode(docs.select("doc_id", "source", "text", "copy"), queries.vocabulary("piece_bpe_32k.model")).select("doc_id", "source", "ids")
 
 
 STAGES = [("quality classifier", classify), ("n-gram join", deduplicate), ("pii", sanitise), ("mixing", mix), ("piece dropout", encode)]

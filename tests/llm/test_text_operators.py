@@ -109,6 +109,33 @@ def test_piece_dropout_batch_equals_agenda():
     assert p.together(parts[:1], [0]) != p.together(parts[:1], [1]) or p.together(parts[1:2], [0]) != p.together(parts[1:2], [1])
 
 
+def test_piece_dropout_draws_each_occurrence(spark):
+    model = queries.vocabulary("piece_bpe_32k.model")
+    with open(model, "rb") as f:
+        p = piece_dropout.Pieces(f.read(), 0.1, 7)
+    text = " ".join(["international understanding straße 12345 " + "longword" * 12] * 40)
+    ids, bounds = p.encode([text, None, text], [3, 4, 5])
+    doc = lambda k: piece_dropout.mix_int((k + 7 * piece_dropout._GOLD) & piece_dropout.MASK64)
+    for k, a, b in ((3, bounds[0], bounds[1]), (5, bounds[2], bounds[3])):
+        want = []
+        for i, w in enumerate(p.parts_of(text)):
+            want += p.agenda(piece_dropout.part_text(w), piece_dropout.mix_int((doc(k) + i * 0xD6E8FEB86659FD93) & piece_dropout.MASK64))
+        assert ids[a:b].tolist() == want
+    docs = spark.createDataFrame([(1, "international " * 2000)] * 2, "doc_id long, text string").coalesce(1).withColumn("copy", F.monotonically_increasing_id())
+    one, two = (r.ids for r in piece_dropout.encode(docs, model, dropout=0.3).collect())
+    assert one != two  # copies differ
+    words = set()
+    for r in piece_dropout.decode(piece_dropout.encode(docs.limit(1), model, dropout=0.3), model).collect():
+        assert r.decoded == r.text
+        spelled, word = [p.bytes_of[i] for i in r.ids], []
+        for s in spelled:
+            if s.startswith(b" ") and word:
+                words.add(tuple(word))
+                word = []
+            word.append(s)
+    assert len(words) > 20
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 

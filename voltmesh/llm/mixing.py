@@ -134,7 +134,7 @@ def mix_rows(rows: DataFrame, block: int, repeats: int, buckets: int | None, mos
 
 
 def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, up to ``repeats`` times.
+    """``docs`` as the mix takes them: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
 
     A document of which a part is taken in its last turn stands once more if its source's words stay nearest the
     target so: the cut of that turn falls in at least half of it. Documents without words stand once.
@@ -143,4 +143,4 @@ def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> Dat
     held = cut(docs.withColumn("_row", F.struct(*width)).withColumn("_id", F.monotonically_increasing_id()).select("_id", "_row"))
     rows = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size_of("_row.text").alias("size"), place_of("_row.doc_id", "_row.text").alias("place"), "_id")
     counts = mix_rows(cut(rows), block, repeats, None, 100_000)[0].select("_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
-    return held.join(counts, "_id").withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).select("_row.*")
+    return held.join(counts, "_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("_row.*", "copy")

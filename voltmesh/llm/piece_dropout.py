@@ -3,17 +3,18 @@
 Vocabulary and scores come from a public SentencePiece model; the merging is done here. A text is escaped as the
 model does it (a leading space, spaces as U+2581), starts as single characters, and an agenda merges the best-scored
 pair, leftmost first, until none is left. A candidate merge - the symbol starting at a place and the piece it would make - is
-skipped for good if a keyed hash of (seed, variant, part, place, piece) falls below ``dropout``. With
-dropout 0 the ids equal the library's.
+skipped for good if a keyed hash of (seed, document, copy, occurrence, part, place, piece) falls below ``dropout``: every
+occurrence of a word draws for itself. With dropout 0 the ids equal the library's.
 
-The key's variant of a word is drawn by a hash of (seed, document, occurrence) out of ``variants``, so a word is
-segmented in several ways in one document, reruns agree, and a worker computes each (word, variant) once
-per memory; the memory is emptied at a bound. New words are merged together, one array step for all;
+A worker remembers, by word, what no key changes: the ids if nothing is dropped and the candidates offered on the way;
+and likewise the ids and further candidates for each set of dropped ones that came up. An occurrence draws for the
+candidates it is offered and follows its drops from one to the next until nothing new is dropped. The memory is emptied at a bound.
+New words and new sets are merged together, one array step for all;
 parts of over 64 characters go through a heap one by one. Characters outside the vocabulary become bytes, a literal
 U+2581 too, so decoding gives back every text exactly.
 
 Defined cases: null gives null ids and decodes to null; empty text gives no ids; null doc_ids hash as -1;
-repeated rows with one id get equal ids; any length works; an empty table gives an empty result; extra columns
+repeated rows with one id get equal ids unless a column ``copy`` numbers them; any length works; an empty table gives an empty result; extra columns
 pass through ``encode`` and ``decode``.
 """
 
@@ -47,15 +48,38 @@ def characters(text: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def pieces_for(model: bytes, dropout: float, seed: int, variants: int) -> Pieces:
+def pieces_for(model: bytes, dropout: float, seed: int) -> Pieces:
     """The worker's tables and memory, kept from task to task."""
-    return Pieces(model, dropout, seed, variants)
+    return Pieces(model, dropout, seed)
+
+
+class Runs:
+    """Growing runs of numbers, by row."""
+
+    def __init__(self, dtype):
+        self.n, self.end = 0, 0
+        self.values, self.offset, self.size = np.empty(0, dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        n, end = self.n + len(sizes), self.end + len(values)
+        if n > len(self.size):
+            self.offset, self.size = (np.concatenate([x[: self.n], np.zeros(n * 3 // 2 - self.n, np.int64)]) for x in (self.offset, self.size))
+        if end > len(self.values):
+            self.values = np.concatenate([self.values[: self.end], np.zeros(end * 3 // 2 - self.end, self.values.dtype)])
+        self.offset[self.n : n], self.size[self.n : n], self.values[self.end : end] = self.end + np.cumsum(sizes) - sizes, sizes, values
+        self.n, self.end = n, end
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of some rows in a row, and how many each has."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        return self.values[np.repeat(self.offset[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
 class Pieces:
     """Tables of one model, and the merging."""
 
-    def __init__(self, model: bytes, dropout: float, seed: int, variants: int, most: int = 100_000):
+    def __init__(self, model: bytes, dropout: float, seed: int, most: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_proto=model)
@@ -84,33 +108,56 @@ class Pieces:
             if len(piece) == 1:
                 self.char_id[ord(" " if piece == SPACE else piece)] = i
         self.lines = not any("\n" in p for p in self.id_of)
-        self.below, self.seed, self.variants, self.most = int(dropout * 2**32), seed, variants, most
+        self.below, self.seed, self.most = int(dropout * 2**32), seed, most
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.offset, self.length, self.ids = {}, np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.used = np.zeros(0, np.int64)
-        self.end = 0
-
-    def shrink(self) -> None:
-        """Keep the half of the parts that was used most."""
-        v, n = self.variants, len(self.at)
-        keep = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.most // 2])
-        slots = (keep[:, None] * v + np.arange(v)).ravel()
-        length, offset = self.length[slots].astype(np.int64), self.offset[slots]
-        ends = np.cumsum(length)
-        self.ids = self.ids[np.repeat(offset - ends + length, length) + np.arange(ends[-1])]
-        self.offset, self.length, self.end = np.where(offset < 0, -1, ends - length), self.length[slots], int(ends[-1])
-        parts = list(self.at)
-        self.at, self.used = {parts[k]: i for i, k in enumerate(keep.tolist())}, self.used[keep] >> 1
-
-    def keys(self, chars: np.ndarray, starts: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """The dropout keys of parts, given all their characters and where each starts."""
+        """Forget all nodes: a part and the candidates dropped so far; ``ids`` if no more are, ``offers`` not offered before it."""
+        self.at, self.child = {}, {}
+        self.ids, self.offers, self.hashes = Runs(np.int32), Runs(np.int64), Runs(np.uint64)
+        self.part, self.before, self.dropped = [], [], []
+
+    def branch(self, parts: list[str], before: list[int], dropped: list[tuple[int, ...]]) -> None:
+        """New nodes: for each a part, the node it follows (-1: none) and all candidates dropped in it. Long parts are not merged here."""
+        short = [i for i, p in enumerate(parts) if len(p) <= LONG]
+        got: list[list[int]] = [[]] * len(parts)
+        sets = np.full((len(short), 1 + max((len(dropped[i]) for i in short), default=0)), -1, np.int64)
+        for k, i in enumerate(short):
+            sets[k, 0] = i
+            sets[k, 1 : 1 + len(dropped[i])] = dropped[i]
+        self.seen: list[np.ndarray] = []
+        for i, g in zip(short, self.together([parts[i] for i in short], sets)):
+            got[i] = g
+        self.ids.add(np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got], np.int64))
+        offered = np.unique(np.concatenate([np.empty(0, np.int64), *self.seen]))
+        known = [np.empty(0, np.int64)]
+        for i, node in enumerate(before):
+            while node >= 0:
+                o = int(self.offers.offset[node])
+                known.append(self.offers.values[o : o + int(self.offers.size[node])] + (i << 32))
+                node = self.before[node]
+        offered = offered[~np.isin(offered, np.concatenate(known))]
+        self.offers.add(offered & 0xFFFFFFFF, np.bincount(offered >> 32, minlength=len(parts)))
+        chars = characters("".join(parts))
+        size = np.array([len(p) for p in parts], np.int64)
+        self.hashes.add(self.part_hashes(chars, np.cumsum(size) - size), np.ones(len(parts), np.int64))
+        self.part += parts
+        self.before += before
+        self.dropped += dropped
+
+    def part_hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         size = np.diff(np.append(starts, len(chars)))
         place = np.arange(len(chars)) - np.repeat(starts, size)
         with np.errstate(over="ignore"):
-            h = mix(chars.astype(np.uint64) * np.uint64(_GOLD) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            return mix(np.add.reduceat(h, starts) + np.uint64(self.seed * 0xD6E8FEB86659FD93 & MASK64) + variants.astype(np.uint64) * np.uint64(_GOLD))
+            return np.add.reduceat(mix(chars.astype(np.uint64) * np.uint64(_GOLD) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), starts)
+
+    def with_occurrences(self, hashes: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(hashes + np.uint64(self.seed * 0xD6E8FEB86659FD93 & MASK64) + occurrences.astype(np.uint64) * np.uint64(_GOLD))
+
+    def keys(self, chars: np.ndarray, starts: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+        """The dropout keys of parts, given all their characters, where each starts and the numbers of their occurrences."""
+        return self.with_occurrences(self.part_hashes(chars, starts), occurrences)
 
     def skipped(self, key: int, place: int, piece: int) -> bool:
         return (mix_int((key + place * 0xC2B2AE3D27D4EB4F + piece * _GOLD) & MASK64) >> 32) < self.below
@@ -129,10 +176,10 @@ class Pieces:
                 out += [self.byte_id[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")]
         return out
 
-    def agenda(self, part: str, variant: int) -> list[int]:
+    def agenda(self, part: str, occurrence: int) -> list[int]:
         """One part, by a heap of candidate merges."""
         chars = characters(part)
-        key, sym = int(self.keys(chars, np.zeros(1, np.int64), np.array([variant]))[0]), self.symbols(chars).tolist()
+        key, sym = int(self.keys(chars, np.zeros(1, np.int64), np.array([occurrence], np.uint64))[0]), self.symbols(chars).tolist()
         n, end = len(sym), len(sym)
         nxt, prv, ver = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
         heap: list[tuple[int, int, int, int, int, int]] = []
@@ -165,19 +212,27 @@ class Pieces:
         return self.as_ids(out)
 
     def candidate(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (``size``: none) and piece of the merges of adjacent symbols."""
+        """Rank (``size``: none) and piece of the merges of adjacent symbols. ``key``: the parts' dropout keys, or rows of a number and the candidates to drop."""
         want = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
         found = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
         piece = self.merged[found]
         ok = self.pair[found] == want
-        if self.below:
+        if key.ndim == 2:
+            code = place.astype(np.int64) * self.size + piece
+            self.seen.append((key[ok, 0] << 32) + code[ok])
+            ok &= ~(key[:, 1:] == code[:, None]).any(1)
+        elif self.below:
             with np.errstate(over="ignore"):
                 h = mix(key + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
             ok &= (h >> np.uint64(32)) >= np.uint64(self.below)
         return np.where(ok, self.rank[piece], self.size).astype(np.int32), piece.astype(np.int32)
 
-    def together(self, parts: list[str], variants: list[int]) -> list[list[int]]:
-        """Many parts of at most LONG characters, each round merging the best pair of every part."""
+    def together(self, parts: list[str], occurrences) -> list[list[int]]:
+        """Many parts of at most LONG characters, each round merging the best pair of every part.
+
+        ``occurrences``: their numbers, or a matrix with a row of a number and the candidates to drop for each part.
+        """
+        occurrences = np.asarray(occurrences) if isinstance(occurrences, np.ndarray) else np.array(occurrences, np.uint64)
         out: list[list[int]] = [[]] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
         for i in range(0, len(order), 8192):
@@ -185,7 +240,7 @@ class Pieces:
             length = np.array([len(parts[r]) for r in rows])
             chars = characters("".join([parts[r] for r in rows]))
             starts = np.cumsum(length) - length
-            key = self.keys(chars, starts, np.array([variants[r] for r in rows]))
+            key = occurrences[rows] if occurrences.ndim == 2 else self.keys(chars, starts, occurrences[rows])
             n, width = len(rows), int(length.max())
             at = np.repeat(np.arange(n), length)
             col = np.arange(len(chars)) - np.repeat(starts, length)
@@ -232,16 +287,6 @@ class Pieces:
                 begin = end
         return out
 
-    def segment(self, parts: list[str], variants: list[int]) -> list[list[int]]:
-        short = [i for i, p in enumerate(parts) if len(p) <= LONG]
-        out: list[list[int]] = [[]] * len(parts)
-        for i, s in zip(short, self.together([parts[i] for i in short], [variants[i] for i in short])):
-            out[i] = s
-        for i, p in enumerate(parts):
-            if len(p) > LONG:
-                out[i] = self.agenda(p, variants[i])
-        return out
-
     def parts_of(self, text: str | None) -> list[str]:
         """The parts of a text, as keys: a word after a space is itself, a line feed is itself, any other part has a NUL before it."""
         if not text:
@@ -254,77 +299,91 @@ class Pieces:
         return parts
 
     def encode(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of some texts in a row, and where each text's begin and the last one's end; ``keys`` name the documents."""
-        v = self.variants
+        """The ids of some texts in a row, and where each text's begin and the last one's end; ``keys`` name the documents and copies."""
         group = [self.parts_of(t) for t in texts]
         flat = [p for parts in group for p in parts]
-        if len(self.at) > self.most:
-            self.shrink()
-        at = self.at
-        try:
-            number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-        except KeyError:
-            new = list(set(flat) - at.keys())
-            at.update(zip(new, range(len(at), len(at) + len(new))))
-            number = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-        if len(self.used) < len(at):
-            self.used = np.concatenate([self.used, np.zeros(len(at) * 3 // 2 - len(self.used), np.int64)])
-        self.used += np.bincount(number, minlength=len(self.used))
-        if len(self.offset) < len(at) * v:
-            grow = len(at) * v * 3 // 2 - len(self.offset)
-            self.offset = np.concatenate([self.offset, np.full(grow, -1)])
-            self.length = np.concatenate([self.length, np.zeros(grow, np.int32)])
+        if self.ids.n > self.most:
+            self.clear()
+        new = list(set(flat) - self.at.keys())
+        if new:
+            self.at.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
+            self.branch([part_text(p) for p in new], [-1] * len(new), [()] * len(new))
+        node = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         counts = np.array([len(parts) for parts in group], np.int64)
         bounds = np.cumsum(counts)
         inner = np.arange(len(flat)) - np.repeat(bounds - counts, counts)
         doc = np.repeat(np.array([mix_int((k + self.seed * _GOLD) & MASK64) for k in keys], np.uint64), counts)
         with np.errstate(over="ignore"):
-            variant = (mix(doc + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(v)
-        slot = number * v + variant.astype(np.int64)
-        fresh, where = np.unique(slot[self.offset[slot] < 0], return_index=True)
-        if len(fresh):
-            missing = np.flatnonzero(self.offset[slot] < 0)[where]
-            got = self.segment([part_text(flat[k]) for k in missing], [int(variant[k]) for k in missing])
-            sizes = np.array([len(g) for g in got], np.int64)
-            self.offset[fresh] = self.end + np.cumsum(sizes) - sizes
-            self.length[fresh] = sizes
-            self.add(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
-        size = self.length[slot].astype(np.int64)
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.offset[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], bounds])]
-
-    def add(self, more: np.ndarray) -> None:
-        if self.end + len(more) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.end], more, np.zeros((self.end + len(more)) // 2 + 1024, np.int32)])
-        else:
-            self.ids[self.end : self.end + len(more)] = more
-        self.end += len(more)
+            occurrence = mix(doc + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        apart = np.fromiter((len(p) > LONG for p in map(self.part.__getitem__, node.tolist())), bool, len(flat))
+        if self.below:
+            self.follow(node, occurrence, apart)
+        size = np.where(apart, 0, self.ids.size[node]) if len(node) else np.empty(0, np.int64)
+        ids = self.ids.take(node[~apart])[0]
+        if apart.any():
+            which = np.flatnonzero(apart)
+            got = [self.agenda(self.part[node[k]], int(occurrence[k])) for k in which]
+            size[which] = [len(g) for g in got]
+            every, there = np.empty(int(size.sum()), np.int32), np.repeat(apart, size)
+            every[there], every[~there] = np.fromiter(chain.from_iterable(got), np.int32), ids
+            ids = every
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], bounds])]
+
+    def follow(self, node: np.ndarray, occurrence: np.ndarray, apart: np.ndarray) -> None:
+        """Move each occurrence from its part's first node to that of what it drops; those with too many candidates for a mask become ``apart``."""
+        key = self.with_occurrences(self.hashes.values[node], occurrence)
+        left = np.flatnonzero(~apart)
+        while len(left):
+            many = self.offers.size[node[left]] > 62
+            apart[left[many]] = True
+            left = left[~many & (self.offers.size[node[left]] > 0)]
+            if not len(left):
+                return
+            code, size = self.offers.take(node[left])
+            place, piece = code // self.size, code % self.size
+            with np.errstate(over="ignore"):
+                h = mix(np.repeat(key[left], size) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
+            starts = np.cumsum(size) - size
+            bit = np.arange(len(code)) - np.repeat(starts, size)
+            mask = np.add.reduceat(((h >> np.uint64(32)) < np.uint64(self.below)).astype(np.int64) << bit, starts)
+            left, mask = left[mask != 0], mask[mask != 0]
+            steps = list(zip(node[left].tolist(), mask.tolist()))
+            new = list(set(steps) - self.child.keys())
+            if new:
+                sets = []
+                for n, m in new:
+                    o = int(self.offers.offset[n])
+                    sets.append(self.dropped[n] + tuple(c for k, c in enumerate(self.offers.values[o : o + int(self.offers.size[n])].tolist()) if m >> k & 1))
+                self.child.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
+                self.branch([self.part[n] for n, _ in new], [n for n, _ in new], sets)
+            node[left] = list(map(self.child.__getitem__, steps))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def _shared(spark: SparkSession, model_file: str, dropout: float, seed: int, variants: int):
+def _shared(spark: SparkSession, model_file: str, dropout: float, seed: int):
     with open(model_file, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    return lambda: pieces_for(model.value, dropout, seed, variants)
+    return lambda: pieces_for(model.value, dropout, seed)
 
 
-def document_keys(column: pa.Array) -> list[int]:
-    return [-1 & MASK64 if k is None else k & MASK64 for k in column.to_pylist()]
+def document_keys(column: pa.Array, copies: pa.Array | None = None) -> list[int]:
+    keys = [-1 & MASK64 if k is None else k & MASK64 for k in column.to_pylist()]
+    return keys if copies is None else [(k + (c or 0) * 0xA0761D6478BD642F) & MASK64 for k, c in zip(keys, copies.to_pylist())]
 
 
-def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
-    """``docs`` with ``ids``, from its doc_id and text."""
-    get = _shared(docs.sparkSession, model_file, dropout, seed, variants)
+def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
+    """``docs`` with ``ids``, from its doc_id and text and, if there is one, the number ``copy`` of a repeated row."""
+    get = _shared(docs.sparkSession, model_file, dropout, seed)
     docs = docs.drop("ids")
     at = docs.columns.index("text"), docs.columns.index("doc_id")
+    copy = docs.columns.index("copy") if "copy" in docs.columns else None
 
     def run(batch: pa.RecordBatch):
         for some in slices(batch):
             texts = some.column(at[0]).to_pylist()
-            ids, offsets = get().encode(texts, document_keys(some.column(at[1])))
+            ids, offsets = get().encode(texts, document_keys(some.column(at[1]), None if copy is None else some.column(copy)))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in texts]))
             yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*some.schema.names, "ids"])
 
@@ -333,7 +392,7 @@ def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7
 
 def decode(encoded: DataFrame, model_file: str, into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids``."""
-    get = _shared(encoded.sparkSession, model_file, 0.0, 0, 1)
+    get = _shared(encoded.sparkSession, model_file, 0.0, 0)
     encoded = encoded.drop(into)
     at = encoded.columns.index("ids")
 
@@ -345,11 +404,11 @@ def decode(encoded: DataFrame, model_file: str, into: str = "decoded") -> DataFr
     return map_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and lossless of every row."""
     import hashlib
 
-    get = _shared(docs.sparkSession, model_file, dropout, seed, variants)
+    get = _shared(docs.sparkSession, model_file, dropout, seed)
 
     def run(batch: pa.RecordBatch):
         for some in slices(batch):
