@@ -1,6 +1,7 @@
 """The nearest-neighbour search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 from voltmesh.llm import posting_lists
 
 
@@ -22,15 +23,55 @@ def answer(spark, rows, **options):
 
 
 def test_recall_and_scores(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 6000").select("vec_id", "embedding").collect()
-    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
-    want, got = brute(rows), answer(spark, rows)
-    assert got.keys() == want.keys()
-    found = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
-    assert found >= 0.95
-    exact = {q: dict(v) for q, v in want.items()}
-    assert all(abs(exact[q][i] - s) < 1e-9 for q in got for i, s in got[q] if i in exact[q])
-    assert all(len(v) == 10 and [s for _, s in v] == sorted(s for _, s in v) for v in got.values())
+    """60,000 clustered vectors with the defaults: about 230 lists, of which a query may read a part only."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(1500, 24))
+    x = (centres[rng.integers(0, 1500, 60_000)] + 0.35 * rng.normal(size=(60_000, 24))).astype("float32").astype(float)
+    read = []
+    lists_of = posting_lists.lists_of
+
+    def counted(rows, shared, *options):
+        out = lists_of(rows, shared, *options)
+        read.append((out, len(shared.value.c)))
+        return out
+
+    posting_lists.lists_of = counted
+    try:
+        got = {}
+        for r in posting_lists.search(spark.createDataFrame(pa.table({"vec_id": np.arange(60_000), "embedding": list(x)}))).collect():
+            got.setdefault(r.query_id, {})[r.vec_id] = (r.score, r.rank)
+    finally:
+        posting_lists.lists_of = lists_of
+    (_, n_lists), (probes, _) = read
+    assert n_lists > 200 and probes.count() / 600 < 0.3 * n_lists
+    square = (x * x).sum(1)
+    found = 0
+    assert got.keys() == set(range(0, 60_000, 100))
+    for q, answers in got.items():
+        d = square - 2 * (x @ x[q])
+        d[q] = np.inf
+        found += len(set(np.argsort(d)[:10].tolist()) & answers.keys())
+        assert len(answers) == 10 and all(abs(s - np.sqrt(((x[i] - x[q]) ** 2).sum())) < 1e-9 for i, (s, _) in answers.items())
+        assert [s for s, _ in sorted(answers.values(), key=lambda v: v[1])] == sorted(s for s, _ in answers.values())
+    assert found / 6000 >= 0.9
+
+
+def test_repeated_ids_and_ties(spark):
+    # three rows of one id, one of them elsewhere: each is a query and a candidate
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [5.0, 5.0]), *[(i, [float(i), 0.0]) for i in range(1, 30)]]
+    got = sorted(tuple(r) for r in posting_lists.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    want = []
+    for q in range(3):
+        d = [(float(np.hypot(rows[i][1][0] - rows[q][1][0], rows[i][1][1] - rows[q][1][1])), rows[i][0]) for i in range(len(rows)) if i != q]
+        want += [(100, k + 1, i, s) for k, (s, i) in enumerate(sorted(d)[:10])]
+    assert got == sorted(want)
+    # 39 vectors as near as each other: ties go to the smaller ids
+    rng = np.random.default_rng(6)
+    corners = [[float(s * 3.0) if j == k else 0.0 for j in range(20)] for k in range(20) for s in (1, -1)][:39]
+    corners = [[*c, 1.0] for c in corners]
+    far = [(1000 + i, [float(v) for v in 50 + rng.normal(size=21)]) for i in range(1, 80)]
+    got = answer(spark, [(300, [0.0] * 20 + [1.0]), *zip(range(101, 140), corners), *far])
+    assert [i for i, _ in got[300]] == list(range(101, 111))
 
 
 def test_copies_ties_and_bad_rows(spark):

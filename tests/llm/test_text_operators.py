@@ -7,8 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voltmesh.llm import html_template, mixing, ngram_join, pii, piece_dropout, quality_classifier, quality_rules, queries, sharding, token_files
-from voltmesh.llm.common import WordHashes
+from voltmesh.llm import common, html_template, mixing, ngram_join, pii, piece_dropout, quality_classifier, quality_rules, queries, sharding, token_files
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -154,6 +153,16 @@ def test_token_files(spark, odd, tmp_path):
     for r in rows:
         assert r.start == at and (r.doc_id, r.ids_crc32, r.n_tokens) in want
         at += r.n_tokens
+    assert token_files.estimated_bytes(documents(spark)) > 0 and token_files.estimated_bytes(spark.createDataFrame(spark.sparkContext.range(3).map(lambda x: (x,)), "x long")) == 0
+    # file names go on past five digits
+    names = [f"x/part-{p:05d}-c9-c123-0a.b-c{c:03d}.txt" for p in (0, 1023, 1024, 99_999, 100_000, 100_001) for c in (0, 2, 999, 1000)]
+    listed = spark.createDataFrame([(n, k, 10 + i) for i, n in enumerate(names) for k in range(2)], "file string, position long, n_tokens long").repartition(3)
+    starts = {(r.file, r.position): r.start for r in token_files.with_starts(listed).collect()}
+    at = 0
+    for i, n in enumerate(names):
+        for k in range(2):
+            assert starts[n, k] == at
+            at += 10 + i
     token_files.write(docs.limit(0), path, file, files=3)
     assert token_files.digest(spark, path).count() == 0
 
@@ -269,16 +278,38 @@ def test_ngram_join_odd(spark, odd):
     rows = ngram_join.ngram_join(odd).collect()
     assert len(rows) == len(ODD) and {r.n_links for r in rows if r.doc_id == 5} == {1}
     assert len(ngram_join.one_of_each(odd).collect()) == len(ODD) - 1
+    none = spark.createDataFrame([(None, None, 1), (None, None, 2), (1, None, 3), (1, None, 4), (None, "five words of one text", 5), (None, "five words of one text", 6)], "doc_id long, text string, key int")
+    kept = ngram_join.one_of_each(none)
+    assert kept.columns == none.columns and sorted(r.key for r in kept.collect())[:4] == [1, 2, 3, 4] and kept.count() == 5
     assert ngram_join.ngram_join(odd.limit(0)).count() == 0
 
 
+def plain_targets(sizes, repeats=3):
+    """(source, size, target), by water filling over the sources in order."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode()))
+    weight = [1 + i % 3 for i in range(len(order))]
+    left, free, target = sum(n for _, n in order), set(range(len(order))), [0.0] * len(order)
+    while free:
+        shared = sum(weight[i] for i in free)
+        full = {i for i in free if left * weight[i] > repeats * order[i][1] * shared}
+        if not full:
+            for i in free:
+                target[i] = left * weight[i] / shared
+            break
+        for i in full:
+            target[i] = float(repeats * order[i][1])
+            left -= repeats * order[i][1]
+        free -= full
+    return [(s, n, target[i]) for i, (s, n) in enumerate(order)]
+
+
 def plain_mix(rows, repeats=3):
     """Targets and takes by a loop over shuffled documents."""
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     sums = {}
     for n, (_, _, s) in zip(size, rows):
         sums[s] = sums.get(s, 0) + n
-    goals = {s: (n, t) for s, n, t in mixing.targets(list(sums.items()), repeats)}
+    goals = {s: (n, t) for s, n, t in plain_targets(list(sums.items()), repeats)}
     out = []
     for s, (n, t) in goals.items():
         mine = sorted((hashlib.md5(f"{'null' if i is None else i}|{hashlib.md5((x or '').encode()).hexdigest()}".encode()).hexdigest(), k) for k, (i, x, src) in enumerate(rows) if src == s)
@@ -309,9 +340,22 @@ def test_mixing(spark):
         assert 0.4 < part < 0.65
 
 
+def test_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(id % 7))").alias("text"), F.expr("concat('s', id % 1100)").alias("source"))
+    rows = [tuple(r) for r in docs.collect()]
+    small = mixing.small
+    mixing.small = lambda df, n, most=100_000: df  # as with more sources than are broadcast
+    try:
+        got = mixing.mix(docs, block=4)[0].select("doc_id", "size", "source_size", "target", "taken").collect()
+    finally:
+        mixing.small = small
+    assert sorted(map(tuple, got)) == sorted(plain_mix(rows))
+
+
 def test_golden_points(spark):
-    rows = spark.range(100_000, 100_050).select("id", mixing.golden_point(F.col("id")).alias("p")).collect()
-    assert all(r.p == r.id * mixing.GOLDEN % mixing.PERIOD for r in rows)
+    for start in (100_000, 2**43 + 17):
+        rows = spark.range(start, start + 50).select("id", mixing.golden_point(F.col("id")).alias("p")).collect()
+        assert all(r.p == r.id * mixing.GOLDEN % mixing.PERIOD for r in rows)
 
 
 def test_sharding(spark, odd, tmp_path):
@@ -380,7 +424,15 @@ def test_html_template_inside_main(spark):
         assert rows[100 + i] == "Head 7 The site moves on Monday. Read this text 7."
 
 
-def test_word_hashes_bounded():
-    h = WordHashes(10)
-    a = h([b"w%d" % i for i in range(50)])
-    assert len(set(a.tolist())) == 50 and (h([b"w%d" % i for i in range(50)]) == a).all()
+def test_word_hashes():
+    texts = [b"one two  one\n", None, b"", b" \t ", b"x" * 300_000 + b" one " + b"y" * common.AT_ONCE + b"z two", "é one".encode()]
+    got = [h.tolist() for h in common.word_hashes(texts)]
+    number = {}
+    for t, h in zip(texts, got):
+        ws = (t or b"").split()
+        assert len(ws) == len(h) and all(number.setdefault(w, x) == x for w, x in zip(ws, h))
+    assert len(set(number.values())) == len(number)
+    (a, b) = common.word_hashes([b"Big Words", b"big words"], fold=True)
+    assert (a == b).all()
+    (t,) = common.word_hashes([b"well!! said\n\nso,"], common.TOKENS)
+    assert len(t) == 6

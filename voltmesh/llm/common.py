@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset, one under the warehouse, in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return shared.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a folder under the warehouse is used.
-    """
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` named, on whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -60,6 +77,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -82,33 +100,108 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+#: A random number for each byte, and the same with ASCII letters in one case.
+_LETTER = np.random.default_rng(20240301).integers(0, 2**64, 256, np.uint64)
+_FOLDED = _LETTER.copy()
+_FOLDED[65:91] = _LETTER[97:123]
+#: Kinds of bytes; runs of one kind are hashed, those of kind 0 lie between. TOKENS parts ASCII punctuation and line feeds from words.
+WORDS = np.ones(256, np.uint8)
+WORDS[[9, 10, 11, 12, 13, 32]] = 0
+TOKENS = WORDS.copy()
+TOKENS[[i for i in range(33, 127) if not chr(i).isalnum()]] = 2
+TOKENS[10] = 3
+_BASE = 0x9E6C63D0876A9A47 | 1
+AT_ONCE = 1 << 17
 
-    def __init__(self, most: int = 150_000):
-        self.most, self.known = most, {}
 
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        crc, adler = zlib.crc32, zlib.adler32
-        for w in ws:
-            if w not in known:
-                known[w] = mix_int((crc(w) << 32) | (crc(w[::-1], 0x9E3779B9) ^ adler(w)))
-        return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse modulo 2 ** 64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.append(np.uint64(1), np.full(2 * AT_ONCE + 1, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-_KEPT = WordHashes()
+def _runs(data: np.ndarray, kinds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial sum of the runs of bytes of one kind other than 0."""
+    up, down = _powers()
+    kind = kinds[data]
+    edges = np.append(np.flatnonzero(np.diff(kind, prepend=kind[:1] + 1)), len(data))
+    inside = kind[edges[:-1]] > 0
+    starts, ends = edges[:-1][inside], edges[1:][inside]
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum(letters[data] * up[: len(data)]))
+        return starts, ends, (sums[ends] - sums[starts]) * down[starts]
 
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    """The worker's word hashes, kept from task to task."""
-    return _KEPT(ws)
+def _finished(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _long_text(text: bytes, kinds: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The hashes of one text, AT_ONCE bytes at a time; a word that may go on in the next bytes is carried over."""
+    out, carried, length = [], 0, 0
+    for i in range(0, len(text), AT_ONCE):
+        data = np.frombuffer(text, np.uint8, min(AT_ONCE, len(text) - i), i)
+        starts, ends, sums = _runs(data, kinds, letters)
+        sizes = ends - starts
+        if length and kinds[data[0]] == kinds[text[i - 1]]:
+            sums[0] = (carried + int(sums[0]) * pow(_BASE, length, 1 << 64)) & MASK64
+            sizes[0] += length
+        elif length:
+            sums, sizes, ends = np.append(np.uint64(carried), sums), np.append(length, sizes), np.append(0, ends)
+        carried, length = 0, 0
+        if len(ends) and ends[-1] == len(data):
+            carried, length = int(sums[-1]), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        out.append(_finished(sums, sizes))
+    if length:
+        out.append(_finished(np.array([carried], np.uint64), np.array([length])))
+    return np.concatenate(out)
+
+
+def word_hashes(texts: Iterable[bytes | None], kinds: np.ndarray = WORDS, fold: bool = False) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words (or TOKENS), in order; ``fold``: ASCII letters in one case.
+
+    A word's hash is a polynomial over its bytes, from running sums of about AT_ONCE bytes, so no word is remembered and memory
+    depends on neither the corpus nor a text's length.
+    """
+    letters = _FOLDED if fold else _LETTER
+    group: list[bytes] = []
+
+    def together() -> Iterator[np.ndarray]:
+        size = np.cumsum([len(t) + 1 for t in group])
+        starts, ends, sums = _runs(np.frombuffer(b" ".join([*group, b""]), np.uint8), kinds, letters)
+        yield from np.split(_finished(sums, ends - starts), np.searchsorted(starts, size[:-1]))
+
+    held = 0
+    for t in texts:
+        if t is not None and len(t) > AT_ONCE:
+            if group:
+                yield from together()
+                group, held = [], 0
+            yield _long_text(t, kinds, letters)
+            continue
+        group.append(t or b"")
+        held += len(group[-1]) + 1
+        if held >= AT_ONCE:
+            yield from together()
+            group, held = [], 0
+    if group:
+        yield from together()
+
+
+def values_of(column: pa.Array) -> Iterator:
+    """The values of a column, one at a time."""
+    return (v.as_py() for v in column)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def mix_int(x: int) -> int:

@@ -5,29 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def join_least(edges: DataFrame, most_edges: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least of u and its neighbours.
+
+    The edges of a node with over ``most_edges`` of them are dealt over several tasks by a hash of v, and its row of the
+    least neighbours stands once for each; there are at most edges / ``most_edges`` such nodes.
+    """
+    least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    hot = least.where(F.col("n") > most_edges).select("u", F.ceil(F.col("n") / most_edges).cast("int").alias("salts"))
+    n_hot = hot.count()
+    if not n_hot:
+        return edges.join(least.select("u", "m"), "u")
+    dealt = edges.join(small(hot, n_hot), "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    salts = F.when(F.col("n") > most_edges, F.sequence(F.lit(0), F.ceil(F.col("n") / most_edges).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 100, most_edges: int = 1000) -> DataFrame:
     """node and component (its least node) of every node in ``edges`` (a, b: long, a <> b).
 
-    Each step needs the least neighbour only, an aggregate that combines before its shuffle, and a
-    join, which Spark splits where a node has very many edges. Rounds grow with the logarithm of the longest chain.
+    Each step needs the least neighbour only, an aggregate that combines before its shuffle, and a join that is salted
+    where a node has very many edges. Rounds grow with the logarithm of the longest chain; should ``most_rounds``
+    not do, an error is raised.
     """
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        joined = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(lower, "u")
-        small = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(joined.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        now = cut(small)
+        large = join_least(both, most_edges).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        joined = join_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), most_edges)
+        linked = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(joined.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
+        now = cut(linked)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("b")).first()
         # a star forest has each node below one centre only, and doesn't change
         if state[0] == state[2] and state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     centres = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(centres)

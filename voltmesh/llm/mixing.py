@@ -5,15 +5,15 @@ source's target stops at ``repeats`` times its size and the excess is shared ane
 
 Each source's documents are laid end to end in a shuffled order (by MD5 of id and text) and
 cut into blocks of ``block`` words. Slot i of the schedule lies at the golden-ratio point frac(i / phi), computed in whole numbers
-modulo 2**32; the slot belongs to the source whose interval of cumulative slot weights holds the
+modulo 2**48; the slot belongs to the source whose interval of cumulative slot weights holds the
 point. The k-th slot of a source (ranked by i) takes its block k, starting over after the last block, until its
 target is met; its last slot takes the part of a block that is missing. Three times as many points as
 slots are needed leave no interval of one slot empty (the gaps of the sequence are below 0.65 of it), so
-every target is met exactly, rounded down to words.
+every target is met exactly, rounded down to words. That holds up to 2**44 slots, 2**54 words of the default block.
 
-Positions and ranks are running sums in two steps: sums of fixed-size buckets, then rows
-inside a bucket, so no task holds a whole source. Only the table of sources is gathered (at most ``most_sources``
-rows; the water filling is a loop over it).
+Positions, ranks and numbers of sources are running sums in two steps: sums of fixed-size buckets or of parts, then rows
+inside one, so no task holds a whole source. The water filling is a loop of aggregates over the table of sources, one for each time that
+its level rises; that table, one row a source, is broadcast only if its counted rows are few.
 
 Defined cases: null and empty texts have size 0 and take 0; null ids and repeated rows are rows of their own (equal rows lie in any
 order, with equal results up to their exchange); an empty table gives an empty result; a corpus without
@@ -25,35 +25,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, small
 
-GOLDEN = 2654435769  # floor(2**32 / golden ratio)
-PERIOD = 1 << 32
+GOLDEN = 173961102589771  # 2**48 / golden ratio, to the next odd number
+PERIOD = 1 << 48
+LIMB = 15
 
 
-def targets(sizes: list[tuple[str | None, int]], repeats: int = 3) -> list[tuple[str | None, int, float]]:
-    """(source, size, target), by water filling over the sources in order, in whole numbers up to the last division."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-8", "surrogatepass")))
-    weight = [1 + i % 3 for i in range(len(order))]
-    left, free, target = sum(n for _, n in order), set(range(len(order))), [0.0] * len(order)
-    while free:
-        shared = sum(weight[i] for i in free)
-        full = {i for i in free if left * weight[i] > repeats * order[i][1] * shared}
-        if not full:
-            for i in free:
-                target[i] = left * weight[i] / shared
+def running(rows: DataFrame, order: list, value: F.Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before, by range-partitioned order: within a part, and over the parts' sums."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_value", value).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sums = sorted(tuple(r) for r in placed.groupBy(part).agg(F.sum("_value")).collect())  # a row for each part
+    ends, total = [], 0
+    for p, n in sums:
+        ends.append((p, total))
+        total += n
+    before = rows.sparkSession.createDataFrame(ends, "_part long, _before long")
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_part", part).withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_value", "_at", "_part", "_before")
+
+
+def targets(sizes: DataFrame, repeats: int = 3) -> DataFrame:
+    """``sizes`` (source, n) with number, weight and target, by water filling over the sources in code-point order, null last.
+
+    Each round shares the words that full sources leave by the weights of the others; a source is full if its share is over
+    ``repeats`` times its size. The share a unit of weight only grows, so rounds end when no source becomes full.
+    """
+    numbered = running(sizes, [F.col("source").isNull(), F.col("source")], F.lit(1), "number")
+    s = cut(numbered.withColumn("weight", F.col("number") % 3 + 1))
+    first = s.agg(F.sum("n"), F.sum("weight")).first()
+    left, shared, n_full = first[0] or 0, first[1] or 1, -1
+    total = left
+    wide = lambda x, digits: x.cast(f"decimal({digits},0)")
+    while True:
+        full = wide(F.lit(left), 19) * wide(F.col("weight"), 2) > wide(repeats * F.col("n"), 19) * wide(F.lit(shared), 18)
+        row = s.agg(F.count_if(full), F.sum(F.when(full, repeats * F.col("n")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        if row[0] == n_full or not row[0] or not row[2]:
             break
-        for i in full:
-            target[i] = float(repeats * order[i][1])
-            left -= repeats * order[i][1]
-        free -= full
-    return [(s, n, target[i]) for i, (s, n) in enumerate(order)]
+        n_full, left, shared = row[0], total - row[1], row[2]
+    return s.withColumn("target", F.when(full, (repeats * F.col("n")).cast("double")).otherwise((F.lit(left) * F.col("weight")).cast("double") / F.lit(float(shared))))
 
 
 def golden_point(i: F.Column) -> F.Column:
-    """floor(2**32 * frac(i / phi)) without overflow for i below 2**47."""
-    high, low = F.floor(i / 65536).cast("long"), i % 65536
-    return ((high * GOLDEN) % PERIOD * 65536 + low * GOLDEN) % PERIOD
+    """floor(2**48 * frac(i / phi)) for i below 2**60: products of GOLDEN and 15 bits of i at a time don't overflow."""
+    point = F.lit(0)
+    for k in range(4):
+        limb = F.shiftright(i, LIMB * k).bitwiseAND((1 << LIMB) - 1)
+        kept = max(48 - LIMB * k, 0)  # higher bits leave the period when moved up
+        point = point + F.shiftleft((limb * GOLDEN).bitwiseAND((1 << kept) - 1), LIMB * k)
+    return point.bitwiseAND(PERIOD - 1)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -79,13 +100,14 @@ def laid_out(rows: DataFrame, buckets: int) -> DataFrame:
     return local.join(before, ["number", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "bucket")
 
 
-def schedule(plan: DataFrame, slots: int, chunk: int = 4096, cells: int = 4096) -> DataFrame:
+def schedule(plan: DataFrame, sources: int, slots: int, chunk: int = 4096) -> DataFrame:
     """Slots that take words: slot, source number, block and words. ``plan`` has a row for each source, with low and high points."""
-    cell = lambda x: F.floor(x * cells / PERIOD)
+    cells = max(4096, 1 << (sources - 1).bit_length()) if sources else 4096
+    cell = lambda x: F.floor(x / (PERIOD // cells))
     points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", cell(F.col("point")))
-    # a source lies in as many cells as its interval covers: the gathered plan's rows and `cells` more at most
+    # a source lies in as many cells as its interval covers: together the sources and `cells` more at most
     spread = plan.where("high > low").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
-    owned = points.join(F.broadcast(spread), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    owned = points.join(small(spread, sources + cells), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     owned = owned.withColumn("chunk", F.floor(F.col("slot") / chunk))
     counts = owned.groupBy("number", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("number").orderBy("chunk")) - F.col("n")).drop("n")
@@ -97,30 +119,28 @@ def schedule(plan: DataFrame, slots: int, chunk: int = 4096, cells: int = 4096)
     return ranked.select("slot", "number", at.alias("at"), F.least(length, F.col("goal") - done).cast("long").alias("words"), length.alias("length")).where("words > 0")
 
 
-def mix(docs: DataFrame, block: int = 1024, repeats: int = 3, buckets: int | None = None, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 1024, repeats: int = 3, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, source_size, target, taken) of every document, and the schedule (slot, source, block number, words)."""
-    return mix_rows(sized(docs), block, repeats, buckets, most_sources)
+    return mix_rows(sized(docs), block, repeats, buckets)
 
 
-def mix_rows(rows: DataFrame, block: int, repeats: int, buckets: int | None, most_sources: int) -> tuple[DataFrame, DataFrame]:
+def mix_rows(rows: DataFrame, block: int, repeats: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     """``mix`` of the rows of ``sized``; the first result has their ``_id`` too."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(most_sources + 1).collect()
-    if len(sums) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    buckets = buckets or max(64, sum(r.docs for r in sums) // 20_000)
-    goals = targets([(r.source, r.n) for r in sums], repeats)
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    goals = targets(sums, repeats).withColumn("goal", F.floor("target").cast("long"))
     # whole turns over the source's blocks, then those of the rest
-    needed = [(int(t) // n) * -(-n // block) + -(-(int(t) % n) // block) if n else 0 for _, n, t in goals]
-    total, seen, low, plan = max(sum(needed), 1), 0, 0, []
-    for i, ((source, n, target), slots) in enumerate(zip(goals, needed)):
-        seen += slots
-        high = seen * PERIOD // total
-        plan.append((i, source, n, target, int(target), block, max(1, -(-n // block)), low, high))
-        low = high
-    plan_df = rows.sparkSession.createDataFrame(plan, "number int, source string, source_size long, target double, goal long, block long, blocks long, low long, high long")
-    slots = schedule(plan_df, 3 * sum(needed) + 64)
+    n, goal = F.col("n"), F.col("goal")
+    blocks = lambda words: F.floor((words + (block - 1)) / block)
+    goals = goals.withColumn("slots", F.when(n > 0, F.floor(goal / n) * blocks(n) + blocks(goal % n)).otherwise(0).cast("long"))
+    goals = running(goals, [F.col("number")], F.col("slots"), "seen")
+    counted = goals.agg(F.count("*"), F.sum("slots"), F.sum("docs")).first()
+    sources, needed, total = counted[0], counted[1] or 0, counted[2] or 0
+    buckets = buckets or max(64, total // 20_000)
+    at = lambda seen: F.expr(f"cast(cast({seen} as decimal(18,0)) * cast({PERIOD} as decimal(18,0)) div {max(needed, 1)} as long)")
+    plan_df = cut(goals.select(F.col("number").cast("int").alias("number"), "source", n.alias("source_size"), "target", "goal", F.lit(block).cast("long").alias("block"), F.greatest(F.lit(1), blocks(n)).cast("long").alias("blocks"), at("seen").alias("low"), at("(seen + slots)").alias("high")))
+    slots = schedule(plan_df, sources, 3 * needed + 64)
     per_block = slots.groupBy("number", "at").agg(F.count_if(F.col("words") == F.col("length")).alias("whole"), F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("part"))
-    named = F.broadcast(plan_df.select("number", F.col("source").alias("_s"), "source_size", "target", "block"))  # at most most_sources rows
+    named = small(plan_df.select("number", F.col("source").alias("_s"), "source_size", "target", "block"), sources)
     placed = laid_out(rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), buckets)
     end = F.col("start") + F.col("size")
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block"))
@@ -137,10 +157,12 @@ def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> Dat
     """``docs`` as the mix takes them: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
 
     A document of which a part is taken in its last turn stands once more if its source's words stay nearest the
-    target so: the cut of that turn falls in at least half of it. Documents without words stand once.
+    target so: the cut of that turn falls in at least half of it. Documents without words stand once. A column ``copy`` of
+    ``docs`` is replaced.
     """
-    width = docs.columns
-    held = cut(docs.withColumn("_row", F.struct(*width)).withColumn("_id", F.monotonically_increasing_id()).select("_id", "_row"))
+    name = free_name(docs, "copy_number")
+    held = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id")))
     rows = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size_of("_row.text").alias("size"), place_of("_row.doc_id", "_row.text").alias("place"), "_id")
-    counts = mix_rows(cut(rows), block, repeats, None, 100_000)[0].select("_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
-    return held.join(counts, "_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("_row.*", "copy")
+    counts = mix_rows(cut(rows), block, repeats, None)[0].select("_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
+    out = held.join(counts, "_id").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("_row.*", name)
+    return out.drop("copy").withColumnRenamed(name, "copy")

@@ -30,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_batches, map_groups, mix, word_hashes, words
+from .common import cut, free_name, map_batches, map_groups, mix, values_of, word_hashes
 from .components import connected_components
 
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
 
 
-def shingles(text: bytes | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    h = hashes(words(text))
+def shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
+    """The distinct shingles of a text, given the hashes of its words, as sorted 64-bit hashes."""
     if not len(h):
         return h
     with np.errstate(over="ignore"):
@@ -131,8 +130,8 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     """row, doc_id, key, set (fingerprint of the shingle set) and signature."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, signatures = [], []
-        for t in batch.column(3).to_pylist():
-            s = shingles(t, word_hashes, n)
+        for h in word_hashes(values_of(batch.column(3))):
+            s = shingles(h, n)
             if len(s):
                 with np.errstate(over="ignore"):
                     sets.append(s.sum(dtype=np.uint64).tobytes() + mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little"))
@@ -192,7 +191,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toler
     # rows equal in id and text give one another's shingles
     sets = docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("t")).join(wanted, "key").dropDuplicates(["key", "rep"]).select("rep", "t", "component")
     def with_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, word_hashes, n) for t in batch.column(1).to_pylist()]
+        found = [shingles(h, n) for h in word_hashes(values_of(batch.column(1)))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([minhash(s).tobytes() for s in found], pa.binary())], names=["rep", "component", "shingles", "signature"])
 
     shingled = cut(map_batches(sets, with_shingles, "rep long, component long, shingles binary, signature binary").join(classes.select("rep", "copies"), "rep"))
@@ -259,6 +258,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
-    """``docs`` with one row of each class: its least doc_id."""
-    kept = similar_documents(docs, threshold, n, tolerance, block).where(F.col("row") == F.col("class_row")).select(F.col("key").alias("_key"))
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """``docs`` with one row of each class, its least doc_id; rows without words are alone in their class and all stay."""
+    kept = similar_documents(docs, threshold, n, tolerance, block).where(F.col("row") == F.col("class_row")).select("key")
+    name = free_name(docs, "key")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # rows equal in id and text are copies, so one of them stays
+    worded = docs.where(has_words).withColumn(name, row_key()).join(kept.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name]).drop(name)
+    return worded.unionByName(docs.where(~has_words))

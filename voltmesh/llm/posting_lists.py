@@ -7,16 +7,17 @@ distance (at most ``copies`` lists, nearest first; what is left out stays in its
 Centroids are searched by a beam over an in-memory graph of their neighbours. A query reads the lists within ``prune`` times
 its nearest centroid's distance, at least ``least_lists`` of them.
 
-Equal vectors are one entry with their ``k + 1`` smallest ids: more can't be among the k nearest, as ties go
+Equal vectors are one entry with their ``k + 1`` least rows by id: more can't be among the k nearest, as ties go
 to the smaller id and a query leaves out itself at most. So a vector that a third of all rows share is one entry, and one
 query. Lists are cut into chunks by a hash, sized by their counted entries, and each chunk's distances are computed as one
-block; only the best entries of a block leave it.
+block; only the best entries of a block leave it, with all that lie as near as the last of them told apart by exact distance and id.
 
-The centroids, with their graph, are broadcast: at most ``most_lists`` of them.
+The centroids, with their graph, are broadcast: at most ``most_lists`` of them. The fitted sample grows with the lists, up to
+``most_sample`` rows.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite values take no
-part; so do null ids; repeated ids are rows of their own; fewer than k candidates are all returned; no vectors give an empty result; extra columns
-are ignored.
+part; so do null ids; rows with one id are rows of their own: each is a candidate, and each is a query with ranks of its
+own; fewer than k candidates are all returned; no vectors give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +34,19 @@ VECTOR = "array<double>"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+    """vec_id, row (a number of its own) and vector (doubles) of the rows that take part."""
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(VECTOR).alias("vector")).where("vec_id is not null and vector is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(vector_col).cast(VECTOR).alias("vector")).where("vec_id is not null and vector is not null")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(fine)
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
-    """entry, vector and ids (the k + 1 smallest, ascending) of each distinct vector."""
-    ranked = rows.withColumn("key", F.xxhash64("vector")).withColumn("n", F.row_number().over(Window.partitionBy("key", "vector").orderBy("vec_id")))
+    """entry (its least row by id), vector, least (that row's id) and ids (vec_id and row of the k + 1 least, ascending) of each distinct vector."""
+    ranked = rows.withColumn("key", F.xxhash64("vector")).withColumn("n", F.row_number().over(Window.partitionBy("key", "vector").orderBy("vec_id", "row")))
     few = ranked.where(F.col("n") <= k + 1)
-    return few.groupBy("key", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("entry"), "vector", "ids")
+    found = few.groupBy("key", "vector").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
+    return found.select(F.element_at("ids", 1)["row"].alias("entry"), "vector", F.element_at("ids", 1)["vec_id"].alias("least"), "ids")
 
 
 def balanced_centroids(x: np.ndarray, share: int, seed: int = 3) -> np.ndarray:
@@ -139,7 +141,21 @@ def lists_of(rows: DataFrame, shared, ratio: float, most: int, least: int, beam:
     return map_batches(rows, run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", list int")
 
 
-def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int = 20_000, per_list: int = 256, most_lists: int = 16_384, copies: int = 4, replicate: float = 1.15, prune: float = 1.5, least_lists: int = 8, most_probed: int = 64, chunk: int = 2048) -> DataFrame:
+def nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` rows of ``x`` nearest to ``q``, by exact distance and id, and those distances."""
+    rough = (x * x).sum(1) - 2 * (x @ q)
+    if len(x) > most:
+        # all that may be as near as the last one, up to what rounding may hide
+        last = np.partition(rough, most - 1)[most - 1]
+        near = np.flatnonzero(rough <= last + 1e-9 * (float(q @ q) + float((x * x).sum(1).max())))
+    else:
+        near = np.arange(len(x))
+    exact = np.sqrt(((x[near] - q) ** 2).sum(1))
+    order = np.lexsort((ids[near], exact))[:most]
+    return near[order], exact[order]
+
+
+def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int = 20_000, most_sample: int = 200_000, per_list: int = 256, most_lists: int = 16_384, copies: int = 4, replicate: float = 1.15, prune: float = 1.5, least_lists: int = 8, most_probed: int = 64, chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's k nearest found."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -148,47 +164,39 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
         return empty
-    held = cut(entries(rows.where(F.size("vector") == lengths[0].n), k))
-    drawn = least_by(held, F.xxhash64("vector"), sample, "entry").select("vector").toPandas()
+    rows = cut(rows.where(F.size("vector") == lengths[0].n))
+    held = cut(entries(rows, k))
     n = held.count()
     lists = int(min(most_lists, max(1, n // per_list)))
-    x = np.array(drawn["vector"].tolist())
+    drawn = least_by(held, F.xxhash64("vector"), min(most_sample, max(sample, 12 * lists)), "least", "entry").select("vector").toArrow()
+    x = np.concatenate([matrix(part) for part in drawn["vector"].chunks]) if drawn.num_rows else np.empty((0, lengths[0].n))
     shared = spark.sparkContext.broadcast(Centroids(balanced_centroids(x, max(2, len(x) // lists))))
-    posted = lists_of(held.select("entry", "vector", "ids"), shared, replicate, copies, 1, 16)
+    posted = lists_of(held.select("entry", "vector", "least", "ids"), shared, replicate, copies, 1, 16)
     posted = cut(posted.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(1 << 30))))
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))  # most_lists rows at most
-    queries = rows.where(F.pmod(F.col("vec_id"), F.lit(query_every)) == 0).where(F.size("vector") == lengths[0].n)
-    asked = queries.groupBy("vector").agg(F.min("vec_id").alias("entry"))
+    queries = rows.where(F.pmod(F.col("vec_id"), F.lit(query_every)) == 0)
+    asked = queries.groupBy("vector").agg(F.min("row").alias("entry"))
     probes = lists_of(asked.select("entry", "vector"), shared, prune, most_probed, least_lists, most_probed)
     probes = probes.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posted = posted.join(F.broadcast(parts), "list").withColumn("part", (F.col("part") % F.col("parts")).cast("int"))
 
     def nearest(asked_rows: pd.DataFrame, list_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked_rows) or not len(list_rows):
-            return pd.DataFrame({"query": [], "entry": [], "ids": [], "score": []})
-        x, ids, entry = np.array(list_rows["vector"].tolist()), list_rows["ids"].to_numpy(), list_rows["entry"].to_numpy()
-        square = (x * x).sum(1)
+            return pd.DataFrame({"query": [], "entry": [], "least": [], "ids": [], "score": []})
+        x, ids, entry, least = np.array(list_rows["vector"].tolist()), list_rows["ids"].to_numpy(), list_rows["entry"].to_numpy(), list_rows["least"].to_numpy()
         out = []
-        for i in range(0, len(asked_rows), 256):
-            some = asked_rows.iloc[i : i + 256]
-            q = np.array(some["vector"].tolist())
-            d = square[None, :] - 2 * q @ x.T
-            width = min(2 * k + 2, len(x))
-            close = np.argpartition(d, width - 1, 1)[:, :width]
-            exact = np.sqrt(((x[close] - q[:, None, :]) ** 2).sum(2))
-            for j, query in enumerate(some["entry"]):
-                order = np.lexsort((entry[close[j]], exact[j]))[: k + 1]
-                for at in order:
-                    out.append((query, entry[close[j][at]], ids[close[j][at]], exact[j][at]))
-        return pd.DataFrame(out, columns=["query", "entry", "ids", "score"])
-
-    blocks = probes.select("list", "part", "entry", "vector").groupBy("list", "part").cogroup(posted.select("list", "part", "entry", "vector", "ids").groupBy("list", "part"))
-    found = blocks.applyInPandas(nearest, "query long, entry long, ids array<long>, score double")
-    once = found.groupBy("query", "entry").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
-    best = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))).where(F.col("n") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    # every query with that vector, itself left out; equal vectors' queries share the found entries
-    per_query = queries.join(asked.withColumnRenamed("entry", "query"), "vector").select("query", F.col("vec_id").alias("query_id"))
-    ids = best.join(per_query, "query").where("vec_id <> query_id")
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+        for query, vector in zip(asked_rows["entry"], asked_rows["vector"]):
+            near, exact = nearest_of(x, least, np.asarray(vector), k + 1)
+            out += [(query, entry[at], least[at], ids[at], score) for at, score in zip(near, exact)]
+        return pd.DataFrame(out, columns=["query", "entry", "least", "ids", "score"])
+
+    blocks = probes.select("list", "part", "entry", "vector").groupBy("list", "part").cogroup(posted.select("list", "part", "entry", "vector", "least", "ids").groupBy("list", "part"))
+    found = blocks.applyInPandas(nearest, "query long, entry long, least long, ids array<struct<vec_id:long,row:long>>, score double")
+    once = found.groupBy("query", "entry").agg(F.min("score").alias("score"), F.min("least").alias("least"), F.first("ids").alias("ids"))
+    best = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "least", "entry"))).where(F.col("n") <= k + 1).select("query", "score", F.inline("ids"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))).where(F.col("n") <= k + 1).drop("n")
+    # every query row with that vector, itself left out; equal vectors' queries share the found entries
+    per_query = queries.select(F.col("vec_id").alias("query_id"), F.col("row").alias("asker"), "vector").join(asked.withColumnRenamed("entry", "query"), "vector").drop("vector")
+    ids = best.join(per_query, "query").where("row <> asker")
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("score", "vec_id", "row"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

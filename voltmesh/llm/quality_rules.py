@@ -21,24 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, least_by, map_batches, mix, word_hashes, words
+from .common import cut, least_by, map_batches, mix, values_of, word_hashes
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 BINS = 1000
 _SYMBOLS = b"#*$%&|<>"
 _KEEP_SYMBOLS = bytes(sorted(set(range(256)) - set(_SYMBOLS)))
-_CONTINUATION = bytes(range(0x80, 0xC0))
+_SPACES = b" \t\n\v\f\r"
+_UNCOUNTED = _SPACES + bytes(range(0x80, 0xC0))  # and all bytes of a character but its first
 
 
-def statistics_of(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
-    """The rule statistics of one text, in the order of STATS."""
-    ws = words(text)
-    if not ws:
-        return (0, 0, len(text.translate(None, _KEEP_SYMBOLS)) if text else 0, 0, 0, 0)
-    lines = [x for x in text.split(b"\n") if x.split()] if b"\n" in text else [text]
+def statistics_of(text: bytes | None, h: np.ndarray) -> tuple[int, ...]:
+    """The rule statistics of one text, given the hashes of its words, in the order of STATS."""
+    symbols = len(text.translate(None, _KEEP_SYMBOLS)) if text else 0
+    if not len(h):
+        return (0, 0, symbols, 0, 0, 0)
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()] if b"\n" in text else [text]
     repeated = 0
-    if len(ws) > 3:
-        h = hashes(ws)
+    if len(h) > 3:
         with np.errstate(over="ignore"):
             grams = mix(h[:-2] * np.uint64(3) + mix(h[1:-1]) * np.uint64(5) + mix(h[2:] + np.uint64(7)))
         order = np.argsort(grams, kind="stable")
@@ -47,21 +47,20 @@ def statistics_of(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
             found = np.zeros(len(grams), bool)
             found[order[1:][same]] = True
             found[order[:-1][same]] = True
-            covered = np.zeros(len(ws), bool)
+            covered = np.zeros(len(h), bool)
             covered[:-2] |= found
             covered[1:-1] |= found
             covered[2:] |= found
             repeated = int(covered.sum())
-    chars = sum(map(len, ws))
-    if not text.isascii():
-        chars -= len(text) - len(text.translate(None, _CONTINUATION))
-    return (len(ws), chars, len(text.translate(None, _KEEP_SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines))
+    chars = len(text.translate(None, _SPACES if text.isascii() else _UNCOUNTED))
+    return (len(h), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines))
 
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and STATS of every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [statistics_of(t, word_hashes) for t in batch.column(1).to_pylist()]
+        texts = batch.column(1)
+        rows = [statistics_of(t, h) for t, h in zip(values_of(texts), word_hashes(values_of(texts)))]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", *STATS])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))

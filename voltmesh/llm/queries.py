@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, sharding, token_files
-from .common import table
+from .common import new_folder, table
 
-#: Where the public vocabulary files are; a parameter of the operators that need one.
-TOKENIZERS = os.environ.get("VOLTMESH_TOKENIZERS", "/opt/tokenizers")
 SHARD_BYTES = 1 << 20
 
 
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Where a public vocabulary file is; the operators get it as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +30,7 @@ def op3_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.shared_path(spark, "token-files")
+    path = new_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.digest(spark, path)
 

@@ -1,7 +1,7 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
 Every text is encoded by a public tokenizer of the ``tokenizers`` library and followed by an end id. Documents are
-range-partitioned by id, text and row number, so that a frequent id is spread over tasks, and sorted, so the files, in name order, hold all ids in ascending doc_id order. Spark's own
+range-partitioned by id, text and row number, so that a frequent id is spread over tasks, and sorted, so the files, in the order of the numbers in their names, hold all ids in ascending doc_id order. Spark's own
 text writer stores the records (a record's bytes and a line feed), so files land on whatever store the path names and
 under Spark's commit protocol; ``binaryFile`` reads them.
 
@@ -29,7 +29,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -265,14 +264,20 @@ def runs(ids: list[np.ndarray], most: int):
             first, size = k + 1, 0
 
 
-def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, files: int | None = None, percentile: float = 0.95, file_blocks: int = 3072) -> None:
+def estimated_bytes(docs: DataFrame) -> int:
+    """The bytes that Spark expects ``docs`` to have, from the sizes of its files; 0 where it doesn't know (it then says 2 ** 63)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, files: int | None = None, percentile: float = 0.95, file_blocks: int = 3072, range_bytes: int = 512 << 20) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ``path``.
 
-    ``files``: how many ranges; by default the session's shuffle partitions. A range goes on in a new file at the first
-    document that ends after ``file_blocks`` blocks.
+    ``files``: how many ranges; by default one for each ``range_bytes`` of Spark's estimate of the input, at least the session's shuffle
+    partitions and at most 200,000. A range goes on in a new file at the first document that ends after ``file_blocks`` blocks.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(estimated_bytes(docs) // range_bytes, 200_000))
     records = file_blocks * 4 // 3 + 2  # Spark begins a new file after so many
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
@@ -400,13 +405,22 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "position", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = cut(map_batches(files_of(spark, path), lambda batch: map(summary, stored(batch)), "file string, position long, doc_id long, n_tokens long, ids_crc32 long"))
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = totals.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n")).select("file", "before")
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("position")) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def file_order(file: str) -> list[F.Column]:
+    """The range and the number in its range that a file's name tells, as numbers: names have five digits or more."""
+    return [F.regexp_extract(file, pattern, 1).cast("long") for pattern in (r"part-(\d+)-[^/]*$", r"-c(\d+)(?:\.[^/]*)?$")]
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, position, n_tokens and more) with ``start``: how many ids stand before, in the order of files."""
+    part, number = file_order("file")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"part": part, "number": number})  # a row for each file
+    totals = totals.withColumn("bucket", F.floor(F.col("part") / 1024))
+    inner = F.sum("n").over(Window.partitionBy("bucket").orderBy("part", "number")) - F.col("n")
+    buckets = totals.groupBy("bucket").agg(F.sum("n").alias("m"))  # a row for 1,024 ranges
+    earlier = buckets.withColumn("earlier", F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).select("bucket", "earlier")
+    before = totals.withColumn("inner", inner).join(F.broadcast(earlier), "bucket").select("file", (F.col("inner") + F.col("earlier")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("position")) - F.col("n_tokens")
+    return rows.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
