@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmesh.llm import mixing, ngram_join, pii, piece_dropout, quality_classifier, queries, token_files
-from voltmesh.llm.common import table
+from voltmesh.llm import mixing, ngram_join, pii, piece_dropout, quality_classifier, queries
+from voltmesh.llm.common import new_folder, remove_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = token_files.shared_path(spark, "pipeline")
+    base = new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
