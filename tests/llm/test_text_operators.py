@@ -65,8 +65,11 @@ def test_pii_terms(spark):
 
 
 def test_pii_copies_are_one_context(spark):
-    docs = spark.createDataFrame([(i, "rare thing bob@ex.org") for i in range(50)] + [(100 + i, f"t{i}") for i in range(50)], "doc_id long, text string")
-    assert pii.disclosing_terms(docs).count() == 0
+    others = [(100 + i, f"t{i}") for i in range(50)]
+    once = spark.createDataFrame([(0, "rare thing bob@ex.org"), *others], "doc_id long, text string")
+    often = spark.createDataFrame([*[(i, "rare thing bob@ex.org") for i in range(50)], *others], "doc_id long, text string")
+    assert sorted(map(tuple, pii.disclosing_terms(once).collect())) == sorted(map(tuple, pii.disclosing_terms(often).collect()))
+    assert {r.support for r in pii.disclosing_terms(often).collect()} == {1}
 
 
 def test_pii_rare_entities(spark):
@@ -81,7 +84,30 @@ def test_pii_rare_entities(spark):
 def test_pii_context_is_words_not_characters():
     text = " ".join([f"w{i}" + "x" * 60 for i in range(8)]) + " a@b.c " + "y" * 900 + " last"
     near = pii.context("far " + text, 4 + text.index("a@"), 4 + text.index("a@") + 5, 8)
-    assert near == [f"w{i}" + "x" * 60 for i in range(8)] + ["last"]
+    assert near == [f"w{i}" + "x" * 60 for i in range(8)] + ["y" * 900, "last"]
+
+
+def test_pii_copies_of_a_text_count_once(spark):
+    texts = ["ask Quillfeather about it", *[f"other text number {i}" for i in range(399)]]
+    docs = spark.createDataFrame([(0, "Quillfeather said mail amy@ex.org to us"), *enumerate(texts, 1)], "doc_id long, text string")
+    many = docs.unionByName(spark.createDataFrame([(1000 + i, texts[0]) for i in range(300)], "doc_id long, text string"))
+    shown = [{r.term: r.disclosure for r in pii.disclosing_terms(d, most=most).collect()} for d in (docs, many) for most in (100_000, 0)]
+    assert shown[0] == shown[1] == shown[2] == shown[3] and "quillfeather" in shown[0]
+    df, n = pii.document_frequency(many)
+    assert n == 401 and {r.term: round(r.df, 9) for r in df.collect()}["quillfeather"] == 2
+
+
+def test_pii_secrets(spark):
+    secret = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [(1, f'token = "{secret}" end', "s"), (2, "x" * 60 + " " + "12345678901234567890123456 " + "abcdefghijklmnopqrstuvwxyzabcdef aaaaaaaaaaaaaaaaaaaaaaa11111111", "s"), (3, f"{secret}@a.bc", "s"), (4, None, "s"), (5, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in pii.digest(docs.select("doc_id", "text"), None).collect()}
+    assert (got[1].spans, got[1].n_secret, got[1].has_private) == ("secret:9:49", 1, True) and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].spans == "" and got[3].spans == "email:0:45" and got[4].spans == got[5].spans == ""
+    clean = {r.doc_id: r for r in pii.sanitise(docs.withColumn("told", F.lit(1))).collect()}
+    assert clean[1].text == 'token = "[SECRET]" end' and clean[1].spans == "s" and clean[1].told == 1 and clean[4].text is None and clean[5].text == ""
+    assert pii.find(docs).where("doc_id = 1").first().spans[0].kind == "secret"
+    assert pii.disclosing_terms(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
 def test_piece_dropout(spark, odd):

@@ -8,26 +8,30 @@ corpus then tells which other terms give an entity away: for an entity c and a t
     disclosure = PMI(c; t) / IC(c)
 
 P(t | c) is the share of the entity's distinct contexts that hold t (the same words around it in
-many copies are one context), P(t) and P(c) are shares of all documents. P(t | c) is smoothed by ``prior``
+many copies are one context), P(t) and P(c) are shares of all distinct texts, so copies count once everywhere. P(t | c) is smoothed by ``prior``
 contexts in which t has its share of the corpus, so that one context tells less than many. A disclosure of 1 means
 that the term tells as much as the entity itself. Every entity is scored, those with one context too, by the terms that
 stand in more than half of its contexts or in ``support`` of them; a term in fewer is a
 chance neighbour. Terms that reach ``generalise_at`` are replaced by the entity's kind, those that
 reach ``remove_at`` are removed, in every document. Pattern matches are always replaced by their kind.
 
+Secrets (keys, tokens) are protected entities as well. They have no pattern of their own: a run of ``SECRET_LENGTH`` letters and
+digits or more is one if it holds both, a fifth of it or more in digits, and its characters have ``SECRET_BITS`` bits of entropy each or more, which
+words don't.
+
 Counts cover the whole corpus and are sums over keys (entity, term, context), combined before each
-shuffle. Terms are counted in all documents; only those that are rare enough to reach ``generalise_at`` with one of their
-entities are joined back. The list of disclosing terms is broadcast only after its rows are counted, and joined by
-term otherwise.
+shuffle. Terms near entities are counted in all documents: in the workers if their counted list is small enough for a broadcast, by a join
+otherwise. The list of disclosing terms is broadcast only after its rows are counted, and joined by term otherwise.
 
-Defined cases: null and empty texts have no spans; null ids and repeated rows are answered row by row;
-equal spans of a term and a pattern: the pattern's stays; overlapping term spans cannot arise; an empty table
-gives an empty result; extra columns don't take part.
+Defined cases: null and empty texts have no spans; null ids and repeated rows are answered row by row; texts and terms of any length are
+read whole; equal spans of a term or secret and a pattern: the pattern's stays; overlapping term spans cannot arise; of terms with equal disclosure by several
+entities the greatest entity names it; an empty table gives an empty result; extra columns pass through, but columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -35,15 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, slices, small
+from .common import cut, free_name, map_batches, slices, small, values_of
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE = KINDS[:4]
+SECRET, TERM = 4, 5
+SECRET_LENGTH, SECRET_BITS = 24, 3.0
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{SECRET_LENGTH},}}+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 _TERM = re.compile(r"\w+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 REMOVED, GENERALISED = "removed", "generalised"
@@ -85,9 +94,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def entropy(text: str) -> float:
+    """Bits of information in each character of a text, by its own frequencies."""
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
+
+
+def secret_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of secrets that no span in ``taken`` overlaps."""
+    found = []
+    for m in _SECRET.finditer(text):
+        run = m.group()
+        digits = len(run) - len(_DIGITS.sub("", run))
+        if digits < len(run) and 5 * digits >= len(run) and entropy(run) >= SECRET_BITS and not any(s < m.end() and m.start() < e for _, s, e in taken):
+            found.append((SECRET, m.start(), m.end()))
+    return found
+
+
+def entity_spans(text: str) -> list[tuple[int, int, int]]:
+    base = base_spans(text)
+    return base + secret_spans(text, base)
+
+
 def entity(kind: int, matched: str) -> str:
     """One spelling of an entity."""
-    return f"{KINDS[kind]}:" + (matched.lower() if kind < 2 else _NOT_DIGIT.sub("", matched))
+    return f"{KINDS[kind]}:" + (matched.lower() if kind < 2 else matched if kind == SECRET else _NOT_DIGIT.sub("", matched))
 
 
 def words_near(text: str, start: int, end: int, window: int) -> tuple[list[str], list[str]]:
@@ -106,10 +137,15 @@ def words_near(text: str, start: int, end: int, window: int) -> tuple[list[str],
         reach *= 4
 
 
+def terms_of(text: str) -> list[str]:
+    """The lower-case words of a text but numbers."""
+    return [t for t in _TERM.findall(text.lower()) if not t.isdigit()]
+
+
 def context(text: str, start: int, end: int, window: int) -> list[str]:
     """The lower-case terms among the ``window`` words on either side; words that themselves are numbers or addresses are left out."""
     left, right = words_near(text, start, end, window)
-    return [t for w in (*left, *right) if "@" not in w for t in _TERM.findall(w.lower()) if not t.isdigit() and len(t) < 64]
+    return [t for w in (*left, *right) if "@" not in w for t in terms_of(w) if not secret_spans(t, [])]
 
 
 def evidence(docs: DataFrame, window: int) -> DataFrame:
@@ -117,8 +153,8 @@ def evidence(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ent, ctx, terms = [], [], []
-        for t in batch.column(0).to_pylist():
-            for kind, s, e in base_spans(t or ""):
+        for t in values_of(batch.column(0)):
+            for kind, s, e in entity_spans(t or ""):
                 near = context(t, s, e, window)
                 ent.append(entity(kind, t[s:e]))
                 ctx.append(int.from_bytes(hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest(), "little", signed=True))
@@ -128,111 +164,133 @@ def evidence(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs.select("text").where("text is not null"), run, "entity string, context long, terms array<string>")
 
 
-def document_terms(docs: DataFrame) -> F.Column:
-    """The distinct lower-case terms of a text, as an array."""
-    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))
-
+def document_frequency(docs: DataFrame, wanted: frozenset[str] | None = None) -> tuple[DataFrame, float]:
+    """term and df, the number of distinct texts that hold it, over all documents, and how many distinct texts there are; ``wanted``: of these terms only.
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """term and df, the number of documents that hold it, over all documents."""
+    Each of k equal texts counts as 1 / k, so the sums need no shuffle of texts.
+    """
+    texts = docs.select("text").where("text is not null").withColumn("hash", F.xxhash64("text"))
+    copies = cut(texts.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"))
+    repeated = copies.agg(F.count("*"), F.sum("copies")).first()
+    distinct = texts.count() - (repeated[1] or 0) + repeated[0]
+    weighted = texts.join(small(copies, repeated[0]), "hash", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    told = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        counts: Counter[str] = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+        counts: dict[str, float] = {}
+        chars = 0
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
         for batch in batches:
-            for some in slices(batch):
-                for t in some.column(0).to_pylist():
-                    counts.update(t for t in set(_TERM.findall(t.lower())) if len(t) < 64 and not t.isdigit())
-                if len(counts) > 200_000:
+            for text, weight in zip(values_of(batch.column(0)), values_of(batch.column(1))):
+                found = set(_TERM.findall(text.lower()))
+                for t in found if told is None else found & told.value:
+                    if t in counts:
+                        counts[t] += weight
+                    elif not t.isdigit():
+                        counts[t] = weight
+                        chars += len(t)
+                if len(counts) > 100_000 or chars > 2_000_000:
                     yield rows()
                     counts.clear()
+                    chars = 0
         if counts:
             yield rows()
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return weighted.mapInArrow(run, "term string, n double").groupBy("term").agg(F.sum("n").alias("df")), distinct
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 0.5) -> DataFrame:
-    """term, entity, support, disclosure and action of the terms over the thresholds."""
-    distinct = cut(evidence(docs, window).groupBy("entity", "context").agg(F.min("terms").alias("terms"), F.count("*").alias("mentions")))
-    totals = distinct.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("mentions").alias("mentions"))
-    together = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support"))
-    n = docs.count()
-    p_c = F.col("mentions") / F.lit(n)
-    # the most documents a term may stand in: P(t | c) is at most 1
-    rare = together.join(totals, "entity").where((F.col("support") >= support) | (2 * F.col("support") > F.col("contexts"))).withColumn("ic", -F.log2(F.least(p_c, F.lit(0.5)))).withColumn("most", n * F.pow(F.lit(2.0), -generalise_at * F.col("ic")) + 1e-6)
-    pairs = cut(rare)
+def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 0.5, most: int = 100_000) -> DataFrame:
+    """term, entity, support, disclosure and action of the terms over the thresholds. ``most``: the longest list of terms that is broadcast."""
+    distinct = cut(evidence(docs, window).groupBy("entity", "context").agg(F.min("terms").alias("terms")))
     empty = docs.sparkSession.createDataFrame([], "term string, entity string, support long, disclosure double, action string")
-    if pairs.isEmpty():
+    totals = distinct.groupBy("entity").agg(F.count("*").alias("contexts"))
+    together = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support"))
+    pairs = cut(together.join(totals, "entity").where((F.col("support") >= support) | (2 * F.col("support") > F.col("contexts"))))
+    terms = pairs.select("term").distinct()
+    n_terms = terms.count()
+    if not n_terms:
         return empty
-    wanted = pairs.groupBy("term").agg(F.max("most").alias("most"))
-    likely = cut(document_frequency(docs).join(wanted, "term").where("df <= most").select("term", "df"))
-    share = F.col("df") / n
+    wanted = frozenset(r.term for r in terms.collect()) if n_terms <= most else None
+    counted, n = document_frequency(docs, wanted)
+    likely = cut(counted if wanted is not None else counted.join(terms, "term", "left_semi"))
+    ic = -F.log2(F.least(F.col("contexts") / F.lit(float(n)), F.lit(0.5)))
+    share = F.least(F.col("df") / F.lit(float(n)), F.lit(1.0))
     smoothed = (F.col("support") + prior * share) / (F.col("contexts") + prior)
-    measured = pairs.join(small(likely, likely.count()), "term").withColumn("disclosure", F.log2(smoothed / share) / F.col("ic"))
+    measured = pairs.join(small(likely, n_terms, most), "term").withColumn("disclosure", F.round(F.log2(smoothed / share) / ic, 9))
     best = measured.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "entity", "support")).alias("b"))
     return cut(best.select("term", "b.entity", "b.support", "b.disclosure", F.when(F.col("b.disclosure") >= remove_at, REMOVED).otherwise(GENERALISED).alias("action")))
 
 
+def spans_of(text: str, action: dict[str, str]) -> list[tuple[int, int, int, str]]:
+    """(kind number, start, end, action) of all spans of a text, patterns first; ``action`` tells that of each disclosing term."""
+    rows = [(k, s, e, GENERALISED) for k, s, e in entity_spans(text)]
+    if action:
+        taken, k = sorted((s, e) for _, s, e, _ in rows), 0
+        for m in _TERM.finditer(text):
+            told = action.get(m.group().lower())
+            if told is None:
+                continue
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if not (k < len(taken) and taken[k][0] < m.end()):
+                rows.append((TERM, m.start(), m.end(), told))
+    return rows
+
+
+def with_actions(docs: DataFrame, terms: DataFrame | None, most: int):
+    """``docs`` with a column of the terms found in each text, its name, and a function of its value that gives their actions.
+
+    A list of at most ``most`` terms is broadcast and the column is null; a longer one is joined to the terms of the texts.
+    """
+    name = free_name(docs, "told")
+    n = terms.count() if terms is not None else 0
+    if n <= most:
+        known = docs.sparkSession.sparkContext.broadcast({r.term: r.action for r in terms.select("term", "action").collect()} if n else {})
+        return docs.withColumn(name, F.lit(None).cast("array<string>")), name, lambda told: known.value
+
+    def run(batch: pa.RecordBatch):
+        for some in slices(batch):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([sorted(set(terms_of(t or ""))) for t in values_of(some.column(1))], pa.list_(pa.string()))], names=["key", "terms"])
+
+    key = F.xxhash64("doc_id", "text")
+    listed = map_batches(docs.select(key.alias("key"), "text"), run, "key long, terms array<string>")
+    hits = listed.select("key", F.explode("terms").alias("term")).join(terms.select("term", "action"), "term")
+    per_doc = hits.groupBy("key").agg(F.collect_set(F.concat_ws("\t", "term", "action")).alias(name)).withColumnRenamed("key", f"{name}_key")
+    joined = docs.join(per_doc, key == per_doc[f"{name}_key"], "left").drop(f"{name}_key")
+    return joined, name, lambda told: dict(x.split("\t") for x in told) if told is not None else {}
+
+
 def find(docs: DataFrame, terms: DataFrame | None = None, keep_text: bool = True, most: int = 100_000) -> DataFrame:
     """``docs`` with ``spans`` (kind, start, end, action), by kind and start; ends exclusive, in code points."""
-    n = terms.count() if terms is not None else 0
-    known = None
-    if n > most:
-        hits = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.explode(document_terms(docs)).alias("term")).join(terms.select("term", "entity", "action"), "term")
-        per_doc = hits.groupBy("_key").agg(F.collect_set(F.concat_ws("\t", "term", "action", "entity")).alias("_terms"))
-        src = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(per_doc, "_key", "left").drop("_key")
-    else:
-        src = docs.withColumn("_terms", F.lit(None).cast("array<string>"))
-        if n:
-            known = docs.sparkSession.sparkContext.broadcast({r.term: r.action for r in terms.select("term", "action").collect()})
-
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int,action:string>>")
-    def spans(texts, told):
-        import pandas as pd
-
-        out = []
-        for t, given in zip(texts, told):
-            t = t or ""
-            rows = [(KINDS[k], s, e, GENERALISED) for k, s, e in base_spans(t)]
-            if known is not None or (given is not None and len(given)):
-                taken = sorted((s, e) for _, s, e, _ in rows)
-                action = known.value if known is not None else {x.split("\t")[0]: x.split("\t")[1] for x in given}
-                k = 0
-                for m in _TERM.finditer(t):
-                    if m.group().lower() not in action:
-                        continue
-                    while k < len(taken) and taken[k][1] <= m.start():
-                        k += 1
-                    if not (k < len(taken) and taken[k][0] < m.end()):
-                        rows.append((KINDS[4], m.start(), m.end(), action[m.group().lower()]))
-            out.append([{"kind": k, "start": s, "end": e, "action": a} for k, s, e, a in rows])
-        return pd.Series(out)
-
-    return src.withColumn("spans", spans("text", "_terms")).drop("_terms", *([] if keep_text else ["text"]))
-
-
-def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in square brackets, or removed."""
+    src, name, actions = with_actions(docs.drop("spans"), terms, most)
+    item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("action", pa.string())])
 
-    @F.pandas_udf("string")
-    def replaced(texts, spans):
-        import pandas as pd
+    @F.arrow_udf("array<struct<kind:string,start:int,end:int,action:string>>")
+    def spans(texts: pa.Array, told: pa.Array) -> pa.Array:
+        rows = ([{"kind": KINDS[k], "start": s, "end": e, "action": a} for k, s, e, a in spans_of(t or "", actions(x))] for t, x in zip(values_of(texts), values_of(told)))
+        return pa.array(rows, pa.list_(item))
 
-        out = []
-        for t, found in zip(texts, spans):
-            if t is None or found is None or not len(found):
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], "" if s["action"] == REMOVED else f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
+    return src.withColumn("spans", spans("text", name)).drop(name, *([] if keep_text else ["text"]))
+
+
+def replaced(text: str, spans: list[tuple[int, int, int, str]]) -> str:
+    parts, at = [], 0
+    for k, start, end, action in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], "" if action == REMOVED else f"[{KINDS[k].upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def sanitise(docs: DataFrame, terms: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+    """``docs`` with each span of the text replaced by its kind in square brackets, or removed."""
+    src, name, actions = with_actions(docs, terms, most)
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array, told: pa.Array) -> pa.Array:
+        return pa.array((t and replaced(t, spans_of(t, actions(x))) for t, x in zip(values_of(texts), values_of(told))), pa.string())
 
-    return find(docs, terms).withColumn("text", replaced("text", "spans")).drop("spans")
+    return src.withColumn("text", clean("text", name)).select(*docs.columns)
 
 
 def digest(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
@@ -243,7 +301,8 @@ def digest(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
     count = lambda kind: F.size(F.filter("shown", lambda s: s["kind"] == kind)).cast("long")
     return listed.select(
         "doc_id",
-        *(count(k).alias(f"n_{k}") for k in KINDS[:4]),
-        F.sha2(only(lambda s: s["kind"] != KINDS[4]), 256).alias("base_sha256"),
+        *(count(k).alias(f"n_{k}") for k in KINDS),
+        F.sha2(only(lambda s: s["kind"].isin(*BASE)), 256).alias("base_sha256"),
         only(lambda s: F.lit(True)).alias("spans"),
+        F.exists("shown", lambda s: s["kind"] != KINDS[TERM]).alias("has_private"),
     )
