@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +83,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch a few rows at a time, so texts and ids never stand in memory for all of it."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows and about ``most`` bytes of the string column ``text`` at a time, so that texts and what is made of them never stand in memory for all of it."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)))
+    i = 0
+    while i < batch.num_rows:
+        j = min(i + rows, max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -95,11 +100,6 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
 
 
-def text_bytes(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a string column, without decoding them."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
 #: A random number for each byte, and the same with ASCII letters in one case.
 _LETTER = np.random.default_rng(20240301).integers(0, 2**64, 256, np.uint64)
 _FOLDED = _LETTER.copy()

@@ -7,7 +7,7 @@ skipped for good if a keyed hash of (seed, document, copy, occurrence, part, pla
 occurrence of a word draws for itself. With dropout 0 the ids equal the library's.
 
 A worker remembers, by word, what no key changes: the ids if nothing is dropped and the candidates offered on the way;
-and likewise the ids and further candidates for each set of dropped ones that came up. An occurrence draws for the
+and likewise the ids and candidates for each set of dropped ones that came up. An occurrence draws for the
 candidates it is offered and follows its drops from one to the next until nothing new is dropped. The memory is emptied at a bound.
 New words and new sets are merged together, one array step for all;
 parts of over 64 characters go through a heap one by one. Characters outside the vocabulary become bytes, a literal
@@ -79,7 +79,7 @@ class Runs:
 class Pieces:
     """Tables of one model, and the merging."""
 
-    def __init__(self, model: bytes, dropout: float, seed: int, most: int = 400_000):
+    def __init__(self, model: bytes, dropout: float, seed: int, most: int = 150_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_proto=model)
@@ -112,37 +112,31 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        """Forget all nodes: a part and the candidates dropped so far; ``ids`` if no more are, ``offers`` not offered before it."""
+        """Forget all nodes: a part and the candidates dropped so far, ``ids`` if no more are, ``offers`` then met and not dropped so far."""
         self.at, self.child = {}, {}
         self.ids, self.offers, self.hashes = Runs(np.int32), Runs(np.int64), Runs(np.uint64)
-        self.part, self.before, self.dropped = [], [], []
+        self.part, self.dropped = [], []
 
-    def branch(self, parts: list[str], before: list[int], dropped: list[tuple[int, ...]]) -> None:
-        """New nodes: for each a part, the node it follows (-1: none) and all candidates dropped in it. Long parts are not merged here."""
+    def branch(self, parts: list[str], dropped: list[tuple[int, ...]]) -> None:
+        """New nodes: for each a part and all candidates dropped in it. Long parts are not merged here."""
         short = [i for i, p in enumerate(parts) if len(p) <= LONG]
         got: list[list[int]] = [[]] * len(parts)
-        sets = np.full((len(short), 1 + max((len(dropped[i]) for i in short), default=0)), -1, np.int64)
-        for k, i in enumerate(short):
-            sets[k, 0] = i
-            sets[k, 1 : 1 + len(dropped[i])] = dropped[i]
+        sizes = np.array([len(dropped[i]) for i in short], np.int64)
+        sets = np.full((len(short), 1 + int(sizes.max(initial=0))), -1, np.int64)
+        sets[:, 0] = short
+        row = np.repeat(np.arange(len(short)), sizes)
+        sets[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.fromiter(chain.from_iterable(dropped[i] for i in short), np.int64, len(row))
         self.seen: list[np.ndarray] = []
         for i, g in zip(short, self.together([parts[i] for i in short], sets)):
             got[i] = g
         self.ids.add(np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got], np.int64))
-        offered = np.unique(np.concatenate([np.empty(0, np.int64), *self.seen]))
-        known = [np.empty(0, np.int64)]
-        for i, node in enumerate(before):
-            while node >= 0:
-                o = int(self.offers.offset[node])
-                known.append(self.offers.values[o : o + int(self.offers.size[node])] + (i << 32))
-                node = self.before[node]
-        offered = offered[~np.isin(offered, np.concatenate(known))]
+        offered = np.sort(np.concatenate([np.empty(0, np.int64), *self.seen]))
+        offered = offered[np.append(offered[1:] != offered[:-1], True)] if len(offered) else offered
         self.offers.add(offered & 0xFFFFFFFF, np.bincount(offered >> 32, minlength=len(parts)))
         chars = characters("".join(parts))
         size = np.array([len(p) for p in parts], np.int64)
         self.hashes.add(self.part_hashes(chars, np.cumsum(size) - size), np.ones(len(parts), np.int64))
         self.part += parts
-        self.before += before
         self.dropped += dropped
 
     def part_hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -159,8 +153,16 @@ class Pieces:
         """The dropout keys of parts, given all their characters, where each starts and the numbers of their occurrences."""
         return self.with_occurrences(self.part_hashes(chars, starts), occurrences)
 
+    def skips(self, key: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether candidates (place * size + piece) are dropped, given the keys, which are well mixed."""
+        with np.errstate(over="ignore"):
+            h = key + code.astype(np.uint64) * np.uint64(_GOLD)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(32)) < np.uint64(self.below)
+
     def skipped(self, key: int, place: int, piece: int) -> bool:
-        return (mix_int((key + place * 0xC2B2AE3D27D4EB4F + piece * _GOLD) & MASK64) >> 32) < self.below
+        return bool(self.skips(np.array([key], np.uint64), np.array([place * self.size + piece]))[0])
 
     def symbols(self, chars: np.ndarray) -> np.ndarray:
         """Ids of single characters; ``-1 - code point`` of those outside the vocabulary."""
@@ -217,14 +219,12 @@ class Pieces:
         found = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
         piece = self.merged[found]
         ok = self.pair[found] == want
+        code = place.astype(np.int64) * self.size + piece
         if key.ndim == 2:
-            code = place.astype(np.int64) * self.size + piece
-            self.seen.append((key[ok, 0] << 32) + code[ok])
             ok &= ~(key[:, 1:] == code[:, None]).any(1)
+            self.seen.append((key[ok, 0] << 32) + code[ok])
         elif self.below:
-            with np.errstate(over="ignore"):
-                h = mix(key + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
-            ok &= (h >> np.uint64(32)) >= np.uint64(self.below)
+            ok &= ~self.skips(key, code)
         return np.where(ok, self.rank[piece], self.size).astype(np.int32), piece.astype(np.int32)
 
     def together(self, parts: list[str], occurrences) -> list[list[int]]:
@@ -307,7 +307,7 @@ class Pieces:
         new = list(set(flat) - self.at.keys())
         if new:
             self.at.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
-            self.branch([part_text(p) for p in new], [-1] * len(new), [()] * len(new))
+            self.branch([part_text(p) for p in new], [()] * len(new))
         node = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         counts = np.array([len(parts) for parts in group], np.int64)
         bounds = np.cumsum(counts)
@@ -340,12 +340,9 @@ class Pieces:
             if not len(left):
                 return
             code, size = self.offers.take(node[left])
-            place, piece = code // self.size, code % self.size
-            with np.errstate(over="ignore"):
-                h = mix(np.repeat(key[left], size) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(_GOLD))
             starts = np.cumsum(size) - size
             bit = np.arange(len(code)) - np.repeat(starts, size)
-            mask = np.add.reduceat(((h >> np.uint64(32)) < np.uint64(self.below)).astype(np.int64) << bit, starts)
+            mask = np.add.reduceat(self.skips(np.repeat(key[left], size), code).astype(np.int64) << bit, starts)
             left, mask = left[mask != 0], mask[mask != 0]
             steps = list(zip(node[left].tolist(), mask.tolist()))
             new = list(set(steps) - self.child.keys())
@@ -355,7 +352,7 @@ class Pieces:
                     o = int(self.offers.offset[n])
                     sets.append(self.dropped[n] + tuple(c for k, c in enumerate(self.offers.values[o : o + int(self.offers.size[n])].tolist()) if m >> k & 1))
                 self.child.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
-                self.branch([self.part[n] for n, _ in new], [n for n, _ in new], sets)
+                self.branch([self.part[n] for n, _ in new], sets)
             node[left] = list(map(self.child.__getitem__, steps))
 
     def decode(self, ids) -> str:
@@ -381,7 +378,7 @@ def encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 7
     copy = docs.columns.index("copy") if "copy" in docs.columns else None
 
     def run(batch: pa.RecordBatch):
-        for some in slices(batch):
+        for some in slices(batch, at[0]):
             texts = some.column(at[0]).to_pylist()
             ids, offsets = get().encode(texts, document_keys(some.column(at[1]), None if copy is None else some.column(copy)))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in texts]))
@@ -397,7 +394,8 @@ def decode(encoded: DataFrame, model_file: str, into: str = "decoded") -> DataFr
     at = encoded.columns.index("ids")
 
     def run(batch: pa.RecordBatch):
-        for some in slices(batch):
+        for i in range(0, batch.num_rows, 256):
+            some = batch.slice(i, 256)
             texts = [None if x is None else get().decode(x) for x in some.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, into])
 
@@ -411,7 +409,7 @@ def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
     get = _shared(docs.sparkSession, model_file, dropout, seed)
 
     def run(batch: pa.RecordBatch):
-        for some in slices(batch):
+        for some in slices(batch, 1):
             texts = some.column(1).to_pylist()
             ids, offsets = get().encode(texts, document_keys(some.column(0)))
             crc, sha, same = [], [], []

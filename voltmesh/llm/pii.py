@@ -249,7 +249,7 @@ def with_actions(docs: DataFrame, terms: DataFrame | None, most: int):
         return docs.withColumn(name, F.lit(None).cast("array<string>")), name, lambda told: known.value
 
     def run(batch: pa.RecordBatch):
-        for some in slices(batch):
+        for some in slices(batch, 1):
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([sorted(set(terms_of(t or ""))) for t in values_of(some.column(1))], pa.list_(pa.string()))], names=["key", "terms"])
 
     key = F.xxhash64("doc_id", "text")

@@ -93,7 +93,7 @@ def encoder_for(definition: str) -> WordEncoder:
 class WordEncoder:
     """Texts to ids, with the ids of parts remembered."""
 
-    def __init__(self, definition: str, most: int = 400_000, most_chars: int = 16_000_000):
+    def __init__(self, definition: str, most: int = 300_000, most_chars: int = 8_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -316,7 +316,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, file
                 yield record(b"".join(held))
                 held.clear()
 
-        for batch in (some for whole in batches for some in slices(whole)):
+        for batch in (some for whole in batches for some in slices(whole, 1)):
             doc_ids = batch.column(0).to_pylist()
             ids = encoder(batch.column(1).to_pylist())
             for i, j in runs(ids, BLOCK * min(256, file_blocks)):
