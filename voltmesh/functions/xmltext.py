@@ -58,8 +58,16 @@ def escape_attribute(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The five predefined entities and a carriage return's number; unknown entities stay."""
-    return _replaced(text, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#13;", "\r"), ("&#10;", "\n"), ("&#9;", "\t"), ("&amp;", "&")])
+    """The five predefined entities and numbered characters; unknown entities and numbers that are no character stay."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|x[0-9a-fA-F]{1,6});"), 0))
+
+    def character(ref: Column) -> Column:
+        code = F.when(ref.startswith("&#x"), F.conv(F.regexp_extract(ref, "x([^;]*)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "([0-9]+)", 1)).cast("int")
+        fine = ((code >= 32) & (code < 0xD800)) | code.isin(9, 10, 13) | ((code >= 0xE000) & (code < 0xFFFE)) | ((code >= 0x10000) & (code < 0x110000))
+        return F.when(code == 38, "&amp;").when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
+
+    plain = F.when(F.size(numbers) > 0, F.aggregate(numbers, text, lambda t, ref: F.replace(t, ref, character(ref)))).otherwise(text)
+    return _replaced(plain, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")])
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

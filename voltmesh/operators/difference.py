@@ -20,7 +20,7 @@ def value_text() -> Column:
 
 
 def scoped(m: Model, scope: int | None) -> DataFrame:
-    slots = m.slots.where("kind <> 'compound'")
+    slots = m.slots.where("kind <> 'compound' and not contains(attr, '/')")  # statements can't express compounds
     if scope is not None:
         slots = slots.join(F.broadcast(m.vocabulary.attrs.select("attr", "used_in")), "attr").where(P.in_scope(F.col("profiles"), F.col("used_in"), F.lit(scope)))
     return slots.select("mrid", "attr", "kind", value_text().alias("value"))

@@ -1,7 +1,8 @@
 """The model as tables: objects, slots and file membership; merging and changing them (2.C-2.G).
 
 ``slots`` is a sparse table with one row for each value: mrid, attr, ord, kind, v_bool, v_int, v_dbl, v_text, v_ref, lex and
-profiles, a mask of the profiles whose files carried it. ``raw`` slots, straight from files, also have class, file_seq and
+profiles, a mask of the profiles whose files carried it. A field of a compound has its property and its own attribute in ``attr``,
+``Property/Field``. ``raw`` slots, straight from files, also have class, file_seq and
 elem_seq, which order them.
 """
 
@@ -117,8 +118,8 @@ class Model:
         """The slots that a profile set exports."""
         from ..functions import profiles as P
 
-        used = F.broadcast(self.vocabulary.attrs.select("attr", "used_in"))
-        return self.slots.join(used, "attr").where(P.in_scope(F.col("profiles"), F.col("used_in"), F.lit(scope))).drop("used_in")
+        used = F.broadcast(self.vocabulary.attrs.select(F.col("attr").alias("_root"), "used_in"))
+        return self.slots.withColumn("_root", F.substring_index("attr", "/", 1)).join(used, "_root").drop("_root").where(P.in_scope(F.col("profiles"), F.col("used_in"), F.lit(scope))).drop("used_in")
 
 
 def merge_slots(raw: DataFrame, vocabulary: Vocabulary) -> DataFrame:

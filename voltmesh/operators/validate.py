@@ -29,9 +29,13 @@ def finding(rows: DataFrame, severity: str, rule: str, message: Column, attr: Co
 
 
 def class_membership(m: Model) -> DataFrame:
-    """Values whose attribute the object's class doesn't have (K1)."""
-    owned = F.broadcast(m.vocabulary.class_attrs().select("class", "attr"))
-    stray = m.slots.select("mrid", "attr").join(m.objects.select("mrid", "class"), "mrid").join(owned, ["class", "attr"], "left_anti")
+    """Values whose attribute the object's class, or the compound around them, doesn't have (K1, K2)."""
+    every = m.vocabulary.class_attrs().select("class", F.col("attr").alias("_root"))
+    inner = m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("_root"), F.col("target").alias("class")).join(m.vocabulary.class_attrs().select("class", F.col("attr").alias("_leaf")), "class").drop("class")
+    rows = m.slots.select("mrid", "attr").withColumns({"_root": F.substring_index("attr", "/", 1), "_leaf": F.substring_index("attr", "/", -1)}).join(m.objects.select("mrid", "class"), "mrid")
+    stray = rows.join(F.broadcast(every), ["class", "_root"], "left_anti").select("mrid", "attr", "class")
+    fields = rows.where("contains(attr, '/')").join(F.broadcast(inner), ["_root", "_leaf"], "left_anti").join(F.broadcast(every), ["class", "_root"], "left_semi").select("mrid", "attr", "class")
+    stray = stray.unionByName(fields)
     return finding(stray, "error", "class-membership", F.concat(F.col("class"), F.lit(" has no "), F.col("attr")), F.col("attr"))
 
 

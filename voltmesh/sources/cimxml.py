@@ -1,75 +1,112 @@
-"""CIM/XML documents as raw slots, with Spark's own readers and regular expressions (2.A, 2.B).
+"""CIM/XML documents as models, difference statements and headers, and models as documents (2.A, 2.B).
 
-A file is one row; its elements and properties are cut out by ``regexp_extract_all`` and exploded, names are resolved by joins with
-the broadcast vocabulary, and values are typed by expressions. Nothing is parsed row by row in Python. Reading is lenient: what
-the vocabulary doesn't know becomes a finding, a document cut off between elements keeps the elements before.
+``xmltokens`` gives a document's nodes; names are resolved by joins with the broadcast vocabulary, by namespace and local name, and values are typed by
+expressions. Nothing is parsed row by row in Python. Reading is lenient: what the vocabulary doesn't know becomes a finding, a document
+cut off keeps the elements that are closed before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import mrid as M
 from ..functions import values as V
 from ..functions import xmltext as X
+from ..functions.shared import cut
 from ..operators.model import Model, merge_classes, merge_slots
 from ..operators.validate import RULES
-from ..operators.vocabulary import Vocabulary
-
-HEADER = r"(?s)<(?:md:FullModel|dm:DifferenceModel)\b[^>]*?(?:/>|>.*?</(?:md:FullModel|dm:DifferenceModel)>)"
-ELEMENT = r"(?s)<([\w-]+):([\w.-]+)\s+rdf:(?:ID|about)\s*=\s*\"[^\"]*\"\s*(?:/>|>.*?</\1:\2\s*>)"
-PROPERTY = r"(?s)<([\w-]+):([\w.-]+)(?:\s+rdf:(?:resource|parseType)\s*=\s*\"[^\"]*\")?\s*(?:/>|>.*?</\1:\2\s*>)"
-SET = r"(?s)<dm:%sDifferences\b[^>]*>(.*?)</dm:%sDifferences>"
-
-
-def documents(spark: SparkSession, path: str, extra: str = "*.xml") -> DataFrame:
-    """file, file_seq (in name order) and content of every document under ``path``."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", extra).text(path, wholetext=True)
-    files = read.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("content"))
-    return files.join(F.broadcast(numbered(files)), "file")
-
-
-def numbered(files: DataFrame) -> DataFrame:
-    """file and its number in name order: a row for each file, without contents."""
-    return files.select("file").distinct().withColumn("file_seq", F.row_number().over(Window.orderBy("file")) - 1)
-
-
-def zipped(spark: SparkSession, path: str) -> DataFrame:
-    """file, file_seq and content of the documents in zip archives; an unreadable archive gives one row without content."""
-    import pyarrow as pa
-
-    def entries(batches):
-        import io
-        import zipfile
-
-        for batch in batches:
-            names, texts = [], []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for n in sorted(n for n in z.namelist() if n.lower().endswith(".xml")):
-                            names.append(f"{name}!{n}")
-                            texts.append(z.read(n).decode("utf-8"))
-                except (zipfile.BadZipFile, UnicodeDecodeError):
-                    names.append(name)
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["file", "content"])
-
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    files = archives.select("path", "content").mapInArrow(entries, "file string, content string")
-    return files.join(F.broadcast(numbered(files)), "file")
-
-
-def header_fields(docs: DataFrame) -> DataFrame:
-    """file, id, created, scenario_time, version, profiles, depends_on of each document's header."""
-    h = F.regexp_extract("content", f"({HEADER})", 1)
-    one = lambda name: F.nullif(F.regexp_extract("h", rf"(?s)<md:Model\.{name}\s*>(.*?)</md:Model\.{name}>", 1), F.lit(""))
-    many = lambda name: F.array_distinct(F.concat(F.regexp_extract_all("h", F.lit(rf"(?s)<md:Model\.{name}\s*>(.*?)</md:Model\.{name}>"), 1), F.regexp_extract_all("h", F.lit(rf"<md:Model\.{name}\s+rdf:resource\s*=\s*\"([^\"]*)\""), 1)))
-    return docs.select("file", "file_seq", h.alias("h")).where("h <> ''").select(
-        "file", "file_seq", F.nullif(F.regexp_extract("h", r"rdf:about\s*=\s*\"([^\"]*)\"", 1), F.lit("")).alias("id"),
-        one("created").alias("created"), one("scenarioTime").alias("scenario_time"), one("version").alias("version"), many("profile").alias("profiles"), many("DependentOn").alias("depends_on"),
-    )
+from ..operators.vocabulary import Vocabulary, detect
+from . import xmltokens as T
+
+MD = "http://iec.ch/TC57/61970-552/ModelDescription/1#"
+DM = "http://iec.ch/TC57/61970-552/DifferenceModel/1#"
+#: The fields of a header.
+ONE = {"created": "created", "scenarioTime": "scenario_time", "version": "version", "description": "description", "modelingAuthoritySet": "authority"}
+MANY = {"profile": "profiles", "DependentOn": "depends_on", "Supersedes": "supersedes"}
+
+
+@dataclass(frozen=True)
+class Documents:
+    """The nodes of some documents, with file_seq (their number in name order) and the element each is in."""
+
+    nodes: DataFrame  # file, file_seq, level, pos, up, element, ns, local, tag, text
+    prefixes: DataFrame  # file, prefixes
+    files: DataFrame  # file, file_seq
+    problems: DataFrame  # file, rule, written, class, attr: documents that can't be read
+
+    @staticmethod
+    def of(tokens: DataFrame, problems: DataFrame | None = None) -> Documents:
+        found, prefixes, no_root = T.nodes(tokens)
+        found = cut(found)
+        note = lambda df, why: df.select("file", F.lit(RULES["unreadable-file"]).alias("rule"), why.alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
+        bad = note(no_root, F.lit("no rdf:RDF"))
+        if problems is not None:
+            bad = bad.unionByName(note(problems, F.col("problem")))
+        names = [r.file for r in found.select("file").union(bad.select("file")).union(prefixes.select("file")).distinct().collect()]  # names of files
+        files = found.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(names))], "file string, file_seq int")
+        # a node counts if the element it is in is closed
+        complete = found.where("level = 1 and closed").select("file", F.col("pos").alias("element"))
+        inside = found.withColumn("element", F.when(F.col("level") == 1, F.col("pos")).otherwise(F.element_at("up", 1)))
+        return Documents(inside.join(complete, ["file", "element"], "left_semi").join(F.broadcast(files), "file"), prefixes, files, bad)
+
+
+def documents(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Documents:
+    """Every XML document under ``path``."""
+    return Documents.of(T.tokens(spark, path, glob))
+
+
+def zipped(spark: SparkSession, path: str) -> Documents:
+    """Every XML entry of the zip archives under ``path``."""
+    entries = cut(T.zip_entries(spark, path))
+    return Documents.of(T.cut_whole(entries.where("content is not null")), entries.where("content is null"))
+
+
+def in_content(docs: DataFrame) -> Documents:
+    """Documents given as file and content."""
+    return Documents.of(T.cut_whole(docs.select("file", "content")))
+
+
+def declared(docs: Documents) -> DataFrame:
+    """file and each namespace it declares."""
+    return docs.prefixes.select("file", F.explode(F.map_values("prefixes")).alias("ns")).distinct()
+
+
+def vintages(docs: Documents, vocabularies: DataFrame) -> DataFrame:
+    """file and the vintage that its namespaces name best; ``vocabularies``: vintage, ns, classes (A3)."""
+    return detect(declared(docs), vocabularies)
+
+
+def vintage_of_set(docs: Documents, vocabularies: DataFrame) -> str | None:
+    """The vintage of the first file, in name order, that tells one."""
+    row = vintages(docs, vocabularies).join(F.broadcast(docs.files), "file").orderBy("file_seq").first()
+    return row.vintage if row else None
+
+
+def wrong_vintage(docs: Documents, vocabularies: DataFrame, wanted: str) -> DataFrame:
+    """A finding for each file that names another vintage."""
+    other = vintages(docs, vocabularies).where(F.col("vintage") != wanted)
+    return other.select("file", F.lit(RULES["wrong-vintage"]).alias("rule"), F.col("vintage").alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
+
+
+def headers_of(docs: Documents) -> DataFrame:
+    """file, id, kind and the fields of each document's header; ``extra`` has the fields of other names as they are."""
+    heads = docs.nodes.where("level = 1").where(((F.col("ns") == MD) & (F.col("local") == "FullModel")) | ((F.col("ns") == DM) & (F.col("local") == "DifferenceModel")))
+    own = heads.select("file", "file_seq", "element", T.attribute(F.col("tag"), "about").alias("id"), F.when(F.col("local") == "FullModel", "full").otherwise("difference").alias("kind"))
+    fields = docs.nodes.where("level = 2").where(F.col("ns") != DM).join(own.select("file", "element"), ["file", "element"], "left_semi")
+    value = F.coalesce(T.attribute(F.col("tag"), "resource"), F.nullif(V.trimmed(F.col("text")), F.lit("")))
+    read = fields.select("file", "element", "pos", F.when((F.col("ns") == MD) & F.col("local").startswith("Model."), F.substring("local", 7, 1000)).alias("field"), "ns", "local", value.alias("value")).where("value is not null")
+    listed = F.col("field").isin(*ONE, *MANY)
+    in_order = lambda keep, x: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", x.alias("x"))))), lambda r: r["x"])
+    columns = [F.max_by("value", F.when(F.col("field") == k, F.col("pos"))).alias(v) for k, v in ONE.items()]
+    columns += [F.array_distinct(in_order(F.col("field") == k, F.col("value"))).alias(v) for k, v in MANY.items()]
+    extra = in_order(~F.coalesce(listed, F.lit(False)), F.struct("ns", "local", "value")).alias("extra")
+    grouped = read.groupBy("file", "element").agg(*columns, extra)
+    joined = own.join(grouped, ["file", "element"], "left").drop("element")
+    empty = F.array().cast("array<string>")
+    return joined.withColumns({v: F.coalesce(v, empty) for v in MANY.values()})
 
 
 def file_masks(headers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -78,112 +115,267 @@ def file_masks(headers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return each.where("bit is not null").groupBy("file").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("profiles"))
 
 
-def elements(docs: DataFrame) -> DataFrame:
-    """file, file_seq, elem_seq, prefix, class, mrid text and body of each top-level element."""
-    body = F.regexp_replace("content", HEADER, "")
-    cut = docs.select("file", "file_seq", F.posexplode(F.regexp_extract_all(body, F.lit(f"({ELEMENT})".replace(r"\1:\2", r"\2:\3")), 1)).alias("elem_seq", "e"))
-    return cut.select(
-        "file", "file_seq", F.col("elem_seq").cast("long").alias("elem_seq"), F.regexp_extract("e", r"^<([\w-]+):", 1).alias("prefix"), F.regexp_extract("e", r"^<[\w-]+:([\w.-]+)", 1).alias("class"),
-        F.regexp_extract("e", r"^<[^>]*?rdf:(?:ID|about)\s*=\s*\"([^\"]*)\"", 1).alias("written"), F.regexp_extract("e", r"(?s)^<[^>]*[^/]>(.*)</[^<]*$", 1).alias("body"),
-    )
+def identity() -> tuple[Column, Column]:
+    """What an element is written as (its rdf:ID, its rdf:about, or a made-up name), and whether it has neither."""
+    written = F.coalesce(T.attribute(F.col("tag"), "ID"), T.attribute(F.col("tag"), "about"))
+    return F.coalesce(written, F.concat_ws("-", F.lit("no-identifier"), "file_seq", F.col("pos")["split"], F.col("pos")["at"])), written.isNull()
 
 
-def properties(found: DataFrame) -> DataFrame:
-    """The properties of elements: attr, and text or resource."""
-    p = found.withColumn("mrid", M.parse(X.unescape(F.col("written")))["key"]).select("file", "file_seq", "elem_seq", "mrid", "class", F.posexplode(F.regexp_extract_all("body", F.lit(f"({PROPERTY})".replace(r"\1:\2", r"\2:\3")), 1)).alias("pos", "p"))
-    text = F.when(~F.col("p").rlike(r"(?s)^<[^>]*/>$"), F.regexp_extract("p", r"(?s)^<[^>]*>(.*)</[^<]*$", 1)).otherwise("")
-    return p.select(
-        "file", "file_seq", "elem_seq", "pos", "mrid", "class", F.regexp_extract("p", r"^<[\w-]+:([\w.-]+)", 1).alias("attr"),
-        F.nullif(F.regexp_extract("p", r"^<[^>]*?rdf:resource\s*=\s*\"([^\"]*)\"", 1), F.lit("")).alias("resource"),
-        X.strip_illegal(X.unescape(F.regexp_replace(F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), "\r\n?", "\n"))).alias("text"),
-    )
+def elements(docs: Documents) -> DataFrame:
+    """file, file_seq, element, ns, class, written, mrid, unnamed and bad_id of the top-level elements but headers."""
+    written, unnamed = identity()
+    body = docs.nodes.where("level = 1").where(~F.col("ns").isin(MD, DM))
+    xml_id = T.attribute(F.col("tag"), "ID")
+    return body.select("file", "file_seq", "element", "ns", F.col("local").alias("class"), written.alias("written"), M.parse(written)["key"].alias("mrid"), unnamed.alias("unnamed"), F.coalesce(~X.is_ncname(xml_id), F.lit(False)).alias("bad_id"))
+
+
+def properties(docs: Documents, subjects: DataFrame, level: int = 2) -> DataFrame:
+    """The values of ``subjects`` (file, subject: its position, and more): attr, ns, pos, text and resource.
+
+    A field of a compound is named by its property and itself, ``Property/Field``; a property that has fields gives no value of its own (A12).
+    """
+    names = docs.nodes.where(F.col("level") >= level).select("file", "file_seq", "level", "pos", F.slice("up", 1, level - 1).alias("above"), F.slice("up", level, T.LEVELS).alias("inner"), "ns", "local", "tag", "text")
+    found = names.withColumn("subject", F.element_at("above", level - 1)).drop("above").join(subjects, ["file", "subject"])
+    # of a field, the property around it; a class name between them (without a dot) isn't part of the path
+    own = found.where(F.col("level") == level).select("file", F.col("pos").alias("root"), F.col("local").alias("root_name"))
+    outer = found.where((F.col("level") > level) & F.col("local").contains(".")).withColumn("root", F.try_element_at("inner", F.lit(1))).join(own, ["file", "root"])
+    fields = outer.select("*", F.concat_ws("/", "root_name", "local").alias("attr"))
+    holders = fields.select("file", F.col("root").alias("pos")).distinct()
+    plain = found.where(F.col("level") == level).join(holders, ["file", "pos"], "left_anti").withColumn("attr", F.col("local"))
+    both = plain.unionByName(fields.drop("root", "root_name"))
+    return both.withColumns({"resource": T.attribute(F.col("tag"), "resource"), "illegal": X.has_illegal(F.col("text")), "text": X.strip_illegal(F.col("text"))}).drop("tag", "inner", "local")
 
 
 def typed(props: DataFrame, vocabulary: Vocabulary, masks: DataFrame) -> DataFrame:
     """Raw slots with their values parsed by the declared kind; ``problem`` has the code of what couldn't be used."""
-    attrs = F.broadcast(vocabulary.class_attrs().select("class", "attr", F.col("kind").alias("declared"), "primitive"))
-    joined = props.join(attrs, ["class", "attr"], "left").join(F.broadcast(masks), "file", "left")
+    root, leaf = F.substring_index("attr", "/", 1), F.substring_index("attr", "/", -1)
+    owned = F.broadcast(vocabulary.class_attrs().select("class", F.col("attr").alias("_root"), F.lit(True).alias("owned")))
+    named = F.broadcast(vocabulary.attrs.select(F.col("attr").alias("_leaf"), F.col("ns").alias("_ns"), F.col("kind").alias("declared"), "primitive"))
+    joined = props.withColumns({"_root": root, "_leaf": leaf}).join(owned, ["class", "_root"], "left").join(named, ["_leaf"], "left").join(F.broadcast(masks), "file", "left")
+    fits = F.coalesce(F.col("owned") & (F.col("_ns") == F.col("ns")), F.lit(False))
     v = V.parse_primitive(F.col("text"), F.col("primitive"))
     plain = F.col("declared") == "value"
     kind = F.when(F.col("declared").isin("ref", "enum", "compound"), F.col("declared")).when(F.col("primitive") == "Boolean", "bool").when(F.col("primitive") == "Integer", "int").when(F.col("primitive").isin("Float", "Decimal"), "dbl").otherwise("text")
     literal = F.regexp_extract("resource", r"([^#/]*)$", 1)
-    problem = F.when(F.col("declared").isNull(), RULES["class-membership"]).when(plain & ~v["ok"], RULES["unparseable-value"]).when(F.col("declared").isin("ref", "enum") & F.col("resource").isNull(), RULES["unparseable-value"])
+    unusable = (plain & ~v["ok"]) | (F.col("declared").isin("ref", "enum") & F.col("resource").isNull())
+    problem = F.when(~fits, RULES["class-membership"]).when(unusable, RULES["unparseable-value"])
     return joined.select(
-        "file", "file_seq", "elem_seq", "pos", "mrid", "class", "attr", F.lit(0).alias("ord"), kind.alias("kind"),
+        "file", "file_seq", "element", "pos", "mrid", "class", "attr", F.lit(0).alias("ord"), kind.alias("kind"),
         F.when(plain, v["v_bool"]).alias("v_bool"), F.when(plain, v["v_int"]).alias("v_int"), F.when(plain, v["v_dbl"]).alias("v_dbl"),
         F.when(plain, v["v_text"]).when(F.col("declared") == "enum", literal).alias("v_text"), F.when(F.col("declared") == "ref", M.parse(F.col("resource"))["key"]).alias("v_ref"),
-        F.when(plain & F.col("primitive").isin("Float", "Decimal"), V.trimmed(F.col("text"))).alias("lex"), F.coalesce("profiles", F.lit(0)).cast("long").alias("profiles"), problem.alias("problem"),
+        F.when(plain & F.col("primitive").isin("Float", "Decimal"), V.trimmed(F.col("text"))).alias("lex"), F.coalesce("profiles", F.lit(0)).cast("long").alias("profiles"), problem.alias("problem"), "illegal", "resource",
     )
 
 
-def read(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Model, DataFrame, DataFrame]:
-    """The merged model, the headers and the findings of a set of documents."""
-    heads = header_fields(docs)
+def enum_problems(raw: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """Enumeration values that are no literal of the vocabulary: those of another namespace's spelling (kept), and unknown ones (dropped)."""
+    known = F.broadcast(vocabulary.literals.select(F.concat_ws(".", "enum", F.substring_index("literal", ".", -1)).alias("v_text"), F.col("ns").alias("_ns")).distinct())
+    enums = raw.where("kind = 'enum' and problem is null")
+    unknown = enums.join(known, "v_text", "left_anti")
+    strange = enums.join(known, "v_text").where(F.substring("resource", F.lit(1), F.length("resource") - F.length("v_text")) != F.col("_ns")).drop("_ns")
+    return strange, unknown
+
+
+def read(docs: Documents, vocabulary: Vocabulary, check_literals: bool = False, most_findings: int = 10_000) -> tuple[Model, DataFrame, DataFrame]:
+    """The merged model, the headers and the findings of a set of documents (A1, A16, A17); at most ``most_findings`` of a file (0: all), with a note."""
+    heads = headers_of(docs)
     masks = file_masks(heads, vocabulary)
-    found = elements(docs)
-    known = F.broadcast(vocabulary.classes.select("class"))
-    unknown = found.join(known, "class", "left_anti").select("file", F.lit(RULES["unknown-class"]).alias("rule"), "written", "class", F.lit(None).cast("string").alias("attr"))
-    found = found.join(known, "class", "left_semi")
-    raw = typed(properties(found), vocabulary, masks)
-    problems = raw.where("problem is not null").select("file", F.col("problem").alias("rule"), F.col("mrid").alias("written"), "class", "attr")
+    found = cut(elements(docs))
+    known = F.broadcast(vocabulary.classes.select("class", "ns", "concrete"))
+    note = lambda rows, rule, written, attr=None: rows.select("file", F.lit(RULES[rule]).alias("rule"), written.alias("written"), "class", (attr if attr is not None else F.lit(None).cast("string")).alias("attr"))
+    written = F.col("written")
+    unknown = note(found.join(known, ["class", "ns"], "left_anti"), "unknown-class", written)
+    found = found.join(known, ["class", "ns"])
+    nameless = note(found.where("unnamed"), "structure", written).unionByName(note(found.where("bad_id"), "structure", written))
+    raw = cut(typed(properties(docs, found.select("file", F.col("element").alias("subject"), "element", "class", "mrid")), vocabulary, masks))
+    attr = F.col("attr")
+    mrid = F.col("mrid")
+    problems = raw.where("problem is not null").select("file", F.col("problem").alias("rule"), mrid.alias("written"), "class", "attr").unionByName(note(raw.where("illegal"), "illegal-character", mrid, attr))
+    fine = raw.where("problem is null")
+    if check_literals:
+        strange, lost = enum_problems(raw, vocabulary)
+        problems = problems.unionByName(note(strange, "unparseable-value", F.col("resource"), attr)).unionByName(note(lost, "unparseable-value", F.col("resource"), attr))
+        fine = fine.join(lost.select("file", "pos"), ["file", "pos"], "left_anti")
     # a repeated single value inside one element: the last counts, silently
-    w = Window.partitionBy("file_seq", "elem_seq", "attr")
+    w = Window.partitionBy("file_seq", "element", "attr")
     many = F.broadcast(vocabulary.attrs.where("most is null or most > 1").select("attr", F.lit(True).alias("_many")))
-    fine = raw.where("problem is null").join(many, "attr", "left").withColumn("last", F.max("pos").over(w)).where("_many or pos = last").drop("last", "problem", "_many")
-    fine = fine.withColumn("elem_seq", F.col("elem_seq") * 100_000 + F.col("pos"))
-    objects = found.withColumn("mrid", M.parse(X.unescape(F.col("written")))["key"]).join(F.broadcast(masks), "file", "left").select("mrid", "class", "file_seq", "elem_seq", F.coalesce("profiles", F.lit(0)).cast("long").alias("profiles"))
-    merged = merge_classes(objects, vocabulary)
-    collisions = merged.where("collision").select(F.lit(None).cast("string").alias("file"), F.lit(RULES["class-collision"]).alias("rule"), F.col("mrid").alias("written"), "class", F.lit(None).cast("string").alias("attr"))
+    fine = fine.join(many, "attr", "left").withColumn("last", F.max("pos").over(w)).where("_many or pos = last").drop("last", "problem", "_many", "illegal", "resource")
+    objects = found.join(F.broadcast(masks), "file", "left").select("mrid", "class", "file_seq", F.col("element").alias("elem_seq"), F.coalesce("profiles", F.lit(0)).cast("long").alias("profiles"))
+    merged = cut(merge_classes(objects, vocabulary))
+    collisions = note(merged.where("collision").withColumn("file", F.lit(None).cast("string")), "class-collision", mrid)
     members = objects.select("file_seq", "mrid").distinct()
-    model = Model(vocabulary, merged.drop("collision"), merge_slots(fine, vocabulary), members)
-    return model, heads, unknown.unionByName(problems).unionByName(collisions)
+    model = Model(vocabulary, merged.drop("collision"), merge_slots(fine.withColumnRenamed("pos", "elem_seq"), vocabulary), members)
+    findings = docs.problems.unionByName(unknown).unionByName(nameless).unionByName(problems).unionByName(collisions)
+    return model, heads, bounded(findings, most_findings)
 
 
-def read_statements(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def bounded(findings: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` findings of each file, and a note of how many more there were."""
+    if not most:
+        return findings
+    ranked = findings.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("rule", "written", "attr")))
+    rest = ranked.where(F.col("n") > most).groupBy("file").agg(F.count("*").alias("n"))
+    note = rest.select("file", F.lit("note").alias("rule"), F.concat("n", F.lit(" more findings")).alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
+    return ranked.where(F.col("n") <= most).drop("n").unionByName(note)
+
+
+def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
     """The statements of difference models: direction, seq, mrid, class, defines, attr, kind, value (A4)."""
-    parts = None
-    for direction in ("reverse", "forward"):
-        part = docs.select("file", "file_seq", F.regexp_extract("content", SET % (direction, direction), 1).alias("content"), F.lit(direction).alias("direction"))
-        parts = part if parts is None else parts.unionByName(part)
-    named = F.broadcast(vocabulary.attrs.select("attr", F.col("kind").alias("declared"), "primitive"))
-    out = None
-    for direction in ("reverse", "forward"):
-        found = elements(parts.where(F.col("direction") == direction).drop("direction"))
-        rows = properties(found).join(named, "attr").withColumn("direction", F.lit(direction))
-        out = rows if out is None else out.unionByName(rows)
+    sets = docs.nodes.where("level = 2").where((F.col("ns") == DM) & F.col("local").isin("reverseDifferences", "forwardDifferences")).select("file", F.col("pos").alias("set"), F.when(F.col("local") == "reverseDifferences", "reverse").otherwise("forward").alias("direction"))
+    written, _ = identity()
+    subjects = docs.nodes.where("level = 3").select("file", "file_seq", "pos", "ns", F.element_at("up", 2).alias("set"), "local", "tag").join(F.broadcast(sets), ["file", "set"])
+    subjects = subjects.select("file", F.col("pos").alias("subject"), "direction", F.when((F.col("ns") != T.RDF) | (F.col("local") != "Description"), F.col("local")).alias("class"), M.parse(written)["key"].alias("mrid"), (T.attribute(F.col("tag"), "ID").isNotNull()).alias("defines"))
+    named = F.broadcast(vocabulary.attrs.select("attr", "ns", F.col("kind").alias("declared"), "primitive"))
+    rows = properties(docs, subjects, 4).join(named, ["attr", "ns"])
     v = V.parse_primitive(F.col("text"), F.col("primitive"))
     kind = F.when(F.col("declared").isin("ref", "enum"), F.col("declared")).when(F.col("primitive") == "Boolean", "bool").when(F.col("primitive") == "Integer", "int").when(F.col("primitive").isin("Float", "Decimal"), "dbl").otherwise("text")
     value = F.when(F.col("declared") == "ref", M.parse(F.col("resource"))["key"]).when(F.col("declared") == "enum", F.regexp_extract("resource", r"([^#/]*)$", 1)).otherwise(F.coalesce(v["v_text"], v["v_int"].cast("string"), v["v_dbl"].cast("string"), v["v_bool"].cast("string")))
-    return out.select("direction", (F.col("elem_seq") * 100_000 + F.col("pos")).alias("seq"), "mrid", F.when(F.col("class") != "Description", F.col("class")).alias("class"), F.lit(False).alias("defines"), "attr", kind.alias("kind"), value.alias("value"))
+    return rows.select("direction", F.struct("file_seq", F.col("pos")["split"].alias("split"), F.col("pos")["at"].alias("at")).alias("seq"), "mrid", "class", "defines", "attr", kind.alias("kind"), value.alias("value")).where("value is not null")
 
 
 def rendered(m: Model, scope: int, prefix: str = "cim") -> DataFrame:
-    """mrid and the element text of every object with a value in the scope."""
+    """mrid and the element text of every object with a value in the scope; one without values in it is left out."""
     from ..operators.model import element_class
 
     slots = m.in_profiles(scope)
     live = m.objects.join(slots.select("mrid").distinct(), "mrid", "left_semi")
-    named = element_class(live, slots, m.vocabulary, scope).join(m.objects.select("mrid", "class", F.col("profiles").alias("object_profiles")), "mrid")
-    defined = F.broadcast(m.vocabulary.classes.select(F.col("class").alias("element"), "defined_in"))
-    primitive = F.broadcast(m.vocabulary.attrs.select("attr", "primitive"))
+    defined = F.broadcast(m.vocabulary.classes.select(F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.lit(scope)) != 0).alias("introduces")))
+    return drawn(element_class(live, slots, m.vocabulary, scope).select("mrid", "element").join(defined, "element", "left"), slots, m.vocabulary, prefix)
+
+
+def whole(m: Model, prefix: str = "cim") -> DataFrame:
+    """mrid and the element text of every object, with all its values; one without any is an empty element."""
+    return drawn(m.objects.select("mrid", F.col("class").alias("element"), F.lit(True).alias("introduces")), m.slots, m.vocabulary, prefix)
+
+
+def property_lines(slots: DataFrame, vocabulary: Vocabulary, prefix: str) -> DataFrame:
+    """``slots`` with line, their text as one property or field."""
+    leaf = F.broadcast(vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive"))
+    named = slots.withColumn("leaf", F.substring_index("attr", "/", -1)).join(leaf, "leaf")
     shown = F.coalesce("v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.when(F.col("lex").isNotNull() & V.is_lexical(F.col("lex"), F.col("primitive")), F.col("lex")).when(F.col("v_dbl").isNotNull(), V.canonical_float("v_dbl")))
     target = M.parse(F.col("v_ref"))
     reference = F.when(F.col("kind") == "ref", F.when(X.identifier_form(target["key"]) == "iri", target["key"]).otherwise(M.rdf_resource(target))).when(F.col("kind") == "enum", F.concat(F.lit("#"), F.col("v_text")))
-    tag = F.concat(F.lit(prefix + ":"), F.col("attr"))
-    line = F.when(reference.isNotNull(), F.concat(F.lit("    <"), tag, F.lit(' rdf:resource="'), X.escape_attribute(reference), F.lit('"/>'))).otherwise(F.concat(F.lit("    <"), tag, F.lit(">"), X.escape_text(shown), F.lit("</"), tag, F.lit(">")))
-    bodies = slots.join(primitive, "attr").select("mrid", F.struct("attr", "ord", line.alias("line")).alias("x")).groupBy("mrid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
+    tag = F.concat(F.lit(prefix + ":"), F.col("leaf"))
+    return named.withColumn("line", F.when(reference.isNotNull(), F.concat(F.lit("    <"), tag, F.lit(' rdf:resource="'), X.escape_attribute(reference), F.lit('"/>'))).otherwise(F.concat(F.lit("    <"), tag, F.lit(">"), X.escape_text(X.strip_illegal(shown)), F.lit("</"), tag, F.lit(">"))))
+
+
+def drawn(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary, prefix: str, keys: tuple[str, ...] = ("mrid",)) -> DataFrame:
+    """``keys`` and the element text of ``objects`` (keys, element, introduces), with their ``slots``."""
+    lines = property_lines(slots, vocabulary, prefix).select(*keys, F.substring_index("attr", "/", 1).alias("root"), F.col("attr").contains("/").alias("inner"), F.struct("attr", "ord", "line").alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    per_root = lines.groupBy(*keys, "root", "inner").agg(text.alias("body"))
+    tag = F.concat(F.lit(prefix + ":"), F.col("root"))
+    held = F.when(F.col("inner"), F.concat(F.lit("    <"), tag, F.lit(' rdf:parseType="Resource">\n'), F.col("body"), F.lit("\n    </"), tag, F.lit(">"))).otherwise(F.col("body"))
+    bodies = per_root.select(*keys, F.struct("root", "inner", held.alias("line")).alias("x")).groupBy(*keys).agg(text.alias("body"))
     own = M.parse(F.col("mrid"))
-    introduces = F.col("defined_in").bitwiseAND(F.lit(scope)) != 0
-    identity = F.when(X.identifier_form(own["key"]) == "iri", F.concat(F.lit('rdf:about="'), X.escape_attribute(own["key"]))).when(introduces, F.concat(F.lit('rdf:ID="'), X.escape_attribute(M.rdf_id(own)))).otherwise(F.concat(F.lit('rdf:about="'), X.escape_attribute(M.rdf_resource(own))))
+    identity = F.when(X.identifier_form(own["key"]) == "iri", F.concat(F.lit('rdf:about="'), X.escape_attribute(own["key"]))).when(F.col("introduces"), F.concat(F.lit('rdf:ID="'), X.escape_attribute(M.rdf_id(own)))).otherwise(F.concat(F.lit('rdf:about="'), X.escape_attribute(M.rdf_resource(own))))
     tag = F.concat(F.lit(prefix + ":"), F.col("element"))
-    return named.join(defined, "element", "left").join(bodies, "mrid").select("mrid", F.concat(F.lit("  <"), tag, F.lit(" "), identity, F.lit('">\n'), F.col("body"), F.lit("\n  </"), tag, F.lit(">")).alias("element"))
+    start = F.concat(F.lit("  <"), tag, F.lit(" "), identity, F.lit('"'))
+    named = objects.join(bodies, list(keys), "left")
+    return named.select(*keys, F.when(F.col("body").isNull(), F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">\n"), F.col("body"), F.lit("\n  </"), tag, F.lit(">"))).alias("element"))
 
 
-def write_profile(m: Model, scope: int, path: str, header: str, namespaces: dict[str, str], prefix: str = "cim") -> None:
-    """One document in part files: sorted by identifier, its text is the parts in name order."""
-    attributes = "".join(f' xmlns:{k}="{v}"' for k, v in {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", **namespaces}.items())
-    spark = m.objects.sparkSession
+def bound_prefixes(wanted: list[tuple[str, str]]) -> dict[str, str]:
+    """IRI and prefix for each (suggested prefix, IRI): rdf first, one prefix an IRI, clashes numbered from 2, unusable suggestions become ns."""
+    bound, taken = {T.RDF: "rdf"}, {"rdf"}
+    for prefix, iri in wanted:
+        if iri in bound:
+            continue
+        base = prefix if prefix not in ("", "xml", "xmlns") else "ns"
+        name, n = base, 2
+        while name in taken:
+            name, n = f"{base}{n}", n + 1
+        bound[iri] = name
+        taken.add(name)
+    return bound
+
+
+def header_text(header: dict, prefix: str = "md", kind: str = "FullModel") -> str:
+    """A header in fixed field order: id, description, created, scenarioTime, version, Supersedes, DependentOn, profile, authority."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    one = lambda name, key: [f"    <{prefix}:Model.{name}>{escape(header[key])}</{prefix}:Model.{name}>"] if header.get(key) is not None else []
+    refs = lambda name, key: [f"    <{prefix}:Model.{name} rdf:resource={quoteattr(x)}/>" for x in header.get(key) or ()]
+    lines = one("created", "created") + one("scenarioTime", "scenario_time") + one("version", "version") + one("description", "description") + one("modelingAuthoritySet", "authority")
+    lines += refs("Supersedes", "supersedes") + refs("DependentOn", "depends_on") + [f"    <{prefix}:Model.profile>{escape(x)}</{prefix}:Model.profile>" for x in header.get("profiles") or ()]
+    return "\n".join([f"  <{prefix}:{kind} rdf:about={quoteattr(header['id'])}>", *lines, f"  </{prefix}:{kind}>"])
+
+
+def content_id(m: Model, parts: int = 4096) -> str:
+    """SHA-256 of a model's content: of each object's class and sorted values, then of ``parts`` ranges of identifiers, then of those in order.
+
+    A tree of hashes, so no task holds more than a part of the identifiers; it doesn't depend on how the tables are partitioned (F6).
+    """
+    from ..operators.difference import value_text
+
+    values = m.slots.select("mrid", F.concat_ws("\x1f", "attr", "kind", value_text()).alias("v")).groupBy("mrid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "\x1e"), 256).alias("v"))
+    each = m.objects.join(values, "mrid", "left").select("mrid", F.sha2(F.concat_ws("\x1f", "mrid", "class", "v"), 256).alias("h"))
+    bucket = F.conv(F.substring(F.md5("mrid"), 1, 6), 16, 10).cast("long") % parts
+    ranges = each.groupBy(bucket.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: F.concat_ws(":", x["part"], x["h"])), ","), 256)).first()[0]
+
+
+def derived_header(m: Model, profiles: list[str], vintage: str = "", created: str | None = None, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> dict:
+    """A header whose id is a name-based UUID over vintage, profiles and content, version 1, without a clock."""
+    import uuid
+
+    name = "\n".join([vintage, *profiles, content_id(m)])
+    return {"id": f"urn:uuid:{uuid.uuid5(uuid.UUID(namespace), name)}", "version": "1", "profiles": profiles, "created": created}
+
+
+def write_elements(rows: DataFrame, path: str, header: str, namespaces: dict[str, str]) -> None:
+    """One document in part files: ``rows`` (mrid, element) sorted by identifier; its text is the parts in name order."""
+    attributes = "".join(f' xmlns:{k}="{v}"' for k, v in {"rdf": T.RDF, **namespaces}.items())
+    spark = rows.sparkSession
     ends = spark.createDataFrame([(0, "", f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{attributes}>\n{header}'), (2, "", "</rdf:RDF>")], "part int, mrid string, element string")
-    rows = rendered(m, scope, prefix).select(F.lit(1).alias("part"), "mrid", "element")
-    parsed = M.parse(F.col("mrid"))
-    ends.unionByName(rows).orderBy("part", *M.sort_keys(parsed)).select("element").write.mode("overwrite").text(path)
+    body = rows.select(F.lit(1).alias("part"), "mrid", "element")
+    ends.unionByName(body).orderBy("part", *M.sort_keys(M.parse(F.col("mrid")))).select("element").write.mode("overwrite").text(path)
+
+
+def write_profile(m: Model, scope: int, path: str, header: str, namespaces: dict[str, str], prefix: str = "cim") -> None:
+    """The values of a profile set as one document (B2)."""
+    write_elements(rendered(m, scope, prefix), path, header, namespaces)
+
+
+def write_model(m: Model, path: str, header: str, namespaces: dict[str, str], prefix: str = "cim") -> None:
+    """A whole model as one document (B1)."""
+    write_elements(whole(m, prefix), path, header, namespaces)
+
+
+def populated(m: Model) -> DataFrame:
+    """profile, bit and iri of the profiles that some value came with."""
+    bits = m.slots.agg(F.bit_or("profiles").alias("mask")).first().mask or 0
+    return m.vocabulary.profiles.where(F.call_function("shiftright", F.lit(bits), F.col("bit")).bitwiseAND(F.lit(1)) != 0)
+
+
+def save_profiles(m: Model, folder: str, stem: str, namespaces: dict[str, str], prefix: str = "cim", headers: dict[str, str] | None = None) -> dict[str, str]:
+    """One document for each populated profile, ``<stem>_<profile>`` in ``folder``, with given or derived headers; the path of each profile."""
+    out = {}
+    for p in populated(m).orderBy("bit").collect():  # a row for each profile
+        header = (headers or {}).get(p.profile)
+        if header is None:
+            header = header_text(derived_header(m.with_(slots=m.in_profiles(1 << p.bit)), [p.iri]))
+        out[p.profile] = f"{folder}/{stem}_{p.profile}"
+        write_profile(m, 1 << p.bit, out[p.profile], header, {"md": MD, **namespaces}, prefix)
+    return out
+
+
+def as_loaded(m: Model, docs: Documents, heads: DataFrame, prefix: str = "cim") -> tuple[DataFrame, DataFrame]:
+    """file, mrid and element text of every object of every file as it was loaded, and the values that no file can take.
+
+    An object goes to the files that named it, with the values of their profiles, in one pass for all files; objects of no file go to the first file that has
+    a profile of theirs.
+    """
+    masks = file_masks(heads, m.vocabulary).join(F.broadcast(docs.files), "file")
+    members = m.members.join(F.broadcast(masks.select("file_seq", "file", F.col("profiles").alias("file_mask"))), "file_seq")
+    homeless = m.slots.join(members.select("mrid").distinct(), "mrid", "left_anti").join(F.broadcast(masks.select("file_seq", "file", F.col("profiles").alias("file_mask"))), F.col("profiles").bitwiseAND(F.col("file_mask")) != 0)
+    adopted = homeless.groupBy("mrid").agg(F.min(F.struct("file_seq", "file", "file_mask")).alias("f")).select("f.file_seq", "mrid", "f.file", "f.file_mask")
+    homes = members.select("file_seq", "mrid", "file", "file_mask").unionByName(adopted)
+    used = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_root"), "used_in"))
+    slots = m.slots.withColumn("_root", F.substring_index("attr", "/", 1)).join(used, "_root").drop("_root")
+    fits = F.when(F.col("profiles") != 0, F.col("profiles")).otherwise(F.col("used_in")).bitwiseAND(F.col("file_mask")) != 0
+    placed = slots.join(homes, "mrid").where(fits)
+    unwritten = m.slots.join(placed.select("mrid", "attr", "ord").distinct(), ["mrid", "attr", "ord"], "left_anti")
+    defined = F.broadcast(m.vocabulary.classes.select("class", "defined_in"))
+    objects = homes.join(m.objects.select("mrid", "class"), "mrid").join(defined, "class").select("file", "mrid", F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.col("file_mask")) != 0).alias("introduces"))
+    return drawn(objects, placed, m.vocabulary, prefix, ("file", "mrid")), unwritten

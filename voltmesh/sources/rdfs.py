@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .cimxml import PROPERTY
 from ..operators.vocabulary import Vocabulary
-
-BLOCK = r"(?s)(<rdf:Description\b[^>]*rdf:about\s*=\s*\"[^\"]*\"[^>]*>.*?</rdf:Description>)"
-
+from . import xmltokens as T
 
 def triples(docs: DataFrame) -> DataFrame:
     """bit, subject, predicate, resource, text of flat descriptions. ``docs``: bit, content."""
-    blocks = docs.select("bit", F.explode(F.regexp_extract_all("content", F.lit(BLOCK), 1)).alias("b"))
-    props = blocks.select("bit", F.regexp_extract("b", r"rdf:about\s*=\s*\"([^\"]*)\"", 1).alias("subject"), F.explode(F.regexp_extract_all(F.regexp_extract("b", r"(?s)^<[^>]*>(.*)</rdf:Description>$", 1), F.lit(f"({PROPERTY})".replace(r"\1:\2", r"\2:\3")), 1)).alias("p"))
-    local = lambda c: F.regexp_extract(c, r"([^#]*)$", 1)
-    return props.select("bit", local(F.col("subject")).alias("subject"), F.regexp_extract("p", r"^<[\w-]+:([\w.-]+)", 1).alias("predicate"), F.nullif(local(F.regexp_extract("p", r"rdf:resource\s*=\s*\"([^\"]*)\"", 1)), F.lit("")).alias("resource"), F.regexp_extract("p", r"(?s)^<[^>]*>(.*)</", 1).alias("text"))
+    found = T.nodes(T.cut_whole(docs.select(F.concat_ws(":", "bit", F.md5("content")).alias("file"), "content")))[0]
+    local = lambda c: F.nullif(F.regexp_extract(c, r"([^#]*)$", 1), F.lit(""))
+    subjects = found.where("level = 1").select("file", F.col("pos").alias("element"), local(T.attribute(F.col("tag"), "about")).alias("subject"))
+    props = found.where("level = 2").withColumn("element", F.element_at("up", 1)).join(subjects, ["file", "element"])
+    return props.select(F.substring_index("file", ":", 1).cast("int").alias("bit"), "subject", F.col("local").alias("predicate"), local(T.attribute(F.col("tag"), "resource")).alias("resource"), F.trim("text").alias("text"))
 
 
 def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tuple]) -> Vocabulary:
