@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
+from ..functions.ordered import islands
+from ..functions.shared import cut
 from .model import Model
 
+#: What the class of an object is called among its values while states are compared.
+CLASS = "\x00class"
 KEY = ("mrid", "attr", "kind", "value")
 
 
@@ -27,27 +31,30 @@ def scoped(m: Model, scope: int | None) -> DataFrame:
 
 
 def statements(base: Model, target: Model, scope: int | None = None) -> DataFrame:
-    """The statements that turn ``base`` into ``target``: a multiset difference for each attribute, both ways (H1-H3)."""
-    a, b = scoped(base, scope), scoped(target, scope)
-    # one count of each value on either side: a single shuffle for both directions
-    counted = a.withColumn("n", F.lit(-1)).unionByName(b.withColumn("n", F.lit(1))).groupBy(*KEY).agg(F.sum("n").alias("n")).where("n <> 0")
-    rows = counted.withColumns({"direction": F.when(F.col("n") > 0, "forward").otherwise("reverse"), "n": F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))}).drop("n")
-    classes = base.objects.select("mrid", F.col("class").alias("was")).join(target.objects.select("mrid", F.col("class").alias("now")), "mrid", "full_outer")
-    moved = classes.where("was <> now")
-    only_class = moved.join(rows.where("direction = 'forward'").select("mrid"), "mrid", "left_anti").select("mrid", F.lit("mRID").alias("attr"), F.lit("class").alias("kind"), F.col("now").alias("value"), F.lit("forward").alias("direction"))
+    """The statements that turn ``base`` into ``target``: a multiset difference for each attribute, both ways (H1-H3).
+
+    One signed count of values and classes over both states gives everything, so the states are shuffled once; it is settled, as small as
+    the difference, and the rest works on it.
+    """
+    classes_of = lambda m: m.objects.select("mrid", F.lit(CLASS).alias("attr"), F.lit("class").alias("kind"), F.col("class").alias("value"))
+    was, now = scoped(base, scope).unionByName(classes_of(base)), scoped(target, scope).unionByName(classes_of(target))
+    counted = cut(was.withColumn("n", F.lit(-1)).unionByName(now.withColumn("n", F.lit(1))).groupBy(*KEY).agg(F.sum("n").alias("n")).where("n <> 0"))
+    values = counted.where(F.col("attr") != CLASS)
+    rows = values.withColumns({"direction": F.when(F.col("n") > 0, "forward").otherwise("reverse"), "n": F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))}).drop("n")
+    # objects whose class is in both states have no row here
+    classes = counted.where(F.col("attr") == CLASS).groupBy("mrid").agg(F.max(F.when(F.col("n") < 0, F.col("value"))).alias("was"), F.max(F.when(F.col("n") > 0, F.col("value"))).alias("now"))
+    only_class = classes.where("was <> now").join(rows.where("direction = 'forward'").select("mrid"), "mrid", "left_anti").select("mrid", F.lit("mRID").alias("attr"), F.lit("class").alias("kind"), F.col("now").alias("value"), F.lit("forward").alias("direction"))
     named = rows.unionByName(only_class).join(classes, "mrid", "left")
     return named.select(
-        "direction", "mrid", *KEY[1:],
-        F.when(F.col("was").isNull() | F.col("now").isNull() | (F.col("was") != F.col("now")), F.when(F.col("direction") == "forward", F.col("now")).otherwise(F.coalesce("was", "now"))).alias("class"),
-        F.coalesce(F.col("was").isNull() & (F.col("direction") == "forward"), F.lit(False)).alias("defines"),
+        "direction", "mrid", *KEY[1:], F.when(F.col("direction") == "forward", F.col("now")).otherwise(F.coalesce("was", "now")).alias("class"),
+        (F.col("was").isNull() & F.col("now").isNotNull() & (F.col("direction") == "forward")).alias("defines"),
     )
 
 
-def counts(base: Model, found: DataFrame, target: Model) -> DataFrame:
-    """added, removed and changed objects: those with at least one statement."""
-    touched = found.select("mrid").distinct()
-    state = touched.join(base.objects.select("mrid", F.lit(True).alias("was")), "mrid", "left").join(target.objects.select("mrid", F.lit(True).alias("now")), "mrid", "left")
-    return state.agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("was").isNotNull() & F.col("now").isNotNull()).alias("changed"))
+def counts(found: DataFrame) -> DataFrame:
+    """added, removed and changed objects: those with at least one statement. An object is removed if it has a class to lose and nothing asserted."""
+    per = found.groupBy("mrid").agg(F.bool_or("defines").alias("added"), (~F.bool_or(F.col("direction") == "forward") & F.bool_or(F.col("class").isNotNull())).alias("removed"))
+    return per.agg(F.count_if("added").alias("added"), F.count_if("removed").alias("removed"), F.count_if(~F.col("added") & ~F.col("removed")).alias("changed"))
 
 
 def affected(found: DataFrame) -> DataFrame:
@@ -56,26 +63,68 @@ def affected(found: DataFrame) -> DataFrame:
 
 
 def statement_groups(found: DataFrame) -> DataFrame:
-    """Consecutive statements of one direction, subject and class, numbered as groups (B5). ``found`` has seq."""
-    w = Window.partitionBy("direction").orderBy("seq")
-    key = F.struct("mrid", F.coalesce("class", F.lit("")))
-    return found.withColumn("new", (F.coalesce(F.lag(key).over(w) != key, F.lit(True))).cast("int")).withColumn("group", F.sum("new").over(w)).drop("new")
+    """Consecutive statements of one direction, subject and class, numbered as groups within their direction (B5). ``found`` has seq."""
+    runs = islands(found, F.struct("direction", "mrid", F.coalesce("class", F.lit("")).alias("class")), "run", "direction", "seq")
+    first = runs.groupBy("direction").agg(F.min("run").alias("_first"))  # two rows
+    return runs.join(F.broadcast(first), "direction").withColumn("group", F.col("run") - F.col("_first") + 1).drop("run", "_first")
 
 
 def apply(base: Model, found: DataFrame) -> Model:
-    """``base`` with the statements applied: retract, retype, assert, then drop objects without values (H7-H9)."""
-    retract = found.where("direction = 'reverse' and kind <> 'class'").select(*KEY)
-    w = Window.partitionBy(*KEY).orderBy(F.lit(0))
-    numbered = base.slots.withColumn("value", value_text()).withColumn("n", F.row_number().over(w))
-    gone = retract.withColumn("n", F.row_number().over(w))
-    kept = numbered.join(gone, [*KEY, "n"], "left_anti").drop("n", "value")
-    asserted = found.where("direction = 'forward' and kind <> 'class'").select(
+    """``base`` with the statements applied: retract, retype, assert, then drop objects without values (H7-H9).
+
+    Values and statements meet in one shuffle by object and attribute. A retraction takes the first of equal values, by place and spelling;
+    asserted values come after those there, in the order of ``seq`` if ``found`` has it.
+    """
+    order = F.col("seq") if "seq" in found.columns else F.col("value")
+    values = found.where("kind <> 'class'").select(
         "mrid", "attr", F.lit(0).alias("ord"), "kind",
         F.when(F.col("kind") == "bool", F.col("value").try_cast("boolean")).alias("v_bool"), F.when(F.col("kind") == "int", F.col("value").try_cast("long")).alias("v_int"), F.when(F.col("kind") == "dbl", F.col("value").try_cast("double")).alias("v_dbl"),
         F.when(F.col("kind").isin("text", "enum"), F.col("value")).alias("v_text"), F.when(F.col("kind") == "ref", F.col("value")).alias("v_ref"), F.lit(None).cast("string").alias("lex"), F.lit(0).cast("long").alias("profiles"),
+        "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"),
     )
-    retype = found.where("class is not null and direction = 'forward'").groupBy("mrid").agg(F.first("class").alias("class"))
-    m, _ = base.with_(slots=kept).reclassify(retype)
+    held = base.slots.select(*values.columns[:11], value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
+    rows = held.unionByName(values).repartition("mrid", "attr")
+    equal = Window.partitionBy("mrid", "attr", "kind", "value")
+    told = rows.withColumns({"_gone": F.count_if(F.col("side") == 1).over(equal), "_n": F.row_number().over(equal.orderBy("side", "ord", "lex", "profiles", "at"))})
+    kept = told.where(((F.col("side") == 0) & (F.col("_n") > F.col("_gone"))) | (F.col("side") == 2))
+    slots = cut(kept.withColumn("ord", F.row_number().over(Window.partitionBy("mrid", "attr").orderBy("side", "ord", "at")) - 1).drop("_gone", "_n", "value", "side", "at"))
+    named = found.where("class is not null and direction = 'forward'")
+    retype = cut(named.groupBy("mrid").agg((F.min_by("class", "seq") if "seq" in found.columns else F.min("class")).alias("class")))
+    m = base.with_(slots=slots)
+    moved = retype.join(base.objects.select("mrid", F.col("class").alias("was")), "mrid").where("class <> was").drop("was")
+    if moved.limit(1).count():
+        m, _ = m.reclassify(moved)
     owner = m.vocabulary.attrs.select("attr", "owner")
-    created = asserted.select("mrid", "attr").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min("owner").alias("owner")).join(m.objects, "mrid", "left_anti").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(0).cast("long").alias("profiles"))
-    return m.with_(objects=m.objects.select("mrid", "class", "profiles").unionByName(created), slots=m.slots.unionByName(asserted)).prune_empty()
+    created = values.where("side = 2").select("mrid", "attr").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min("owner").alias("owner")).join(m.objects, "mrid", "left_anti").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(0).cast("long").alias("profiles"))
+    return m.with_(objects=m.objects.select("mrid", "class", "profiles").unionByName(created)).prune_empty()
+
+
+def statement_lines(found: DataFrame, m: Model, prefix: str = "cim") -> DataFrame:
+    """direction, seq and the text of each group of statements: consecutive ones of one subject and class share an element."""
+    from ..sources.cimxml import drawn
+
+    v = F.col("value")
+    kind = F.col("kind")
+    slots = found.where("kind <> 'class'").withColumns({
+        "ord": F.lit(0), "v_bool": F.when(kind == "bool", v.try_cast("boolean")), "v_int": F.when(kind == "int", v.try_cast("long")), "v_dbl": F.when(kind == "dbl", v.try_cast("double")),
+        "v_text": F.when(kind.isin("text", "enum"), v), "v_ref": F.when(kind == "ref", v), "lex": F.lit(None).cast("string"),
+    })
+    grouped = statement_groups(slots)
+    heads = grouped.groupBy("direction", "group", "mrid").agg(F.max("class").alias("class"), F.bool_or("defines").alias("introduces"), F.min("seq").alias("seq"))
+    objects = heads.withColumn("element", F.coalesce("class", F.lit("\x00")))
+    lines = drawn(objects, grouped, m.vocabulary, prefix, ("direction", "group", "mrid"))
+    described = F.replace("element", F.lit(f"{prefix}:\x00"), F.lit("rdf:Description"))
+    return lines.withColumn("element", described).join(heads.select("direction", "group", "seq"), ["direction", "group"]).select("direction", "seq", "element")
+
+
+def write(found: DataFrame, m: Model, path: str, header: dict, namespaces: dict[str, str], prefix: str = "cim") -> None:
+    """A difference model as one document in part files, reverse statements first (B5). ``found`` has seq."""
+    from ..sources import cimxml
+
+    lines = statement_lines(found, m, prefix).select(F.when(F.col("direction") == "reverse", 1).otherwise(3).alias("part"), F.col("seq").cast("long").alias("seq"), "element")
+    bound = {"rdf": cimxml.T.RDF, "md": cimxml.MD, "dm": cimxml.DM, **namespaces}
+    head = cimxml.header_text(header, kind="DifferenceModel").replace("md:DifferenceModel", "dm:DifferenceModel").rsplit("\n", 1)[0]
+    root = "".join(f' xmlns:{k}="{v}"' for k, v in bound.items())
+    frame = [(0, f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{root}>\n{head}\n<dm:reverseDifferences rdf:parseType="Statements">'), (2, '</dm:reverseDifferences>\n<dm:forwardDifferences rdf:parseType="Statements">'), (4, "</dm:forwardDifferences>\n  </dm:DifferenceModel>\n</rdf:RDF>")]
+    ends = found.sparkSession.createDataFrame([(p, 0, t) for p, t in frame], "part int, seq long, element string")
+    ends.unionByName(lines).orderBy("part", "seq").select("element").write.mode("overwrite").text(path)

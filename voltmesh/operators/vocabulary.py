@@ -5,6 +5,7 @@ Vocabularies have at most thousands of rows, whatever the size of the models, so
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,13 +41,15 @@ class Vocabulary:
         if known is not None:
             return known
         spark = self.classes.sparkSession
-        self.classes.createOrReplaceTempView("voltmesh_classes")
-        found = spark.sql("""
+        name = f"voltmesh_classes_{uuid.uuid4().hex}"  # of this call alone
+        self.classes.createOrReplaceTempView(name)
+        found = spark.sql(f"""
             WITH RECURSIVE up(class, ancestor, depth) AS (
-              SELECT class, class, 0 FROM voltmesh_classes
+              SELECT class, class, 0 FROM {name}
               UNION ALL
-              SELECT up.class, c.parent, up.depth + 1 FROM up JOIN voltmesh_classes c ON up.ancestor = c.class WHERE c.parent IS NOT NULL
+              SELECT up.class, c.parent, up.depth + 1 FROM up JOIN {name} c ON up.ancestor = c.class WHERE c.parent IS NOT NULL
             ) SELECT class, ancestor, depth FROM up""").toArrow()
+        spark.catalog.dropTempView(name)
         object.__setattr__(self, "_closure", spark.createDataFrame(found))
         return self.__dict__["_closure"]
 

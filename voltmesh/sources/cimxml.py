@@ -58,6 +58,11 @@ def documents(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> D
     return Documents.of(T.tokens(spark, path, glob))
 
 
+def parts(spark: SparkSession, path: str) -> Documents:
+    """Documents that were written here, as folders of part files."""
+    return Documents.of(T.part_tokens(spark, path))
+
+
 def zipped(spark: SparkSession, path: str) -> Documents:
     """Every XML entry of the zip archives under ``path``."""
     entries = cut(T.zip_entries(spark, path))

@@ -37,6 +37,14 @@ def tokens(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Data
     return rows.where(~F.col("file").isin(odd)).unionByName(cut_whole(whole))
 
 
+def part_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The same of documents that were written as part files: a folder is a document, its parts in name order."""
+    read = listed(spark, path, "part-*").option("lineSep", ">").text(path)
+    name = F.col("_metadata.file_path")
+    part = F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("long")
+    return read.select(F.regexp_extract(name, r"^(.*)/[^/]*$", 1).alias("file"), (F.shiftleft(part, 40) + F.col("_metadata.file_block_start")).alias("split"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit(">")).alias("value"))
+
+
 def cut_whole(docs: DataFrame) -> DataFrame:
     """The same rows from file and content."""
     return docs.select("file", F.lit(0).cast("long").alias("split"), F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("at", "value")).select("file", "split", F.col("at").cast("long").alias("at"), "value").where("value <> ''")
