@@ -402,6 +402,12 @@ def test_sharding(spark, odd, tmp_path):
     assert sorted(r.shard_docs for r in sharding.directory(sharding.assign(same, 1000)).collect()) == [5, 10, 10]
     sharding.write_shards(docs, f"file://{tmp_path}/shards", 60_000)
     assert spark.read.parquet(f"file://{tmp_path}/shards").count() == docs.count()
+    clash = same.withColumns({"shard": F.lit("mine"), "page": F.lit(7), "row_number": F.lit(1)}).unionByName(docs.withColumns({"shard": F.lit("x"), "page": F.lit(1), "row_number": F.lit(2)}))
+    sharding.write_shards(clash, f"file://{tmp_path}/clash", 1000)
+    back = spark.read.parquet(f"file://{tmp_path}/clash")
+    assert back.count() == clash.count() and {"shard", "page", "row_number", "_shard", "_page"} <= set(back.columns) and back.where("shard = 'mine' and page = 7").count() == 25
+    sizes = back.groupBy("_shard", "_page").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.count("*").alias("rows"))
+    assert sizes.where("n > 1000 and rows > 1").count() == 0  # the pages are those of the assignment
     assert sharding.assign(docs.limit(0)).count() == 0
 
 

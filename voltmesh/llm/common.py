@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, new_folder, remove_folder  # noqa: F401  used by the operators
+
 MASK64 = (1 << 64) - 1
 
 
@@ -19,35 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset, one under the warehouse, in local mode only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return shared.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``new_folder`` named, on whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared folder and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Broadcast ``df`` if its measured number of rows is within ``most``; otherwise leave the join to Spark."""
     return F.broadcast(df) if rows <= most else df
