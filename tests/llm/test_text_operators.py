@@ -508,3 +508,22 @@ def test_word_hashes():
     assert (a == b).all()
     (t,) = common.word_hashes([b"well!! said\n\nso,"], common.TOKENS)
     assert len(t) == 6
+
+
+def test_components(spark):
+    from voltmesh.llm import components
+
+    rng = np.random.default_rng(12)
+    star = [(5000, i) for i in range(1000, 1400)]  # a centre above its nodes
+    chain = [(i, i + 1) for i in range(100, 160)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(7000, 7200, (150, 2)) if a != b]
+    pairs = star + chain + loose + [(20, 1100), (5000, 5001)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for most in (10, 10**6):
+        assert {r.node: r.component for r in components.connected_components(edges, most_edges=most).collect()} == label
+    with pytest.raises(RuntimeError):
+        components.connected_components(edges, most_rounds=1)

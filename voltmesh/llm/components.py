@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut
 
+MOST_LISTED = 1000
 
-def join_least(edges: DataFrame, most_edges: int) -> DataFrame:
-    """``edges`` (u, v) with ``m``, the least of u and its neighbours.
 
-    The edges of a node with over ``most_edges`` of them are dealt over several tasks by a hash of v, and its row of the
-    least neighbours stands once for each; there are at most edges / ``most_edges`` such nodes.
-    """
-    least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-    hot = least.where(F.col("n") > most_edges).select("u", F.ceil(F.col("n") / most_edges).cast("int").alias("salts"))
-    n_hot = hot.count()
-    if not n_hot:
-        return edges.join(least.select("u", "m"), "u")
-    dealt = edges.join(small(hot, n_hot), "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    salts = F.when(F.col("n") > most_edges, F.sequence(F.lit(0), F.ceil(F.col("n") / most_edges).cast("int") - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+def hot_nodes(both: DataFrame, most_edges: int) -> DataFrame | None:
+    """u and salts, over how many tasks its edges are dealt, of the nodes with over ``most_edges`` edges; None without any. A short list is broadcast."""
+    found = both.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("u", F.ceil(F.col("n") / most_edges).cast("int").alias("salts"))
+    rows = found.limit(MOST_LISTED + 1).collect()
+    if not rows:
+        return None
+    return F.broadcast(both.sparkSession.createDataFrame(rows, "u long, salts int")) if len(rows) <= MOST_LISTED else found
+
+
+def join_least(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least of u and its neighbours; a hot node's edges are dealt by a hash of v, and its row of m stands once for each task."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if hot is None:
+        return edges.join(least, "u")
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = edges.join(hot, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"))
+    spread = least.join(hot, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(spread, ["u", "salt"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100, most_edges: int = 1000) -> DataFrame:
@@ -35,8 +41,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 100, most_edges: i
     before = None
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = join_least(both, most_edges).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        joined = join_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), most_edges)
+        hot = hot_nodes(both, most_edges)
+        large = join_least(both, hot).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        # a node has no more edges to smaller ones now than it had edges before, so the same nodes are hot
+        joined = join_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), hot)
         linked = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(joined.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
         now = cut(linked)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("b")).first()
