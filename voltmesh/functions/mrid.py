@@ -35,6 +35,11 @@ def is_conforming(mrid: Column) -> Column:
     return mrid["form"] == "uuid"
 
 
+def complaint(mrid: Column) -> Column:
+    """Why an identifier isn't conforming, in words; null if it is."""
+    return F.when(mrid["form"] == "compact", F.concat(F.lit("UUID without hyphens: "), mrid["written"])).when(mrid["form"] == "opaque", F.when(F.length(mrid["key"]) == 0, "empty identifier").otherwise(F.concat(F.lit("not a UUID: "), mrid["written"])))
+
+
 def rdf_id(mrid: Column) -> Column:
     return F.concat(F.lit("_"), mrid["written"])
 

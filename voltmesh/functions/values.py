@@ -116,6 +116,23 @@ def as_double(v_int: Column, v_dbl: Column) -> Column:
     return F.coalesce(v_dbl, v_int.cast("double"))
 
 
+def as_boolean(v_bool: Column) -> Column:
+    return v_bool
+
+
+def as_string(kind: Column, v_text: Column) -> Column:
+    return F.when(kind == "text", v_text)
+
+
+def as_enum(kind: Column, v_text: Column) -> Column:
+    return F.when(kind == "enum", v_text)
+
+
+def shape(kind: Column) -> Column:
+    """What a stored value is, in words."""
+    return F.when(kind == "bool", "a boolean").when(kind == "int", "an integer").when(kind == "dbl", "a number").when(kind == "ref", "a reference").when(kind == "enum", "an enumeration value").when(kind == "compound", "a compound").otherwise("a text")
+
+
 def fits(primitive: Column, kind: Column) -> Column:
     """May a value of this stored kind stand for the primitive?"""
     return F.when(primitive == "Boolean", kind == "bool").when(primitive == "Integer", kind == "int").when(primitive.isin("Float", "Decimal"), kind.isin("dbl", "int")).otherwise(kind == "text")

@@ -57,6 +57,25 @@ def counts(found: DataFrame) -> DataFrame:
     return per.agg(F.count_if("added").alias("added"), F.count_if("removed").alias("removed"), F.count_if(~F.col("added") & ~F.col("removed")).alias("changed"))
 
 
+def deletion_warning(found: DataFrame, most: int = 0) -> DataFrame:
+    """One row (severity, rule, n, message) if more than ``most`` objects lose all that they have: statements can't say that an object is gone (H5)."""
+    lost = counts(found).select(F.col("removed").alias("n")).where(F.col("n") > most)
+    return lost.select(F.lit("warning").alias("severity"), F.lit("structure").alias("rule"), "n", F.concat("n", F.lit(" objects lose all their values")).alias("message"))
+
+
+def inexpressible(m: Model) -> DataFrame:
+    """mrid and attr of the values that statements can't express: compounds (H4)."""
+    return m.slots.where("kind = 'compound' or contains(attr, '/')").select("mrid", F.substring_index("attr", "/", 1).alias("attr")).distinct()
+
+
+def derived_header(base_ids: list[str], content: str, created: str | None = None, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> dict:
+    """A difference's header: it supersedes the models it is against, each once, and its id is a name-based UUID over them or, without any, over the content (H6)."""
+    import uuid
+
+    superseded = list(dict.fromkeys(base_ids))
+    return {"id": f"urn:uuid:{uuid.uuid5(uuid.UUID(namespace), chr(10).join(superseded) or content)}", "version": "1", "supersedes": superseded, "created": created}
+
+
 def affected(found: DataFrame) -> DataFrame:
     """Subjects in order of first appearance; ``found`` has seq."""
     return found.groupBy("mrid").agg(F.min("seq").alias("first")).orderBy("first")

@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import mrid as M
 from .vocabulary import Vocabulary
 
 VALUES = ("kind", "v_bool", "v_int", "v_dbl", "v_text", "v_ref")
@@ -48,6 +49,27 @@ class Model:
         wide = picked.groupBy("mrid").agg(*(F.max(F.when(F.col("attr") == a, F.col(v))).alias(c) for c, (a, v) in columns.items()))
         return self.of_class(name).select("mrid", "class").join(wide, "mrid", "left")
 
+    def find(self, mrids: list[str]) -> DataFrame:
+        """Objects by identifier, however it is spelled."""
+        keys = self.objects.sparkSession.createDataFrame([(x,) for x in mrids], "written string").select(M.parse(F.col("written"))["key"].alias("mrid")).distinct()
+        return self.objects.join(F.broadcast(keys), "mrid", "left_semi")  # the caller's own list
+
+    def of_file(self, file_seq: int) -> DataFrame:
+        """Objects that a file names and that are still there (D3)."""
+        return self.objects.join(self.members.where(F.col("file_seq") == file_seq).select("mrid"), "mrid", "left_semi")
+
+    def field(self, attr: str, name: str) -> DataFrame:
+        """The values of one field of a compound."""
+        return self.values(f"{attr}/{name}")
+
+    def display(self) -> DataFrame:
+        """mrid, attr, ord and text of every value for people: a compound is ``{field=value, ...}``, its fields by name."""
+        text = F.coalesce("v_ref", "v_text", "lex", F.col("v_int").cast("string"), F.col("v_dbl").cast("string"), F.col("v_bool").cast("string"))
+        rows = self.slots.select("mrid", F.substring_index("attr", "/", 1).alias("attr"), F.when(F.col("attr").contains("/"), F.substring_index("attr", "/", -1)).alias("field"), "ord", text.alias("text"))
+        plain = rows.where("field is null").drop("field")
+        inner = rows.where("field is not null").groupBy("mrid", "attr").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "field", "text"))), ", "), F.lit("}")).alias("text"))
+        return plain.unionByName(inner.withColumn("ord", F.lit(0)).select("mrid", "attr", "ord", "text"))
+
     def values(self, attr: str) -> DataFrame:
         return self.slots.where(F.col("attr") == attr)
 

@@ -29,12 +29,49 @@ def triples(m: Model, scope: int, ns: str = "http://example.org/model#", base: s
     slots = m.in_profiles(scope)
     live = m.objects.join(slots.select("mrid").distinct(), "mrid", "left_semi")
     types = element_class(live, slots, m.vocabulary, scope).select("mrid", F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("element"))).alias("object"), F.lit(None).cast("string").alias("datatype"))
-    typed = with_terms(slots.join(F.broadcast(m.vocabulary.attrs.select("attr", "primitive")), "attr"), base, target="v_ref")
+    # a field of a compound stands in a blank node of its object and property
+    named = slots.withColumns({"root": F.substring_index("attr", "/", 1), "leaf": F.substring_index("attr", "/", -1)})
+    kinds = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive"))
+    typed = with_terms(named.join(kinds, "leaf"), base, target="v_ref")
     shown = F.coalesce("v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.when(F.col("lex").isNotNull() & V.is_lexical(F.col("lex"), F.col("primitive")), F.col("lex")).when(F.col("v_dbl").isNotNull(), V.canonical_float("v_dbl")))
     datatype = F.when(F.col("kind").isin("ref", "enum"), None).otherwise(V.xsd_datatype(F.col("primitive")))
     term = F.when(F.col("kind") == "ref", F.col("target")).when(F.col("kind") == "enum", R.iri(F.concat(F.lit(ns), F.col("v_text")))).otherwise(R.literal(shown, V.xsd_datatype(F.col("primitive"))))
-    values = typed.select("mrid", R.iri(F.concat(F.lit(ns), F.col("attr"))).alias("predicate"), term.alias("object"), datatype.alias("datatype"))
-    return with_terms(types.unionByName(values), base, subject="mrid").select("subject", "predicate", "object", "datatype")
+    inner = F.col("root") != F.col("leaf")
+    blank = F.concat(F.lit("_:c"), F.md5(F.concat_ws("/", "mrid", "root")))
+    values = typed.select("mrid", F.when(inner, blank).alias("node"), R.iri(F.concat(F.lit(ns), F.col("leaf"))).alias("predicate"), term.alias("object"), datatype.alias("datatype"))
+    holders = named.where(inner).select("mrid", "root").distinct().join(F.broadcast(m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("root"), F.col("target").alias("compound"))), "root")
+    none = F.lit(None).cast("string")
+    held = holders.select("mrid", none.alias("node"), R.iri(F.concat(F.lit(ns), F.col("root"))).alias("predicate"), blank.alias("object"), none.alias("datatype"))
+    typed_nodes = holders.select("mrid", blank.alias("node"), F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("compound"))).alias("object"), none.alias("datatype"))
+    every = types.withColumn("node", none).select("mrid", "node", "predicate", "object", "datatype").unionByName(values).unionByName(held).unionByName(typed_nodes)
+    return with_terms(every, base, subject="mrid").select(F.coalesce("node", "subject").alias("subject"), "predicate", "object", "datatype")
+
+
+#: The header's terms and what they are typed as.
+HEADER = "http://iec.ch/TC57/61970-552/ModelDescription/1#"
+HEADER_LITERALS = {"created": ("Model.created", "dateTime"), "scenario_time": ("Model.scenarioTime", "dateTime"), "version": ("Model.version", ""), "description": ("Model.description", "")}
+HEADER_REFERENCES = {"profiles": "Model.profile", "depends_on": "Model.DependentOn", "supersedes": "Model.Supersedes"}
+
+
+def header_triples(heads: DataFrame) -> DataFrame:
+    """subject, predicate, object of file headers: their type, typed literals, and references as IRIs."""
+    own = R.iri(F.col("id"))
+    row = lambda p, o: F.struct(p.alias("predicate"), o.alias("object"))
+    each = [F.array(row(F.lit(f"<{RDF_TYPE}>"), F.lit(f"<{HEADER}FullModel>")))]
+    each += [F.when(F.col(c).isNotNull(), F.array(row(F.lit(f"<{HEADER}{name}>"), R.literal(F.col(c), F.lit(kind))))).otherwise(F.array().cast("array<struct<predicate:string,object:string>>")) for c, (name, kind) in HEADER_LITERALS.items() if c in heads.columns]
+    references = lambda column, name: F.transform(column, lambda x: row(F.lit(f"<{HEADER}{name}>"), R.iri(x)))
+    each += [references(c, name) for c, name in HEADER_REFERENCES.items() if c in heads.columns]
+    return heads.where("id is not null").select(own.alias("subject"), F.inline(F.concat(*each)))
+
+
+def turtle_prologue(prefixes: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """The prefix lines of a Turtle document, and the prefixes that may abbreviate: names of the format's own and repeated namespaces are left out."""
+    own = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xsd": "http://www.w3.org/2001/XMLSchema#", "md": HEADER}
+    kept: dict[str, str] = {}
+    for name, iri in prefixes.items():
+        if name not in own and iri not in kept.values() and iri not in own.values():
+            kept[name] = iri
+    return "".join(f"@prefix {k}: <{v}> .\n" for k, v in {**own, **kept}.items()), kept
 
 
 def lines(found: DataFrame) -> DataFrame:

@@ -138,17 +138,33 @@ def dependencies(h: DataFrame) -> DataFrame:
 
 
 def coverage(m: Model) -> DataFrame:
-    """profile bit, objects, values and missing required values."""
-    used = F.broadcast(m.vocabulary.attrs.select("attr", "used_in"))
-    spread = m.slots.join(used, "attr").select("mrid", F.explode(P.bits(P.effective(F.col("profiles"), F.col("used_in")))).alias("bit"))
-    return spread.groupBy("bit").agg(F.countDistinct("mrid").alias("objects"), F.count("*").alias("values"))
+    """bit of each profile, its objects, values, and required values that are missing in it."""
+    used = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_root"), "used_in"))
+    spread = m.slots.withColumn("_root", F.substring_index("attr", "/", 1)).join(used, "_root").select("mrid", F.explode(P.bits(P.effective(F.col("profiles"), F.col("used_in")))).alias("bit"))
+    here = spread.groupBy("bit").agg(F.countDistinct("mrid").alias("objects"), F.count("*").alias("values"))
+    lacking = missing_required(m).join(F.broadcast(m.vocabulary.attrs.select("attr", "used_in")), "attr").select(F.explode(P.bits(F.col("used_in"))).alias("bit")).groupBy("bit").agg(F.count("*").alias("missing"))
+    return here.join(lacking, "bit", "full_outer").select("bit", F.coalesce("objects", F.lit(0)).alias("objects"), F.coalesce("values", F.lit(0)).alias("values"), F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+def conflicting(raw: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Values of single-valued attributes that a later file replaced by others."""
+    from .model import conflicts
+
+    text = lambda v: F.coalesce(v["v_ref"], v["v_text"], v["v_int"].cast("string"), v["v_dbl"].cast("string"), v["v_bool"].cast("string"))
+    return finding(conflicts(raw, vocabulary), "warning", "conflicting-value", F.concat_ws(" replaces ", text(F.col("kept")), text(F.col("discarded"))), F.col("attr"))
+
+
+def rendered(findings: DataFrame) -> DataFrame:
+    """Findings as lines: severity[rule] mrid attr: message."""
+    return findings.select(F.concat(F.col("severity"), F.lit("["), F.col("rule"), F.lit("] "), F.concat_ws(" ", "mrid", "attr"), F.lit(": "), F.col("message")).alias("line"))
 
 
 @dataclass(frozen=True)
 class Options:
     rules: tuple[Callable[[Model], DataFrame], ...] = (class_membership, identifier_form, dangling, missing_required, cardinality, wrong_target, not_in_profile, abstract_class, datatype, fixed_value, illegal_character, unwritable_identifier)
-    most: int = 10_000
+    most: int = 0  # the most findings, the worst first (0: all)
     severities: dict = field(default_factory=lambda: {"error": 0, "warning": 1, "info": 2})
+    scope: int = ALL_PROFILES
 
     @staticmethod
     def essential() -> Options:
@@ -158,15 +174,29 @@ class Options:
     def thorough() -> Options:
         return Options(rules=(*Options().rules, deprecated))
 
+    @staticmethod
+    def for_profiles(scope: int) -> Options:
+        """The default rules, with required values looked for in a profile set only."""
+        return Options(scope=scope)
+
 
-def validate(m: Model, options: Options | None = None) -> DataFrame:
-    """All findings of the chosen rules, as one table."""
+def validate(m: Model, options: Options | None = None, heads: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """All findings of the chosen rules, as one table: those of headers and of conflicting values too, if they are given (K0)."""
     options = options or Options()
-    out = None
-    for rule in options.rules:
-        found = rule(m)
-        out = found if out is None else out.unionByName(found)
-    return out
+    parts = [] if heads is None else [headers(heads), dependencies(heads)]
+    parts += [] if raw is None else [conflicting(raw, m.vocabulary)]
+    parts += [missing_required(m, options.scope) if rule is missing_required else rule(m) for rule in options.rules]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    if not options.most:
+        return out
+    rank = F.create_map(*[F.lit(x) for kv in options.severities.items() for x in kv])
+    return out.orderBy(F.coalesce(F.try_element_at(rank, F.col("severity")), F.lit(9)), "rule", "mrid", "attr", "message").limit(options.most)
+
+
+def by_rule(findings: DataFrame, rule: str) -> DataFrame:
+    return findings.where(F.col("rule") == RULES.get(rule, rule))
 
 
 def summary(findings: DataFrame) -> DataFrame:

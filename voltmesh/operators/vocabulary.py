@@ -68,6 +68,19 @@ class Vocabulary:
         label = F.substring_index("attr", ".", -1)
         return self.class_attrs().groupBy("class", label.alias("label")).agg(F.min_by("attr", "depth").alias("attr"))
 
+    def find_classes(self, names: DataFrame) -> DataFrame:
+        """``names`` (name, and ns or null for any) with class and its namespace."""
+        known = self.classes.select("class", F.col("ns").alias("class_ns"))
+        return names.join(F.broadcast(known), (F.col("name") == F.col("class")) & (F.col("ns").isNull() | (F.col("ns") == F.col("class_ns"))))
+
+    def find_literals(self, names: DataFrame) -> DataFrame:
+        """``names`` (enum, literal) with the namespaces that have such a value."""
+        return names.join(F.broadcast(self.literals), ["enum", "literal"])
+
+    def by_keyword(self, keyword: str) -> DataFrame:
+        """The profile of a keyword, in any case."""
+        return self.profiles.where(F.lower("profile") == keyword.lower())
+
     def resolve_iris(self, iris: DataFrame, column: str = "iri") -> DataFrame:
         """``iris`` with ``bit``: the profile of that IRI, exactly, by alias, or by its stem without the version, in this order."""
         p = self.profiles

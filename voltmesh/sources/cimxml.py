@@ -120,6 +120,27 @@ def file_masks(headers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return each.where("bit is not null").groupBy("file").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("profiles"))
 
 
+def present_profiles(heads: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """profile and bit of every profile that some header declares."""
+    bits = vocabulary.resolve_iris(heads.select(F.explode("profiles").alias("iri"))).where("bit is not null").select("bit").distinct()
+    return vocabulary.profiles.select("profile", "bit").join(F.broadcast(bits), "bit")
+
+
+def primary_profile(heads: DataFrame) -> DataFrame:
+    """file and the name of its first profile: what stands before the version in its IRI."""
+    first = F.try_element_at("profiles", F.lit(1))
+    return heads.select("file", F.regexp_extract(first, r"([^/#]+)/[^/]*$", 1).alias("name"))
+
+
+def safe_names(wanted: DataFrame) -> DataFrame:
+    """``wanted`` (file, name) with output, a name that stays in its folder and that no other file has: the last part of the name, and a number from the second on."""
+    last = F.regexp_extract(F.regexp_replace("name", r"\\", "/"), r"([^/]*)/*$", 1)
+    plain = F.when(last.isin("", ".", ".."), "document.xml").otherwise(last)
+    n = F.row_number().over(Window.partitionBy("plain").orderBy("file"))
+    stem, end = F.regexp_extract("plain", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("plain", r"^(.*?)(\.[^.]*)?$", 2)
+    return wanted.withColumn("plain", plain).withColumn("n", n).withColumn("output", F.when(F.col("n") == 1, F.col("plain")).otherwise(F.concat(stem, F.lit("_"), "n", end))).drop("plain", "n")
+
+
 def identity() -> tuple[Column, Column]:
     """What an element is written as (its rdf:ID, its rdf:about, or a made-up name), and whether it has neither."""
     written = F.coalesce(T.attribute(F.col("tag"), "ID"), T.attribute(F.col("tag"), "about"))

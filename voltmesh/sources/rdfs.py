@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.shared import cut
 from ..operators.vocabulary import Vocabulary
 from . import xmltokens as T
 
@@ -18,9 +22,46 @@ def triples(docs: DataFrame) -> DataFrame:
     return props.select(F.substring_index("file", ":", 1).cast("int").alias("bit"), "subject", F.col("local").alias("predicate"), local(T.attribute(F.col("tag"), "resource")).alias("resource"), F.trim("text").alias("text"))
 
 
-def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tuple]) -> Vocabulary:
+@dataclass(frozen=True)
+class Vintage:
+    """What a vintage of a vocabulary is made of: its namespace, the files of each profile's bit, profiles, and the stereotypes it claims."""
+
+    name: str
+    ns: str
+    files: dict[int, str]
+    profiles: list[tuple]  # profile, bit, iri, aliases
+    claimed: tuple[str, ...] = ()
+    residual: bool = False
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        read = [spark.read.text(path, wholetext=True).select(F.lit(bit).alias("bit"), F.col("value").alias("content")) for bit, path in self.files.items()]
+        return reduce(DataFrame.unionByName, read)
+
+    def vocabulary(self, spark: SparkSession) -> Vocabulary:
+        return vocabulary(spark, self.documents(spark), self.ns, self.profiles, self.claimed, self.residual)
+
+
+def accepted(found: DataFrame, claimed: tuple[str, ...], residual: bool) -> DataFrame:
+    """The triples of a vocabulary that shares its files with another: subjects with a claimed stereotype or, if it is the ``residual`` one, all others (M2)."""
+    if not claimed:
+        return found
+    theirs = found.where((F.col("predicate") == "stereotype") & F.coalesce("resource", "text").isin(*claimed)).select("subject").distinct()
+    return found.join(theirs, "subject", "left_anti" if residual else "left_semi")
+
+
+def finished(classes: DataFrame) -> DataFrame:
+    """Classes whose parents are known, or roots, and that no profile defines where a class below them is only described (M6, M7)."""
+    known = F.broadcast(classes.select(F.col("class").alias("parent"), F.lit(True).alias("_known")))
+    rooted = cut(classes.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"))
+    plain = rooted.drop("described_in")
+    up = Vocabulary(plain, plain, plain, plain).closure().where("depth > 0").join(F.broadcast(rooted.select("class", "described_in")), "class")
+    cleared = up.groupBy(F.col("ancestor").alias("class")).agg(F.bit_or("described_in").alias("_below"))
+    return plain.join(F.broadcast(cleared), "class", "left").withColumn("defined_in", F.col("defined_in").bitwiseAND(F.bitwise_not(F.coalesce("_below", F.lit(0).cast("long"))))).select(*plain.columns)
+
+
+def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tuple], claimed: tuple[str, ...] = (), residual: bool = False) -> Vocabulary:
     """Classes, attributes and literals, or-ing the profiles that describe each (M1-M9)."""
-    t = triples(docs)
+    t = accepted(triples(docs), claimed, residual)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     pick = lambda name, column: F.max(F.when(F.col("predicate") == name, F.col(column)))
     about = t.groupBy("subject").agg(
@@ -38,7 +79,8 @@ def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tup
     datatypes = kinds.where(has("CIMDatatype") | has("Primitive")).select("subject")
     compounds = kinds.where(has("Compound")).select("subject")
     plain = kinds.join(F.broadcast(enums.union(datatypes)), "subject", "left_anti")
-    classes = plain.select(F.col("subject").alias("class"), F.lit(ns).alias("ns"), "parent", (F.col("concrete_in") != 0).alias("concrete"), "profiles", (F.col("typed_in").bitwiseAND(F.bitwise_not("described_in"))).alias("defined_in"), "concrete_in", has("deprecated").alias("deprecated"))
+    classes = plain.select(F.col("subject").alias("class"), F.lit(ns).alias("ns"), "parent", (F.col("concrete_in") != 0).alias("concrete"), "profiles", (F.col("typed_in").bitwiseAND(F.bitwise_not("described_in"))).alias("defined_in"), "concrete_in", has("deprecated").alias("deprecated"), "described_in")
+    classes = finished(classes)
     m = V.multiplicity(F.concat(F.lit("M:"), F.regexp_extract("multiplicity", r"M:(.*)$", 1)))
     tagged = lambda df, name: F.broadcast(df.select(F.col("subject").alias("range"), F.lit(True).alias(name)))
     props = about.where("type = 'Property'").join(tagged(enums, "_enum"), "range", "left").join(tagged(compounds, "_compound"), "range", "left")
