@@ -359,13 +359,13 @@ def report_capped(spark, sf):
 
 _HEX = "md5('customer:' || c_custkey)"
 _UUID = f"(substr({_HEX},1,8) || '-' || substr({_HEX},9,4) || '-' || substr({_HEX},13,4) || '-' || substr({_HEX},17,4) || '-' || substr({_HEX},21))"
-_SPELLED = f"select c_custkey, case c_custkey % 6 when 0 then '_' || {_UUID} when 1 then '#_' || upper({_UUID}) when 2 then 'urn:uuid:' || {_UUID} when 3 then {_HEX} when 4 then 'http://host/EQ.xml#_' || {_UUID} else ' Substation ' || c_custkey end as s, {_UUID} as u from customer"
+_SPELLED = f"select c_custkey, case c_custkey % 6 when 0 then '_' || {_UUID} when 1 then '#_' || upper({_UUID}) when 2 then 'urn:uuid:' || {_UUID} when 3 then {_HEX} when 4 then 'https://grid.example.net/north.xml#_' || {_UUID} else ' Depot ' || c_custkey end as s, {_UUID} as u from customer"
 
 
 def _spelled(spark, sf):
     k, u = F.col("c_custkey"), M.hyphenated(F.md5(F.concat(F.lit("customer:"), F.col("c_custkey"))))
     bare = F.md5(F.concat(F.lit("customer:"), k))
-    s = F.when(k % 6 == 0, F.concat(F.lit("_"), u)).when(k % 6 == 1, F.concat(F.lit("#_"), F.upper(u))).when(k % 6 == 2, F.concat(F.lit("urn:uuid:"), u)).when(k % 6 == 3, bare).when(k % 6 == 4, F.concat(F.lit("http://host/EQ.xml#_"), u)).otherwise(F.concat(F.lit(" Substation "), k))
+    s = F.when(k % 6 == 0, F.concat(F.lit("_"), u)).when(k % 6 == 1, F.concat(F.lit("#_"), F.upper(u))).when(k % 6 == 2, F.concat(F.lit("urn:uuid:"), u)).when(k % 6 == 3, bare).when(k % 6 == 4, F.concat(F.lit("https://grid.example.net/north.xml#_"), u)).otherwise(F.concat(F.lit(" Depot "), k))
     return t(spark, sf, "customer").select("c_custkey", s.alias("s"))
 
 
@@ -485,7 +485,7 @@ def absolute_iri(spark, sf):
 @query("select p_partkey, case p_partkey % 4 when 0 then 'name' when 1 then 'iri' else 'unwritable' end as form from part")
 def identifier_form(spark, sf):
     k = F.col("p_partkey")
-    s = F.when(k % 4 == 0, F.concat(F.lit("Part-"), k)).when(k % 4 == 1, F.concat(F.lit("http://host/x#"), k)).when(k % 4 == 2, F.concat(F.lit("has space "), k)).otherwise("a#b#c")
+    s = F.when(k % 4 == 0, F.concat(F.lit("Part-"), k)).when(k % 4 == 1, F.concat(F.lit("https://grid.example.net/x#"), k)).when(k % 4 == 2, F.concat(F.lit("two words "), k)).otherwise("p#q#r")
     return t(spark, sf, "part").select("p_partkey", X.identifier_form(s).alias("form"))
 
 
