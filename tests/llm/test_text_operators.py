@@ -118,7 +118,8 @@ def test_piece_dropout(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     docs = odd.unionByName(documents(spark).select("doc_id", "text"))
     for r in piece_dropout.encode(docs, model, dropout=0.0).collect():
-        assert r.ids == (None if r.text is None else sp.encode(r.text.replace("▁", "")) if "▁" not in (r.text or "") else r.ids)
+        if "▁" not in (r.text or ""):  # the library makes a space of it; here it stays itself, which the round trip below holds
+            assert r.ids == (None if r.text is None else sp.encode(r.text))
     varied = piece_dropout.decode(piece_dropout.encode(docs, model, dropout=0.3), model).collect()
     assert all(r.decoded == r.text for r in varied)
     again = piece_dropout.encode(docs.repartition(3), model, dropout=0.3).collect()
@@ -249,6 +250,68 @@ def test_isolation_forest_finds_outliers():
     assert quality_rules.anomaly(x[:500], forest).mean() + 0.1 < quality_rules.anomaly(np.full((1, 4), 8.0), forest)[0]
 
 
+def test_path_lengths_equal_plain_walks():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    forest = quality_rules.grow_forest(x, trees=20, subsample=64, seed=3)
+    f, v, c, d = (forest[k] for k in ("feature", "value", "child", "depth"))
+    for row, score in zip(x[:50], quality_rules.anomaly(x[:50], forest)):
+        total = 0.0
+        for root in forest["roots"]:
+            at = int(root)
+            while f[at] >= 0:
+                at = int(c[at]) + int(row[f[at]] > v[at])
+            total += d[at]
+        assert abs(score - 2.0 ** (-total / 20 / float(forest["norm"]))) < 1e-12
+    # a leaf's length is its depth and what an unsplit rest would add: no leaf is deeper than the tree's height allows
+    assert d[f < 0].max() <= int(forest["top"]) + 2 * (np.log(63) + 0.5772156649015329)
+    # the cut keeps the share of good rows that is asked for, and is the one with the largest gain there
+    bins = [(100 + i, 10, 0) for i in range(90)] + [(400, 95, 5), (700, 5, 60), (900, 0, 35)]
+    cut_at = quality_rules.calibrated_cut(bins, 0.99)
+    assert 0.4 < cut_at <= 0.701
+
+
+def test_ordinal_fit_equals_plain_descent():
+    rng = np.random.default_rng(9)
+    n, width = 300, 12
+    x = np.abs(rng.normal(size=(n, width))) * (rng.random((n, width)) < 0.4)
+    z = x @ rng.normal(size=width) * 2
+    grades = np.digitize(z + rng.logistic(size=n), [-0.5, 0.7])
+    rows, cols = np.nonzero(x)
+    w, first, gap = quality_classifier.descend(rows, cols, x[rows, cols], width, grades, 1e-3, 4000)
+
+    def loss(w, first, gap):
+        return quality_classifier.loss_and_slopes(x @ w, grades, first, gap)[0] + 1e-3 * np.abs(w).sum()
+
+    best = loss(w, first, gap)
+    # plain gradient descent, then no step in any direction helps either
+    pw, pf, pg = np.zeros(width), 0.0, 1.0
+    for k in range(20_000):
+        _, gz, low, high = quality_classifier.loss_and_slopes(x @ pw, grades, pf, pg)
+        step = 0.2 if k < 15_000 else 0.02
+        pw = pw - step * (x.T @ gz / n + 1e-3 * np.sign(pw))
+        pf, pg = pf - step * (low + high).mean(), max(pg - step * high.mean(), 1e-3)
+    assert best <= loss(pw, pf, pg) + 1e-5
+    for k in range(width):
+        for e in (-0.01, 0.01):
+            other = w.copy()
+            other[k] += e
+            assert loss(other, first, gap) >= best - 1e-9
+    assert all(loss(w, first + a, gap + b) >= best - 1e-9 for a, b in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+
+
+def test_quality_classifier_clashing_names_and_ties(spark):
+    texts = [(i, f"fine words stand here number {i}", 9, 9.0) for i in range(12)] + [(100 + i, f"trash words stand here number {i}", 9, 9.0) for i in range(12)] + [(200, "fine words", 1, 1.0), (201, "fine words", 2, 2.0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, judged int, _judged double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(100 + i, 0, 0) for i in range(12)] + [(3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality_classifier.quality_classifier(docs, labels, bits=16)
+    assert out.columns == [*docs.columns, "expected_grade", "p_tail", "keep"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(rows[i].keep for i in range(12)) and not any(rows[100 + i].keep for i in range(12))
+    assert rows[200].p_tail == rows[201].p_tail and (rows[200].judged, rows[201]._judged) == (1, 2.0)
+    assert quality_classifier.quality_classifier(docs.limit(0), labels, bits=16).count() == 0
+
+
 def test_quality_classifier(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -257,7 +320,8 @@ def test_quality_classifier(spark, odd):
     assert model["thresholds"][0] < model["thresholds"][1]
     judged = quality_classifier.score(docs, model).join(held_out.withColumn("good", quality_classifier.grade_column() == 2), "doc_id").collect()
     right = np.mean([r.keep == r.good for r in judged])
-    assert right > 0.8 and all(0 <= r.p_tail <= 1 and r.p_tail <= r.expected_grade <= 2 for r in judged)
+    poor = [r.keep for r in judged if r.quality == 0]
+    assert right > 0.9 and np.mean(poor) < 0.1 and np.mean([r.keep for r in judged if r.good]) > 0.95 and all(0 <= r.p_tail <= 1 and r.p_tail <= r.expected_grade <= 2 for r in judged)
     rows = quality_classifier.score(odd.withColumn("keep", odd.doc_id), model).collect()
     assert len(rows) == len(ODD) and all(r.keep is False for r in rows if not (r.text or "").strip())
     assert quality_classifier.quality_classifier(odd, labels.limit(0)).where("keep").count() > 0
