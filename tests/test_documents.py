@@ -160,3 +160,16 @@ def test_stream_of_changes(spark, vocabulary, loaded, tmp_path):
     spark.createDataFrame([gone, row], changes.STATEMENTS).coalesce(1).write.parquet(f"{base}/in")
     changes.apply_stream(spark, vocabulary, f"{base}/in", f"{base}/store", f"{base}/check").awaitTermination()
     assert [r.v_text for r in changes.load(spark, vocabulary, f"{base}/store", 0).values("Item.label").collect()] == ["new"]
+
+
+def test_rules_together_equal_rules_alone(spark, vocabulary, loaded):
+    model = loaded[0]
+    odd = [(PUMP, "Tank.depth", 0, "text", None, None, None, "x\x01y", None, None, 1), (TANK, "Item.label", 0, "int", None, 5, None, None, None, None, 1), (PORT, "Port.Device", 1, "ref", None, None, None, None, PORT, None, 1), (PORT, "Port.Device", 2, "ref", None, None, None, None, "nowhere", None, 1)]
+    m = model.with_(slots=model.slots.unionByName(spark.createDataFrame(odd, model.slots.schema)), objects=model.objects.unionByName(spark.createDataFrame([("a b", "Device", 1), ("x", "Item", 1)], model.objects.schema)))
+    options = K.Options()
+    alone = [tuple(r) for rule in options.rules for r in rule(m).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, K.validate(m, options).collect()), key=key) == sorted(alone, key=key)
+    assert {"CIM0002", "CIM0004", "CIM0006", "CIM0009", "CIM0011", "CIM0016", "CIM0019", "CIM0020"} <= {r[1] for r in alone}
+    few = K.validate(m, K.Options(most=3)).collect()
+    assert len(few) == 3 and {r.severity for r in few} == {"error"}

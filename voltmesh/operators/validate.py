@@ -89,9 +89,14 @@ def deprecated(m: Model) -> DataFrame:
     return classes.union(finding(attrs, "info", "deprecated", F.col("attr"), F.col("attr")))
 
 
+def fitting() -> Column:
+    """Whether a stored kind is the declared one."""
+    return F.when(F.col("declared").isin("ref", "enum", "compound"), F.col("declared") == F.col("kind")).when(F.col("primitive") == "Boolean", F.col("kind") == "bool").when(F.col("primitive") == "Integer", F.col("kind") == "int").when(F.col("primitive").isin("Float", "Decimal"), F.col("kind").isin("dbl", "int")).otherwise(F.col("kind") == "text")
+
+
 def datatype(m: Model) -> DataFrame:
     """Values whose stored kind isn't the declared one."""
-    want = F.when(F.col("declared").isin("ref", "enum", "compound"), F.col("declared") == F.col("kind")).when(F.col("primitive") == "Boolean", F.col("kind") == "bool").when(F.col("primitive") == "Integer", F.col("kind") == "int").when(F.col("primitive").isin("Float", "Decimal"), F.col("kind").isin("dbl", "int")).otherwise(F.col("kind") == "text")
+    want = fitting()
     bad = m.slots.join(F.broadcast(m.vocabulary.attrs.select("attr", F.col("kind").alias("declared"), "primitive")), "attr").where(~want)
     return finding(bad, "error", "datatype", F.concat_ws(" for ", "kind", F.coalesce("primitive", "declared")), F.col("attr"))
 
@@ -159,6 +164,51 @@ def rendered(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat(F.col("severity"), F.lit("["), F.col("rule"), F.lit("] "), F.concat_ws(" ", "mrid", "attr"), F.lit(": "), F.col("message")).alias("line"))
 
 
+def value_findings(m: Model, rules: set) -> DataFrame:
+    """``class_membership``, ``datatype``, ``fixed_value`` and ``illegal_character`` in one pass: values meet their attribute's row and their object's class once."""
+    attrs = F.broadcast(m.vocabulary.attrs.select("attr", F.col("kind").alias("declared"), "primitive", "fixed", F.lit(True).alias("known")))
+    owned = F.broadcast(m.vocabulary.class_attrs().groupBy("attr").agg(F.collect_set("class").alias("owners")))
+    rows = m.slots.where("not contains(attr, '/')").join(attrs, "attr", "left").join(owned, "attr", "left").join(m.objects.select("mrid", "class"), "mrid", "left")
+    shown = F.coalesce("lex", "v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"))
+    none = F.lit(None).cast("struct<severity:string,rule:string,message:string>")
+    told = lambda rule, when, severity, name, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(RULES[name]).alias("rule"), message.alias("message"))) if rule in rules else none
+    checks = F.array(
+        told(class_membership, F.col("class").isNotNull() & ~F.coalesce(F.array_contains("owners", F.col("class")), F.lit(False)), "error", "class-membership", F.concat(F.col("class"), F.lit(" has no "), F.col("attr"))),
+        told(datatype, F.col("known") & ~fitting(), "error", "datatype", F.concat_ws(" for ", "kind", F.coalesce("primitive", "declared"))),
+        told(fixed_value, (F.col("fixed") != "") & (shown != F.col("fixed")), "warning", "fixed-value", F.concat_ws(" is not ", shown, "fixed")),
+        told(illegal_character, F.col("v_text").isNotNull() & X.has_illegal(F.col("v_text")), "error", "illegal-character", F.concat(F.lit("at byte "), X.illegal_offset(F.col("v_text")))),
+    )
+    return rows.select("mrid", "attr", F.inline(F.filter(checks, lambda x: x.isNotNull()))).select("severity", "rule", "mrid", "attr", "message")
+
+
+def object_findings(m: Model, rules: set) -> DataFrame:
+    """``identifier_form``, ``abstract_class`` and ``unwritable_identifier`` in one pass over the objects."""
+    abstract = F.broadcast(m.vocabulary.classes.where("not concrete").select("class", F.lit(True).alias("abstract")))
+    rows = m.objects.join(abstract, "class", "left")
+    none = F.lit(None).cast("struct<severity:string,rule:string,message:string>")
+    told = lambda rule, when, severity, name, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(RULES[name]).alias("rule"), message.alias("message"))) if rule in rules else none
+    checks = F.array(
+        told(identifier_form, ~M.is_conforming(M.parse(F.col("mrid"))), "warning", "identifier-form", F.col("mrid")),
+        told(abstract_class, F.col("abstract"), "error", "abstract-class", F.col("class")),
+        told(unwritable_identifier, X.identifier_form(F.col("mrid")) == "unwritable", "error", "unwritable-identifier", F.col("mrid")),
+    )
+    return rows.select("mrid", F.lit(None).cast("string").alias("attr"), F.inline(F.filter(checks, lambda x: x.isNotNull()))).select("severity", "rule", "mrid", "attr", "message")
+
+
+def reference_findings(m: Model, rules: set) -> DataFrame:
+    """``dangling`` and ``wrong_target`` from one join of references with the objects they name."""
+    up = m.vocabulary.closure()
+    related = F.broadcast(up.select(F.col("class").alias("target_class"), F.col("ancestor").alias("declared")).union(up.select("ancestor", "class")).distinct().withColumn("related", F.lit(True)))
+    declared = F.broadcast(m.vocabulary.attrs.where("target is not null").select("attr", F.col("target").alias("declared")))
+    refs = m.references().join(m.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class")), "target", "left").join(declared, "attr", "left").join(related, ["target_class", "declared"], "left")
+    missing = refs["target_class"].isNull()
+    wrong = ~missing & F.col("declared").isNotNull() & F.col("related").isNull()
+    keep = F.lit(False)
+    keep = keep | missing if dangling in rules else keep
+    keep = keep | wrong if wrong_target in rules else keep
+    return refs.where(keep).select(F.when(missing, "warning").otherwise("error").alias("severity"), F.when(missing, RULES["dangling-reference"]).otherwise(RULES["wrong-target"]).alias("rule"), "mrid", "attr", F.when(missing, F.col("target")).otherwise(F.concat_ws(" is no ", "target_class", "declared")).alias("message"))
+
+
 @dataclass(frozen=True)
 class Options:
     rules: tuple[Callable[[Model], DataFrame], ...] = (class_membership, identifier_form, dangling, missing_required, cardinality, wrong_target, not_in_profile, abstract_class, datatype, fixed_value, illegal_character, unwritable_identifier)
@@ -180,12 +230,26 @@ class Options:
         return Options(scope=scope)
 
 
+VALUE_RULES = {class_membership, datatype, fixed_value, illegal_character}
+OBJECT_RULES = {identifier_form, abstract_class, unwritable_identifier}
+REFERENCE_RULES = {dangling, wrong_target}
+
+
 def validate(m: Model, options: Options | None = None, heads: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
     """All findings of the chosen rules, as one table: those of headers and of conflicting values too, if they are given (K0)."""
     options = options or Options()
     parts = [] if heads is None else [headers(heads), dependencies(heads)]
     parts += [] if raw is None else [conflicting(raw, m.vocabulary)]
-    parts += [missing_required(m, options.scope) if rule is missing_required else rule(m) for rule in options.rules]
+    # rules over the same rows are judged in one pass
+    left = list(options.rules)
+    for together, judge in ((VALUE_RULES, value_findings), (OBJECT_RULES, object_findings), (REFERENCE_RULES, reference_findings)):
+        some = together.intersection(left)
+        if some:
+            parts.append(judge(m, some))
+            left = [r for r in left if r not in some]
+    if class_membership in options.rules and m.vocabulary.attrs.where("kind = 'compound'").limit(1).count():
+        parts.append(class_membership(m.with_(slots=m.slots.where("contains(attr, '/')"))))  # fields of compounds
+    parts += [missing_required(m, options.scope) if rule is missing_required else rule(m) for rule in left]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
