@@ -45,9 +45,9 @@ t = star.table
  join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1""")
 def region_revenue(spark, sf):
     """Five references followed in a row, then a sum."""
-    m = star.model(spark, sf, ("region", "nation", "customer", "orders", "lineitem"), ["Thing.name", "Nation.Region", "Party.Nation", "Order.Customer", "LineItem.Order", "LineItem.amount"])
+    m = star.model(spark, sf, ("region", "nation", "customer", "orders"), ["Thing.name", "Nation.Region", "Party.Nation", "Order.Customer"])
     step = lambda attr, a, b: m.values(attr).select(F.col("mrid").alias(a), F.col("v_ref").alias(b))
-    # lines keep no identity of their own in the table, so amount and order are read from one row
+    # lines have no key of their own, so as objects they would fall together: their order and amount are taken from one row, and summed by order before any join
     lines = t(spark, sf, "lineitem").select(F.expr("concat('orders:', l_orderkey)").alias("order"), F.expr("l_extendedprice * (1 - l_discount)").alias("amount"))
     per_order = lines.groupBy("order").agg(F.sum("amount").alias("amount"), F.count("*").alias("lines"))
     joined = per_order.join(step("Order.Customer", "order", "customer"), "order").join(step("Party.Nation", "customer", "nation"), "customer")
