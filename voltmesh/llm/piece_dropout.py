@@ -108,36 +108,38 @@ class Pieces:
             if len(piece) == 1:
                 self.char_id[ord(" " if piece == SPACE else piece)] = i
         self.lines = not any("\n" in p for p in self.id_of)
-        self.below, self.seed, self.most = int(dropout * 2**32), seed, most
+        self.below, self.seed, self.most = min(int(dropout * 2**32), 2**32 - 1), seed, most
         self.clear()
 
     def clear(self) -> None:
         """Forget all nodes: a part and the candidates dropped so far, ``ids`` if no more are, ``offers`` then met and not dropped so far."""
         self.at, self.child = {}, {}
         self.ids, self.offers, self.hashes = Runs(np.int32), Runs(np.int64), Runs(np.uint64)
-        self.part, self.dropped = [], []
+        self.part, self.drops, self.long = [], Runs(np.int64), Runs(bool)
 
-    def branch(self, parts: list[str], dropped: list[tuple[int, ...]]) -> None:
-        """New nodes: for each a part and all candidates dropped in it. Long parts are not merged here."""
-        short = [i for i, p in enumerate(parts) if len(p) <= LONG]
+    def branch(self, parts: list[str], dropped: np.ndarray, sizes: np.ndarray) -> None:
+        """New nodes: for each a part and all candidates dropped in it, in a row with their numbers. Long parts are not merged here, so none is dropped in them."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        apart = lengths > LONG
+        short = np.flatnonzero(~apart)
         got: list[list[int]] = [[]] * len(parts)
-        sizes = np.array([len(dropped[i]) for i in short], np.int64)
-        sets = np.full((len(short), 1 + int(sizes.max(initial=0))), -1, np.int64)
+        some = sizes[short]
+        sets = np.full((len(short), 1 + int(some.max(initial=0))), -1, np.int64)
         sets[:, 0] = short
-        row = np.repeat(np.arange(len(short)), sizes)
-        sets[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.fromiter(chain.from_iterable(dropped[i] for i in short), np.int64, len(row))
+        row = np.repeat(np.arange(len(short)), some)
+        sets[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)] = dropped
         self.seen: list[np.ndarray] = []
-        for i, g in zip(short, self.together([parts[i] for i in short], sets)):
+        for i, g in zip(short.tolist(), self.together([parts[i] for i in short.tolist()], sets)):
             got[i] = g
         self.ids.add(np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got], np.int64))
         offered = np.sort(np.concatenate([np.empty(0, np.int64), *self.seen]))
         offered = offered[np.append(offered[1:] != offered[:-1], True)] if len(offered) else offered
         self.offers.add(offered & 0xFFFFFFFF, np.bincount(offered >> 32, minlength=len(parts)))
-        chars = characters("".join(parts))
-        size = np.array([len(p) for p in parts], np.int64)
-        self.hashes.add(self.part_hashes(chars, np.cumsum(size) - size), np.ones(len(parts), np.int64))
+        one = np.ones(len(parts), np.int64)
+        self.hashes.add(self.part_hashes(characters("".join(parts)), np.cumsum(lengths) - lengths), one)
+        self.long.add(apart, one)
+        self.drops.add(dropped, sizes)
         self.part += parts
-        self.dropped += dropped
 
     def part_hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         size = np.diff(np.append(starts, len(chars)))
@@ -154,15 +156,17 @@ class Pieces:
         return self.with_occurrences(self.part_hashes(chars, starts), occurrences)
 
     def skips(self, key: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Whether candidates (place * size + piece) are dropped, given the keys, which are well mixed."""
+        """Whether candidates (place * size + piece) are dropped, given the upper halves of the keys, which are well mixed."""
         with np.errstate(over="ignore"):
-            h = key + code.astype(np.uint64) * np.uint64(_GOLD)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0x94D049BB133111EB)
-        return (h >> np.uint64(32)) < np.uint64(self.below)
+            h = key + code.astype(np.uint32) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE35)
+        return h < np.uint32(self.below)
 
     def skipped(self, key: int, place: int, piece: int) -> bool:
-        return bool(self.skips(np.array([key], np.uint64), np.array([place * self.size + piece]))[0])
+        return bool(self.skips(np.array([key >> 32], np.uint32), np.array([place * self.size + piece]))[0])
 
     def symbols(self, chars: np.ndarray) -> np.ndarray:
         """Ids of single characters; ``-1 - code point`` of those outside the vocabulary."""
@@ -224,7 +228,7 @@ class Pieces:
             ok &= ~(key[:, 1:] == code[:, None]).any(1)
             self.seen.append((key[ok, 0] << 32) + code[ok])
         elif self.below:
-            ok &= ~self.skips(key, code)
+            ok &= ~self.skips((key >> np.uint64(32)).astype(np.uint32), code)
         return np.where(ok, self.rank[piece], self.size).astype(np.int32), piece.astype(np.int32)
 
     def together(self, parts: list[str], occurrences) -> list[list[int]]:
@@ -244,42 +248,32 @@ class Pieces:
             n, width = len(rows), int(length.max())
             at = np.repeat(np.arange(n), length)
             col = np.arange(len(chars)) - np.repeat(starts, length)
-            m = np.full((n, width + 2), -1, np.int32)
+            # symbols stay in the columns of their first characters, with links to their neighbours
+            m = np.full((n, width + 1), -1, np.int32)
             m[at, col] = self.symbols(chars)
-            place = np.tile(np.arange(width + 2, dtype=np.int32), (n, 1))
-            rank, piece = np.full((n, width + 1), self.size, np.int32), np.zeros((n, width + 1), np.int32)
-            r, p = self.candidate(m[at, col], m[at, col + 1], key[at], col)
-            rank[at, col], piece[at, col] = r, p
-            live, final = np.arange(n), np.full((n, width), -1, np.int32)
-            sizes = length.copy()
+            after, before = (np.tile(np.arange(d, width + 1 + d, dtype=np.int32), (n, 1)) for d in (1, -1))
+            piece, alive = np.zeros((n, width), np.int32), np.arange(width)[None, :] < length[:, None]
+            rank = np.full((n, width), self.size, np.int32)
+            rank[at, col], piece[at, col] = self.candidate(m[at, col], m[at, col + 1], key[at], col)
+            live = np.arange(n)
             while True:
                 best = rank.argmin(1)
                 going = rank[np.arange(len(live)), best] < self.size
                 if not going.all():
-                    done = ~going
-                    shown = min(width, m.shape[1])
-                    final[live[done], :shown] = m[done, :shown]
-                    sizes[live[done]] = length[done]
-                    m, place, rank, piece, key, length, live, best = m[going], place[going], rank[going], piece[going], key[going], length[going], live[going], best[going]
+                    rank, live, best = rank[going], live[going], best[going]
                     if not len(live):
                         break
-                    used = int(length.max())
-                    m, place, rank, piece = m[:, : used + 2], place[:, : used + 2], rank[:, : used + 1], piece[:, : used + 1]
-                k = np.arange(len(live))
-                m[k, best] = piece[k, best]
-                # close the gap that the right symbol leaves
-                after = np.arange(m.shape[1] - 1)[None, :] > best[:, None]
-                m[:, :-1] = np.where(after, m[:, 1:], m[:, :-1])
-                place[:, :-1] = np.where(after, place[:, 1:], place[:, :-1])
-                rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
-                piece[:, :-1] = np.where(after[:, :-1], piece[:, 1:], piece[:, :-1])
-                rank[:, -1] = self.size
-                length = length - 1
-                rank[k, best], piece[k, best] = self.candidate(m[k, best], m[k, best + 1], key, place[k, best])
-                before = np.maximum(best - 1, 0)
-                r, p = self.candidate(m[k, before], m[k, before + 1], key, place[k, before])
-                rank[k, before], piece[k, before] = np.where(best > 0, r, rank[k, before]), np.where(best > 0, p, piece[k, before])
-            flat, bounds = final[np.arange(width)[None, :] < sizes[:, None]].tolist(), np.cumsum(sizes).tolist()
+                k, keys = np.arange(len(live)), key[live]
+                made, gone = piece[live, best], after[live, best]
+                right = after[live, gone]
+                m[live, best], after[live, best], before[live, right] = made, right, best
+                alive[live, gone], rank[k, gone] = False, self.size
+                rank[k, best], piece[live, best] = self.candidate(made, m[live, right], keys, best)
+                left = before[live, best]
+                some = np.flatnonzero(left >= 0)
+                left, rest = left[some], live[some]
+                rank[some, left], piece[rest, left] = self.candidate(m[rest, left], made[some], keys[some], left)
+            flat, bounds = m[:, :width][alive].tolist(), np.cumsum(alive.sum(1)).tolist()
             begin = 0
             for r, end in zip(rows, bounds):
                 s = flat[begin:end]
@@ -307,7 +301,7 @@ class Pieces:
         new = list(set(flat) - self.at.keys())
         if new:
             self.at.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
-            self.branch([part_text(p) for p in new], [()] * len(new))
+            self.branch([part_text(p) for p in new], np.empty(0, np.int64), np.zeros(len(new), np.int64))
         node = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         counts = np.array([len(parts) for parts in group], np.int64)
         bounds = np.cumsum(counts)
@@ -315,7 +309,7 @@ class Pieces:
         doc = np.repeat(np.array([mix_int((k + self.seed * _GOLD) & MASK64) for k in keys], np.uint64), counts)
         with np.errstate(over="ignore"):
             occurrence = mix(doc + inner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        apart = np.fromiter((len(p) > LONG for p in map(self.part.__getitem__, node.tolist())), bool, len(flat))
+        apart = self.long.values[node]
         if self.below:
             self.follow(node, occurrence, apart)
         size = np.where(apart, 0, self.ids.size[node]) if len(node) else np.empty(0, np.int64)
@@ -331,7 +325,7 @@ class Pieces:
 
     def follow(self, node: np.ndarray, occurrence: np.ndarray, apart: np.ndarray) -> None:
         """Move each occurrence from its part's first node to that of what it drops; those with too many candidates for a mask become ``apart``."""
-        key = self.with_occurrences(self.hashes.values[node], occurrence)
+        key = (self.with_occurrences(self.hashes.values[node], occurrence) >> np.uint64(32)).astype(np.uint32)
         left = np.flatnonzero(~apart)
         while len(left):
             many = self.offers.size[node[left]] > 62
@@ -339,21 +333,30 @@ class Pieces:
             left = left[~many & (self.offers.size[node[left]] > 0)]
             if not len(left):
                 return
-            code, size = self.offers.take(node[left])
-            starts = np.cumsum(size) - size
-            bit = np.arange(len(code)) - np.repeat(starts, size)
-            mask = np.add.reduceat(self.skips(np.repeat(key[left], size), code).astype(np.int64) << bit, starts)
-            left, mask = left[mask != 0], mask[mask != 0]
+            code, row, bit = self.candidates_of(node[left])
+            # a mask of the drops of each occurrence that has some
+            drops = np.flatnonzero(self.skips(key[left][row], code))
+            if not len(drops):
+                return
+            row = row[drops]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            mask, left = np.add.reduceat(np.int64(1) << bit[drops], first), left[row[first]]
             steps = list(zip(node[left].tolist(), mask.tolist()))
             new = list(set(steps) - self.child.keys())
             if new:
-                sets = []
-                for n, m in new:
-                    o = int(self.offers.offset[n])
-                    sets.append(self.dropped[n] + tuple(c for k, c in enumerate(self.offers.values[o : o + int(self.offers.size[n])].tolist()) if m >> k & 1))
+                at, masks = np.array([n for n, _ in new]), np.array([m for _, m in new])
+                code, row, bit = self.candidates_of(at)
+                told = (masks[row] >> bit) & 1 == 1
+                old, size = self.drops.take(at)
+                rows = np.concatenate([np.repeat(np.arange(len(at)), size), row[told]])
                 self.child.update(zip(new, range(self.ids.n, self.ids.n + len(new))))
-                self.branch([self.part[n] for n, _ in new], sets)
-            node[left] = list(map(self.child.__getitem__, steps))
+                self.branch([self.part[n] for n in at.tolist()], np.concatenate([old, code[told]])[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(at)))
+            node[left] = np.fromiter(map(self.child.__getitem__, steps), np.int64, len(steps))
+
+    def candidates_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates offered in some nodes, each with its node's place in ``nodes`` and its own among that node's."""
+        code, size = self.offers.take(nodes)
+        return code, np.repeat(np.arange(len(nodes)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
