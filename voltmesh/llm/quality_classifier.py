@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENS, free_name, least_by, map_batches, mix, values_of, word_hashes
+from .common import TOKENS, free_name, least_by, map_batches, values_of, word_hashes
 
 GRADES = 3
-_GOLD, _SAME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x51ED270B0A1F2D4B)
+_SAME = np.uint64(0x51ED270B0A1F2D4B)
 
 
 def hashed(hashes: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
