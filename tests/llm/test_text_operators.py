@@ -94,9 +94,6 @@ def test_pii_copies_of_a_text_count_once(spark):
     many = docs.unionByName(spark.createDataFrame([(1000 + i, texts[0]) for i in range(300)], "doc_id long, text string"))
     shown = [{r.term: r.disclosure for r in pii.disclosing_terms(d).collect()} for d in (docs, many)]
     assert shown[0] == shown[1] and "quillfeather" in shown[0]
-    wanted = spark.createDataFrame([("quillfeather",), ("é",), ("text",)], "term string")
-    asked = {r.term: round(r.df, 9) for r in pii.document_frequency(many, pii.bitmap_of(wanted))[0].collect()}
-    assert asked["quillfeather"] == 2 and asked["text"] == 399 and len(asked) < 10  # the bitmap leaves nearly all others out
     df, n = pii.document_frequency(many)
     assert n == 401 and {r.term: round(r.df, 9) for r in df.collect()}["quillfeather"] == 2
 

@@ -20,7 +20,7 @@ digits or more is one if it holds both, a fifth of it or more in digits, and its
 words don't.
 
 Counts cover the whole corpus and are sums over keys (entity, term, context), combined before each
-shuffle. Terms near entities are counted in all documents; a bitmap of fixed size, broadcast, lets workers leave out most of the other terms. The list of disclosing terms is broadcast only after its rows are counted, and joined by term otherwise.
+shuffle. All terms are counted in all documents, so the work grows with the corpus alone, and those near entities are joined back. The list of disclosing terms is broadcast only after its rows are counted, and joined by term otherwise.
 
 Defined cases: null and empty texts have no spans; null ids and repeated rows are answered row by row; texts and terms of any length are
 read whole; equal spans of a term or secret and a pattern: the pattern's stays; overlapping term spans cannot arise; of terms with equal disclosure by several
@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -45,7 +44,6 @@ KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE = KINDS[:4]
 SECRET, TERM = 4, 5
 SECRET_LENGTH, SECRET_BITS = 24, 3.0
-BITMAP_BITS = 24
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -165,19 +163,8 @@ def evidence(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs.select("text").where("text is not null"), run, "entity string, context long, terms array<string>")
 
 
-def bitmap_of(terms: DataFrame) -> bytes:
-    """2 ** BITMAP_BITS bits, set where the CRC-32 of one of ``terms`` begins: as many bytes whatever the number of terms, put together in Spark."""
-    bit = F.shiftright(F.crc32(F.encode("term", "utf-8")), 32 - BITMAP_BITS) + 1
-    parts = terms.groupBy(F.call_function("bitmap_bucket_number", bit).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", bit)).alias("bits"))
-    out = bytearray(1 << BITMAP_BITS - 3)
-    for r in parts.collect():  # at most 2 ** (BITMAP_BITS - 15) rows
-        at = (r.part - 1) * 4096
-        out[at : at + 4096] = bytes(r.bits).ljust(4096, b"\0")
-    return bytes(out)
-
-
-def document_frequency(docs: DataFrame, wanted: bytes | None = None) -> tuple[DataFrame, float]:
-    """term and df, the number of distinct texts that hold it, over all documents, and how many distinct texts there are; ``wanted``: a bitmap of the terms that are asked for, others may be left out.
+def document_frequency(docs: DataFrame) -> tuple[DataFrame, float]:
+    """term and df, the number of distinct texts that hold it, over all documents, and how many distinct texts there are.
 
     Each of k equal texts counts as 1 / k, so the sums need no shuffle of texts.
     """
@@ -186,24 +173,17 @@ def document_frequency(docs: DataFrame, wanted: bytes | None = None) -> tuple[Da
     repeated = copies.agg(F.count("*"), F.sum("copies")).first()
     distinct = texts.count() - (repeated[1] or 0) + repeated[0]
     weighted = texts.join(small(copies, repeated[0]), "hash", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
-    told = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         counts: dict[str, float] = {}
         chars = 0
-        bits, shift, crc = told.value, 32 - BITMAP_BITS, zlib.crc32
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
         for batch in batches:
             for text, weight in zip(values_of(batch.column(0)), values_of(batch.column(1))):
                 for t in set(_TERM.findall(text.lower())):
                     if t in counts:
                         counts[t] += weight
-                        continue
-                    if bits is not None:
-                        at = crc(t.encode()) >> shift
-                        if not bits[at >> 3] >> (at & 7) & 1:
-                            continue
-                    if not t.isdigit():
+                    elif not t.isdigit():
                         counts[t] = weight
                         chars += len(t)
                 if len(counts) > 100_000 or chars > 2_000_000:
@@ -226,11 +206,11 @@ def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, general
     if pairs.isEmpty():
         return empty
     terms = pairs.select("term").distinct()
-    counted, n = document_frequency(docs, bitmap_of(terms))
+    counted, n = document_frequency(docs)
     ic = -F.log2(F.least(F.col("contexts") / F.lit(float(n)), F.lit(0.5)))
     share = F.least(F.col("df") / F.lit(float(n)), F.lit(1.0))
     smoothed = (F.col("support") + prior * share) / (F.col("contexts") + prior)
-    measured = pairs.join(counted, "term").withColumn("disclosure", F.round(F.log2(smoothed / share) / ic, 9))
+    measured = pairs.join(counted.join(terms, "term", "left_semi"), "term").withColumn("disclosure", F.round(F.log2(smoothed / share) / ic, 9))
     best = measured.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "entity", "support")).alias("b"))
     return cut(best.select("term", "b.entity", "b.support", "b.disclosure", F.when(F.col("b.disclosure") >= remove_at, REMOVED).otherwise(GENERALISED).alias("action")))
 
