@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, sharding, token_files
+from . import collocations, hard_negatives, html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, sharding, token_files
 from .common import new_folder, table
 
 SHARD_BYTES = 1 << 20
@@ -67,7 +67,15 @@ def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_piece_dropout, op4_token_files, op5_posting_lists, op6_ngram_join, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_html_template, pipeline)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_piece_dropout, op4_token_files, op5_posting_lists, op6_ngram_join, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_html_template, op12_hard_negatives, op13_collocations, pipeline)}
 
 ORACLE_SQL = {
     "op1_sharding": f"""
@@ -96,4 +104,27 @@ p as (select a.*, t.n, t.target, sum(a.size) over (partition by a.source order b
 select doc_id, size, n as source_size, target,
        (case when n = 0 then 0 else floor(target)::bigint // n * size + greatest(0, least(start + size, floor(target)::bigint % n) - start) end)::bigint as taken
 from p""",
+    "op12_hard_negatives": """
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select a.rid as anchor, a.vec_id as anchor_id, b.rid, b.vec_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.rid <> b.rid where a.vec_id % 100 = 0),
+p as (select * from pairs where same qualify row_number() over (partition by anchor order by score desc, vec_id, rid) <= 5)
+select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.anchor, p.rid order by n.score desc, n.vec_id, n.rid))::int as rank, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join pairs n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score qualify rank <= 5""",
+    "op13_collocations": r"""
+with pieces as (
+  select lang, row_number() over () as pid, piece from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents where text is not null)),
+ws as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+places as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from ws, range(1, 6) as s(m) where len(w) >= m),
+f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from places group by all),
+totals as (select lang, sum(f)::bigint as n from f where m = 1 group by 1),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 100),
+kept as (select * from c where not exists (select 1 from c q where q.lang = c.lang and q.m > c.m and 100 * q.a >= 100 * c.a and contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts as (select *, unnest(range(1, m)) as k from kept),
+s as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score
+      from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ') join totals t on t.lang = c.lang),
+one as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from one qualify rank <= 2000""",
 }
