@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, hard_negatives, html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, sharding, token_files
+from . import collocations, hard_negatives, html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, secret_scan, sharding, token_files
 from .common import new_folder, table
 
 SHARD_BYTES = 1 << 20
@@ -67,6 +67,10 @@ def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -75,7 +79,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_piece_dropout, op4_token_files, op5_posting_lists, op6_ngram_join, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_html_template, op12_hard_negatives, op13_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_piece_dropout, op4_token_files, op5_posting_lists, op6_ngram_join, op7_quality_classifier, op8_quality_rules, op9_mixing, op10_html_template, op11_secret_scan, op12_hard_negatives, op13_collocations, pipeline)}
 
 ORACLE_SQL = {
     "op1_sharding": f"""
