@@ -125,8 +125,8 @@ def test_hard_negatives(spark, monkeypatch, cells):
     centres = rng.normal(size=(5, 6))
     rows = [(i, (centres[i % 5] + 0.5 * rng.normal(size=6)).astype("float32").astype(float).tolist(), int(rng.integers(0, 10))) for i in range(900)]
     rows += [(1000 + i, rows[100][1], 3) for i in range(150)]  # a vector that many rows share
-    rows += [(100, rows[4][1], 3), (200, rows[5][1], 2), (None, rows[1][1], 1), (5000, None, 1), (5100, rows[1][1], None), (5200, [1.0, None, 0, 0, 0, 0], 1), (5300, [math.nan] * 6, 1), (5400, [math.inf] + [0.0] * 5, 1)]
-    rows += [(5500, [0.0] * 6, 4), (5600, [1.0] * 5, 4), (5700, [], 4), (5800, [1e30, -1e30, 0, 0, 0, 0], 5), (5801, [1e30, 0, 0, 0, 0, 0], 6), (5802, [1e30, -1e9, 0, 0, 0, 0], 5), (-700, rows[7][1], -3)]
+    rows += [(100, rows[4][1], 3), (200, rows[5][1], 2), (None, rows[1][1], 1), (5000, None, 1), (5100, rows[1][1], None), (5200, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (5300, [math.nan] * 6, 1), (5400, [math.inf] + [0.0] * 5, 1)]
+    rows += [(5500, [0.0] * 6, 4), (5600, [1.0] * 5, 4), (5700, [], 4), (5800, [1e30, -1e30, 0.0, 0.0, 0.0, 0.0], 5), (5801, [1e30, 0.0, 0.0, 0.0, 0.0, 0.0], 6), (5802, [1e30, -1e9, 0.0, 0.0, 0.0, 0.0], 5), (-700, rows[7][1], -3)]
     df = spark.createDataFrame([(i, v, x, "a", 0) for i, v, x in rows], "vec_id long, embedding array<double>, label int, row string, cells int")
     assert sorted(tuple(r) for r in hard_negatives.mine(df, cells=cells).collect()) == plain_negatives(rows)
 
