@@ -1,8 +1,8 @@
 """The model as tables: objects, slots and file membership; merging and changing them (2.C-2.G).
 
 ``slots`` is a sparse table with one row for each value: mrid, attr, ord, kind, v_bool, v_int, v_dbl, v_text, v_ref, lex and
-profiles, a mask of the profiles whose files carried it. A field of a compound has its property and its own attribute in ``attr``,
-``Property/Field``. ``raw`` slots, straight from files, also have class, file_seq and
+profiles, a mask of the profiles whose files carried it. A field of a compound has its whole path in ``attr``,
+``Property/Field`` or longer. ``raw`` slots, straight from files, also have class, file_seq and
 elem_seq, which order them.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mrid as M
+from . import compounds as C
 from .vocabulary import Vocabulary
 
 VALUES = ("kind", "v_bool", "v_int", "v_dbl", "v_text", "v_ref")
@@ -58,17 +59,19 @@ class Model:
         """Objects that a file names and that are still there (D3)."""
         return self.objects.join(self.members.where(F.col("file_seq") == file_seq).select("mrid"), "mrid", "left_semi")
 
-    def field(self, attr: str, name: str) -> DataFrame:
-        """The values of one field of a compound."""
-        return self.values(f"{attr}/{name}")
+    def field(self, attr: str, *names: str) -> DataFrame:
+        """The values of one field of a compound, or of compounds within it."""
+        return self.values("/".join((attr, *names)))
 
     def display(self) -> DataFrame:
-        """mrid, attr, ord and text of every value for people: a compound is ``{field=value, ...}``, its fields by name."""
+        """mrid, attr, ord and text of every value for people: a compound is ``{field=value, field={...}, ...}``, its fields by name."""
         text = F.coalesce("v_ref", "v_text", "lex", F.col("v_int").cast("string"), F.col("v_dbl").cast("string"), F.col("v_bool").cast("string"))
-        rows = self.slots.select("mrid", F.substring_index("attr", "/", 1).alias("attr"), F.when(F.col("attr").contains("/"), F.substring_index("attr", "/", -1)).alias("field"), "ord", text.alias("text"))
-        plain = rows.where("field is null").drop("field")
-        inner = rows.where("field is not null").groupBy("mrid", "attr").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "field", "text"))), ", "), F.lit("}")).alias("text"))
-        return plain.unionByName(inner.withColumn("ord", F.lit(0)).select("mrid", "attr", "ord", "text"))
+        rows = self.slots.select("mrid", "attr", "ord", text.alias("text"))
+        item = F.struct("attr", F.expr("slice(split(attr, '/'), 2, size(split(attr, '/')) - 2)").alias("holders"), F.concat_ws("=", C.leaf(), "text").alias("line"))
+        per = rows.where(C.inside()).groupBy("mrid", C.root().alias("root")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        parts = C.nested(F.col("items"), lambda name: F.concat(name, F.lit("={")), lambda _: F.lit("}"), lambda i, line: F.concat(F.when(i > 0, ", ").otherwise(""), line))
+        inner = per.select("mrid", F.col("root").alias("attr"), F.lit(0).alias("ord"), F.concat(F.lit("{"), F.array_join(parts, ""), F.lit("}")).alias("text"))
+        return rows.where(~C.inside()).unionByName(inner)
 
     def values(self, attr: str) -> DataFrame:
         return self.slots.where(F.col("attr") == attr)

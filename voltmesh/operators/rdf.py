@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import mrid as M
 from ..functions import rdfterms as R
 from ..functions import values as V
+from . import compounds as C
 from .model import Model, element_class
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -29,20 +30,22 @@ def triples(m: Model, scope: int, ns: str = "http://example.org/model#", base: s
     slots = m.in_profiles(scope)
     live = m.objects.join(slots.select("mrid").distinct(), "mrid", "left_semi")
     types = element_class(live, slots, m.vocabulary, scope).select("mrid", F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("element"))).alias("object"), F.lit(None).cast("string").alias("datatype"))
-    # a field of a compound stands in a blank node of its object and property
-    named = slots.withColumns({"root": F.substring_index("attr", "/", 1), "leaf": F.substring_index("attr", "/", -1)})
+    # a value inside a compound stands in the blank node of its object and the path around it
+    named = slots.withColumns({"around": F.array_join(C.holders(), "/"), "leaf": C.leaf()})
     kinds = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive"))
     typed = with_terms(named.join(kinds, "leaf"), base, target="v_ref")
     shown = F.coalesce("v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.when(F.col("lex").isNotNull() & V.is_lexical(F.col("lex"), F.col("primitive")), F.col("lex")).when(F.col("v_dbl").isNotNull(), V.canonical_float("v_dbl")))
     datatype = F.when(F.col("kind").isin("ref", "enum"), None).otherwise(V.xsd_datatype(F.col("primitive")))
     term = F.when(F.col("kind") == "ref", F.col("target")).when(F.col("kind") == "enum", R.iri(F.concat(F.lit(ns), F.col("v_text")))).otherwise(R.literal(shown, V.xsd_datatype(F.col("primitive"))))
-    inner = F.col("root") != F.col("leaf")
-    blank = F.concat(F.lit("_:c"), F.md5(F.concat_ws("/", "mrid", "root")))
-    values = typed.select("mrid", F.when(inner, blank).alias("node"), R.iri(F.concat(F.lit(ns), F.col("leaf"))).alias("predicate"), term.alias("object"), datatype.alias("datatype"))
-    holders = named.where(inner).select("mrid", "root").distinct().join(F.broadcast(m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("root"), F.col("target").alias("compound"))), "root")
+    inner = F.col("around") != ""
+    blank = lambda path: F.concat(F.lit("_:c"), F.md5(F.concat_ws("/", F.col("mrid"), path)))
+    values = typed.select("mrid", F.when(inner, blank(F.col("around"))).alias("node"), R.iri(F.concat(F.lit(ns), F.col("leaf"))).alias("predicate"), term.alias("object"), datatype.alias("datatype"))
+    every_path = F.transform(F.sequence(F.lit(1), F.size(C.holders())), lambda n: F.array_join(F.slice(C.holders(), F.lit(1), n), "/"))
+    holders = named.where(inner).select("mrid", F.explode(every_path).alias("path")).distinct()
+    holders = holders.select("mrid", "path", C.leaf("path").alias("root"), F.array_join(C.holders("path"), "/").alias("above")).join(F.broadcast(m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("root"), F.col("target").alias("compound"))), "root")
     none = F.lit(None).cast("string")
-    held = holders.select("mrid", none.alias("node"), R.iri(F.concat(F.lit(ns), F.col("root"))).alias("predicate"), blank.alias("object"), none.alias("datatype"))
-    typed_nodes = holders.select("mrid", blank.alias("node"), F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("compound"))).alias("object"), none.alias("datatype"))
+    held = holders.select("mrid", F.when(F.col("above") != "", blank(F.col("above"))).alias("node"), R.iri(F.concat(F.lit(ns), F.col("root"))).alias("predicate"), blank(F.col("path")).alias("object"), none.alias("datatype"))
+    typed_nodes = holders.select("mrid", blank(F.col("path")).alias("node"), F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("compound"))).alias("object"), none.alias("datatype"))
     every = types.withColumn("node", none).select("mrid", "node", "predicate", "object", "datatype").unionByName(values).unionByName(held).unionByName(typed_nodes)
     return with_terms(every, base, subject="mrid").select(F.coalesce("node", "subject").alias("subject"), "predicate", "object", "datatype")
 

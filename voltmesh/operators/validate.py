@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import mrid as M
 from ..functions import profiles as P
 from ..functions import xmltext as X
+from . import compounds as C
 from .model import Model
 from .vocabulary import Vocabulary
 
@@ -29,23 +30,18 @@ def finding(rows: DataFrame, severity: str, rule: str, message: Column, attr: Co
 
 
 def class_membership(m: Model) -> DataFrame:
-    """Values whose attribute the object's class, or the compound around them, doesn't have (K1, K2)."""
-    every = m.vocabulary.class_attrs().select("class", F.col("attr").alias("_root"))
-    inner = m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("_root"), F.col("target").alias("class")).join(m.vocabulary.class_attrs().select("class", F.col("attr").alias("_leaf")), "class").drop("class")
-    rows = m.slots.select("mrid", "attr").withColumns({"_root": F.substring_index("attr", "/", 1), "_leaf": F.substring_index("attr", "/", -1)}).join(m.objects.select("mrid", "class"), "mrid")
-    stray = rows.join(F.broadcast(every), ["class", "_root"], "left_anti").select("mrid", "attr", "class")
-    fields = rows.where("contains(attr, '/')").join(F.broadcast(inner), ["_root", "_leaf"], "left_anti").join(F.broadcast(every), ["class", "_root"], "left_semi").select("mrid", "attr", "class")
-    stray = stray.unionByName(fields)
-    return finding(stray, "error", "class-membership", F.concat(F.col("class"), F.lit(" has no "), F.col("attr")), F.col("attr"))
+    """Values whose attribute the object's class doesn't have (K1), and fields that the compound around them, at any depth, doesn't have (K2)."""
+    return value_findings(m, {class_membership})
 
 
 def identifier_form(m: Model) -> DataFrame:
     """Identifiers that aren't UUIDs (K3)."""
-    return finding(m.objects.where(~M.is_conforming(M.parse(F.col("mrid")))), "warning", "identifier-form", F.col("mrid"))
+    return object_findings(m, {identifier_form})
 
 
 def dangling(m: Model) -> DataFrame:
-    return finding(m.dangling(), "warning", "dangling-reference", F.col("target"), F.col("attr"))
+    """References to objects that aren't there (K4)."""
+    return reference_findings(m, {dangling})
 
 
 def missing_required(m: Model, scope: int = ALL_PROFILES) -> DataFrame:
@@ -66,11 +62,7 @@ def cardinality(m: Model) -> DataFrame:
 
 def wrong_target(m: Model) -> DataFrame:
     """References to an object of a class that is neither below nor above the declared one (K8)."""
-    declared = F.broadcast(m.vocabulary.attrs.where("target is not null").select("attr", F.col("target").alias("declared")))
-    up = m.vocabulary.closure()
-    related = F.broadcast(up.select(F.col("class").alias("target_class"), F.col("ancestor").alias("declared")).union(up.select("ancestor", "class")).distinct())
-    refs = m.references().join(declared, "attr").join(m.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class")), "target")
-    return finding(refs.join(related, ["target_class", "declared"], "left_anti"), "error", "wrong-target", F.concat_ws(" is no ", "target_class", "declared"), F.col("attr"))
+    return reference_findings(m, {wrong_target})
 
 
 def not_in_profile(m: Model) -> DataFrame:
@@ -80,7 +72,8 @@ def not_in_profile(m: Model) -> DataFrame:
 
 
 def abstract_class(m: Model) -> DataFrame:
-    return finding(m.objects.join(F.broadcast(m.vocabulary.classes.where("not concrete").select("class")), "class"), "error", "abstract-class", F.col("class"))
+    """Objects of classes that have none."""
+    return object_findings(m, {abstract_class})
 
 
 def deprecated(m: Model) -> DataFrame:
@@ -95,25 +88,23 @@ def fitting() -> Column:
 
 
 def datatype(m: Model) -> DataFrame:
-    """Values whose stored kind isn't the declared one."""
-    want = fitting()
-    bad = m.slots.join(F.broadcast(m.vocabulary.attrs.select("attr", F.col("kind").alias("declared"), "primitive")), "attr").where(~want)
-    return finding(bad, "error", "datatype", F.concat_ws(" for ", "kind", F.coalesce("primitive", "declared")), F.col("attr"))
+    """Values whose stored kind isn't the declared one, literals of another enumeration, and fields inside what is no compound; at any depth."""
+    return value_findings(m, {datatype})
 
 
 def fixed_value(m: Model) -> DataFrame:
-    shown = F.coalesce("lex", "v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"))
-    bad = m.slots.join(F.broadcast(m.vocabulary.attrs.where("fixed <> ''").select("attr", "fixed")), "attr").where(shown != F.col("fixed"))
-    return finding(bad, "warning", "fixed-value", F.concat_ws(" is not ", shown, "fixed"), F.col("attr"))
+    """Values of attributes with another fixed value."""
+    return value_findings(m, {fixed_value})
 
 
 def illegal_character(m: Model) -> DataFrame:
-    bad = m.slots.where("v_text is not null").where(X.has_illegal(F.col("v_text")))
-    return finding(bad, "error", "illegal-character", F.concat(F.lit("at byte "), X.illegal_offset(F.col("v_text"))), F.col("attr"))
+    """Texts with characters that XML can't hold, inside compounds too."""
+    return value_findings(m, {illegal_character})
 
 
 def unwritable_identifier(m: Model) -> DataFrame:
-    return finding(m.objects.where(X.identifier_form(F.col("mrid")) == "unwritable"), "error", "unwritable-identifier", F.col("mrid"))
+    """Identifiers that no document can hold."""
+    return object_findings(m, {unwritable_identifier})
 
 
 def headers(h: DataFrame) -> DataFrame:
@@ -165,28 +156,42 @@ def rendered(findings: DataFrame) -> DataFrame:
 
 
 def value_findings(m: Model, rules: set) -> DataFrame:
-    """``class_membership``, ``datatype``, ``fixed_value`` and ``illegal_character`` in one pass: values meet their attribute's row and their object's class once."""
-    attrs = F.broadcast(m.vocabulary.attrs.select("attr", F.col("kind").alias("declared"), "primitive", "fixed", F.lit(True).alias("known")))
-    owned = F.broadcast(m.vocabulary.class_attrs().groupBy("attr").agg(F.collect_set("class").alias("owners")))
-    rows = m.slots.where("not contains(attr, '/')").join(attrs, "attr", "left").join(owned, "attr", "left").join(m.objects.select("mrid", "class"), "mrid", "left")
+    """``class_membership``, ``datatype``, ``fixed_value`` and ``illegal_character`` in one pass: values meet their attribute's row, by its last step, and their object's class once."""
+    attrs = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_leaf"), F.col("kind").alias("declared"), "primitive", F.when(F.col("kind") == "enum", F.col("target")).alias("enum"), "fixed", F.lit(True).alias("known")))
+    owned = F.broadcast(m.vocabulary.class_attrs().groupBy(F.col("attr").alias("_root")).agg(F.collect_set("class").alias("owners")))
+    rows = m.slots.withColumns({"_leaf": C.leaf(), "_root": C.root()}).join(attrs, "_leaf", "left").join(owned, "_root", "left")
+    rows = rows.join(m.objects.select("mrid", "class"), "mrid", "left") if class_membership in rules else rows.withColumn("class", F.lit(None).cast("string"))
     shown = F.coalesce("lex", "v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"))
-    none = F.lit(None).cast("struct<severity:string,rule:string,message:string>")
-    told = lambda rule, when, severity, name, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(RULES[name]).alias("rule"), message.alias("message"))) if rule in rules else none
+    told = _told(rules)
+    other = (F.col("kind") == "enum") & F.col("enum").isNotNull() & (F.substring_index("v_text", ".", 1) != F.col("enum"))
     checks = F.array(
-        told(class_membership, F.col("class").isNotNull() & ~F.coalesce(F.array_contains("owners", F.col("class")), F.lit(False)), "error", "class-membership", F.concat(F.col("class"), F.lit(" has no "), F.col("attr"))),
+        told(class_membership, F.col("class").isNotNull() & ~F.coalesce(F.array_contains("owners", F.col("class")), F.lit(False)), "error", "class-membership", F.concat(F.col("class"), F.lit(" has no "), F.col("_root"))),
         told(datatype, F.col("known") & ~fitting(), "error", "datatype", F.concat_ws(" for ", "kind", F.coalesce("primitive", "declared"))),
+        told(datatype, F.col("known") & fitting() & other, "error", "datatype", F.concat_ws(" for ", "v_text", "enum")),
         told(fixed_value, (F.col("fixed") != "") & (shown != F.col("fixed")), "warning", "fixed-value", F.concat_ws(" is not ", shown, "fixed")),
         told(illegal_character, F.col("v_text").isNotNull() & X.has_illegal(F.col("v_text")), "error", "illegal-character", F.concat(F.lit("at byte "), X.illegal_offset(F.col("v_text")))),
     )
-    return rows.select("mrid", "attr", F.inline(F.filter(checks, lambda x: x.isNotNull()))).select("severity", "rule", "mrid", "attr", "message")
+    found = rows.select("mrid", "attr", F.inline(F.filter(checks, lambda x: x.isNotNull()))).select("severity", "rule", "mrid", "attr", "message")
+    steps = [name for rule, name in ((class_membership, "class-membership"), (datatype, "datatype")) if rule in rules]
+    if not steps or not m.vocabulary.has_compounds():
+        return found
+    wrong = F.broadcast(C.judged(m.slots, m.vocabulary).where(F.col("rule").isin(steps)))  # distinct paths, bounded by the vocabulary
+    within = m.slots.where(C.inside()).select("mrid", "attr").join(wrong, "attr").select("mrid", "rule", "place", "message").distinct()
+    codes = F.create_map(*(F.lit(x) for name in steps for x in (name, RULES[name])))
+    return found.unionByName(within.select(F.lit("error").alias("severity"), codes[F.col("rule")].alias("rule"), "mrid", F.col("place").alias("attr"), "message"))
+
+
+def _told(rules: set):
+    """A check that gives severity, rule and message where it is true, or nothing if its rule isn't chosen."""
+    none = F.lit(None).cast("struct<severity:string,rule:string,message:string>")
+    return lambda rule, when, severity, name, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(RULES[name]).alias("rule"), message.alias("message"))) if rule in rules else none
 
 
 def object_findings(m: Model, rules: set) -> DataFrame:
     """``identifier_form``, ``abstract_class`` and ``unwritable_identifier`` in one pass over the objects."""
     abstract = F.broadcast(m.vocabulary.classes.where("not concrete").select("class", F.lit(True).alias("abstract")))
     rows = m.objects.join(abstract, "class", "left")
-    none = F.lit(None).cast("struct<severity:string,rule:string,message:string>")
-    told = lambda rule, when, severity, name, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(RULES[name]).alias("rule"), message.alias("message"))) if rule in rules else none
+    told = _told(rules)
     checks = F.array(
         told(identifier_form, ~M.is_conforming(M.parse(F.col("mrid"))), "warning", "identifier-form", F.col("mrid")),
         told(abstract_class, F.col("abstract"), "error", "abstract-class", F.col("class")),
@@ -247,8 +252,6 @@ def validate(m: Model, options: Options | None = None, heads: DataFrame | None =
         if some:
             parts.append(judge(m, some))
             left = [r for r in left if r not in some]
-    if class_membership in options.rules and m.vocabulary.attrs.where("kind = 'compound'").limit(1).count():
-        parts.append(class_membership(m.with_(slots=m.slots.where("contains(attr, '/')"))))  # fields of compounds
     parts += [missing_required(m, options.scope) if rule is missing_required else rule(m) for rule in left]
     out = parts[0]
     for more in parts[1:]:

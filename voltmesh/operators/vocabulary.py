@@ -5,7 +5,6 @@ Vocabularies have at most thousands of rows, whatever the size of the models, so
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,23 +34,28 @@ class Vocabulary:
     def closure(self) -> DataFrame:
         """class, ancestor, depth: every class with itself and its ancestors, nearest first.
 
-        The recursion runs once for a vocabulary; its rows, bounded by the classes and their depth, are then kept as a local table.
+        It is walked once for a vocabulary and kept as a local table: its rows are bounded by the classes and their depth.
         """
         known = self.__dict__.get("_closure")
-        if known is not None:
-            return known
-        spark = self.classes.sparkSession
-        name = f"voltmesh_classes_{uuid.uuid4().hex}"  # of this call alone
-        self.classes.createOrReplaceTempView(name)
-        found = spark.sql(f"""
-            WITH RECURSIVE up(class, ancestor, depth) AS (
-              SELECT class, class, 0 FROM {name}
-              UNION ALL
-              SELECT up.class, c.parent, up.depth + 1 FROM up JOIN {name} c ON up.ancestor = c.class WHERE c.parent IS NOT NULL
-            ) SELECT class, ancestor, depth FROM up""").toArrow()
-        spark.catalog.dropTempView(name)
-        object.__setattr__(self, "_closure", spark.createDataFrame(found))
-        return self.__dict__["_closure"]
+        if known is None:
+            parents = {r["class"]: r.parent for r in self.classes.select("class", "parent").collect()}  # a vocabulary's classes
+            rows = []
+            for name in parents:
+                up, seen = name, []
+                while up is not None and up not in seen:
+                    rows.append((name, up, len(seen)))
+                    seen.append(up)
+                    up = parents.get(up)
+            known = self.classes.sparkSession.createDataFrame(rows, "class string, ancestor string, depth int")
+            object.__setattr__(self, "_closure", known)
+        return known
+
+    def has_compounds(self) -> bool:
+        known = self.__dict__.get("_compounds")
+        if known is None:
+            known = not self.attrs.where("kind = 'compound'").isEmpty()
+            object.__setattr__(self, "_compounds", known)
+        return known
 
     def class_attrs(self) -> DataFrame:
         """class, attr, depth and the attribute's definition, inherited ones included."""

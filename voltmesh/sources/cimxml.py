@@ -15,42 +15,58 @@ from pyspark.sql import functions as F
 from ..functions import mrid as M
 from ..functions import values as V
 from ..functions import xmltext as X
+from ..functions.ordered import numbered
 from ..functions.shared import cut
+from ..operators import compounds as C
 from ..operators.model import Model, merge_classes, merge_slots
 from ..operators.validate import RULES
 from ..operators.vocabulary import Vocabulary, detect
+from . import datasource
+from . import store as S
 from . import xmltokens as T
+from .markup import DM, MD
 
-MD = "http://iec.ch/TC57/61970-552/ModelDescription/1#"
-DM = "http://iec.ch/TC57/61970-552/DifferenceModel/1#"
 #: The fields of a header.
 ONE = {"created": "created", "scenarioTime": "scenario_time", "version": "version", "description": "description", "modelingAuthoritySet": "authority"}
 MANY = {"profile": "profiles", "DependentOn": "depends_on", "Supersedes": "supersedes"}
 
 
+#: The columns of findings: pos is the place of the tag that a finding is about, null where it is about a whole file or model.
+FINDINGS = ("file", "rule", "written", "class", "attr", "pos")
+
+
+def noted(rows: DataFrame, rule: str, written: Column, attr: Column | None = None, pos: Column | None = None) -> DataFrame:
+    """Findings of one rule; ``rows`` have file, and class if they know it."""
+    none = F.lit(None).cast("string")
+    has_class = F.col("class") if "class" in rows.columns else none
+    at = F.lit(None).cast("struct<split:bigint,at:bigint>") if pos is None else pos
+    return rows.select("file", F.lit(RULES[rule]).alias("rule"), written.alias("written"), has_class.alias("class"), (none if attr is None else attr).alias("attr"), at.alias("pos"))
+
+
 @dataclass(frozen=True)
 class Documents:
     """The nodes of some documents, with file_seq (their number in name order) and the element each is in."""
 
-    nodes: DataFrame  # file, file_seq, level, pos, up, element, ns, local, tag, text
+    nodes: DataFrame  # file, file_seq, level, pos, up, within, element, ns, local, tag, text
     prefixes: DataFrame  # file, prefixes
     files: DataFrame  # file, file_seq
-    problems: DataFrame  # file, rule, written, class, attr: documents that can't be read
+    problems: DataFrame  # FINDINGS: documents that can't be read, and elements too deep to be
+    rows: DataFrame  # the tags that the nodes were made of
 
     @staticmethod
     def of(tokens: DataFrame, problems: DataFrame | None = None) -> Documents:
-        found, prefixes, no_root = T.nodes(tokens)
-        found = cut(found)
-        note = lambda df, why: df.select("file", F.lit(RULES["unreadable-file"]).alias("rule"), why.alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
-        bad = note(no_root, F.lit("no rdf:RDF"))
+        parsed = T.nodes(tokens)
+        found = cut(parsed.nodes)
+        bad = noted(parsed.no_root, "unreadable-file", F.lit("no rdf:RDF"))
         if problems is not None:
-            bad = bad.unionByName(note(problems, F.col("problem")))
-        names = [r.file for r in found.select("file").union(bad.select("file")).union(prefixes.select("file")).distinct().collect()]  # names of files
-        files = found.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(names))], "file string, file_seq int")
+            bad = bad.unionByName(noted(problems, "unreadable-file", F.col("problem")))
+        bad = bad.unionByName(noted(parsed.deep, "structure", F.lit(f"more than {T.MOST_LEVELS} levels"), pos=F.col("pos")))
+        names = found.select("file").union(bad.select("file")).union(parsed.prefixes.select("file")).distinct()
+        files = cut(numbered(names, "file_seq", "file").select("file", (F.col("file_seq") - 1).cast("int").alias("file_seq")))
         # a node counts if the element it is in is closed
         complete = found.where("level = 1 and closed").select("file", F.col("pos").alias("element"))
         inside = found.withColumn("element", F.when(F.col("level") == 1, F.col("pos")).otherwise(F.element_at("up", 1)))
-        return Documents(inside.join(complete, ["file", "element"], "left_semi").join(F.broadcast(files), "file"), prefixes, files, bad)
+        return Documents(inside.join(complete, ["file", "element"], "left_semi").join(T.near(files, files.count()), "file"), parsed.prefixes, files, bad, parsed.rows)
 
 
 def documents(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Documents:
@@ -64,9 +80,24 @@ def parts(spark: SparkSession, path: str) -> Documents:
 
 
 def zipped(spark: SparkSession, path: str) -> Documents:
-    """Every XML entry of the zip archives under ``path``."""
-    entries = cut(T.zip_entries(spark, path))
-    return Documents.of(T.cut_whole(entries.where("content is not null")), entries.where("content is null"))
+    """Every XML entry of the zip archives under ``path``: one task an entry, a chunk at a time; an entry that can't be read to its end is left out and reported."""
+    if not S.reachable(path):
+        entries = cut(T.zip_entries(spark, path))
+        return Documents.of(T.cut_whole(entries.where("content is not null")), entries.where("content is null"))
+    return Documents.of(*streamed(datasource.scan(spark, path, ends=".zip")))
+
+
+def streamed(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the documents that were read to their end, and the problems of the others (file, problem)."""
+    found = cut(scanned)
+    bad = cut(found.where("problem is not null").select("file", "problem"))
+    fine = found.where("problem is null").join(T.near(bad.select("file"), bad.count()), "file", "left_anti")
+    return fine.select("file", "split", "at", "value"), bad
+
+
+def folder(spark: SparkSession, path: str) -> Documents:
+    """Whatever documents ``path`` has or is: XML files and the XML entries of archives."""
+    return Documents.of(*streamed(datasource.scan(spark, path)))
 
 
 def in_content(docs: DataFrame) -> Documents:
@@ -74,6 +105,35 @@ def in_content(docs: DataFrame) -> Documents:
     return Documents.of(T.cut_whole(docs.select("file", "content")))
 
 
+def peek_namespaces(spark: SparkSession, path: str, known: tuple[str, ...] = ()) -> DataFrame:
+    """file, ns, size and bytes_read: the namespaces that start tags declare, read up to the first of ``known`` (A3)."""
+    return datasource.scan(spark, path, "namespaces", known=" ".join(known)).select("file", F.explode("namespaces").alias("ns"), "size", "bytes_read")
+
+
+def peek_vintage(spark: SparkSession, path: str, vocabularies: DataFrame) -> str | None:
+    """The vintage of the first document under ``path``, in name order, that tells one, from the beginnings of documents."""
+    known = tuple(sorted(r.ns for r in vocabularies.select("ns").distinct().collect()))  # of vocabularies
+    row = detect(peek_namespaces(spark, path, known).select("file", "ns"), vocabularies).agg(F.min_by("vintage", "file").alias("vintage")).first()
+    return row.vintage
+
+
+def opened(spark: SparkSession, path: str, vintages: dict[str, Vocabulary]) -> tuple[Model, DataFrame, DataFrame]:
+    """What ``read`` gives for whatever ``path`` has or is, by the vocabulary that it names."""
+    sizes = [(name, r.ns, r.n) for name, v in vintages.items() for r in v.classes.groupBy("ns").agg(F.count("*").cast("int").alias("n")).collect()]  # namespaces of vocabularies
+    vocabularies = spark.createDataFrame(sizes, "vintage string, ns string, classes int")
+    told = peek_vintage(spark, path, vocabularies)
+    if told is None:
+        raise ValueError(f"no document under {path} names a known vocabulary")
+    docs = folder(spark, path)
+    model, heads, findings = read(docs, vintages[told])
+    return model, heads, findings.unionByName(wrong_vintage(docs, vocabularies, told))
+
+
+def located(findings: DataFrame, docs: Documents) -> DataFrame:
+    """``findings`` with the line and column, from 1 and in bytes, of the tag each is about; null for those about a whole file."""
+    return findings.join(T.places(docs.rows, findings.where("pos is not null")), ["file", "pos"], "left").drop("pos")
+
+
 def declared(docs: Documents) -> DataFrame:
     """file and each namespace it declares."""
     return docs.prefixes.select("file", F.explode(F.map_values("prefixes")).alias("ns")).distinct()
@@ -86,30 +146,41 @@ def vintages(docs: Documents, vocabularies: DataFrame) -> DataFrame:
 
 def vintage_of_set(docs: Documents, vocabularies: DataFrame) -> str | None:
     """The vintage of the first file, in name order, that tells one."""
-    row = vintages(docs, vocabularies).join(F.broadcast(docs.files), "file").orderBy("file_seq").first()
-    return row.vintage if row else None
+    return vintages(docs, vocabularies).agg(F.min_by("vintage", "file").alias("vintage")).first().vintage
 
 
 def wrong_vintage(docs: Documents, vocabularies: DataFrame, wanted: str) -> DataFrame:
     """A finding for each file that names another vintage."""
     other = vintages(docs, vocabularies).where(F.col("vintage") != wanted)
-    return other.select("file", F.lit(RULES["wrong-vintage"]).alias("rule"), F.col("vintage").alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
+    return noted(other, "wrong-vintage", F.col("vintage"))
 
 
 def headers_of(docs: Documents) -> DataFrame:
-    """file, id, kind and the fields of each document's header; ``extra`` has the fields of other names as they are."""
+    """file, id, kind and the fields of each document's header; ``extra`` has the fields of other names as they are."""
     heads = docs.nodes.where("level = 1").where(((F.col("ns") == MD) & (F.col("local") == "FullModel")) | ((F.col("ns") == DM) & (F.col("local") == "DifferenceModel")))
     own = heads.select("file", "file_seq", "element", T.attribute(F.col("tag"), "about").alias("id"), F.when(F.col("local") == "FullModel", "full").otherwise("difference").alias("kind"))
     fields = docs.nodes.where("level = 2").where(F.col("ns") != DM).join(own.select("file", "element"), ["file", "element"], "left_semi")
-    value = F.coalesce(T.attribute(F.col("tag"), "resource"), F.nullif(V.trimmed(F.col("text")), F.lit("")))
-    read = fields.select("file", "element", "pos", F.when((F.col("ns") == MD) & F.col("local").startswith("Model."), F.substring("local", 7, 1000)).alias("field"), "ns", "local", value.alias("value")).where("value is not null")
+    return header_rows(own, fields.select("file", "element", "pos", "ns", "local", T.attribute(F.col("tag"), "resource").alias("resource"), "text"), ["file", "element"]).drop("element")
+
+
+def peek_headers(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """The same of the documents under ``path`` whose names match ``glob``, with problem, size and bytes_read: a document is read up to the end of its header."""
+    found = cut(datasource.scan(spark, path, "headers", glob=glob))
+    own = found.select("file", "id", "kind", "size", "bytes_read", "problem")
+    fields = found.select("file", F.posexplode("fields").alias("pos", "f")).select("file", "pos", "f.*").withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    return header_rows(own, fields, ["file"])
+
+
+def header_rows(own: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """``own`` with the named fields of headers: ``fields`` has pos, ns, local, resource and text."""
+    value = F.coalesce("resource", F.nullif(V.trimmed(F.col("text")), F.lit("")))
+    read = fields.select(*keys, "pos", F.when((F.col("ns") == MD) & F.col("local").startswith("Model."), F.substring("local", 7, 1000)).alias("field"), "ns", "local", value.alias("value")).where("value is not null")
     listed = F.col("field").isin(*ONE, *MANY)
     in_order = lambda keep, x: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", x.alias("x"))))), lambda r: r["x"])
     columns = [F.max_by("value", F.when(F.col("field") == k, F.col("pos"))).alias(v) for k, v in ONE.items()]
     columns += [F.array_distinct(in_order(F.col("field") == k, F.col("value"))).alias(v) for k, v in MANY.items()]
     extra = in_order(~F.coalesce(listed, F.lit(False)), F.struct("ns", "local", "value")).alias("extra")
-    grouped = read.groupBy("file", "element").agg(*columns, extra)
-    joined = own.join(grouped, ["file", "element"], "left").drop("element")
+    joined = own.join(read.groupBy(*keys).agg(*columns, extra), keys, "left")
     empty = F.array().cast("array<string>")
     return joined.withColumns({v: F.coalesce(v, empty) for v in MANY.values()})
 
@@ -158,18 +229,16 @@ def elements(docs: Documents) -> DataFrame:
 def properties(docs: Documents, subjects: DataFrame, level: int = 2) -> DataFrame:
     """The values of ``subjects`` (file, subject: its position, and more): attr, ns, pos, text and resource.
 
-    A field of a compound is named by its property and itself, ``Property/Field``; a property that has fields gives no value of its own (A12).
+    A value inside compounds is named by the whole path of properties to it, ``Property/Field/Field``; class elements between them (names without a dot) aren't part of it.
+    A property that has fields gives no value of its own (A12).
     """
-    names = docs.nodes.where(F.col("level") >= level).select("file", "file_seq", "level", "pos", F.slice("up", 1, level - 1).alias("above"), F.slice("up", level, T.LEVELS).alias("inner"), "ns", "local", "tag", "text")
-    found = names.withColumn("subject", F.element_at("above", level - 1)).drop("above").join(subjects, ["file", "subject"])
-    # of a field, the property around it; a class name between them (without a dot) isn't part of the path
-    own = found.where(F.col("level") == level).select("file", F.col("pos").alias("root"), F.col("local").alias("root_name"))
-    outer = found.where((F.col("level") > level) & F.col("local").contains(".")).withColumn("root", F.try_element_at("inner", F.lit(1))).join(own, ["file", "root"])
-    fields = outer.select("*", F.concat_ws("/", "root_name", "local").alias("attr"))
-    holders = fields.select("file", F.col("root").alias("pos")).distinct()
-    plain = found.where(F.col("level") == level).join(holders, ["file", "pos"], "left_anti").withColumn("attr", F.col("local"))
-    both = plain.unionByName(fields.drop("root", "root_name"))
-    return both.withColumns({"resource": T.attribute(F.col("tag"), "resource"), "illegal": X.has_illegal(F.col("text")), "text": X.strip_illegal(F.col("text"))}).drop("tag", "inner", "local")
+    rest = lambda column: F.slice(column, F.lit(level), F.greatest(F.size(column) - (level - 1), F.lit(0)))
+    names = docs.nodes.where(F.col("level") >= level).select("file", "file_seq", "level", "pos", F.element_at("up", level - 1).alias("subject"), rest("up").alias("inner"), rest("within").alias("names"), "ns", "local", "tag", "text")
+    found = names.join(subjects, ["file", "subject"]).where((F.col("level") == level) | F.col("local").contains("."))
+    holders = found.where(F.col("level") > level).select("file", F.explode("inner").alias("pos")).distinct()
+    path = F.concat_ws("/", F.filter("names", lambda n: n.contains(".")), "local")
+    named = found.join(holders, ["file", "pos"], "left_anti").withColumn("attr", path)
+    return named.withColumns({"resource": T.attribute(F.col("tag"), "resource"), "illegal": X.has_illegal(F.col("text")), "text": X.strip_illegal(F.col("text"))}).drop("tag", "inner", "names", "local")
 
 
 def typed(props: DataFrame, vocabulary: Vocabulary, masks: DataFrame) -> DataFrame:
@@ -208,19 +277,18 @@ def read(docs: Documents, vocabulary: Vocabulary, check_literals: bool = False,
     masks = file_masks(heads, vocabulary)
     found = cut(elements(docs))
     known = F.broadcast(vocabulary.classes.select("class", "ns", "concrete"))
-    note = lambda rows, rule, written, attr=None: rows.select("file", F.lit(RULES[rule]).alias("rule"), written.alias("written"), "class", (attr if attr is not None else F.lit(None).cast("string")).alias("attr"))
-    written = F.col("written")
-    unknown = note(found.join(known, ["class", "ns"], "left_anti"), "unknown-class", written)
+    written, element, pos = F.col("written"), F.col("element"), F.col("pos")
+    unknown = noted(found.join(known, ["class", "ns"], "left_anti"), "unknown-class", written, pos=element)
     found = found.join(known, ["class", "ns"])
-    nameless = note(found.where("unnamed"), "structure", written).unionByName(note(found.where("bad_id"), "structure", written))
+    nameless = noted(found.where("unnamed"), "structure", written, pos=element).unionByName(noted(found.where("bad_id"), "structure", written, pos=element))
     raw = cut(typed(properties(docs, found.select("file", F.col("element").alias("subject"), "element", "class", "mrid")), vocabulary, masks))
     attr = F.col("attr")
     mrid = F.col("mrid")
-    problems = raw.where("problem is not null").select("file", F.col("problem").alias("rule"), mrid.alias("written"), "class", "attr").unionByName(note(raw.where("illegal"), "illegal-character", mrid, attr))
+    problems = raw.where("problem is not null").select("file", F.col("problem").alias("rule"), mrid.alias("written"), "class", "attr", "pos").unionByName(noted(raw.where("illegal"), "illegal-character", mrid, attr, pos))
     fine = raw.where("problem is null")
     if check_literals:
         strange, lost = enum_problems(raw, vocabulary)
-        problems = problems.unionByName(note(strange, "unparseable-value", F.col("resource"), attr)).unionByName(note(lost, "unparseable-value", F.col("resource"), attr))
+        problems = problems.unionByName(noted(strange, "unparseable-value", F.col("resource"), attr, pos)).unionByName(noted(lost, "unparseable-value", F.col("resource"), attr, pos))
         fine = fine.join(lost.select("file", "pos"), ["file", "pos"], "left_anti")
     # a repeated single value inside one element: the last counts, silently
     w = Window.partitionBy("file_seq", "element", "attr")
@@ -228,7 +296,7 @@ def read(docs: Documents, vocabulary: Vocabulary, check_literals: bool = False,
     fine = fine.join(many, "attr", "left").withColumn("last", F.max("pos").over(w)).where("_many or pos = last").drop("last", "problem", "_many", "illegal", "resource")
     objects = found.join(F.broadcast(masks), "file", "left").select("mrid", "class", "file_seq", F.col("element").alias("elem_seq"), F.coalesce("profiles", F.lit(0)).cast("long").alias("profiles"))
     merged = cut(merge_classes(objects, vocabulary))
-    collisions = note(merged.where("collision").withColumn("file", F.lit(None).cast("string")), "class-collision", mrid)
+    collisions = noted(merged.where("collision").withColumn("file", F.lit(None).cast("string")), "class-collision", mrid)
     members = objects.select("file_seq", "mrid").distinct()
     model = Model(vocabulary, merged.drop("collision"), merge_slots(fine.withColumnRenamed("pos", "elem_seq"), vocabulary), members)
     findings = docs.problems.unionByName(unknown).unionByName(nameless).unionByName(problems).unionByName(collisions)
@@ -236,13 +304,23 @@ def read(docs: Documents, vocabulary: Vocabulary, check_literals: bool = False,
 
 
 def bounded(findings: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` findings of each file, and a note of how many more there were."""
+    """At most ``most`` findings of each file, and a note of how many more there were.
+
+    Findings are judged once; only those of files with too many are ranked.
+    """
     if not most:
         return findings
-    ranked = findings.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("rule", "written", "attr")))
-    rest = ranked.where(F.col("n") > most).groupBy("file").agg(F.count("*").alias("n"))
-    note = rest.select("file", F.lit("note").alias("rule"), F.concat("n", F.lit(" more findings")).alias("written"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("attr"))
-    return ranked.where(F.col("n") <= most).drop("n").unionByName(note)
+    found = cut(findings)
+    over = cut(found.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    if over.isEmpty():
+        return found
+    full = T.near(over, over.count())
+    same = found["file"].eqNullSafe(full["file"])
+    few = found.join(full, same, "left_anti")
+    ranked = found.join(full, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("rule", "written", "attr", "pos"))).where(F.col("n") <= most).drop("n")
+    none = F.lit(None).cast("string")
+    note = over.select("file", F.lit("note").alias("rule"), F.concat(F.col("n") - most, F.lit(" more findings")).alias("written"), none.alias("class"), none.alias("attr"), F.lit(None).cast("struct<split:bigint,at:bigint>").alias("pos"))
+    return few.unionByName(ranked).unionByName(note)
 
 
 def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
@@ -259,7 +337,7 @@ def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
     return rows.select("direction", F.struct("file_seq", F.col("pos")["split"].alias("split"), F.col("pos")["at"].alias("at")).alias("seq"), "mrid", "class", "defines", "attr", kind.alias("kind"), value.alias("value")).where("value is not null")
 
 
-def rendered(m: Model, scope: int, prefix: str = "cim") -> DataFrame:
+def rendered(m: Model, scope: int, prefix: Prefix = "cim") -> DataFrame:
     """mrid and the element text of every object with a value in the scope; one without values in it is left out."""
     from ..operators.model import element_class
 
@@ -269,36 +347,59 @@ def rendered(m: Model, scope: int, prefix: str = "cim") -> DataFrame:
     return drawn(element_class(live, slots, m.vocabulary, scope).select("mrid", "element").join(defined, "element", "left"), slots, m.vocabulary, prefix)
 
 
-def whole(m: Model, prefix: str = "cim") -> DataFrame:
+def whole(m: Model, prefix: Prefix = "cim") -> DataFrame:
     """mrid and the element text of every object, with all its values; one without any is an empty element."""
     return drawn(m.objects.select("mrid", F.col("class").alias("element"), F.lit(True).alias("introduces")), m.slots, m.vocabulary, prefix)
 
 
-def property_lines(slots: DataFrame, vocabulary: Vocabulary, prefix: str) -> DataFrame:
+#: One prefix for all names, or the prefix of each namespace (as ``prefixes_of`` binds them).
+Prefix = str | dict[str, str]
+
+
+def qualified(name: Column, ns: Column, prefix: Prefix) -> Column:
+    """A name with the prefix of its namespace."""
+    if isinstance(prefix, str):
+        return F.concat(F.lit(prefix + ":"), name)
+    bound = F.create_map(*(F.lit(x) for pair in prefix.items() for x in pair))  # namespaces of a vocabulary
+    return F.concat_ws(":", F.try_element_at(bound, ns), name)
+
+
+def property_lines(slots: DataFrame, vocabulary: Vocabulary, prefix: Prefix) -> DataFrame:
     """``slots`` with line, their text as one property or field."""
-    leaf = F.broadcast(vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive"))
-    named = slots.withColumn("leaf", F.substring_index("attr", "/", -1)).join(leaf, "leaf")
+    leaf = F.broadcast(vocabulary.attrs.select(F.col("attr").alias("leaf"), F.col("ns").alias("leaf_ns"), "primitive"))
+    named = slots.withColumn("leaf", C.leaf()).join(leaf, "leaf")
     shown = F.coalesce("v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.when(F.col("lex").isNotNull() & V.is_lexical(F.col("lex"), F.col("primitive")), F.col("lex")).when(F.col("v_dbl").isNotNull(), V.canonical_float("v_dbl")))
     target = M.parse(F.col("v_ref"))
     reference = F.when(F.col("kind") == "ref", F.when(X.identifier_form(target["key"]) == "iri", target["key"]).otherwise(M.rdf_resource(target))).when(F.col("kind") == "enum", F.concat(F.lit("#"), F.col("v_text")))
-    tag = F.concat(F.lit(prefix + ":"), F.col("leaf"))
+    tag = qualified(F.col("leaf"), F.col("leaf_ns"), prefix)
     return named.withColumn("line", F.when(reference.isNotNull(), F.concat(F.lit("    <"), tag, F.lit(' rdf:resource="'), X.escape_attribute(reference), F.lit('"/>'))).otherwise(F.concat(F.lit("    <"), tag, F.lit(">"), X.escape_text(X.strip_illegal(shown)), F.lit("</"), tag, F.lit(">"))))
 
 
-def drawn(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary, prefix: str, keys: tuple[str, ...] = ("mrid",)) -> DataFrame:
-    """``keys`` and the element text of ``objects`` (keys, element, introduces), with their ``slots``."""
-    lines = property_lines(slots, vocabulary, prefix).select(*keys, F.substring_index("attr", "/", 1).alias("root"), F.col("attr").contains("/").alias("inner"), F.struct("attr", "ord", "line").alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
-    per_root = lines.groupBy(*keys, "root", "inner").agg(text.alias("body"))
-    tag = F.concat(F.lit(prefix + ":"), F.col("root"))
-    held = F.when(F.col("inner"), F.concat(F.lit("    <"), tag, F.lit(' rdf:parseType="Resource">\n'), F.col("body"), F.lit("\n    </"), tag, F.lit(">"))).otherwise(F.col("body"))
-    bodies = per_root.select(*keys, F.struct("root", "inner", held.alias("line")).alias("x")).groupBy(*keys).agg(text.alias("body"))
+def drawn(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary, prefix: Prefix, keys: tuple[str, ...] = ("mrid",)) -> DataFrame:
+    """``keys`` and the element text of ``objects`` (keys, element, introduces), with their ``slots``, compounds nested."""
+    classes = F.broadcast(vocabulary.classes.select(F.col("class").alias("element"), F.col("ns").alias("element_ns")))
+    held = F.struct("attr", "ord", C.holders().alias("holders"), "line")
+    items = property_lines(slots, vocabulary, prefix).groupBy(*keys).agg(F.array_sort(F.collect_list(held)).alias("items"))
+    ns_of = F.lit(None)
+    if not isinstance(prefix, str):  # a compound's name is an attribute's, bounded by the vocabulary
+        ns_of = F.create_map(*(F.lit(x) for r in vocabulary.attrs.where("kind = 'compound'").select("attr", "ns").collect() for x in r)) if vocabulary.has_compounds() else F.create_map(F.lit(""), F.lit(""))
+    tag = lambda name: qualified(name, F.lit(None).cast("string") if isinstance(prefix, str) else F.try_element_at(ns_of, name), prefix)
+    lines = C.nested(F.col("items"), lambda name: F.concat(F.lit("    <"), tag(name), F.lit(' rdf:parseType="Resource">')), lambda name: F.concat(F.lit("    </"), tag(name), F.lit(">")))
+    bodies = items.select(*keys, F.array_join(lines, "\n").alias("body"))
     own = M.parse(F.col("mrid"))
     identity = F.when(X.identifier_form(own["key"]) == "iri", F.concat(F.lit('rdf:about="'), X.escape_attribute(own["key"]))).when(F.col("introduces"), F.concat(F.lit('rdf:ID="'), X.escape_attribute(M.rdf_id(own)))).otherwise(F.concat(F.lit('rdf:about="'), X.escape_attribute(M.rdf_resource(own))))
-    tag = F.concat(F.lit(prefix + ":"), F.col("element"))
-    start = F.concat(F.lit("  <"), tag, F.lit(" "), identity, F.lit('"'))
-    named = objects.join(bodies, list(keys), "left")
-    return named.select(*keys, F.when(F.col("body").isNull(), F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">\n"), F.col("body"), F.lit("\n  </"), tag, F.lit(">"))).alias("element"))
+    named = objects.join(bodies, list(keys), "left").join(classes, "element", "left")
+    element = qualified(F.col("element"), F.col("element_ns"), prefix)
+    start = F.concat(F.lit("  <"), element, F.lit(" "), identity, F.lit('"'))
+    return named.select(*keys, F.when(F.col("body").isNull(), F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">\n"), F.col("body"), F.lit("\n  </"), element, F.lit(">"))).alias("element"))
+
+
+def prefixes_of(vocabulary: Vocabulary, suggested: dict[str, str]) -> dict[str, str]:
+    """The prefix of each namespace that a model of ``vocabulary`` can name, by ``bound_prefixes``; ``suggested``: prefix of a namespace."""
+    named = vocabulary.classes.select("ns").union(vocabulary.attrs.select("ns")).distinct()
+    namespaces = sorted(r.ns for r in named.collect())  # of a vocabulary
+    last = lambda ns: "".join(c for c in ns.rstrip("#/").rpartition("/")[2].lower() if c.isalnum()) or "ns"
+    return bound_prefixes([("md", MD), ("dm", DM), *((suggested.get(ns, last(ns)), ns) for ns in namespaces)])
 
 
 def bound_prefixes(wanted: list[tuple[str, str]]) -> dict[str, str]:

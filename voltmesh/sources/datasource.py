@@ -8,9 +8,10 @@ Reading, by the option ``scan``:
 * ``namespaces``: a row for each document with the namespaces that its start tags declare, read up to the first tag that declares one of the option ``known`` (separated by spaces); without it the
   first tag that declares any. That tells the vintage.
 
-A zip archive is planned by its central directory: a partition for each entry, which reads its range of the archive alone. An entry or file that can't be read gives a row with ``problem``;
-what its stream gave before stays in ``tokens`` and is left out by the readers in ``cimxml``. Conditions on ``file`` (equal, one of, starts, ends, contains) are applied when partitions are planned, so other files aren't opened;
-``register`` turns their pushing on.
+The files are those under the path that end in one of ``ends`` (``.xml .zip``), or those of ``files``, a JSON list. A zip archive is planned by its central directory: a partition for each entry, which reads its range of the archive alone. An entry or file that can't be read gives a row with ``problem``;
+what its stream gave before stays in ``tokens`` and is left out by the readers in ``cimxml``. The option ``glob`` chooses files and entries by their shown names when partitions are planned, so others aren't opened. Conditions on
+``file`` (equal, one of, starts, ends, contains) are taken likewise with the option ``push``, in sessions that push filters to Python sources (``spark.sql.python.filterPushdown.enabled``). The library
+doesn't use that: Spark 4.1 keeps a pushed filter with the data frame, so a second query on the same one would miss rows.
 
 Writing takes rows (document, text) in the order of tasks and rows: each task writes a part for each document it meets, deflated for ``kind`` ``zip``. The commit leaves a list of parts, a
 few bytes for each, and ``assemble`` joins them in tasks, one for each document or archive, by copying bytes. A failed job leaves nothing but its folder of parts, which the abort removes.
@@ -25,6 +26,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import ArrowInvalid
@@ -57,7 +59,9 @@ class Pieces(InputPartition):
         self.files, self.entries, self.problems = list(files), list(entries), list(problems)
 
 
-def kept(name: str, conditions: list[Filter]) -> bool:
+def kept(name: str, conditions: list[Filter], glob: str | None = None) -> bool:
+    if glob is not None and not fnmatchcase(name, glob):
+        return False
     for f in conditions:
         if isinstance(f, EqualTo):
             fine = name == f.value
@@ -77,31 +81,27 @@ def kept(name: str, conditions: list[Filter]) -> bool:
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.scan = options.get("scan", "tokens")
-        self.path = options["path"]
+        self.path, self.ends = options["path"], tuple(options.get("ends", ".xml .zip").split())
+        self.files = json.loads(options["files"]) if "files" in options else None
         self.split = int(options.get("splitbytes", 0))
         self.together = int(options.get("filesperpartition", 1 if self.scan == "tokens" else 32))
         self.chunk = int(options.get("chunkbytes", S.CHUNK if self.scan == "tokens" else 1 << 13))
         self.known = set(options.get("known", "").split())
+        self.glob = options.get("glob")
         self.conditions: list[Filter] = []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and f.attribute == ("file",):
-                self.conditions.append(f)
-            else:
-                yield f
-
     def partitions(self):
-        out, small, found = [], [], S.listing(self.path, (".xml", ".zip"))
+        out, small = [], []
+        found = S.listing(self.path, self.ends) if self.files is None else [f for path in self.files for f in S.listing(path, self.ends)]
         for path, size in found:
             if path.lower().endswith(".zip"):
                 try:
                     listed = [e for e in S.entries(path) if e.name.lower().endswith(".xml")]
                 except UNREADABLE as e:
-                    out += [Pieces(problems=[(path, type(e).__name__)])] if kept(path, self.conditions) else []
+                    out += [Pieces(problems=[(path, type(e).__name__)])] if kept(path, self.conditions, self.glob) else []
                     continue
-                out += [Pieces(entries=[e]) for e in listed if kept(f"{path}!{e.name}", self.conditions)]
-            elif kept(path, self.conditions):
+                out += [Pieces(entries=[e]) for e in listed if kept(f"{path}!{e.name}", self.conditions, self.glob)]
+            elif kept(path, self.conditions, self.glob):
                 if self.scan == "tokens" and self.split and size > self.split:
                     out += [Pieces(files=[(path, start, min(size, start + self.split))]) for start in range(0, size, self.split)]
                 else:
@@ -172,6 +172,17 @@ class Reader(DataSourceReader):
             yield path, start, at, rest.decode("utf-8", "replace"), None
 
 
+class PushedReader(Reader):
+    """A reader that takes conditions on the file's name."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and f.attribute == ("file",):
+                self.conditions.append(f)
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The parts that a task wrote: (document, part)."""
@@ -226,15 +237,15 @@ class CimXml(DataSource):
         return SCHEMAS[self.options.get("scan", "tokens")]
 
     def reader(self, schema):
-        return Reader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushedReader if options.get("push") == "true" else Reader)(options)
 
     def writer(self, schema, overwrite):
         return Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session, with pushed conditions."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to the session."""
     spark.dataSource.register(CimXml)
 
 

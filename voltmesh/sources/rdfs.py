@@ -13,9 +13,10 @@ from ..functions.shared import cut
 from ..operators.vocabulary import Vocabulary
 from . import xmltokens as T
 
+
 def triples(docs: DataFrame) -> DataFrame:
     """bit, subject, predicate, resource, text of flat descriptions. ``docs``: bit, content."""
-    found = T.nodes(T.cut_whole(docs.select(F.concat_ws(":", "bit", F.md5("content")).alias("file"), "content")))[0]
+    found = T.nodes(T.cut_whole(docs.select(F.concat_ws(":", "bit", F.md5("content")).alias("file"), "content"))).nodes
     local = lambda c: F.nullif(F.regexp_extract(c, r"([^#]*)$", 1), F.lit(""))
     subjects = found.where("level = 1").select("file", F.col("pos").alias("element"), local(T.attribute(F.col("tag"), "about")).alias("subject"))
     props = found.where("level = 2").withColumn("element", F.element_at("up", 1)).join(subjects, ["file", "element"])
@@ -89,7 +90,7 @@ def vocabulary(spark: SparkSession, docs: DataFrame, ns: str, profiles: list[tup
     props = props.join(wrapped, "datatype", "left")
     kind = F.when(F.col("_enum"), "enum").when(F.col("_compound"), "compound").when(F.col("range").isNotNull(), "ref").otherwise("value")
     attrs = props.select(
-        F.col("subject").alias("attr"), F.lit(ns).alias("ns"), "owner", kind.alias("kind"), F.when(kind == "value", F.coalesce("_wrapped", "datatype", F.lit("String"))).alias("primitive"), F.when(kind == "ref", F.col("range")).alias("target"),
+        F.col("subject").alias("attr"), F.lit(ns).alias("ns"), "owner", kind.alias("kind"), F.when(kind == "value", F.coalesce("_wrapped", "datatype", F.lit("String"))).alias("primitive"), F.when(kind != "value", F.col("range")).alias("target"),
         F.coalesce(m["least"], F.lit(0)).alias("least"), m["most"].alias("most"), F.when(kind == "ref", F.col("used_in")).otherwise(F.col("profiles")).alias("used_in"), has("deprecated").alias("deprecated"), F.coalesce("fixed", F.lit("")).alias("fixed"),
     )
     literals = about.join(F.broadcast(enums.select(F.col("subject").alias("type"))), "type").select(F.lit(ns).alias("ns"), F.col("type").alias("enum"), F.col("subject").alias("literal"))

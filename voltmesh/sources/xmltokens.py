@@ -2,24 +2,28 @@
 
 Spark's text source cuts files at every ``>``, so a large document is read by many tasks: a row is a tag and the text
 before it. Depth, and the element that a row belongs to, are running sums and running last values in two steps, inside a split and over the
-splits of a file. Files where a ``>`` stands inside a comment, CDATA or attribute are rare; these are
-cut whole, by one regular expression. Entries of zip archives are cut in the same way.
+splits of a file. Files where a ``>`` stands inside a comment, CDATA or attribute, and entries of zip archives, are cut by their markup as a stream
+(``datasource``), a chunk at a time; where a store can be read by Spark only, they are cut whole by one regular expression.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import xmltext as X
 from ..functions.shared import cut
+from . import datasource
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 COMPLETE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
 OPEN = r"(?s)<!--|<!\[CDATA\[|<\?|<[^<>\"'!?][^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*(?:\"[^\"]*|'[^']*)$"
 TOKEN = r"(?s)[^<]*+(?:<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<\?.*?(?:\?>|\z)|<[^<>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>\"']*+)*+(?:>|\z)|<|\z)"
-#: Elements, properties, and three levels of fields inside them.
-LEVELS = 5
+#: The most levels that are read: elements, properties, and fields inside them. What is deeper is reported.
+MOST_LEVELS = 32
 
 
 def listed(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]"):
@@ -33,8 +37,11 @@ def tokens(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Data
     odd = [r.file for r in rows.where(F.regexp_replace("value", COMPLETE, "").rlike(OPEN)).select("file").distinct().collect()]  # names of files
     if not odd:
         return rows
+    plain = rows.where(~F.col("file").isin(odd))
+    if datasource.S.reachable(odd[0]):
+        return plain.unionByName(datasource.scan(spark, path, files=json.dumps(odd)).select("file", "split", "at", "value"))
     whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    return rows.where(~F.col("file").isin(odd)).unionByName(cut_whole(whole))
+    return plain.unionByName(cut_whole(whole))
 
 
 def part_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -100,48 +107,87 @@ def leveled(found: DataFrame) -> DataFrame:
     kind = F.when(tag == "", "text").when(tag.startswith("<![CDATA["), "cdata").when(tag.rlike("^<[!?]"), "other").when(tag.startswith("</"), "close").when(tag.rlike(r"/\s*>$"), "empty").otherwise("open")
     rows = rows.withColumn("kind", kind).withColumn("name", F.when(F.col("kind").isin("open", "empty", "close"), F.regexp_extract("tag", r"^</?([^\s/>]+)", 1)))
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    sums = rows.groupBy("file", "split").agg(F.sum(step).alias("n"))  # a row for each split
+    sums = cut(rows.groupBy("file", "split").agg(F.sum(step).alias("n")))
     before = sums.select("file", "split", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
     here = Window.partitionBy("file", "split").orderBy("at")
-    return rows.withColumn("inside", F.sum(step).over(here) - step).join(F.broadcast(before), ["file", "split"]).withColumn("depth", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
+    return rows.withColumn("inside", F.sum(step).over(here) - step).join(near(before, sums.count()), ["file", "split"]).withColumn("depth", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
+
 
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` broadcast if it has few rows by count (rows of files or of splits)."""
+    return F.broadcast(df) if rows <= 100_000 else df
 
-def nodes(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, the prefixes of each file, and the files without an RDF root.
 
-    A node is an element below ``rdf:RDF`` (wherever that stands): file, level (1: elements, 2: properties, up to LEVELS), pos, up (the positions of the nodes around it),
-    ns, local, tag, text (its own, white space kept, line ends as line feeds) and closed.
+def places(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """file, pos, line and col (in bytes, from 1) of every tag in ``files``, from ``leveled`` rows: running sums of bytes and line ends, within a split and over splits."""
+    value = F.concat("text", "tag")
+    lines = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
+    size = lambda x: F.octet_length(x).cast("long")
+    tail = lambda x: F.when(F.instr(x, "\n") > 0, size(x) - size(F.substring_index(x, "\n", -1)))  # noqa: E731  bytes up to the last line end
+    some = rows.join(files.select("file").distinct(), "file", "left_semi").select("file", "split", "at", size(value).alias("bytes"), size(F.col("text")).alias("ahead"), lines(value).alias("ends"), lines(F.col("text")).alias("ends_ahead"), tail(value).alias("last"), tail(F.col("text")).alias("last_ahead"))
+    here = Window.partitionBy("file", "split").orderBy("at")
+    inside = some.withColumns({"start": F.sum("bytes").over(here) - F.col("bytes"), "line": F.sum("ends").over(here) - F.col("ends")})
+    inside = inside.withColumn("found", F.max(F.col("start") + F.col("last")).over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    per = inside.groupBy("file", "split").agg(F.sum("bytes").alias("n"), F.sum("ends").alias("n_ends"), F.max(F.col("start") + F.col("last")).alias("n_last"))
+    over = Window.partitionBy("file").orderBy("split")
+    carried = per.withColumns({"start_before": F.sum("n").over(over) - F.col("n"), "line_before": F.sum("n_ends").over(over) - F.col("n_ends")})
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.withColumn("last_before", F.max(F.col("start_before") + F.col("n_last")).over(earlier)).select("file", "split", "start_before", "line_before", "last_before")
+    at = inside.join(carried, ["file", "split"])
+    tag = F.col("start_before") + F.col("start") + F.col("ahead")
+    last = F.coalesce(F.col("start_before") + F.col("start") + F.col("last_ahead"), F.col("start_before") + F.col("found"), F.col("last_before"), F.lit(0))
+    return at.select("file", F.struct("split", "at").alias("pos"), (1 + F.col("line_before") + F.col("line") + F.col("ends_ahead")).alias("line"), (1 + tag - last).alias("col"))
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """The parts of some documents."""
+
+    rows: DataFrame  # what ``leveled`` gives
+    nodes: DataFrame
+    prefixes: DataFrame  # file, prefixes
+    no_root: DataFrame  # file
+    deep: DataFrame  # file, pos: elements below MOST_LEVELS
+
+
+def nodes(found: DataFrame) -> Nodes:
+    """The nodes of documents.
+
+    A node is an element below ``rdf:RDF`` (wherever that stands): file, level (1: elements, 2: properties, and as deep as the documents go, up to MOST_LEVELS), pos, up and within (the positions and
+    local names of the nodes around it), ns, local, tag, text (its own, white space kept, line ends as line feeds) and closed.
     """
     rows = cut(leveled(found))
     prefixes = cut(namespaces(rows))
     n_files = prefixes.count()
-    near = (lambda df: F.broadcast(df)) if n_files <= 100_000 else (lambda df: df)
     local = F.substring_index("name", ":", -1)
     start = F.col("kind").isin("open", "empty")
-    rdf_roots = rows.where(start & (local == "RDF")).groupBy("file").agg(F.min_by(F.col("depth"), F.struct("split", "at")).alias("root"))
+    rdf_roots = cut(rows.where(start & (local == "RDF")).groupBy("file").agg(F.min_by(F.col("depth"), F.struct("split", "at")).alias("root")))
     no_root = rows.select("file").distinct().join(rdf_roots, "file", "left_anti")
     pos = F.struct("split", "at")
-    rel = F.col("depth") - F.col("root")
-    inner = rows.join(near(rdf_roots), "file").withColumn("rel", rel).where((F.col("rel") >= 1) & (F.col("rel") <= LEVELS + 1))
-    begins = [F.when(start & (F.col("rel") == k), pos) for k in range(1, LEVELS + 1)]
-    inner = inner.withColumns({f"b{k}": b for k, b in enumerate(begins, 1)})
-    lasts = inner.groupBy("file", "split").agg(*(F.max(f"b{k}").alias(f"l{k}") for k in range(1, LEVELS + 1)))
+    under = rows.join(near(rdf_roots, n_files), "file").withColumn("rel", F.col("depth") - F.col("root")).where("rel >= 1")
+    sizes = under.where(start).agg(F.max("rel"), F.countDistinct("file", "split")).first()
+    levels, n_splits = min(sizes[0] or 1, MOST_LEVELS), sizes[1]
+    deep = under.where(start & (F.col("rel") > levels)).select("file", pos.alias("pos"))
+    inner = under.where(F.col("rel") <= levels + 1)
+    each = range(1, levels + 1)
+    begins = [F.when(start & (F.col("rel") == k), F.struct("split", "at", local.alias("local"))) for k in each]
+    inner = inner.withColumns({f"b{k}": b for k, b in zip(each, begins)})
+    lasts = inner.groupBy("file", "split").agg(*(F.max(f"b{k}").alias(f"l{k}") for k in each))
     over = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("file", "split", *(F.max(f"l{k}").over(over).alias(f"c{k}") for k in range(1, LEVELS + 1)))  # a row for each split
+    carried = lasts.select("file", "split", *(F.max(f"l{k}").over(over).alias(f"c{k}") for k in each))  # a row for each split
     here = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = inner.withColumns({f"b{k}": F.max(f"b{k}").over(here) for k in range(1, LEVELS + 1)}).join(F.broadcast(carried), ["file", "split"])
-    around = F.array(*(F.coalesce(f"b{k}", f"c{k}") for k in range(1, LEVELS + 1)))
-    placed = placed.withColumn("around", around).drop(*(f"{x}{k}" for x in "bc" for k in range(1, LEVELS + 1)))
+    placed = inner.withColumns({f"b{k}": F.max(f"b{k}").over(here) for k in each}).join(near(carried, n_splits), ["file", "split"])
+    around = F.array(*(F.coalesce(f"b{k}", f"c{k}") for k in each))
+    placed = placed.withColumn("around", around).drop(*(f"{x}{k}" for x in "bc" for k in each))
     # a start tag stands in the nodes of lower levels; the text before a tag, and an end tag, belong to the nodes open there
-    starts = placed.where(start & (F.col("rel") <= LEVELS)).select("file", F.col("rel").alias("level"), pos.alias("pos"), F.slice("around", F.lit(1), F.col("rel") - 1).alias("up"), "name", "tag", (F.col("kind") == "empty").alias("empty"))
+    up = F.slice("around", F.lit(1), F.col("rel") - 1)
+    place = lambda x: F.struct(x["split"].alias("split"), x["at"].alias("at"))
+    starts = placed.where(start & (F.col("rel") <= levels)).select("file", F.col("rel").alias("level"), pos.alias("pos"), F.transform(up, place).alias("up"), F.transform(up, lambda x: x["local"]).alias("within"), "name", "tag", (F.col("kind") == "empty").alias("empty"))
     piece = F.when(F.col("kind") == "cdata", F.concat(X.unescape(F.col("text")), F.regexp_extract("tag", r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>)?$", 1))).otherwise(X.unescape(F.col("text")))
-    own = placed.where("rel > 1").select("file", F.element_at("around", F.col("rel") - 1).alias("pos"), F.struct("split", "at", piece.alias("piece")).alias("p"), (F.col("kind") == "close").alias("close"))
+    own = placed.where("rel > 1").select("file", place(F.element_at("around", F.col("rel") - 1)).alias("pos"), F.struct("split", "at", piece.alias("piece")).alias("p"), (F.col("kind") == "close").alias("close"))
     texts = own.groupBy("file", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"), F.bool_or("close").alias("closed"))
-    joined = starts.join(texts, ["file", "pos"], "left").join(near(prefixes), "file", "left")
+    joined = starts.join(texts, ["file", "pos"], "left").join(near(prefixes, n_files), "file", "left")
     prefix = F.when(F.instr("name", ":") > 0, F.substring_index("name", ":", 1)).otherwise("")
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    return (
-        joined.select("file", "level", "pos", "up", F.coalesce(F.try_element_at("prefixes", prefix), F.lit("")).alias("ns"), F.substring_index("name", ":", -1).alias("local"), "tag", clean.alias("text"), (F.col("empty") | F.coalesce("closed", F.lit(False))).alias("closed")),
-        prefixes,
-        no_root,
-    )
+    found_nodes = joined.select("file", "level", "pos", "up", "within", F.coalesce(F.try_element_at("prefixes", prefix), F.lit("")).alias("ns"), F.substring_index("name", ":", -1).alias("local"), "tag", clean.alias("text"), (F.col("empty") | F.coalesce("closed", F.lit(False))).alias("closed"))
+    return Nodes(rows, found_nodes, prefixes, no_root, deep)
