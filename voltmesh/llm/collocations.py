@@ -7,9 +7,9 @@ Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pi
    and break the pieces. A number stands for a word of one language, so keys of languages never meet.
 2. *Keys.* Each position with a frequent word after its own gives one key: the numbers of the next ``longest`` words, four bytes each, zeros from the end
    of the piece on. All shorter phrases that begin there are prefixes of that key.
-3. *Sort and count.* A task sorts and run-length counts what it has read, about ``KEYS_AT_ONCE`` keys at a time, so repeated texts shrink before the shuffle.
-   The keys are dealt in ranges; each range is radix-sorted, 16 bits a pass, and the runs of each prefix length are its counts. A run that may go on
-   in another range is summed with its other parts; no key, however frequent, makes a task large.
+3. *Sort and count.* A task radix-sorts, 16 bits a pass, and run-length counts what it has read, about ``KEYS_AT_ONCE`` keys at a time, so repeated texts shrink before the shuffle. Sorted keys are dealt in ranges, as packed
+   columns of one range each: numbers follow the words' frequency, so the running sum of the counts tells the ranges of the first word, and where that is frequent, of the second. Each range is radix-sorted again, and the runs of each prefix
+   length are its counts. A range with much more than its share of keys, as after a very common pair of words, is split by a hash of the key, and the counts of its parts are summed.
 4. *Scores.* A phrase is cut at each place; counts of the parts are joined by key. The lowest ``floor(1000 a n / (l r))`` counts, in whole numbers of 38 digits.
    A phrase within a longer one as frequent as itself is dropped; as counts only fall with length, phrases longer by one word tell it.
 
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
-from .common import cut, map_batches, new_folder, remove_folder, slices, small, values_of
+from .common import cut, map_batches, map_groups, mix, new_folder, remove_folder, slices, small, values_of
 
 #: Bytes as the contract reads them: A-Z lower-case, piece ends as a byte that UTF-8 never has, tabs as spaces.
 BREAK = b"\xff"
@@ -111,9 +112,18 @@ def as_binary(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys, ">u4").tobytes())])
 
 
-def as_numbers(column: pa.Array, longest: int) -> np.ndarray:
-    flat = b"".join(column.to_pylist())
-    return np.frombuffer(flat, ">u4").astype(np.uint32).reshape(-1, longest)
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and their counts, column after column, the first one by its steps."""
+    columns = np.empty((keys.shape[1] + 1, len(keys)), np.uint32)
+    columns[:-1], columns[-1] = keys.T, n
+    columns[0, 1:] -= keys[:-1, 0]
+    return zstandard.compress(columns.tobytes(), 1)
+
+
+def unpacked(block: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.frombuffer(zstandard.decompress(block), np.uint32).reshape(longest + 1, -1).copy()
+    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    return columns[:-1].T, columns[-1].astype(np.int64)
 
 
 def phrase_keys(ids: np.ndarray, longest: int) -> np.ndarray:
@@ -127,12 +137,37 @@ def phrase_keys(ids: np.ndarray, longest: int) -> np.ndarray:
     return keys
 
 
+class Ranges:
+    """Which range a key is in: ``before`` and ``of`` have, by number, the occurrences of all words before and of each known word.
+
+    A range holds about ``share`` keys. The words before give the range of the first word; a word with more than a share has ranges of its own, told by the second.
+    """
+
+    def __init__(self, before: np.ndarray, of: np.ndarray, share: int):
+        own = np.maximum(1, of // share)
+        # words of one range each lie together by their running sums; after a word with ranges of its own a new one begins
+        place = before // share
+        step = np.zeros(len(of), np.int64)
+        step[1:] = np.where((own[1:] > 1) | (own[:-1] > 1), own[:-1], np.minimum(1, place[1:] - place[:-1]))
+        self.first, self.own, self.before, self.total = np.cumsum(step), own, before, max(1, int(before[-1] + of[-1])) if len(of) else 1
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The ranges of sorted keys; numbers beyond the known ones are rare words, which share the ranges after."""
+        known = len(self.first)
+        one = np.minimum(keys[:, 0].astype(np.int64) - 1, known - 1)
+        two = np.minimum(keys[:, 1].astype(np.int64) - 1, known - 1)
+        inner = (self.before[two] * self.own[one]) // self.total  # whole numbers: occurrences times ranges
+        return self.first[one] + np.minimum(inner, self.own[one] - 1)
+
+
 def encoded_keys(texts: DataFrame, dictionary: DataFrame, words: int, longest: int, most_words: int) -> DataFrame:
-    """key and n: the phrase keys of all texts, counted within each task's chunks. ``dictionary``: id, lang, word, numbered from the most frequent on."""
+    """range, rows and block: the phrase keys of all texts, sorted and counted within each task's chunks. ``dictionary``: id, lang, word and n, numbered from the most frequent on."""
     known: dict[str, dict[bytes, int]] = {}
-    for r in dictionary.where(F.col("id") <= most_words).select("lang", "word", "id").toLocalIterator():
+    count = np.zeros(min(words, most_words), np.int64)
+    for r in dictionary.where(F.col("id") <= most_words).select("lang", "word", "id", "n").toLocalIterator():
         known.setdefault(r.lang, {})[r.word.encode()] = r.id
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+        count[r.id - 1] = r.n
+    shared = texts.sparkSession.sparkContext.broadcast((known, Ranges(np.cumsum(count) - count, count, ROWS_A_RANGE)))
     if words <= most_words:
         told = texts.withColumn("told", F.lit(None).cast("array<struct<word:string,id:long>>"))
     else:
@@ -142,7 +177,7 @@ def encoded_keys(texts: DataFrame, dictionary: DataFrame, words: int, longest: i
             for some in slices(batch, 2):
                 found = []
                 for lang, text in zip(values_of(some.column(1)), values_of(some.column(2))):
-                    frequent = shared.value.get(lang, {})
+                    frequent = shared.value[0].get(lang, {})
                     found.append([w.decode() for w in set(text.encode().translate(_TO_WORDS).split()) if w not in frequent])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(found, pa.list_(pa.string()))], names=["place", "lang", "words"])
 
@@ -153,17 +188,21 @@ def encoded_keys(texts: DataFrame, dictionary: DataFrame, words: int, longest: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
+        frequent, ranges = shared.value
 
-        def rows() -> pa.RecordBatch:
+        def blocks() -> pa.RecordBatch:
             keys = np.concatenate(held) if held else np.empty((0, longest), np.uint32)
             keys, n = counted(keys, np.ones(len(keys), np.int64))
-            return pa.RecordBatch.from_arrays([as_binary(keys), pa.array(n)], names=["key", "n"])
+            of = ranges.of(keys) if len(keys) else np.empty(0, np.int64)
+            starts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(keys))
+            rows = [packed(keys[a:b], n[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(of[starts[:-1]]), pa.array(np.diff(starts)), pa.array(rows, pa.binary())], names=["range", "rows", "block"])
 
         for batch in batches:
             for some in slices(batch, 1):
                 ids = []
                 for lang, text, more in zip(*(values_of(c) for c in some.columns)):
-                    known_here = shared.value.get(lang, {})
+                    known_here = frequent.get(lang, {})
                     if more:
                         known_here = known_here | {m["word"].encode(): m["id"] for m in more}
                     get = known_here.get
@@ -172,40 +211,55 @@ def encoded_keys(texts: DataFrame, dictionary: DataFrame, words: int, longest: i
                 held.append(phrase_keys(np.array(ids, np.uint32), longest))
                 n_held += len(held[-1])
                 if n_held >= KEYS_AT_ONCE:
-                    yield rows()
+                    yield blocks()
                     held, n_held = [], 0
-        yield rows()
-
-    return told.select("lang", "text", "told").mapInArrow(run, "key binary, n long")
-
-
-def phrase_counts(keys: DataFrame, longest: int, min_count: int) -> DataFrame:
-    """key (zeros after the phrase) and a, of the phrases of 2 words or more with ``min_count`` occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(as_numbers(b.column(0), longest), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        keys, n = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        parts.clear()
-        differ = np.zeros(len(keys), bool)
-        differ[0] = True
-        differ[1:] = keys[1:, 0] != keys[:-1, 0]
-        for m in range(2, longest + 1):
-            differ[1:] |= keys[1:, m - 1] != keys[:-1, m - 1]
-            starts = np.flatnonzero(differ)
-            sums = np.add.reduceat(n, starts)
-            # the first and the last run may go on in other ranges
-            keep = (sums >= min_count) | (np.arange(len(starts)) % max(1, len(starts) - 1) == 0)
-            keep &= keys[starts, m - 1] > 0
-            found = keys[starts[keep]].copy()
-            found[:, m:] = 0
-            yield pa.RecordBatch.from_arrays([as_binary(found), pa.array(sums[keep])], names=["key", "a"])
-
-    rows = keys.count()
-    spark = keys.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_RANGE))
-    runs = keys.repartitionByRange(ranges, "key").mapInArrow(run, "key binary, a long")
+        yield blocks()
+
+    return told.select("lang", "text", "told").mapInArrow(run, "range long, rows long, block binary")
+
+
+def phrase_counts(blocks: DataFrame, longest: int, min_count: int) -> DataFrame:
+    """key (zeros after the phrase) and a, of the phrases of 2 words or more with ``min_count`` occurrences.
+
+    The first two words tell the range, so a range has all of a phrase. Of a range in parts, only whole keys do: its shorter phrases leave with what each part has, and are summed.
+    """
+    sizes = blocks.groupBy("range").agg(F.sum("rows").alias("n")).where(F.col("n") > 4 * ROWS_A_RANGE).select("range", F.ceil(F.col("n") / ROWS_A_RANGE).cast("int").alias("parts"))
+    hot = cut(sizes)
+    split = small(hot, hot.count())
+    whole = blocks.join(split, "range", "left_anti").select("range", F.lit(0).alias("part"), F.lit(False).alias("partial"), "block")
+
+    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for of, parts, block in zip(*(values_of(c) for c in batch.columns)):
+            keys, n = unpacked(block, longest)
+            mixed = np.zeros(len(keys), np.uint64)
+            for at in range(longest):
+                mixed = mix(mixed + keys[:, at])
+            part_of = (mixed % np.uint64(parts)).astype(np.int64)
+            rows = [(p, packed(keys[part_of == p], n[part_of == p])) for p in np.unique(part_of).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([of] * len(rows), pa.int64()), pa.array([p for p, _ in rows], pa.int32()), pa.array([True] * len(rows)), pa.array([b for _, b in rows], pa.binary())], names=["range", "part", "partial", "block"])
+
+    parted = map_batches(blocks.join(split, "range").select("range", "parts", "block"), deal, "range long, part int, partial boolean, block binary")
+
+    def run(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        out_keys, out_n = [], []
+        for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
+            parts = [unpacked(x, longest) for x in values_of(rows.column("block").slice(a, b - a))]
+            keys, n = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            partial = rows.column("partial")[int(a)].as_py()
+            differ = np.ones(len(keys), bool)
+            differ[1:] = keys[1:, 0] != keys[:-1, 0]
+            for m in range(2, longest + 1):
+                differ[1:] |= keys[1:, m - 1] != keys[:-1, m - 1]
+                at = np.flatnonzero(differ)
+                sums = np.add.reduceat(n, at)
+                keep = (keys[at, m - 1] > 0) & ((sums >= min_count) | (partial and m < longest))
+                found = keys[at[keep]].copy()
+                found[:, m:] = 0
+                out_keys.append(found)
+                out_n.append(sums[keep])
+        return pa.RecordBatch.from_arrays([as_binary(np.concatenate(out_keys)), pa.array(np.concatenate(out_n))], names=["key", "a"])
+
+    runs = map_groups(whole.unionByName(parted), ["range", "part"], run, "key binary, a long")
     return runs.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
 
 
