@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def mask(index: int) -> int:
-    if not 0 <= index < 62:
-        raise ValueError("a profile mask has 62 bits")
-    return 1 << index
+    """The bit of a profile as a signed long; the last one is the sign."""
+    if not 0 <= index < 64:
+        raise ValueError("a profile mask has 64 bits")
+    return (1 << index) - ((1 << 64) if index == 63 else 0)
 
 
 def effective(provenance: Column, used_in: Column) -> Column:
@@ -26,7 +27,7 @@ def covers(provenance: Column, used_in: Column) -> Column:
     return (provenance == 0) | (provenance.bitwiseAND(used_in) != 0)
 
 
-def bits(masks: Column, profiles: int = 62) -> Column:
+def bits(masks: Column, profiles: int = 64) -> Column:
     """The set bits of a mask as an array of profile numbers."""
     return F.filter(F.sequence(F.lit(0), F.lit(profiles - 1)), lambda i: F.call_function("shiftright", masks, i).bitwiseAND(F.lit(1)) == 1)
 

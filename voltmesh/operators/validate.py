@@ -22,7 +22,7 @@ RULES = {
     "dependency": "CIM0014", "structure": "CIM0015", "datatype": "CIM0016", "fixed-value": "CIM0017", "conflicting-value": "CIM0018", "illegal-character": "CIM0019", "unwritable-identifier": "CIM0020",
     "wrong-vintage": "CIM0021", "unreadable-file": "CIM0022",
 }
-ALL_PROFILES = (1 << 62) - 1
+ALL_PROFILES = -1
 
 
 def finding(rows: DataFrame, severity: str, rule: str, message: Column, attr: Column | None = None) -> DataFrame:

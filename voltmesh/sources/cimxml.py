@@ -8,11 +8,13 @@ cut off keeps the elements that are closed before.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import mrid as M
+from ..functions import profiles as P
 from ..functions import values as V
 from ..functions import xmltext as X
 from ..functions.ordered import numbered
@@ -204,12 +206,19 @@ def primary_profile(heads: DataFrame) -> DataFrame:
 
 
 def safe_names(wanted: DataFrame) -> DataFrame:
-    """``wanted`` (file, name) with output, a name that stays in its folder and that no other file has: the last part of the name, and a number from the second on."""
+    """``wanted`` (file, name) with output, a name that stays in its folder and that no other file has: the last part of the name, and a number from the second on.
+
+    A numbered name may be another file's own; then it is numbered again, and the own one stays.
+    """
     last = F.regexp_extract(F.regexp_replace("name", r"\\", "/"), r"([^/]*)/*$", 1)
-    plain = F.when(last.isin("", ".", ".."), "document.xml").otherwise(last)
-    n = F.row_number().over(Window.partitionBy("plain").orderBy("file"))
-    stem, end = F.regexp_extract("plain", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("plain", r"^(.*?)(\.[^.]*)?$", 2)
-    return wanted.withColumn("plain", plain).withColumn("n", n).withColumn("output", F.when(F.col("n") == 1, F.col("plain")).otherwise(F.concat(stem, F.lit("_"), "n", end))).drop("plain", "n")
+    named = wanted.withColumns({"output": F.when(last.isin("", ".", ".."), "document.xml").otherwise(last), "turn": F.lit(0)})
+    stem, end = F.regexp_extract("output", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("output", r"^(.*?)(\.[^.]*)?$", 2)
+    while True:
+        named = cut(named.withColumn("n", F.row_number().over(Window.partitionBy("output").orderBy("turn", "file"))))
+        if named.where("n > 1").isEmpty():
+            return named.drop("turn", "n")
+        again = F.col("n") > 1
+        named = named.withColumns({"output": F.when(again, F.concat(stem, F.lit("_"), "n", end)).otherwise(F.col("output")), "turn": F.col("turn") + again.cast("int")}).drop("n")
 
 
 def identity() -> tuple[Column, Column]:
@@ -338,12 +347,13 @@ def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
 
 
 def rendered(m: Model, scope: int, prefix: Prefix = "cim") -> DataFrame:
-    """mrid and the element text of every object with a value in the scope; one without values in it is left out."""
+    """mrid and the element text of every object of the scope: with a value in it, or introduced there, by a file of it and of a class it defines."""
     from ..operators.model import element_class
 
     slots = m.in_profiles(scope)
-    live = m.objects.join(slots.select("mrid").distinct(), "mrid", "left_semi")
     defined = F.broadcast(m.vocabulary.classes.select(F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.lit(scope)) != 0).alias("introduces")))
+    own = m.objects.where(F.col("profiles").bitwiseAND(F.lit(scope)) != 0).join(defined.where("introduces").select(F.col("element").alias("class")), "class", "left_semi").select("mrid")
+    live = m.objects.join(slots.select("mrid").union(own).distinct(), "mrid", "left_semi")
     return drawn(element_class(live, slots, m.vocabulary, scope).select("mrid", "element").join(defined, "element", "left"), slots, m.vocabulary, prefix)
 
 
@@ -450,21 +460,42 @@ def derived_header(m: Model, profiles: list[str], vintage: str = "", created: st
     return {"id": f"urn:uuid:{uuid.uuid5(uuid.UUID(namespace), name)}", "version": "1", "profiles": profiles, "created": created}
 
 
+def root_text(namespaces: dict[str, str], header: str = "") -> str:
+    """The beginning of a document: ``namespaces`` by prefix."""
+    attributes = "".join(f' xmlns:{k}="{v}"' for k, v in {"rdf": T.RDF, **namespaces}.items())
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{attributes}>\n{header}'
+
+
+END = "</rdf:RDF>"
+
+
 def write_elements(rows: DataFrame, path: str, header: str, namespaces: dict[str, str]) -> None:
     """One document in part files: ``rows`` (mrid, element) sorted by identifier; its text is the parts in name order."""
-    attributes = "".join(f' xmlns:{k}="{v}"' for k, v in {"rdf": T.RDF, **namespaces}.items())
     spark = rows.sparkSession
-    ends = spark.createDataFrame([(0, "", f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{attributes}>\n{header}'), (2, "", "</rdf:RDF>")], "part int, mrid string, element string")
+    ends = spark.createDataFrame([(0, "", root_text(namespaces, header)), (2, "", END)], "part int, mrid string, element string")
     body = rows.select(F.lit(1).alias("part"), "mrid", "element")
     ends.unionByName(body).orderBy("part", *M.sort_keys(M.parse(F.col("mrid")))).select("element").write.mode("overwrite").text(path)
 
 
-def write_profile(m: Model, scope: int, path: str, header: str, namespaces: dict[str, str], prefix: str = "cim") -> None:
+def write_documents(elements: DataFrame, heads: DataFrame, path: str, namespaces: dict[str, str], zipped: bool = False) -> list[str]:
+    """One file for each document under ``path``, or the archive ``path``: ``elements`` (document, mrid, element) sorted by identifier, between its root and end; ``heads``: document and header text (or null).
+
+    All documents are dealt in ranges by name and identifier and written in parts by all tasks; the parts are then joined by copying (``datasource``).
+    """
+    start = F.concat_ws("", F.lit(root_text(namespaces)), F.when(F.col("header").isNotNull(), F.concat("header", F.lit("\n"))))
+    ends = heads.select("document", F.explode(F.array(F.struct(F.lit(0).alias("part"), start.alias("text")), F.struct(F.lit(2).alias("part"), F.lit(END + "\n").alias("text")))).alias("x")).select("document", "x.part", F.lit("").alias("mrid"), "x.text")
+    body = elements.select("document", F.lit(1).alias("part"), "mrid", F.concat("element", F.lit("\n")).alias("text"))
+    order = ["document", "part", *M.sort_keys(M.parse(F.col("mrid")))]
+    rows = ends.unionByName(body)
+    return datasource.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), path, zipped)
+
+
+def write_profile(m: Model, scope: int, path: str, header: str, namespaces: dict[str, str], prefix: Prefix = "cim") -> None:
     """The values of a profile set as one document (B2)."""
     write_elements(rendered(m, scope, prefix), path, header, namespaces)
 
 
-def write_model(m: Model, path: str, header: str, namespaces: dict[str, str], prefix: str = "cim") -> None:
+def write_model(m: Model, path: str, header: str, namespaces: dict[str, str], prefix: Prefix = "cim") -> None:
     """A whole model as one document (B1)."""
     write_elements(whole(m, prefix), path, header, namespaces)
 
@@ -475,28 +506,89 @@ def populated(m: Model) -> DataFrame:
     return m.vocabulary.profiles.where(F.call_function("shiftright", F.lit(bits), F.col("bit")).bitwiseAND(F.lit(1)) != 0)
 
 
-def save_profiles(m: Model, folder: str, stem: str, namespaces: dict[str, str], prefix: str = "cim", headers: dict[str, str] | None = None) -> dict[str, str]:
-    """One document for each populated profile, ``<stem>_<profile>`` in ``folder``, with given or derived headers; the path of each profile."""
-    out = {}
+#: What stands at the head of a written document: nothing, or a header that follows from its content. A given header is its text.
+OMIT, DERIVE = "omit", "derive"
+
+
+def profile_headers(m: Model, headers: dict[str, str] | str = DERIVE) -> list[tuple]:
+    """profile, bit and header text (None: none) of each populated profile: given ones, derived ones, or none."""
+    out = []
     for p in populated(m).orderBy("bit").collect():  # a row for each profile
-        header = (headers or {}).get(p.profile)
-        if header is None:
-            header = header_text(derived_header(m.with_(slots=m.in_profiles(1 << p.bit)), [p.iri]))
-        out[p.profile] = f"{folder}/{stem}_{p.profile}"
-        write_profile(m, 1 << p.bit, out[p.profile], header, {"md": MD, **namespaces}, prefix)
+        given = headers.get(p.profile, DERIVE) if isinstance(headers, dict) else headers
+        if given == DERIVE:
+            given = header_text(derived_header(m.with_(slots=m.in_profiles(1 << p.bit)), [p.iri]))
+        out.append((p.profile, p.bit, None if given == OMIT else given))
     return out
 
 
-def as_loaded(m: Model, docs: Documents, heads: DataFrame, prefix: str = "cim") -> tuple[DataFrame, DataFrame]:
+def save_profiles(m: Model, folder: str, stem: str, namespaces: dict[str, str], prefix: Prefix = "cim", headers: dict[str, str] | str = DERIVE) -> dict[str, str]:
+    """One document in part files for each populated profile, ``<stem>_<profile>`` in ``folder``; the path of each profile."""
+    out = {}
+    for profile, bit, header in profile_headers(m, headers):
+        out[profile] = f"{folder}/{stem}_{profile}"
+        write_profile(m, 1 << bit, out[profile], header or "", {"md": MD, **namespaces}, prefix)
+    return out
+
+
+def save_files(m: Model, path: str, stem: str, suggested: dict[str, str] | None = None, headers: dict[str, str] | str = DERIVE, zipped: bool = False) -> list[str]:
+    """One file ``<stem>_<profile>.xml`` for each populated profile, under ``path`` or in the archive ``path``; what was written.
+
+    Each namespace of the vocabulary gets its own prefix, ``suggested`` by namespace.
+    """
+    bound = prefixes_of(m.vocabulary, suggested or {})
+    heads, parts_of = [], []
+    for profile, bit, header in profile_headers(m, headers):
+        name = f"{stem}_{profile}.xml"
+        heads.append((name, header))
+        parts_of.append(rendered(m, 1 << bit, bound).select(F.lit(name).alias("document"), "mrid", "element"))
+    if not heads:
+        return []
+    spark = m.slots.sparkSession
+    return write_documents(reduce(DataFrame.unionByName, parts_of), spark.createDataFrame(heads, "document string, header string"), path, {p: ns for ns, p in bound.items() if p != "rdf"}, zipped)
+
+
+def header_element(prefix: str = "md", kind: str = "FullModel") -> Column:
+    """The text of a header from the columns of ``headers_of``, in fixed field order; fields of other names follow as they are."""
+    text = lambda name, value: F.concat(F.lit(f"    <{prefix}:Model.{name}>"), X.escape_text(value), F.lit(f"</{prefix}:Model.{name}>"))
+    reference = lambda name, value: F.concat(F.lit(f'    <{prefix}:Model.{name} rdf:resource="'), X.escape_attribute(value), F.lit('"/>'))
+    one = [F.when(F.col(c).isNotNull(), F.array(text(name, F.col(c)))).otherwise(F.array().cast("array<string>")) for name, c in (("created", "created"), ("scenarioTime", "scenario_time"), ("version", "version"), ("description", "description"), ("modelingAuthoritySet", "authority"))]
+    more = F.transform(F.filter(F.coalesce("extra", F.array().cast("array<struct<ns:string,local:string,value:string>>")), lambda x: (x["ns"] == MD) & x["local"].rlike(r"^[\w.-]+$")), lambda x: F.concat(F.lit(f"    <{prefix}:"), x["local"], F.lit(">"), X.escape_text(x["value"]), F.lit(f"</{prefix}:"), x["local"], F.lit(">")))
+    many = [F.transform("supersedes", lambda x: reference("Supersedes", x)), F.transform("depends_on", lambda x: reference("DependentOn", x)), F.transform("profiles", lambda x: text("profile", x))]
+    about = F.when(F.col("id").isNotNull(), F.concat(F.lit(' rdf:about="'), X.escape_attribute(F.col("id")), F.lit('"'))).otherwise("")
+    return F.array_join(F.concat(F.array(F.concat(F.lit(f"  <{prefix}:{kind}"), about, F.lit(">"))), *one, *many, more, F.array(F.lit(f"  </{prefix}:{kind}>"))), "\n")
+
+
+def save_as_loaded(m: Model, docs: Documents, heads: DataFrame, path: str, suggested: dict[str, str] | None = None, zipped: bool = False) -> tuple[list[str], DataFrame, DataFrame]:
+    """One file for each full header, named as it was loaded, with its header, its objects and the values of its profiles.
+
+    Gives what was written, the files that were skipped (no header of a model, or none of its profiles known), and the values that no file can take. Two files of one name, as
+    entries of different folders, get different ones.
+    """
+    bound = prefixes_of(m.vocabulary, suggested or {})
+    elements, unwritten = as_loaded(m, docs, heads, bound)
+    known = file_masks(heads, m.vocabulary).select("file")
+    full = heads.where("kind = 'full'").join(known, "file", "left_semi")
+    skipped = docs.files.select("file").join(full.select("file"), "file", "left_anti")
+    name = F.regexp_replace(F.substring_index("file", "!", -1), r"(?i)(\.xml)?$", "")
+    named = cut(safe_names(full.withColumn("name", F.concat(name, F.lit(".xml")))).withColumnRenamed("output", "document"))
+    heads_text = named.select("document", header_element().alias("header"))
+    placed = elements.join(T.near(named.select("file", "document"), named.count()), "file").select("document", "mrid", "element")
+    return write_documents(placed, heads_text, path, {p: ns for ns, p in bound.items() if p != "rdf"}, zipped), skipped, unwritten
+
+
+def as_loaded(m: Model, docs: Documents, heads: DataFrame, prefix: Prefix = "cim") -> tuple[DataFrame, DataFrame]:
     """file, mrid and element text of every object of every file as it was loaded, and the values that no file can take.
 
     An object goes to the files that named it, with the values of their profiles, in one pass for all files; objects of no file go to the first file that has
     a profile of theirs.
     """
-    masks = file_masks(heads, m.vocabulary).join(F.broadcast(docs.files), "file")
-    members = m.members.join(F.broadcast(masks.select("file_seq", "file", F.col("profiles").alias("file_mask"))), "file_seq")
-    homeless = m.slots.join(members.select("mrid").distinct(), "mrid", "left_anti").join(F.broadcast(masks.select("file_seq", "file", F.col("profiles").alias("file_mask"))), F.col("profiles").bitwiseAND(F.col("file_mask")) != 0)
-    adopted = homeless.groupBy("mrid").agg(F.min(F.struct("file_seq", "file", "file_mask")).alias("f")).select("f.file_seq", "mrid", "f.file", "f.file_mask")
+    masks = cut(file_masks(heads, m.vocabulary).join(docs.files, "file").select("file_seq", "file", F.col("profiles").alias("file_mask")))
+    n_files = masks.count()
+    members = m.members.join(T.near(masks, n_files), "file_seq")
+    # the first file of each profile; a value's mask is told bit by bit, so nothing meets all files
+    firsts = F.broadcast(masks.select(F.explode(P.bits(F.col("file_mask"))).alias("bit"), F.struct("file_seq", "file", "file_mask").alias("f")).groupBy("bit").agg(F.min("f").alias("f")))  # 64 rows at most
+    homeless = m.slots.join(members.select("mrid").distinct(), "mrid", "left_anti").select("mrid", F.explode(P.bits(F.col("profiles"))).alias("bit")).distinct().join(firsts, "bit")
+    adopted = homeless.groupBy("mrid").agg(F.min("f").alias("f")).select("f.file_seq", "mrid", "f.file", "f.file_mask")
     homes = members.select("file_seq", "mrid", "file", "file_mask").unionByName(adopted)
     used = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_root"), "used_in"))
     slots = m.slots.withColumn("_root", F.substring_index("attr", "/", 1)).join(used, "_root").drop("_root")
