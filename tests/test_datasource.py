@@ -225,6 +225,7 @@ def test_rules_in_deep_compounds(spark, deep):
         ("CIM0002", PUMP, f"{at}/Town.name", "Point has no Town.name"),
         ("CIM0002", PUMP, "Pump.site/Town.at", "Address has no Town.at"),
         ("CIM0016", PUMP, "Item.label", "compound for String"),
+        ("CIM0002", PUMP, "Item.label/Point.note", "Item.label has no Point.note"),
         ("CIM0002", TANK, "Pump.site/Address.mail/Town.name", "Tank has no Pump.site"),
         ("CIM0016", PUMP, "Pump.site", "text for compound"),
     }

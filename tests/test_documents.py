@@ -153,13 +153,28 @@ def test_vocabulary_from_rdfs(spark):
 
 
 def test_stream_of_changes(spark, vocabulary, loaded, tmp_path):
-    model, base = loaded[0], f"file://{tmp_path}"
-    changes.save(model, f"{base}/store", -1)
-    row = ("forward", 1, PUMP, None, False, "Item.label", "text", "new")
-    gone = ("reverse", 0, PUMP, None, False, "Item.label", "text", "Wells & Sons <north> é\U0001f4a7")
-    spark.createDataFrame([gone, row], changes.STATEMENTS).coalesce(1).write.parquet(f"{base}/in")
-    changes.apply_stream(spark, vocabulary, f"{base}/in", f"{base}/store", f"{base}/check").awaitTermination()
-    assert [r.v_text for r in changes.load(spark, vocabulary, f"{base}/store", 0).values("Item.label").collect()] == ["new"]
+    """Batches in the state store equal differences applied one after the other, and the log has what they changed alone."""
+    model, at = loaded[0], f"file://{tmp_path}"
+    many = spark.range(500).select(F.concat(F.lit("t"), "id").alias("mrid"), F.lit("Tank").alias("class"), F.lit(1).cast("long").alias("profiles"))
+    labels = many.select("mrid", F.lit("Item.label").alias("attr"), F.lit(0).alias("ord"), F.lit("text").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("v_bool", "boolean"), ("v_int", "long"), ("v_dbl", "double"))), F.col("mrid").alias("v_text"), F.lit(None).cast("string").alias("v_ref"), F.lit(None).cast("string").alias("lex"), F.lit(1).cast("long").alias("profiles"))
+    model = model.with_(objects=model.objects.select("mrid", "class", "profiles").unionByName(many), slots=model.slots.unionByName(labels)).prune_empty()
+    changes.save(model, f"{at}/store")
+    batches = [
+        [("reverse", 0, PUMP, None, False, "Item.label", "text", "Wells & Sons <north> é\U0001f4a7"), ("forward", 1, PUMP, None, False, "Item.label", "text", "new"), ("reverse", 2, PUMP, None, False, "Pump.head", "dbl", "2.75"), ("forward", 3, PUMP, None, False, "Pump.head", "dbl", "9.5")],
+        [("forward", 0, "fresh", "Pump", True, "Pump.flow", "dbl", "1.5"), ("forward", 1, PUMP, "Tank", False, "Item.label", "text", "second"), ("reverse", 2, "t7", "Tank", False, "Item.label", "text", "t7"), ("reverse", 3, "t8", None, False, "Item.label", "text", "not there")],
+        [("forward", 0, "t7", None, False, "Device.running", "bool", "true"), ("forward", 1, "fresh", "Pump", False, "mRID", "class", "Pump"), ("reverse", 2, "fresh", None, False, "Pump.flow", "dbl", "1.5")],
+    ]
+    want = model
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, changes.STATEMENTS).coalesce(1).write.parquet(f"{at}/in/{i}")
+        want = D.apply(want, spark.createDataFrame(rows, changes.STATEMENTS))
+        changes.apply_stream(spark, vocabulary, f"{at}/in/*", f"{at}/store", f"{at}/check").awaitTermination()
+        got = changes.load(spark, vocabulary, f"{at}/store", i)
+        shown = lambda m: (sorted((r.mrid, r["class"]) for r in m.objects.collect()), sorted(str((r.mrid, r.attr, r.ord, r.kind, r.v_bool, r.v_int, r.v_dbl, r.v_text, r.v_ref)) for r in m.slots.collect()))
+        assert shown(got) == shown(want)
+        assert spark.read.parquet(f"{at}/store/log/version={i}").select("mrid").distinct().count() == len({r[2] for r in rows})
+    changes.compact(spark, vocabulary, f"{at}/store", 2, f"{at}/next")
+    assert shown(changes.load(spark, vocabulary, f"{at}/next", -1)) == shown(want)
 
 
 def test_rules_together_equal_rules_alone(spark, vocabulary, loaded):

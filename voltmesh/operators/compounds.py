@@ -37,7 +37,7 @@ def holders(attr: Column | str = "attr") -> Column:
 def judged(slots: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """attr, place and message of what is wrong with the distinct paths in ``slots``, and ``rule``.
 
-    ``class-membership``: the compound around a step has no such field; ``datatype``: a step with fields inside is no compound. ``place`` is the path of that step.
+    ``class-membership``: the compound around a step, or what stands there and is none, has no such field; ``datatype``: a step with fields inside is no compound. ``place`` is the path of that step.
     """
     name = steps()
     pairs = F.transform(F.sequence(F.lit(1), F.size(name) - 1), lambda i: F.struct(F.array_join(F.slice(name, F.lit(1), i), "/").alias("above"), F.element_at(name, i).alias("parent"), F.array_join(F.slice(name, F.lit(1), i + 1), "/").alias("place"), F.element_at(name, i + 1).alias("child")))
@@ -45,9 +45,9 @@ def judged(slots: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     known = F.broadcast(vocabulary.attrs.select(F.col("attr").alias("parent"), F.col("kind").alias("_kind"), "primitive", F.col("target").alias("class")))
     fields = F.broadcast(vocabulary.class_attrs().select("class", F.col("attr").alias("child"), F.lit(True).alias("_has")))
     told = each.join(known, "parent", "left").join(fields, ["class", "child"], "left")
-    no_compound = F.coalesce(F.col("_kind"), F.lit("")) != "compound"
-    mismatch = told.where(no_compound & F.col("_kind").isNotNull()).select("attr", F.lit("datatype").alias("rule"), F.col("above").alias("place"), F.concat(F.lit("compound for "), F.coalesce("primitive", "_kind")).alias("message"))
-    foreign = told.where(~no_compound & F.col("_has").isNull()).select("attr", F.lit("class-membership").alias("rule"), "place", F.concat("class", F.lit(" has no "), "child").alias("message"))
+    known_step, no_compound = F.col("_kind").isNotNull(), F.coalesce(F.col("_kind"), F.lit("")) != "compound"
+    mismatch = told.where(known_step & no_compound).select("attr", F.lit("datatype").alias("rule"), F.col("above").alias("place"), F.concat(F.lit("compound for "), F.coalesce("primitive", "_kind")).alias("message"))
+    foreign = told.where(known_step & (no_compound | F.col("_has").isNull())).select("attr", F.lit("class-membership").alias("rule"), "place", F.concat(F.when(no_compound, F.col("parent")).otherwise(F.col("class")), F.lit(" has no "), "child").alias("message"))
     return mismatch.union(foreign).distinct()
 
 

@@ -88,6 +88,18 @@ def statement_groups(found: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(first), "direction").withColumn("group", F.col("run") - F.col("_first") + 1).drop("run", "_first")
 
 
+SLOT_COLUMNS = ("mrid", "attr", "ord", "kind", "v_bool", "v_int", "v_dbl", "v_text", "v_ref", "lex", "profiles")
+
+
+def typed_values(found: DataFrame) -> DataFrame:
+    """Statements with the columns of slots, from their kind and value."""
+    kind, value = F.col("kind"), F.col("value")
+    return found.withColumns({
+        "ord": F.lit(0), "v_bool": F.when(kind == "bool", value.try_cast("boolean")), "v_int": F.when(kind == "int", value.try_cast("long")), "v_dbl": F.when(kind == "dbl", value.try_cast("double")),
+        "v_text": F.when(kind.isin("text", "enum"), value), "v_ref": F.when(kind == "ref", value), "lex": F.lit(None).cast("string"), "profiles": F.lit(0).cast("long"),
+    })
+
+
 def apply(base: Model, found: DataFrame) -> Model:
     """``base`` with the statements applied: retract, retype, assert, then drop objects without values (H7-H9).
 
@@ -95,12 +107,7 @@ def apply(base: Model, found: DataFrame) -> Model:
     asserted values come after those there, in the order of ``seq`` if ``found`` has it.
     """
     order = F.col("seq") if "seq" in found.columns else F.col("value")
-    values = found.where("kind <> 'class'").select(
-        "mrid", "attr", F.lit(0).alias("ord"), "kind",
-        F.when(F.col("kind") == "bool", F.col("value").try_cast("boolean")).alias("v_bool"), F.when(F.col("kind") == "int", F.col("value").try_cast("long")).alias("v_int"), F.when(F.col("kind") == "dbl", F.col("value").try_cast("double")).alias("v_dbl"),
-        F.when(F.col("kind").isin("text", "enum"), F.col("value")).alias("v_text"), F.when(F.col("kind") == "ref", F.col("value")).alias("v_ref"), F.lit(None).cast("string").alias("lex"), F.lit(0).cast("long").alias("profiles"),
-        "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"),
-    )
+    values = typed_values(found.where("kind <> 'class'")).select(*SLOT_COLUMNS, "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"))
     held = base.slots.select(*values.columns[:11], value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
     rows = held.unionByName(values).repartition("mrid", "attr")
     equal = Window.partitionBy("mrid", "attr", "kind", "value")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +136,8 @@ class Model:
         new = to.select("mrid", F.col("class").alias("_new"))
         objects = self.objects.join(new, "mrid", "left").withColumn("class", F.coalesce("_new", "class")).drop("_new")
         changed = self.slots.join(new, "mrid")
-        owned = self.vocabulary.class_attrs().select(F.col("class").alias("_new"), "attr")
-        shed = changed.join(F.broadcast(owned), ["_new", "attr"], "left_anti").drop("_new")
+        owned = self.vocabulary.class_attrs().select(F.col("class").alias("_new"), F.col("attr").alias("_root"))
+        shed = changed.withColumn("_root", C.root()).join(F.broadcast(owned), ["_new", "_root"], "left_anti").drop("_new", "_root")
         kept = self.slots.join(shed.select("mrid", "attr").distinct(), ["mrid", "attr"], "left_anti")
         return self.with_(objects=objects, slots=kept), shed
 
@@ -170,9 +172,35 @@ def conflicts(raw: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def capped(findings: DataFrame, most: int, *order: str) -> DataFrame:
-    """The first ``most`` findings in order, with how many were left out in ``dropped``."""
-    n = findings.count()
-    return findings.orderBy(*order).limit(most).withColumn("dropped", F.lit(max(0, n - most)))
+    """The first ``most`` findings in order, with how many were left out in ``dropped``.
+
+    One pass: each task keeps its first ``most`` and counts the rest, and only those meet. Tasks that run again leave one result each, so the count is right.
+    """
+    from ..functions.shared import cut
+
+    def first(batches):
+        held, n = None, 0
+        keys = [(c, "ascending") for c in order]
+
+        def least(table: pa.Table) -> pa.Table:
+            return table.take(pc.sort_indices(table, sort_keys=keys)[:most])
+
+        for batch in batches:
+            n += batch.num_rows
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if held.num_rows > 2 * most + 10_000:
+                held = least(held)
+        if held is not None:
+            held = least(held)
+            told = pa.array([n] + [0] * (held.num_rows - 1), pa.int64())
+            yield from held.append_column("_seen", told).to_batches() if held.num_rows else pa.table({**{c: pa.nulls(1, held.schema.field(c).type) for c in held.column_names}, "_seen": pa.array([n])}).to_batches()
+
+    from pyspark.sql.types import LongType, StructType
+
+    few = cut(findings.mapInArrow(first, StructType([*findings.schema.fields]).add("_seen", LongType())))
+    total = few.agg(F.sum("_seen")).first()[0] or 0
+    return few.drop("_seen").orderBy(*(F.asc_nulls_last(c) for c in order)).limit(most).withColumn("dropped", F.lit(max(0, total - most)))
 
 
 def merge_classes(raw_objects: DataFrame, vocabulary: Vocabulary) -> DataFrame:
