@@ -100,29 +100,126 @@ def typed_values(found: DataFrame) -> DataFrame:
     })
 
 
-def apply(base: Model, found: DataFrame) -> Model:
-    """``base`` with the statements applied: retract, retype, assert, then drop objects without values (H7-H9).
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """A table as large as a difference, broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= 100_000 else df
 
-    Values and statements meet in one shuffle by object and attribute. A retraction takes the first of equal values, by place and spelling;
-    asserted values come after those there, in the order of ``seq`` if ``found`` has it.
+
+def _order(found: DataFrame) -> Column:
+    return F.col("seq") if "seq" in found.columns else F.col("value")
+
+
+def apply(base: Model, found: DataFrame, profiles: int = 0) -> Model:
+    """``base`` with the statements applied: retract, retype, assert, then drop touched objects without values (H7-H9).
+
+    Only the values of attributes that have a statement are read into the shuffle, by object and attribute; the others pass by an anti-join with the statements' keys, whose rows are counted. A retraction takes the first of equal
+    values, by place and spelling; asserted values come after those there, in the order of ``seq`` if ``found`` has it, and of a single-valued attribute the last stays. Asserted values belong to ``profiles``.
     """
-    order = F.col("seq") if "seq" in found.columns else F.col("value")
-    values = typed_values(found.where("kind <> 'class'")).select(*SLOT_COLUMNS, "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"))
-    held = base.slots.select(*values.columns[:11], value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
-    rows = held.unionByName(values).repartition("mrid", "attr")
+    return _applied(base, cut(found), profiles)[0]
+
+
+def _applied(base: Model, found: DataFrame, profiles: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The changed model, the values that reclassifying shed, and the retractions that found no value (mrid, attr, n)."""
+    order = _order(found)
+    values = typed_values(found.where("kind <> 'class'")).withColumn("profiles", F.lit(profiles).cast("long")).select(*SLOT_COLUMNS, "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"))
+    keys = cut(values.select("mrid", "attr").distinct())
+    n_keys = keys.count()
+    touched = cut(found.select("mrid").distinct())
+    n_touched = touched.count()
+    stay = base.slots.join(_near(keys, n_keys), ["mrid", "attr"], "left_anti").select(*SLOT_COLUMNS)
+    held = base.slots.join(_near(keys, n_keys), ["mrid", "attr"], "left_semi").select(*SLOT_COLUMNS, value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
+    single = F.broadcast(base.vocabulary.attrs.where("most = 1").select("attr", F.lit(True).alias("_single")))
+    rows = held.unionByName(values).join(single, "attr", "left").repartition("mrid", "attr")
     equal = Window.partitionBy("mrid", "attr", "kind", "value")
-    told = rows.withColumns({"_gone": F.count_if(F.col("side") == 1).over(equal), "_n": F.row_number().over(equal.orderBy("side", "ord", "lex", "profiles", "at"))})
+    told = cut(rows.withColumns({"_gone": F.count_if(F.col("side") == 1).over(equal), "_held": F.count_if(F.col("side") == 0).over(equal), "_n": F.row_number().over(equal.orderBy("side", "ord", "lex", "profiles", "at"))}))
+    missed = told.where((F.col("side") == 1) & (F.col("_n") - F.col("_held") > F.col("_held"))).groupBy("mrid", "attr").agg(F.count("*").alias("n"))
     kept = told.where(((F.col("side") == 0) & (F.col("_n") > F.col("_gone"))) | (F.col("side") == 2))
-    slots = cut(kept.withColumn("ord", F.row_number().over(Window.partitionBy("mrid", "attr").orderBy("side", "ord", "at")) - 1).drop("_gone", "_n", "value", "side", "at"))
+    group = Window.partitionBy("mrid", "attr")
+    placed = kept.withColumns({"ord": F.row_number().over(group.orderBy("side", "ord", "at")) - 1, "_all": F.count("*").over(group), "_set": F.max("side").over(group)})
+    placed = placed.where(~(F.coalesce("_single", F.lit(False)) & (F.col("_set") == 2)) | (F.col("ord") == F.col("_all") - 1))
+    changed = cut(placed.withColumn("ord", F.when(F.coalesce("_single", F.lit(False)) & (F.col("_set") == 2), 0).otherwise(F.col("ord"))).select(*SLOT_COLUMNS))
     named = found.where("class is not null and direction = 'forward'")
     retype = cut(named.groupBy("mrid").agg((F.min_by("class", "seq") if "seq" in found.columns else F.min("class")).alias("class")))
-    m = base.with_(slots=slots)
-    moved = retype.join(base.objects.select("mrid", F.col("class").alias("was")), "mrid").where("class <> was").drop("was")
-    if moved.limit(1).count():
-        m, _ = m.reclassify(moved)
+    m = base.with_(slots=stay.unionByName(changed))
+    own = base.objects.join(_near(touched, n_touched), "mrid", "left_semi")
+    moved = cut(retype.join(own.select("mrid", F.col("class").alias("was")), "mrid").where("class <> was").drop("was"))
+    shed = m.slots.limit(0)
+    if not moved.isEmpty():
+        m, shed = m.reclassify(_near(moved, moved.count()))
+        shed = cut(shed)
     owner = m.vocabulary.attrs.select("attr", "owner")
-    created = values.where("side = 2").select("mrid", "attr").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min("owner").alias("owner")).join(m.objects, "mrid", "left_anti").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(0).cast("long").alias("profiles"))
-    return m.with_(objects=m.objects.select("mrid", "class", "profiles").unionByName(created)).prune_empty()
+    first = values.where("side = 2").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min_by("owner", "at").alias("owner"))
+    created = first.join(own.select("mrid"), "mrid", "left_anti").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(profiles).cast("long").alias("profiles"))
+    objects = m.objects.select("mrid", "class", "profiles").unionByName(created)
+    # of the objects that statements name, those without values go
+    near = _near(touched, n_touched)
+    empty = cut(touched.join(m.slots.join(near, "mrid", "left_semi").select("mrid").distinct(), "mrid", "left_anti"))
+    return m.with_(objects=objects.join(_near(empty, n_touched), "mrid", "left_anti")), shed, missed
+
+
+def apply_checked(base: Model, found: DataFrame, profiles: int = 0) -> tuple[Model, DataFrame]:
+    """``apply`` without the statements that can't hold, and findings (severity, rule, mrid, attr, message) (H8, H9).
+
+    Reported are: a class that isn't known (the object keeps its own), a change to a class that is no refinement, the values that such a change sheds, an assertion of an attribute that the object's class then lacks (it is left out),
+    a retraction from an object that isn't there, and one of a value that isn't. ``found`` are resolved statements: what is wrong with their names and values, ``resolve`` reports.
+    """
+    from .validate import finding
+
+    v = base.vocabulary
+    found, order = cut(found), _order(found)
+    touched = cut(found.select("mrid").distinct())
+    own = cut(base.objects.join(_near(touched, touched.count()), "mrid", "left_semi").select("mrid", F.col("class").alias("was")))
+    classes = F.broadcast(v.classes.select("class"))
+    named = found.where("class is not null and direction = 'forward'").groupBy("mrid").agg(F.min_by("class", order).alias("class"))
+    unknown = finding(named.join(classes, "class", "left_anti"), "warning", "unknown-class", F.col("class"))
+    retype = cut(named.join(classes, "class", "left_semi"))
+    moved = retype.join(own, "mrid").where("class <> was")
+    narrower = F.broadcast(v.closure().select("class", F.col("ancestor").alias("was")))
+    sideways = finding(moved.join(narrower, ["class", "was"], "left_anti"), "info", "structure", F.concat(F.lit("from "), F.col("was"), F.lit(" to "), F.col("class")))
+    values = found.where("kind <> 'class'")
+    absent = finding(values.where("direction = 'reverse'").join(own, "mrid", "left_anti"), "warning", "dangling-reference", F.lit("not in the model"), F.col("attr"))
+    owners = F.broadcast(v.attrs.select("attr", "owner"))
+    first = values.where("direction = 'forward'").join(owners, "attr").groupBy("mrid").agg(F.min_by("owner", order).alias("owner"))
+    becomes = first.join(own, "mrid", "left").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "was", "owner").alias("_becomes"))
+    owned = F.broadcast(v.class_attrs().select(F.col("class").alias("_becomes"), "attr", F.lit(True).alias("_owned")))
+    judged = cut(found.join(becomes, "mrid", "left").join(owned, ["_becomes", "attr"], "left").withColumn("_foreign", (F.col("direction") == "forward") & (F.col("kind") != "class") & F.col("_owned").isNull()))
+    foreign = finding(judged.where("_foreign"), "warning", "class-membership", F.concat("_becomes", F.lit(" has no "), "attr"), F.col("attr"))
+    usable = judged.where("not _foreign").join(F.broadcast(v.classes.select("class", F.lit(True).alias("_known"))), "class", "left").withColumn("class", F.when(F.col("_known"), F.col("class"))).select(*found.columns)
+    done, shed, missed = _applied(base, cut(usable), profiles)
+    lost = finding(shed.join(retype, "mrid"), "warning", "structure", F.concat("attr", F.lit(" was dropped with the class")), F.col("attr"))
+    missing = finding(missed.join(own, "mrid", "left_semi"), "info", "structure", F.concat("n", F.lit(" not present")), F.col("attr"))
+    out = unknown
+    for more in (sideways, absent, foreign, lost, missing):
+        out = out.unionByName(more)
+    return done, cut(out)
+
+
+def resolve(raw: DataFrame, m: Model, check_literals: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Statements whose names and values the vocabulary knows, and findings of the others (H9). ``raw``: direction, seq, mrid, class, defines, attr, ns, resource and text, as ``cimxml.raw_statements`` reads them."""
+    from ..functions import mrid as M
+    from ..functions import values as V
+    from .validate import finding
+
+    v = m.vocabulary
+    named = F.broadcast(v.attrs.select("attr", "ns", F.col("kind").alias("declared"), "primitive"))
+    joined = raw.join(named, ["attr", "ns"], "left")
+    literals = F.broadcast(v.literals.select(F.concat_ws(".", "enum", F.substring_index("literal", ".", -1)).alias("_literal"), F.lit(True).alias("_known")).distinct())
+    joined = joined.withColumn("_literal", F.regexp_extract("resource", r"#([^#/]*)$", 1)).join(literals, "_literal", "left")
+    value = V.parse_primitive(F.col("text"), F.coalesce("primitive", F.lit("String")))
+    declared, is_class = F.col("declared"), F.coalesce(F.col("attr") == "mRID", F.lit(False)) & F.col("class").isNotNull() & F.col("resource").isNull()
+    kind = F.when(is_class, "class").when(declared.isin("ref", "enum"), declared).when(F.col("resource").isNotNull(), "ref").when(F.col("primitive") == "Boolean", "bool").when(F.col("primitive") == "Integer", "int").when(F.col("primitive").isin("Float", "Decimal"), "dbl").otherwise("text")
+    text = F.when(is_class, F.col("class")).when(kind == "ref", M.parse(F.col("resource"))["key"]).when(kind == "enum", F.col("_literal")).otherwise(F.coalesce(value["v_text"], value["v_int"].cast("string"), value["v_dbl"].cast("string"), value["v_bool"].cast("string")))
+    no_name = F.col("declared").isNull() & ~is_class
+    enum = ~no_name & (declared == "enum")
+    no_iri = enum & (F.col("resource").isNull() | ~F.coalesce(F.col("resource").contains("#"), F.lit(False)))
+    no_literal = enum & ~no_iri & F.lit(check_literals) & F.col("_known").isNull()
+    bad_value = ~no_name & ~enum & ~is_class & (F.when(declared == "ref", F.col("resource").isNull()).otherwise(F.col("resource").isNull() & ~value["ok"]))
+    why = F.when(no_name, "class-membership").when(no_iri | no_literal | bad_value, "unparseable-value")
+    judged = joined.withColumns({"kind": kind, "value": text, "_why": why, "_message": F.when(no_name, F.concat(F.lit("no property "), "attr")).when(no_iri, F.concat(F.lit("no IRI: "), F.coalesce("resource", "text"))).when(no_literal, F.concat(F.lit("no literal: "), "resource")).otherwise(F.concat_ws(" for ", "text", F.coalesce("primitive", "declared")))})
+    settled = cut(judged)
+    bad = settled.where("_why is not null")
+    problems = finding(bad.where("_why = 'class-membership'"), "warning", "class-membership", F.col("_message"), F.col("attr")).unionByName(finding(bad.where("_why <> 'class-membership'"), "error", "unparseable-value", F.col("_message"), F.col("attr")))
+    return settled.where("_why is null").select("direction", "seq", "mrid", "class", "defines", "attr", "kind", "value"), problems
 
 
 def statement_lines(found: DataFrame, m: Model, prefix: str = "cim") -> DataFrame:

@@ -697,4 +697,4 @@ def dedup_ordered(spark, sf):
     return ordered.select("user_id", F.size("kinds").alias("n"), "first")
 
 
-from . import documents, edits  # noqa: E402,F401  their queries register themselves
+from . import documents, edits, sources  # noqa: E402,F401  their queries register themselves

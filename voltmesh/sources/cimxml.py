@@ -20,6 +20,7 @@ from ..functions import xmltext as X
 from ..functions.ordered import numbered
 from ..functions.shared import cut
 from ..operators import compounds as C
+from ..operators.difference import resolve
 from ..operators.model import Model, merge_classes, merge_slots
 from ..operators.validate import RULES
 from ..operators.vocabulary import Vocabulary, detect
@@ -332,18 +333,19 @@ def bounded(findings: DataFrame, most: int) -> DataFrame:
     return few.unionByName(ranked).unionByName(note)
 
 
-def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
-    """The statements of difference models: direction, seq, mrid, class, defines, attr, kind, value (A4)."""
+def raw_statements(docs: Documents) -> DataFrame:
+    """The statements of difference models as they are written: direction, seq, mrid, class, defines, attr, ns, resource, text (A4)."""
     sets = docs.nodes.where("level = 2").where((F.col("ns") == DM) & F.col("local").isin("reverseDifferences", "forwardDifferences")).select("file", F.col("pos").alias("set"), F.when(F.col("local") == "reverseDifferences", "reverse").otherwise("forward").alias("direction"))
     written, _ = identity()
     subjects = docs.nodes.where("level = 3").select("file", "file_seq", "pos", "ns", F.element_at("up", 2).alias("set"), "local", "tag").join(F.broadcast(sets), ["file", "set"])
     subjects = subjects.select("file", F.col("pos").alias("subject"), "direction", F.when((F.col("ns") != T.RDF) | (F.col("local") != "Description"), F.col("local")).alias("class"), M.parse(written)["key"].alias("mrid"), (T.attribute(F.col("tag"), "ID").isNotNull()).alias("defines"))
-    named = F.broadcast(vocabulary.attrs.select("attr", "ns", F.col("kind").alias("declared"), "primitive"))
-    rows = properties(docs, subjects, 4).join(named, ["attr", "ns"])
-    v = V.parse_primitive(F.col("text"), F.col("primitive"))
-    kind = F.when(F.col("declared").isin("ref", "enum"), F.col("declared")).when(F.col("primitive") == "Boolean", "bool").when(F.col("primitive") == "Integer", "int").when(F.col("primitive").isin("Float", "Decimal"), "dbl").otherwise("text")
-    value = F.when(F.col("declared") == "ref", M.parse(F.col("resource"))["key"]).when(F.col("declared") == "enum", F.regexp_extract("resource", r"([^#/]*)$", 1)).otherwise(F.coalesce(v["v_text"], v["v_int"].cast("string"), v["v_dbl"].cast("string"), v["v_bool"].cast("string")))
-    return rows.select("direction", F.struct("file_seq", F.col("pos")["split"].alias("split"), F.col("pos")["at"].alias("at")).alias("seq"), "mrid", "class", "defines", "attr", kind.alias("kind"), value.alias("value")).where("value is not null")
+    rows = properties(docs, subjects, 4)
+    return rows.select("direction", F.struct("file_seq", F.col("pos")["split"].alias("split"), F.col("pos")["at"].alias("at")).alias("seq"), "mrid", "class", "defines", "attr", "ns", "resource", "text")
+
+
+def read_statements(docs: Documents, vocabulary: Vocabulary) -> DataFrame:
+    """The statements of difference models that the vocabulary knows: direction, seq, mrid, class, defines, attr, kind, value (A4)."""
+    return resolve(raw_statements(docs), Model(vocabulary, None, None), check_literals=False)[0]
 
 
 def rendered(m: Model, scope: int, prefix: Prefix = "cim") -> DataFrame:

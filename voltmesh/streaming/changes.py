@@ -58,8 +58,8 @@ def compact(spark: SparkSession, vocabulary: Vocabulary, store: str, version: in
 class Objects(StatefulProcessor):
     """The values of one object by attribute, and its class; rows are statements, or the object's values in the base."""
 
-    def __init__(self, owners: dict[str, str], attrs: dict[str, frozenset]):
-        self.owners, self.attrs = owners, attrs
+    def __init__(self, owners: dict[str, str], attrs: dict[str, frozenset], single: frozenset):
+        self.owners, self.attrs, self.single = owners, attrs, single
 
     def init(self, handle):
         self.values = handle.getMapState("values", "attr string", "held string")
@@ -90,6 +90,8 @@ class Objects(StatefulProcessor):
                 held = of(row.attr)
                 value = json.loads(row.held)
                 if direction == "forward":
+                    if row.attr in self.single:
+                        held.clear()
                     held.append(value)
                     asserted.append(row.attr)
                     continue
@@ -106,7 +108,7 @@ class Objects(StatefulProcessor):
                 if attr.partition("/")[0] not in kept:
                     of(attr).clear()
         elif own is None and asserted:
-            known = sorted(self.owners[a] for a in asserted if a in self.owners)
+            known = [self.owners[a] for a in asserted if a in self.owners]
             own = (names[0] if names else known[0], 0) if names or known else None
         for attr, held in changed.items():
             for i, value in enumerate(held):
@@ -149,7 +151,8 @@ def apply_stream(spark: SparkSession, vocabulary: Vocabulary, changes: str, stor
     attrs: dict[str, set] = {}
     for r in vocabulary.class_attrs().select("class", "attr").collect():
         attrs.setdefault(r["class"], set()).add(r.attr)
-    processor = Objects(owners, {k: frozenset(v) for k, v in attrs.items()})
+    single = frozenset(r.attr for r in vocabulary.attrs.where("most = 1").select("attr").collect())
+    processor = Objects(owners, {k: frozenset(v) for k, v in attrs.items()}, single)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     stream = spark.readStream.schema(STATEMENTS).option("maxFilesPerTrigger", 1).parquet(changes)
     rows = typed_values(stream).withColumn("text", value_text()).select("mrid", "direction", "seq", F.col("class").alias("cls"), "attr", "kind", "value", _held().alias("held"))
