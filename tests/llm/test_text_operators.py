@@ -2,8 +2,10 @@
 
 import hashlib
 import html
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,7 +57,7 @@ def test_pii_base(spark, odd):
 
 
 def test_pii_terms(spark):
-    hint = [(i, f"word{i} other{i * 7 % 11} Zanzibar wrote bob@ex.org yester{i} day{i * 3}") for i in range(8)]
+    hint = [(i, f"word{i} other{i * 7 % 11} Zanzibar wrote bob@ex.org yester{i} day{i * 3}") for i in range(20)]
     docs = spark.createDataFrame([*hint, (100, "only Zanzibar, here"), *[(200 + i, f"plain text number{i} wrote") for i in range(300)], (900, None)], "doc_id long, text string")
     terms = pii.disclosing_terms(docs)
     assert {r.term: r.action for r in terms.collect()} == {"zanzibar": pii.REMOVED}
@@ -65,21 +67,55 @@ def test_pii_terms(spark):
     assert clean[0] == "word0 other0  wrote [EMAIL] yester0 day0" and clean[100] == "only , here" and clean[200] == "plain text number0 wrote"
 
 
-def test_pii_copies_are_one_context(spark):
-    others = [(100 + i, f"t{i}") for i in range(50)]
-    once = spark.createDataFrame([(0, "rare thing bob@ex.org"), *others], "doc_id long, text string")
-    often = spark.createDataFrame([*[(i, "rare thing bob@ex.org") for i in range(50)], *others], "doc_id long, text string")
-    assert sorted(map(tuple, pii.disclosing_terms(once).collect())) == sorted(map(tuple, pii.disclosing_terms(often).collect()))
-    assert {r.support for r in pii.disclosing_terms(often).collect()} == {1}
-
-
-def test_pii_rare_entities(spark):
-    docs = spark.createDataFrame([(0, "Quillfeather said mail amy@ex.org to us"), *[(1 + i, f"we said mail to us {i}") for i in range(400)], (500, "ask Quillfeather now")], "doc_id long, text string")
+def named_texts(n: int) -> list[str]:
+    return [f"w{i} x{i} Quillfeather said y{i} mail amy@ex.org to z{i}" for i in range(n)]
+
+
+def plain_terms(texts, window=8, generalise_at=0.8, z=1.0, chance=0.05):
+    """The same counts in one process."""
+    distinct = sorted({t for t in texts if t is not None})
+    near, total, df = {}, {}, Counter()
+    for t in distinct:
+        df.update(set(pii.terms_of(t)))
+        for kind, s, e in pii.entity_spans(t):
+            c, words = pii.entity(kind, t[s:e]), pii.context(t, s, e, window)
+            total.setdefault(c, set()).add((" ".join(words), t))
+            for w in words:
+                near.setdefault(w, {}).setdefault(c, set()).add((" ".join(words), t))
+    units = lambda seen: min(len({x for x, _ in seen}), len({x for _, x in seen}))
+    p = min(0.5, sum(len({t for seen in of.values() for _, t in seen}) for of in near.values()) / max(1, sum(df.values())))
+    out = {}
+    for w, of in near.items():
+        s = units(set().union(*of.values()))
+        q = s / df[w]
+        gap = (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) if q > p else 0
+        if math.log(len(near) / p) - df[w] * gap > math.log(chance):
+            continue
+        for c, seen in of.items():
+            m, k = units(total[c]), units(seen) / units(total[c])
+            lower = (k + z * z / (2 * m) - z * math.sqrt(k * (1 - k) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            d = round(math.log2(lower / (df[w] / len(distinct))) / -math.log2(min(m / len(distinct), 0.5)), 9)
+            if d >= generalise_at:
+                out[w] = max(out.get(w, (0, "", 0)), (d, c, units(seen)))
+    return {(w, c, s, d) for w, (d, c, s) in out.items()}
+
+
+@pytest.mark.parametrize("case", ["one", "some", "near", "table"])
+def test_pii_terms_equal_plain_counts(spark, case):
+    others = [f"we said mail to us {i}" for i in range(400)]
+    texts = {"one": [*named_texts(1), *others], "some": [*named_texts(6), *others, *named_texts(6), "ask Quillfeather now", None, ""], "near": [*[named_texts(1)[0] + " " + "far " * 9 + str(i) for i in range(6)], *others], "table": [r.text for r in documents(spark).collect()]}[case]
+    got = pii.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.term, r.entity, r.support, r.disclosure) for r in got} == plain_terms(texts) and all(r.disclosure <= 1 for r in got)
+    if case != "table":
+        assert {r.term for r in got} == ({"quillfeather"} if case == "some" else set())  # one context, in near copies too, tells nothing
+
+
+def test_pii_told_by_broadcast_and_by_join(spark):
+    docs = spark.createDataFrame([*enumerate(named_texts(6)), *[(10 + i, f"we said mail to us {i}") for i in range(400)], (500, "ask Quillfeather now")], "doc_id long, text string")
     terms = pii.disclosing_terms(docs)
-    assert [r.term for r in terms.collect()] == ["quillfeather"]
-    for most in (100_000, 0):  # told by broadcast, and by join
+    for most in (100_000, 0):
         spans = pii.find(docs, terms, most=most).where("doc_id in (0, 500)").orderBy("doc_id").collect()
-        assert [[(s.kind, s.start, s.end) for s in r.spans] for r in spans] == [[("email", 23, 33), ("term", 0, 12)], [("term", 4, 16)]]
+        assert [[(s.kind, s.start, s.end) for s in r.spans] for r in spans] == [[("email", 32, 42), ("term", 6, 18)], [("term", 4, 16)]]
 
 
 def test_pii_context_is_words_not_characters():
@@ -90,12 +126,12 @@ def test_pii_context_is_words_not_characters():
 
 def test_pii_copies_of_a_text_count_once(spark):
     texts = ["ask Quillfeather about it", *[f"other text number {i}" for i in range(399)]]
-    docs = spark.createDataFrame([(0, "Quillfeather said mail amy@ex.org to us"), *enumerate(texts, 1)], "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate([*named_texts(6), *texts])), "doc_id long, text string")
     many = docs.unionByName(spark.createDataFrame([(1000 + i, texts[0]) for i in range(300)], "doc_id long, text string"))
     shown = [{r.term: r.disclosure for r in pii.disclosing_terms(d).collect()} for d in (docs, many)]
     assert shown[0] == shown[1] and "quillfeather" in shown[0]
     df, n = pii.document_frequency(many)
-    assert n == 401 and {r.term: round(r.df, 9) for r in df.collect()}["quillfeather"] == 2
+    assert n == 406 and {r.term: round(r.df, 9) for r in df.collect()}["quillfeather"] == 7
 
 
 def test_pii_secrets(spark):

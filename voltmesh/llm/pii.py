@@ -7,13 +7,15 @@ corpus then tells which other terms give an entity away: for an entity c and a t
     PMI(c; t)  = log2( P(t | c) / P(t) )        IC(c) = -log2 P(c)
     disclosure = PMI(c; t) / IC(c)
 
-P(t | c) is the share of the entity's distinct contexts that hold t (the same words around it in
-many copies are one context), P(t) and P(c) are shares of all distinct texts, so copies count once everywhere. P(t | c) is smoothed by ``prior``
-contexts in which t has its share of the corpus, so that one context tells less than many. A disclosure of 1 means
-that the term tells as much as the entity itself. Every entity is scored, those with one context too, by the terms that
-stand in more than half of its contexts or in ``support`` of them; a term in fewer is a
-chance neighbour. Terms that reach ``generalise_at`` are replaced by the entity's kind, those that
-reach ``remove_at`` are removed, in every document. Pattern matches are always replaced by their kind.
+Everything is counted in one unit, distinct texts: a text counts once however often it is copied, for an entity, for a term, and for a term near an entity. The same words around an entity in several texts are one
+context, and several contexts in one text are one as well, so near copies don't make support. P(t | c) is the lower confidence bound (Wilson, ``z`` deviations) of the share of the entity's contexts that hold t; so a
+disclosure is 1 at most, when the term tells as much as the entity itself, and one context never tells that much.
+
+Rare words stand near an address by chance, too. Evidence is pooled over all entities: of the ``df`` texts with t, S have it near any. If terms stood near entities as often as all terms do (p, the share of all
+pairs of text and term), S or more of df would have a probability below exp(-df * KL(S / df, p)); times the number of terms this is how many terms chance alone lets through. Terms where that is over ``chance`` aren't told;
+a word seen once never is.
+
+Terms that reach ``generalise_at`` are replaced by the entity's kind, those that reach ``remove_at`` are removed, in every document. Pattern matches are always replaced by their kind.
 
 Secrets (keys, tokens) are protected entities as well. They have no pattern of their own: a run of ``SECRET_LENGTH`` letters and
 digits or more is one if it holds both, a fifth of it or more in digits, and its characters have ``SECRET_BITS`` bits of entropy each or more, which
@@ -148,23 +150,24 @@ def context(text: str, start: int, end: int, window: int) -> list[str]:
 
 
 def evidence(docs: DataFrame, window: int) -> DataFrame:
-    """entity, context number and terms of each mention; documents without mentions give no row."""
+    """entity, context number, text number and terms of each mention; documents without mentions give no row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ent, ctx, terms = [], [], []
-        for t in values_of(batch.column(0)):
+        ent, ctx, place, terms = [], [], [], []
+        for t, number in zip(values_of(batch.column(0)), values_of(batch.column(1))):
             for kind, s, e in entity_spans(t or ""):
                 near = context(t, s, e, window)
                 ent.append(entity(kind, t[s:e]))
                 ctx.append(int.from_bytes(hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest(), "little", signed=True))
+                place.append(number)
                 terms.append(sorted(set(near)))
-        return pa.RecordBatch.from_arrays([pa.array(ent, pa.string()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "context", "terms"])
+        return pa.RecordBatch.from_arrays([pa.array(ent, pa.string()), pa.array(ctx, pa.int64()), pa.array(place, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "context", "place", "terms"])
 
-    return map_batches(docs.select("text").where("text is not null"), run, "entity string, context long, terms array<string>")
+    return map_batches(docs.where("text is not null").select("text", F.xxhash64("text").alias("place")), run, "entity string, context long, place long, terms array<string>")
 
 
 def document_frequency(docs: DataFrame) -> tuple[DataFrame, float]:
-    """term and df, the number of distinct texts that hold it, over all documents, and how many distinct texts there are.
+    """term and df, the number of distinct texts that hold it, over all documents, and how many distinct texts there are. The term ``""`` has the sum over all terms.
 
     Each of k equal texts counts as 1 / k, so the sums need no shuffle of texts.
     """
@@ -180,12 +183,17 @@ def document_frequency(docs: DataFrame) -> tuple[DataFrame, float]:
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
         for batch in batches:
             for text, weight in zip(values_of(batch.column(0)), values_of(batch.column(1))):
+                seen = 0
                 for t in set(_TERM.findall(text.lower())):
                     if t in counts:
                         counts[t] += weight
                     elif not t.isdigit():
                         counts[t] = weight
                         chars += len(t)
+                    else:
+                        continue
+                    seen += 1
+                counts[""] = counts.get("", 0.0) + weight * seen
                 if len(counts) > 100_000 or chars > 2_000_000:
                     yield rows()
                     counts.clear()
@@ -196,21 +204,33 @@ def document_frequency(docs: DataFrame) -> tuple[DataFrame, float]:
     return weighted.mapInArrow(run, "term string, n double").groupBy("term").agg(F.sum("n").alias("df")), distinct
 
 
-def disclosing_terms(docs: DataFrame, window: int = 8, support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 0.5) -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = 8, generalise_at: float = 0.8, remove_at: float = 0.95, z: float = 1.0, chance: float = 0.05) -> DataFrame:
     """term, entity, support, disclosure and action of the terms over the thresholds."""
-    distinct = cut(evidence(docs, window).groupBy("entity", "context").agg(F.min("terms").alias("terms")))
+    seen = cut(evidence(docs, window))
     empty = docs.sparkSession.createDataFrame([], "term string, entity string, support long, disclosure double, action string")
-    totals = distinct.groupBy("entity").agg(F.count("*").alias("contexts"))
-    together = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support"))
-    pairs = cut(together.join(totals, "entity").where((F.col("support") >= support) | (2 * F.col("support") > F.col("contexts"))))
-    if pairs.isEmpty():
+    units = F.least(F.countDistinct("context"), F.countDistinct("place"))
+    near = cut(seen.select("entity", "context", "place", F.explode("terms").alias("term")).distinct())
+    n_terms = near.select("term").distinct().count()
+    if not n_terms:
         return empty
-    terms = pairs.select("term").distinct()
+    pooled = near.groupBy("term").agg(units.alias("pooled"), F.countDistinct("place").alias("texts"))
+    totals = seen.groupBy("entity").agg(units.alias("contexts"))
+    pairs = near.groupBy("entity", "term").agg(units.alias("support")).join(totals, "entity").join(pooled.drop("texts"), "term")
     counted, n = document_frequency(docs)
-    ic = -F.log2(F.least(F.col("contexts") / F.lit(float(n)), F.lit(0.5)))
-    share = F.least(F.col("df") / F.lit(float(n)), F.lit(1.0))
-    smoothed = (F.col("support") + prior * share) / (F.col("contexts") + prior)
-    measured = pairs.join(counted.join(terms, "term", "left_semi"), "term").withColumn("disclosure", F.round(F.log2(smoothed / share) / ic, 9))
+    wanted = near.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    known = cut(counted.join(wanted, "term", "left_semi"))
+    every = known.where("term = ''").first().df
+    p = F.lit(min(0.5, pooled.agg(F.sum("texts")).first()[0] / every))
+    df = F.greatest("df", F.col("pooled"))
+    q = F.col("pooled") / df
+    gap = F.when(q > p, q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)).otherwise(0.0)
+    # terms near entities are about p of all terms, so n_terms / p terms could have come near by chance
+    beyond = F.log(n_terms / p) - df * gap <= F.lit(math.log(chance))
+    share = F.least(df / F.lit(float(n)), F.lit(1.0))
+    m, k = F.col("contexts").cast("double"), F.col("support") / F.col("contexts")
+    lower = (k + z * z / (2 * m) - z * F.sqrt(k * (1 - k) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    ic = -F.log2(F.least(m / F.lit(float(n)), F.lit(0.5)))
+    measured = pairs.join(known, "term").where(beyond & (F.col("support") > 0)).withColumn("disclosure", F.round(F.log2(lower / share) / ic, 9))
     best = measured.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "entity", "support")).alias("b"))
     return cut(best.select("term", "b.entity", "b.support", "b.disclosure", F.when(F.col("b.disclosure") >= remove_at, REMOVED).otherwise(GENERALISED).alias("action")))
 
