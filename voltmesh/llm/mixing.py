@@ -120,7 +120,7 @@ def schedule(plan: DataFrame, sources: int, slots: int, chunk: int = 4096) -> Da
 
 
 def mix(docs: DataFrame, block: int = 1024, repeats: int = 3, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, source_size, target, taken) of every document, and the schedule (slot, source, block number, words)."""
+    """(doc_id, source, size, source_size, target, taken, slots) of every document, and the schedule (slot, source, block number, words). ``slots`` are those that take its first word, in order."""
     return mix_rows(sized(docs), block, repeats, buckets)
 
 
@@ -139,22 +139,28 @@ def mix_rows(rows: DataFrame, block: int, repeats: int, buckets: int | None) ->
     at = lambda seen: F.expr(f"cast(cast({seen} as decimal(18,0)) * cast({PERIOD} as decimal(18,0)) div {max(needed, 1)} as long)")
     plan_df = cut(goals.select(F.col("number").cast("int").alias("number"), "source", n.alias("source_size"), "target", "goal", F.lit(block).cast("long").alias("block"), F.greatest(F.lit(1), blocks(n)).cast("long").alias("blocks"), at("seen").alias("low"), at("(seen + slots)").alias("high")))
     slots = schedule(plan_df, sources, 3 * needed + 64)
-    per_block = slots.groupBy("number", "at").agg(F.count_if(F.col("words") == F.col("length")).alias("whole"), F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("part"))
+    # a block is taken once a turn, repeats times at most, so its slots are few
+    taking = F.transform(F.array_sort(F.collect_list(F.struct("slot", "words"))), lambda s: s)
+    per_block = slots.groupBy("number", "at").agg(F.count_if(F.col("words") == F.col("length")).alias("whole"), F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("part"), taking.alias("taking"))
     named = small(plan_df.select("number", F.col("source").alias("_s"), "source_size", "target", "block"), sources)
     placed = laid_out(rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), buckets)
     end = F.col("start") + F.col("size")
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block"))
-    pieces = placed.where("size > 0").select("_id", "number", "start", end.alias("end"), "block", F.explode(F.sequence(first, last)).alias("at")).join(per_block, ["number", "at"])
+    pieces = placed.where("size > 0").select("_id", "number", "start", end.alias("end"), "block", first.alias("first"), F.explode(F.sequence(first, last)).alias("at")).join(per_block, ["number", "at"])
     lower = F.greatest("start", F.col("at") * F.col("block"))
     upper = F.least("end", (F.col("at") + 1) * F.col("block"))
     part = F.greatest(F.lit(0), F.least("end", F.col("at") * F.col("block") + F.col("part")) - lower)
-    taken = pieces.groupBy("_id").agg(F.sum(F.col("whole") * (upper - lower) + part).alias("taken"))
-    out = rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).join(taken, "_id", "left").select("_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # the slots that take a document's first word, in order: where it stands in the mix
+    begins = F.max(F.when(F.col("at") == F.col("first"), F.transform(F.filter("taking", lambda s: s["words"] > F.col("start") - F.col("first") * F.col("block")), lambda s: s["slot"])))
+    taken = pieces.groupBy("_id").agg(F.sum(F.col("whole") * (upper - lower) + part).alias("taken"), begins.alias("slots"))
+    out = rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).join(taken, "_id", "left").select("_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"))
     return out, slots.join(named.select("number", F.col("_s").alias("source")), "number").select("slot", "source", F.col("at").alias("block"), "words")
 
 
 def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
+    """``docs`` as the mix takes them, in its order: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
+
+    The rows are in ranges of the slot that takes a copy's first word (those without a slot last), so files written from them, in the order of their names, follow the schedule.
 
     A document of which a part is taken in its last turn stands once more if its source's words stay nearest the
     target so: the cut of that turn falls in at least half of it. Documents without words stand once. A column ``copy`` of
@@ -163,6 +169,10 @@ def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> Dat
     name = free_name(docs, "copy_number")
     held = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id")))
     rows = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size_of("_row.text").alias("size"), place_of("_row.doc_id", "_row.text").alias("place"), "_id")
-    counts = mix_rows(cut(rows), block, repeats, None)[0].select("_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
-    out = held.join(counts, "_id").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("_row.*", name)
+    counts = mix_rows(cut(rows), block, repeats, None)[0].select("_id", "slots", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
+    copies = counts.select("_id", "slots", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_copy"))
+    # a copy that no slot begins is the end of one; it follows the last
+    slot = F.coalesce(F.try_element_at("slots", F.col("_copy") + 1), F.try_element_at("slots", F.lit(-1)), F.lit((1 << 63) - 1))
+    order = ["_slot", "_id", "_copy"]
+    out = held.join(copies.select("_id", "_copy", slot.alias("_slot")), "_id").repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*", F.col("_copy").alias(name))
     return out.drop("copy").withColumnRenamed(name, "copy")

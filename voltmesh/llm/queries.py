@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import collocations, hard_negatives, html_template, mixing, ngram_join, pii, piece_dropout, posting_lists, quality_classifier, quality_rules, secret_scan, sharding, token_files
 from .common import new_folder, table
@@ -54,7 +55,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))[0].select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("slots", F.lit(1)).alias("first_slot"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +105,17 @@ g as (select *, (total - capped)::bigint as left_words, (total - capped) * weigh
 h as (select *, min(case when fits then k end) over () as first_free from g),
 level as (select left_words, free from h where k = first_free),
 t as (select source, n, case when first_free is null or k < first_free then (3 * n)::double else ((select left_words from level) * weight)::double / (select free from level)::double end as target from h),
-p as (select a.*, t.n, t.target, sum(a.size) over (partition by a.source order by a.place, a.rid) - a.size as start from a join t on a.source is not distinct from t.source)
+p as (select a.*, t.n, t.target, sum(a.size) over (partition by a.source order by a.place, a.rid) - a.size as start from a join t on a.source is not distinct from t.source),
+b as (select source, n, floor(target)::bigint as goal, case when n > 0 then (floor(target)::bigint // n) * ((n + 1023) // 1024) + (floor(target)::bigint % n + 1023) // 1024 else 0 end as slots from t),
+q as (select *, sum(slots) over (order by source is null, encode(source)) - slots as seen, sum(slots) over () as needed from b),
+i as (select source, n, goal, greatest(1, (n + 1023) // 1024) as blocks, (seen::hugeint * 281474976710656) // greatest(needed, 1) as low, ((seen + slots)::hugeint * 281474976710656) // greatest(needed, 1) as high from q),
+points as (select slot, (slot::hugeint * 173961102589771) % 281474976710656 as point from (select unnest(range(0, (select max(3 * needed + 64)::bigint from q))) as slot)),
+owned as (select i.*, slot, row_number() over (partition by source order by slot) - 1 as k from points join i on point >= low and point < high),
+taking as (select source, slot, k % blocks as at, least(1024, n - (k % blocks) * 1024, goal - (k // blocks) * n - (k % blocks) * 1024) as words from owned),
+firsts as (select p.rid, min(slot) as first_slot from p join taking x on x.source is not distinct from p.source and x.at = p.start // 1024 and x.words > p.start % 1024 where p.size > 0 group by 1)
 select doc_id, size, n as source_size, target,
-       (case when n = 0 then 0 else floor(target)::bigint // n * size + greatest(0, least(start + size, floor(target)::bigint % n) - start) end)::bigint as taken
-from p""",
+       (case when n = 0 then 0 else floor(target)::bigint // n * size + greatest(0, least(start + size, floor(target)::bigint % n) - start) end)::bigint as taken, first_slot
+from p left join firsts using (rid)""",
     "op12_hard_negatives": """
 with v as (
   select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
