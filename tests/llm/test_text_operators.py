@@ -585,6 +585,17 @@ def test_html_varying_classes_and_long_pages(spark):
     assert all(rows[i] == f"Head {i} Words of page {i}." for i in range(6)) and len(rows[9].split()) == 200_000
 
 
+def test_html_article_text_that_repeats_stays(spark):
+    """A paragraph, a heading and a last line that all pages share are the article's; boxes after it that all pages have aren't."""
+    page = lambda i, after="": f"<html><body><nav><a href='/'>home</a></nav><article><h1>Title {i}</h1><p>Pumps of kind {i} lift water for town {i * 7}.</p><p>All figures are in metres.</p><p>They ran for {i} days without rest in the year {i + 1900}.</p><h2>References</h2><p>See book {i} on page {i * 3}, by author {i}.</p><p>Conclusion.</p>{after}</article><footer>end</footer></body></html>"
+    text = lambda i: f"Title {i} Pumps of kind {i} lift water for town {i * 7}. All figures are in metres. They ran for {i} days without rest in the year {i + 1900}. References See book {i} on page {i * 3}, by author {i}. Conclusion."
+    after = lambda i: f'<div class="user-responses"><p>reader {i} says hi</p></div><div class="more-stories"><p><a href="/{i}">story {i}</a></p></div><div class="legal-hint"><p>We store things.</p></div>'
+    for host, more in (("a", lambda i: ""), ("b", after)):
+        rows = [(i, f"http://{host}.example/{i}", page(i, more(i)), "x", 0) for i in range(8)]
+        got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")).collect()
+        assert {r.page_id: r.text for r in got} == {i: text(i) for i in range(8)} and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_html_template_inside_main(spark):
     page = "<html><body><article><h1>Head {n}</h1><div class=box><p>The site moves on <b>Monday</b>.</p></div><p>Read <i>this</i> text {n}.</p></article></body></html>"
     pages = [(i, f"https://a.example.com/{i}", page.format(n=i)) for i in range(5)]

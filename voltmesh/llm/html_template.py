@@ -12,9 +12,9 @@ element is skeleton and every text fills a slot.
    or main element and most of the text, or around all of it.
 2. The main container is the deepest skeleton element with ``main_share`` or more of the slots' text outside links, text in article and main elements counting ``MAIN_WEIGHT`` times; from there it goes up to an
    article or main element around it or, if it has no first-level heading, to a parent that has one.
-3. In the container, lists and boxes that are links nearly throughout are menus and go. A block (a paragraph, a heading, an item) goes
-   if all its text nodes are fixed; a fixed word in a sentence that varies stays. Where all of a container is
-   fixed, as on a host of copies, nothing tells the slots and it stays whole.
+3. In the container, lists and boxes that are links nearly throughout are menus and go. A block (a paragraph, a heading, an item) whose text nodes are all fixed goes if its box is fixed throughout; in one box with varying blocks it
+   is the article's own, outside article and main elements only between them. A fixed word in a sentence that varies stays. Where all of a container is fixed, as on a host of copies, nothing tells the slots and it stays whole.
+4. Where the article's text stands in the container itself, small boxes of the template after the last of it are what the site appends, readers' comments and links to other articles, whatever their names; they go.
 
 An occurrence vector is never built: its fingerprint is the sum, over pages, of a hash of (page, count), so
 a host with a third of all pages is summed up in partial aggregates like any other. Templates are broadcast only if they have few
@@ -278,12 +278,57 @@ def main_text(html: str | None, template: frozenset[int] | set[int], main_share:
     link_sums, n_links = page.summed(links), page.summed([int(name == "a") for name in page.name])
     for i in range(container + 1, n):
         inside[i] = inside[page.parent[i]] and not noise[i] and not (page.name[i] in BOXES and n_links[i] > 2 and link_sums[i] >= 0.8 * every[i])
-    blocks: dict[int, list[tuple[str, bool]]] = {}
+    box = list(range(n))
+    for i in range(1, n):
+        box[i] = i if page.name[i] in CONTAINERS else box[page.parent[i]]
+    blocks: dict[int, list[tuple[int, str, int, bool]]] = {}
     for k, element, text, size, fixed in runs:
         if inside[element]:
-            blocks.setdefault(k, []).append((text, fixed or not size))
-    varied = [b for b in blocks.values() if not all(fixed for _, fixed in b)]
-    return " ".join(" ".join("".join(text for text, _ in b) for b in varied or blocks.values()).split())
+            blocks.setdefault(k, []).append((box[element], text, size, fixed or not size))
+    varied = {k for k, b in blocks.items() if not all(fixed for *_, fixed in b)}
+    # a fixed heading or paragraph in one box with varying ones is the article's, outside article and main elements only between them; a box that is fixed throughout is the site's
+    spans: dict[int, tuple[int, int]] = {}
+    for k in sorted(varied):
+        for at, _, size, fixed in blocks[k]:
+            if size and not fixed:
+                spans[at] = (spans.get(at, (k, k))[0], k)
+    held = lambda k, at: at in spans and (bool(page.main[container]) or spans[at][0] < k < spans[at][1])
+    kept = {k for k, b in blocks.items() if k in varied or any(size and held(k, at) for at, _, size, _ in b)} or set(blocks)
+    kept -= appended(page, blocks, kept, container, skeleton) if template else set()
+    return " ".join(" ".join("".join(text for _, text, *_ in blocks[k]) for k in sorted(kept)).split())
+
+
+def appended(page: Page, blocks: dict, kept: set[int], container: int, skeleton: list[bool], most_share: float = 0.25, direct_share: float = 0.6) -> set[int]:
+    """Blocks in boxes that the host's pages put after an article's own text, as readers' comments and links to other articles.
+
+    The article's text stands in the container itself (``direct_share`` of it at least); a box of the template that begins after the last of it and holds ``most_share`` of it at most is appended.
+    """
+
+    def under(at: int) -> int:
+        """The outermost box around a block, inside the container."""
+        while at and page.parent[at] and box_above[at] != container and at != container:
+            at = box_above[at]
+        return at
+
+    box_above = [0] * len(page.name)
+    near = list(range(len(page.name)))
+    for i in range(1, len(page.name)):
+        box_above[i] = near[page.parent[i]]
+        near[i] = i if page.name[i] in CONTAINERS or i == container else near[page.parent[i]]
+    home = near[container]
+    size: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
+    for k in sorted(kept):
+        for at, _, chars, _ in blocks[k]:
+            top = at if at == home else under(at)
+            size[top] = size.get(top, 0) + chars
+            if chars:
+                where.setdefault(top, []).append(k)
+    direct = size.get(home, 0)
+    if not direct or direct < direct_share * sum(size.values()):
+        return set()
+    last = where[home][-1]
+    return {k for top, at in where.items() if top != home and at[0] > last and size[top] <= most_share * direct and page.name[top] in ("div", "section") and skeleton[top] for k in at}
 
 
 def extract(pages: DataFrame, least_size: int = 3, least_share: float = 0.6) -> DataFrame:
