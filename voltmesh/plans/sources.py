@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+from ..functions import xmltext as X
 from ..functions.shared import cut, new_folder
 from ..operators import difference as D
+from ..operators import edits as E
 from ..operators import model as O
 from ..operators import rdf
 from ..operators import validate as K
@@ -290,3 +293,71 @@ def rdfs_classes_of_nations(spark, sf):
 def rdfs_attributes_of_nations(spark, sf):
     """Their attributes (M4, M5, M9)."""
     return rdfs.vocabulary(spark, _described(spark, sf), star.NS, []).attrs.select("attr", "owner", "kind", "primitive", "least", "most", "used_in")
+
+
+@query("select 'nation:' || n_nationkey as mrid, 'text' as shape, n_name as text, null::varchar as literal, 'U+' || upper(lpad(to_hex(ascii(n_name)), 4, '0')) as first from nation union all select 'customer:' || c_custkey, 'enum', null, c_mktsegment, 'U+' || upper(lpad(to_hex(ascii(c_mktsegment)), 4, '0')) from customer")
+def text_coercions(spark, sf):
+    """Values read as texts and as enumeration values (C4), and how a character is named."""
+    rows = star.model(spark, sf, ("nation", "customer"), ["Thing.name", "Customer.mktsegment"]).slots.where("mrid like 'nation:%' or attr = 'Customer.mktsegment'")
+    return rows.select("mrid", F.col("kind").alias("shape"), V.as_string(F.col("kind"), F.col("v_text")).alias("text"), V.as_enum(F.col("kind"), F.col("v_text")).alias("literal"), X.describe_char(F.col("v_text")).alias("first"))
+
+
+@query("select 'part:' || p_partkey as mrid, case p_partkey % 3 when 0 then p_size || '.0' when 1 then p_size::varchar else p_size::varchar end as text, true as fits from part")
+def lexical_rendering(spark, sf):
+    """A number keeps its spelling where that is one of its type, and is canonical else."""
+    k = F.col("p_partkey") % 3
+    spelled = F.when(k == 0, F.concat("p_size", F.lit(".0"))).when(k == 1, F.concat("p_size", F.lit(",0")))
+    rows = t(spark, sf, "part").select(F.expr("concat('part:', p_partkey)").alias("mrid"), spelled.alias("lex"), F.col("p_size").cast("double").alias("v"))
+    return rows.select("mrid", V.to_lexical(F.col("lex"), F.col("v"), F.lit("Float")).alias("text"), V.fits(F.lit("Float"), F.lit("dbl")).alias("fits"))
+
+
+@query("select 'Order.status' as attr, count(*) as n, false as many from orders union all select 'Order.totalprice', count(*), false from orders union all select 'Order.Customer', count(*), false from orders union all select 'Order.priority', count(*), false from orders")
+def many_valued(spark, sf):
+    """Values of each attribute, and whether it takes many."""
+    m = star.model(spark, sf, ("orders",))
+    told = m.vocabulary.attrs.select("attr", V.is_many(F.col("most"), F.lit(False)).alias("many"))
+    return m.slots.groupBy("attr").agg(F.count("*").alias("n")).join(F.broadcast(told), "attr")
+
+
+@query("select 'Status.' || o_orderstatus as literal, count(*) as n from orders group by 1")
+def literal_lookups(spark, sf):
+    """Values of an enumeration that the vocabulary has."""
+    m = star.model(spark, sf, ("orders",), ["Order.status"])
+    named = m.slots.select(F.lit("Status").alias("enum"), F.col("v_text").alias("literal"))
+    return m.vocabulary.find_literals(named).groupBy(F.concat_ws(".", "enum", "literal").alias("literal")).agg(F.count("*").alias("n"))
+
+
+@query("select s as word, case s when 'REF' then 0 when 'OPS' then 1 end as bit, (select count(*) from customer) as n from (values ('REF'), ('OPS')) v(s)")
+def profile_keywords(spark, sf):
+    """The profiles that a table's provenance names, by keyword in any case."""
+    m = star.model(spark, sf, ("customer",))
+    out = [m.objects.where(F.col("profiles").bitwiseAND(F.lit(1 << bit)) != 0).agg(F.count("*").alias("n")).crossJoin(F.broadcast(m.vocabulary.by_keyword(word).select(F.col("profile").alias("word"), "bit"))) for bit, word in ((0, "ref"), (1, "Ops"))]  # one row each
+    return out[0].unionByName(out[1])
+
+
+@query("select 'star_REF.xml' as file, 'Reference' as name, '2' as version union all select 'star_OPS.xml', 'Operation', '1'")
+def header_changes(spark, sf):
+    """Headers of files with one replaced, and each file's first profile."""
+    heads = cimxml.peek_headers(spark, _files(spark, sf))
+    new = E.set_headers(heads, heads.where("file like '%_REF.xml'").withColumn("version", F.lit("2")))
+    name = F.substring_index("file", "/", -1)
+    return new.select(name.alias("file"), "version").join(cimxml.primary_profile(new).select(name.alias("file"), "name"), "file")
+
+
+@query("select count(*) as n, count(*) || ' dangling references, among them region:0' as told from nation where n_regionkey = 0")
+def strict_links(spark, sf):
+    """What a strict check of links says of references to a region that isn't loaded."""
+    m = star.model(spark, sf, ("region", "nation"), ["Nation.Region"], {"region": t(spark, sf, "region").where("r_regionkey <> 0")})
+    try:
+        m.check_links()
+        told = None
+    except ValueError as e:
+        told = str(e)
+    return m.dangling().agg(F.count("*").alias("n")).withColumn("told", F.lit(told))
+
+
+@query("select count(*) as nations, 'urn:uuid:' || substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h,17,1)) - 1) % 4 + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12) as id from nation, (select sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('urn:uuid:a' || chr(10) || 'urn:uuid:b')) as h) group by h")
+def difference_header(spark, sf):
+    """A difference's header: a name-based identifier over what it supersedes, each once (H6)."""
+    head = D.derived_header(["urn:uuid:a", "urn:uuid:b", "urn:uuid:a"], "content", namespace="6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+    return t(spark, sf, "nation").agg(F.count("*").alias("nations")).withColumn("id", F.lit(head["id"]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.difference import typed_values, value_text
-from ..operators.model import SLOTS, Model
+from ..operators.model import Model
 from ..operators.vocabulary import Vocabulary
 
 STATEMENTS = "direction string, seq long, mrid string, class string, defines boolean, attr string, kind string, value string"
@@ -133,7 +133,7 @@ class Objects(StatefulProcessor):
         pass
 
 
-def _held(*more) -> F.Column:
+def _held() -> F.Column:
     return F.to_json(F.struct(*(F.col(c) for c in HELD)), {"ignoreNullFields": "false"})
 
 
