@@ -158,9 +158,7 @@ def mix_rows(rows: DataFrame, block: int, repeats: int, buckets: int | None) ->
 
 
 def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> DataFrame:
-    """``docs`` as the mix takes them, in its order: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
-
-    The rows are in ranges of the slot that takes a copy's first word (those without a slot last), so files written from them, in the order of their names, follow the schedule.
+    """``docs`` as the mix takes them: each row as often as it is taken, up to ``repeats`` times, numbered from 0 in ``copy``.
 
     A document of which a part is taken in its last turn stands once more if its source's words stay nearest the
     target so: the cut of that turn falls in at least half of it. Documents without words stand once. A column ``copy`` of
@@ -170,9 +168,5 @@ def mixed_documents(docs: DataFrame, block: int = 1024, repeats: int = 3) -> Dat
     held = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id")))
     rows = held.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), size_of("_row.text").alias("size"), place_of("_row.doc_id", "_row.text").alias("place"), "_id")
     counts = mix_rows(cut(rows), block, repeats, None)[0].select("_id", "slots", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n")).where("n > 0")
-    copies = counts.select("_id", "slots", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_copy"))
-    # a copy that no slot begins is the end of one; it follows the last
-    slot = F.coalesce(F.try_element_at("slots", F.col("_copy") + 1), F.try_element_at("slots", F.lit(-1)), F.lit((1 << 63) - 1))
-    order = ["_slot", "_id", "_copy"]
-    out = held.join(copies.select("_id", "_copy", slot.alias("_slot")), "_id").repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*", F.col("_copy").alias(name))
+    out = held.join(counts.drop("slots"), "_id").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("_row.*", name)
     return out.drop("copy").withColumnRenamed(name, "copy")
