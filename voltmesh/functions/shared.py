@@ -28,6 +28,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join by sorting: for tables as large as a model, which Spark would broadcast through the driver while their compressed columns look small."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared folder and cut its lineage."""
     sc = df.sparkSession.sparkContext

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions.ordered import islands
-from ..functions.shared import cut
+from ..functions.shared import cut, wide
 from .model import Model
 
 #: What the class of an object is called among its values while states are compared.
@@ -43,8 +43,8 @@ def statements(base: Model, target: Model, scope: int | None = None) -> DataFram
     rows = values.withColumns({"direction": F.when(F.col("n") > 0, "forward").otherwise("reverse"), "n": F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))}).drop("n")
     # objects whose class is in both states have no row here
     classes = counted.where(F.col("attr") == CLASS).groupBy("mrid").agg(F.max(F.when(F.col("n") < 0, F.col("value"))).alias("was"), F.max(F.when(F.col("n") > 0, F.col("value"))).alias("now"))
-    only_class = classes.where("was <> now").join(rows.where("direction = 'forward'").select("mrid"), "mrid", "left_anti").select("mrid", F.lit("mRID").alias("attr"), F.lit("class").alias("kind"), F.col("now").alias("value"), F.lit("forward").alias("direction"))
-    named = rows.unionByName(only_class).join(classes, "mrid", "left")
+    only_class = classes.where("was <> now").join(wide(rows.where("direction = 'forward'").select("mrid")), "mrid", "left_anti").select("mrid", F.lit("mRID").alias("attr"), F.lit("class").alias("kind"), F.col("now").alias("value"), F.lit("forward").alias("direction"))
+    named = rows.unionByName(only_class).join(wide(classes), "mrid", "left")
     return named.select(
         "direction", "mrid", *KEY[1:], F.when(F.col("direction") == "forward", F.col("now")).otherwise(F.coalesce("was", "now")).alias("class"),
         (F.col("was").isNull() & F.col("now").isNotNull() & (F.col("direction") == "forward")).alias("defines"),
@@ -102,7 +102,7 @@ def typed_values(found: DataFrame) -> DataFrame:
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
     """A table as large as a difference, broadcast if its counted rows are few."""
-    return F.broadcast(df) if rows <= 100_000 else df
+    return F.broadcast(df) if rows <= 100_000 else wide(df)
 
 
 def _order(found: DataFrame) -> Column:
@@ -142,18 +142,18 @@ def _applied(base: Model, found: DataFrame, profiles: int) -> tuple[Model, DataF
     retype = cut(named.groupBy("mrid").agg((F.min_by("class", "seq") if "seq" in found.columns else F.min("class")).alias("class")))
     m = base.with_(slots=stay.unionByName(changed))
     own = base.objects.join(_near(touched, n_touched), "mrid", "left_semi")
-    moved = cut(retype.join(own.select("mrid", F.col("class").alias("was")), "mrid").where("class <> was").drop("was"))
+    moved = cut(retype.join(wide(own.select("mrid", F.col("class").alias("was"))), "mrid").where("class <> was").drop("was"))
     shed = m.slots.limit(0)
     if not moved.isEmpty():
         m, shed = m.reclassify(_near(moved, moved.count()))
         shed = cut(shed)
     owner = m.vocabulary.attrs.select("attr", "owner")
     first = values.where("side = 2").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min_by("owner", "at").alias("owner"))
-    created = first.join(own.select("mrid"), "mrid", "left_anti").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(profiles).cast("long").alias("profiles"))
+    created = first.join(wide(own.select("mrid")), "mrid", "left_anti").join(wide(retype), "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(profiles).cast("long").alias("profiles"))
     objects = m.objects.select("mrid", "class", "profiles").unionByName(created)
     # of the objects that statements name, those without values go
     near = _near(touched, n_touched)
-    empty = cut(touched.join(m.slots.join(near, "mrid", "left_semi").select("mrid").distinct(), "mrid", "left_anti"))
+    empty = cut(touched.join(wide(m.slots.join(near, "mrid", "left_semi").select("mrid").distinct()), "mrid", "left_anti"))
     return m.with_(objects=objects.join(_near(empty, n_touched), "mrid", "left_anti")), shed, missed
 
 
@@ -173,21 +173,21 @@ def apply_checked(base: Model, found: DataFrame, profiles: int = 0) -> tuple[Mod
     named = found.where("class is not null and direction = 'forward'").groupBy("mrid").agg(F.min_by("class", order).alias("class"))
     unknown = finding(named.join(classes, "class", "left_anti"), "warning", "unknown-class", F.col("class"))
     retype = cut(named.join(classes, "class", "left_semi"))
-    moved = retype.join(own, "mrid").where("class <> was")
+    moved = retype.join(wide(own), "mrid").where("class <> was")
     narrower = F.broadcast(v.closure().select("class", F.col("ancestor").alias("was")))
     sideways = finding(moved.join(narrower, ["class", "was"], "left_anti"), "info", "structure", F.concat(F.lit("from "), F.col("was"), F.lit(" to "), F.col("class")))
     values = found.where("kind <> 'class'")
-    absent = finding(values.where("direction = 'reverse'").join(own, "mrid", "left_anti"), "warning", "dangling-reference", F.lit("not in the model"), F.col("attr"))
+    absent = finding(values.where("direction = 'reverse'").join(wide(own), "mrid", "left_anti"), "warning", "dangling-reference", F.lit("not in the model"), F.col("attr"))
     owners = F.broadcast(v.attrs.select("attr", "owner"))
     first = values.where("direction = 'forward'").join(owners, "attr").groupBy("mrid").agg(F.min_by("owner", order).alias("owner"))
-    becomes = first.join(own, "mrid", "left").join(retype, "mrid", "left").select("mrid", F.coalesce("class", "was", "owner").alias("_becomes"))
+    becomes = first.join(wide(own), "mrid", "left").join(wide(retype), "mrid", "left").select("mrid", F.coalesce("class", "was", "owner").alias("_becomes"))
     owned = F.broadcast(v.class_attrs().select(F.col("class").alias("_becomes"), "attr", F.lit(True).alias("_owned")))
-    judged = cut(found.join(becomes, "mrid", "left").join(owned, ["_becomes", "attr"], "left").withColumn("_foreign", (F.col("direction") == "forward") & (F.col("kind") != "class") & F.col("_owned").isNull()))
+    judged = cut(found.join(wide(becomes), "mrid", "left").join(owned, ["_becomes", "attr"], "left").withColumn("_foreign", (F.col("direction") == "forward") & (F.col("kind") != "class") & F.col("_owned").isNull()))
     foreign = finding(judged.where("_foreign"), "warning", "class-membership", F.concat("_becomes", F.lit(" has no "), "attr"), F.col("attr"))
     usable = judged.where("not _foreign").join(F.broadcast(v.classes.select("class", F.lit(True).alias("_known"))), "class", "left").withColumn("class", F.when(F.col("_known"), F.col("class"))).select(*found.columns)
     done, shed, missed = _applied(base, cut(usable), profiles)
-    lost = finding(shed.join(retype, "mrid"), "warning", "structure", F.concat("attr", F.lit(" was dropped with the class")), F.col("attr"))
-    missing = finding(missed.join(own, "mrid", "left_semi"), "info", "structure", F.concat("n", F.lit(" not present")), F.col("attr"))
+    lost = finding(shed.join(wide(retype), "mrid"), "warning", "structure", F.concat("attr", F.lit(" was dropped with the class")), F.col("attr"))
+    missing = finding(missed.join(wide(own), "mrid", "left_semi"), "info", "structure", F.concat("n", F.lit(" not present")), F.col("attr"))
     out = unknown
     for more in (sideways, absent, foreign, lost, missing):
         out = out.unionByName(more)
@@ -237,7 +237,7 @@ def statement_lines(found: DataFrame, m: Model, prefix: str = "cim") -> DataFram
     objects = heads.withColumn("element", F.coalesce("class", F.lit("\x00")))
     lines = drawn(objects, grouped, m.vocabulary, prefix, ("direction", "group", "mrid"))
     described = F.replace("element", F.lit(f"{prefix}:\x00"), F.lit("rdf:Description"))
-    return lines.withColumn("element", described).join(heads.select("direction", "group", "seq"), ["direction", "group"]).select("direction", "seq", "element")
+    return lines.withColumn("element", described).join(wide(heads.select("direction", "group", "seq")), ["direction", "group"]).select("direction", "seq", "element")
 
 
 def write(found: DataFrame, m: Model, path: str, header: dict, namespaces: dict[str, str], prefix: str = "cim") -> None:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import wide
 from .difference import value_text
 from .model import VALUES, Model
 
@@ -25,28 +26,28 @@ def values_table(rows: DataFrame) -> DataFrame:
 
 def put(m: Model, rows: DataFrame) -> Model:
     """Set: the given values replace all of their object's attribute. Objects that aren't there are not made."""
-    new = values_table(rows).select(*COLUMNS).join(m.objects.select("mrid"), "mrid", "left_semi")
-    kept = m.slots.join(new.select("mrid", "attr").distinct(), ["mrid", "attr"], "left_anti")
+    new = values_table(rows).select(*COLUMNS).join(wide(m.objects.select("mrid")), "mrid", "left_semi")
+    kept = m.slots.join(wide(new.select("mrid", "attr").distinct()), ["mrid", "attr"], "left_anti")
     return m.with_(slots=kept.select(*COLUMNS).unionByName(new.select(*COLUMNS)))
 
 
 def push(m: Model, rows: DataFrame) -> Model:
     """Push: the given values come after those that their object's attribute has."""
-    new = values_table(rows).join(m.objects.select("mrid"), "mrid", "left_semi")
-    last = m.slots.join(new.select("mrid", "attr").distinct(), ["mrid", "attr"], "left_semi").groupBy("mrid", "attr").agg((F.max("ord") + 1).alias("_next"))
-    placed = new.join(last, ["mrid", "attr"], "left").withColumn("ord", (F.col("ord") + F.coalesce("_next", F.lit(0))).cast("int"))
+    new = values_table(rows).join(wide(m.objects.select("mrid")), "mrid", "left_semi")
+    last = m.slots.join(wide(new.select("mrid", "attr").distinct()), ["mrid", "attr"], "left_semi").groupBy("mrid", "attr").agg((F.max("ord") + 1).alias("_next"))
+    placed = new.join(wide(last), ["mrid", "attr"], "left").withColumn("ord", (F.col("ord") + F.coalesce("_next", F.lit(0))).cast("int"))
     return m.with_(slots=m.slots.select(*COLUMNS).unionByName(placed.select(*COLUMNS)))
 
 
 def remove(m: Model, gone: DataFrame) -> Model:
     """Remove all values of the given attributes (mrid, attr)."""
-    return m.with_(slots=m.slots.join(gone.select("mrid", "attr"), ["mrid", "attr"], "left_anti"))
+    return m.with_(slots=m.slots.join(wide(gone.select("mrid", "attr")), ["mrid", "attr"], "left_anti"))
 
 
 def remove_values(m: Model, rows: DataFrame) -> Model:
     """Remove the values of an attribute that equal a given one, whatever their spelling; those after move up."""
     gone = values_table(rows).select("mrid", "attr", "kind", value_text().alias("_value")).distinct()
-    kept = m.slots.withColumn("_value", value_text()).join(gone, ["mrid", "attr", "kind", "_value"], "left_anti").drop("_value")
+    kept = m.slots.withColumn("_value", value_text()).join(wide(gone), ["mrid", "attr", "kind", "_value"], "left_anti").drop("_value")
     return m.with_(slots=kept.withColumn("ord", (F.row_number().over(Window.partitionBy("mrid", "attr").orderBy("ord")) - 1).cast("int")))
 
 

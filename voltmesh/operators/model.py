@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mrid as M
+from ..functions.shared import wide
 from . import compounds as C
 from .vocabulary import Vocabulary
 
@@ -49,8 +50,8 @@ class Model:
     def view(self, name: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
         """One row for each object of a class: mrid, class, and ``columns`` (name: attribute and value column). Many-valued ones give their first."""
         picked = self.slots.where(F.col("attr").isin([a for a, _ in columns.values()])).where("ord = 0")
-        wide = picked.groupBy("mrid").agg(*(F.max(F.when(F.col("attr") == a, F.col(v))).alias(c) for c, (a, v) in columns.items()))
-        return self.of_class(name).select("mrid", "class").join(wide, "mrid", "left")
+        columns_of = picked.groupBy("mrid").agg(*(F.max(F.when(F.col("attr") == a, F.col(v))).alias(c) for c, (a, v) in columns.items()))
+        return self.of_class(name).select("mrid", "class").join(wide(columns_of), "mrid", "left")
 
     def find(self, mrids: list[str]) -> DataFrame:
         """Objects by identifier, however it is spelled."""
@@ -59,7 +60,7 @@ class Model:
 
     def of_file(self, file_seq: int) -> DataFrame:
         """Objects that a file names and that are still there (D3)."""
-        return self.objects.join(self.members.where(F.col("file_seq") == file_seq).select("mrid"), "mrid", "left_semi")
+        return self.objects.join(wide(self.members.where(F.col("file_seq") == file_seq).select("mrid")), "mrid", "left_semi")
 
     def field(self, attr: str, *names: str) -> DataFrame:
         """The values of one field of a compound, or of compounds within it."""
@@ -80,7 +81,7 @@ class Model:
 
     def follow(self, attr: str) -> DataFrame:
         """mrid, ord, target and its class, for references that resolve."""
-        return self.values(attr).select("mrid", "ord", F.col("v_ref").alias("target")).join(self.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class")), "target")
+        return self.values(attr).select("mrid", "ord", F.col("v_ref").alias("target")).join(wide(self.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class"))), "target")
 
     def references(self) -> DataFrame:
         return self.slots.where("kind = 'ref'").select("mrid", "attr", "ord", F.col("v_ref").alias("target"))
@@ -98,7 +99,7 @@ class Model:
         return self.references().groupBy("target", "attr").agg(F.count("*").alias("referrers"), F.min("mrid").alias("first"))
 
     def dangling(self) -> DataFrame:
-        return self.references().join(self.objects.select(F.col("mrid").alias("target")), "target", "left_anti")
+        return self.references().join(wide(self.objects.select(F.col("mrid").alias("target"))), "target", "left_anti")
 
     def check_links(self) -> None:
         first = self.dangling().agg(F.count("*").alias("n"), F.min("target").alias("target")).first()
@@ -126,10 +127,10 @@ class Model:
 
     # changes
     def remove(self, gone: DataFrame) -> Model:
-        return self.with_(objects=self.objects.join(gone, "mrid", "left_anti"), slots=self.slots.join(gone, "mrid", "left_anti"))
+        return self.with_(objects=self.objects.join(wide(gone), "mrid", "left_anti"), slots=self.slots.join(wide(gone), "mrid", "left_anti"))
 
     def prune_empty(self) -> Model:
-        return self.with_(objects=self.objects.join(self.slots.select("mrid").distinct(), "mrid", "left_semi"))
+        return self.with_(objects=self.objects.join(wide(self.slots.select("mrid").distinct()), "mrid", "left_semi"))
 
     def reclassify(self, to: DataFrame) -> tuple[Model, DataFrame]:
         """The model with new classes (mrid, class), and the slots it sheds: those whose owner isn't an ancestor of the new class."""
@@ -138,7 +139,7 @@ class Model:
         changed = self.slots.join(new, "mrid")
         owned = self.vocabulary.class_attrs().select(F.col("class").alias("_new"), F.col("attr").alias("_root"))
         shed = changed.withColumn("_root", C.root()).join(F.broadcast(owned), ["_new", "_root"], "left_anti").drop("_new", "_root")
-        kept = self.slots.join(shed.select("mrid", "attr").distinct(), ["mrid", "attr"], "left_anti")
+        kept = self.slots.join(wide(shed.select("mrid", "attr").distinct()), ["mrid", "attr"], "left_anti")
         return self.with_(objects=objects, slots=kept), shed
 
     def in_profiles(self, scope: int) -> DataFrame:
@@ -238,7 +239,7 @@ def element_class(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary,
     declared = vocabulary.classes.where(F.col("profiles").bitwiseAND(F.lit(scope)) != 0).select(F.col("class").alias("ancestor"))
     ups = objects.select("mrid", "class").join(F.broadcast(closure), "class").join(F.broadcast(declared), "ancestor", "left_semi")
     required = vocabulary.class_attrs().where((F.col("least") > 0) & (F.col("used_in").bitwiseAND(F.lit(scope)) != 0)).select(F.col("class").alias("ancestor"), "attr")
-    missing = ups.join(F.broadcast(required), "ancestor").join(slots.select("mrid", "attr").distinct(), ["mrid", "attr"], "left_anti").select("mrid", "ancestor").distinct()
-    complete = ups.join(missing, ["mrid", "ancestor"], "left_anti")
+    missing = ups.join(F.broadcast(required), "ancestor").join(wide(slots.select("mrid", "attr").distinct()), ["mrid", "attr"], "left_anti").select("mrid", "ancestor").distinct()
+    complete = ups.join(wide(missing), ["mrid", "ancestor"], "left_anti")
     found = complete.groupBy("mrid").agg(F.min_by("ancestor", "depth").alias("element"))
-    return objects.select("mrid", "class").join(found, "mrid", "left").select("mrid", F.coalesce("element", "class").alias("element"))
+    return objects.select("mrid", "class").join(wide(found), "mrid", "left").select("mrid", F.coalesce("element", "class").alias("element"))

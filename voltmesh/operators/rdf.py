@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import mrid as M
 from ..functions import rdfterms as R
 from ..functions import values as V
+from ..functions.shared import wide
 from . import compounds as C
 from .model import Model, element_class
 
@@ -28,7 +29,7 @@ def with_terms(rows: DataFrame, base: str, **columns: str) -> DataFrame:
 def triples(m: Model, scope: int, ns: str = "http://example.org/model#", base: str = "") -> DataFrame:
     """subject, predicate, object, datatype: types by element class and every value of the scope; objects without a value in it are left out (L1-L4)."""
     slots = m.in_profiles(scope)
-    live = m.objects.join(slots.select("mrid").distinct(), "mrid", "left_semi")
+    live = m.objects.join(wide(slots.select("mrid").distinct()), "mrid", "left_semi")
     types = element_class(live, slots, m.vocabulary, scope).select("mrid", F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("element"))).alias("object"), F.lit(None).cast("string").alias("datatype"))
     # a value inside a compound stands in the blank node of its object and the path around it
     named = slots.withColumns({"around": F.array_join(C.holders(), "/"), "leaf": C.leaf()})

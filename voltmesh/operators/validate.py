@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import mrid as M
 from ..functions import profiles as P
 from ..functions import xmltext as X
+from ..functions.shared import wide
 from . import compounds as C
 from .model import Model
 from .vocabulary import Vocabulary
@@ -49,7 +50,7 @@ def missing_required(m: Model, scope: int = ALL_PROFILES) -> DataFrame:
     wanted = m.vocabulary.class_attrs().where("least > 0").where(F.col("used_in").bitwiseAND(F.lit(scope)) != 0).select("class", "attr", "used_in")
     concrete = m.vocabulary.classes.where(F.col("defined_in").bitwiseAND(F.col("concrete_in")).bitwiseAND(F.lit(scope)) != 0).select("class")
     due = m.objects.join(F.broadcast(concrete), "class", "left_semi").join(F.broadcast(wanted), "class").where((F.col("profiles") == 0) | (F.col("profiles").bitwiseAND(F.col("used_in")) != 0))
-    lacking = due.select("mrid", "attr").join(m.slots.select("mrid", "attr"), ["mrid", "attr"], "left_anti")
+    lacking = due.select("mrid", "attr").join(wide(m.slots.select("mrid", "attr")), ["mrid", "attr"], "left_anti")
     return finding(lacking, "error", "missing-required", F.col("attr"), F.col("attr"))
 
 
@@ -124,13 +125,13 @@ def serving(h: DataFrame, vocabulary: Vocabulary, scope: int) -> DataFrame:
     if not scope:
         return h
     named = vocabulary.resolve_iris(h.select("id", F.explode("profiles").alias("iri"))).where(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).bitwiseAND(F.lit(scope)) != 0)
-    return h.join(named.select("id").distinct(), "id", "left_semi")
+    return h.join(wide(named.select("id").distinct()), "id", "left_semi")
 
 
 def dependencies(h: DataFrame) -> DataFrame:
     """Models that a header depends on and no header has (K14). ``h``: id, depends_on."""
     wanted = h.select(F.col("id").alias("mrid"), F.explode("depends_on").alias("needed"))
-    return finding(wanted.join(h.select(F.col("id").alias("needed")), "needed", "left_anti"), "warning", "dependency", F.col("needed"))
+    return finding(wanted.join(wide(h.select(F.col("id").alias("needed"))), "needed", "left_anti"), "warning", "dependency", F.col("needed"))
 
 
 def coverage(m: Model) -> DataFrame:
@@ -160,7 +161,7 @@ def value_findings(m: Model, rules: set) -> DataFrame:
     attrs = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_leaf"), F.col("kind").alias("declared"), "primitive", F.when(F.col("kind") == "enum", F.col("target")).alias("enum"), "fixed", F.lit(True).alias("known")))
     owned = F.broadcast(m.vocabulary.class_attrs().groupBy(F.col("attr").alias("_root")).agg(F.collect_set("class").alias("owners")))
     rows = m.slots.withColumns({"_leaf": C.leaf(), "_root": C.root()}).join(attrs, "_leaf", "left").join(owned, "_root", "left")
-    rows = rows.join(m.objects.select("mrid", "class"), "mrid", "left") if class_membership in rules else rows.withColumn("class", F.lit(None).cast("string"))
+    rows = rows.join(wide(m.objects.select("mrid", "class")), "mrid", "left") if class_membership in rules else rows.withColumn("class", F.lit(None).cast("string"))
     shown = F.coalesce("lex", "v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"))
     told = _told(rules)
     other = (F.col("kind") == "enum") & F.col("enum").isNotNull() & (F.substring_index("v_text", ".", 1) != F.col("enum"))
@@ -205,7 +206,7 @@ def reference_findings(m: Model, rules: set) -> DataFrame:
     up = m.vocabulary.closure()
     related = F.broadcast(up.select(F.col("class").alias("target_class"), F.col("ancestor").alias("declared")).union(up.select("ancestor", "class")).distinct().withColumn("related", F.lit(True)))
     declared = F.broadcast(m.vocabulary.attrs.where("target is not null").select("attr", F.col("target").alias("declared")))
-    refs = m.references().join(m.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class")), "target", "left").join(declared, "attr", "left").join(related, ["target_class", "declared"], "left")
+    refs = m.references().join(wide(m.objects.select(F.col("mrid").alias("target"), F.col("class").alias("target_class"))), "target", "left").join(declared, "attr", "left").join(related, ["target_class", "declared"], "left")
     missing = refs["target_class"].isNull()
     wrong = ~missing & F.col("declared").isNotNull() & F.col("related").isNull()
     keep = F.lit(False)

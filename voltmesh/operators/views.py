@@ -80,4 +80,4 @@ def typed_view(m: Model, name: str, units: dict[str, str] | None = None, exact:
     if not wide:
         return m.of_class(name, exact).select("mrid", "class")
     rows = m.slots.where(F.col("attr").isin(paths)).groupBy("mrid").agg(*(c.alias(a.name) for a, c in wide))
-    return m.of_class(name, exact).select("mrid", "class").join(rows, "mrid", "left").select("mrid", "class", *(F.col(a.name).alias(a.name, metadata=told(a)) for a, _ in wide))
+    return m.of_class(name, exact).select("mrid", "class").join(rows.hint("merge"), "mrid", "left").select("mrid", "class", *(F.col(a.name).alias(a.name, metadata=told(a)) for a, _ in wide))

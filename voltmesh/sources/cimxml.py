@@ -18,7 +18,7 @@ from ..functions import profiles as P
 from ..functions import values as V
 from ..functions import xmltext as X
 from ..functions.ordered import numbered
-from ..functions.shared import cut
+from ..functions.shared import cut, wide
 from ..operators import compounds as C
 from ..operators.difference import resolve
 from ..operators.model import Model, merge_classes, merge_slots
@@ -69,7 +69,7 @@ class Documents:
         # a node counts if the element it is in is closed
         complete = found.where("level = 1 and closed").select("file", F.col("pos").alias("element"))
         inside = found.withColumn("element", F.when(F.col("level") == 1, F.col("pos")).otherwise(F.element_at("up", 1)))
-        return Documents(inside.join(complete, ["file", "element"], "left_semi").join(T.near(files, files.count()), "file"), parsed.prefixes, files, bad, parsed.rows)
+        return Documents(inside.join(wide(complete), ["file", "element"], "left_semi").join(T.near(files, files.count()), "file"), parsed.prefixes, files, bad, parsed.rows)
 
 
 def documents(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Documents:
@@ -244,10 +244,10 @@ def properties(docs: Documents, subjects: DataFrame, level: int = 2) -> DataFram
     """
     rest = lambda column: F.slice(column, F.lit(level), F.greatest(F.size(column) - (level - 1), F.lit(0)))
     names = docs.nodes.where(F.col("level") >= level).select("file", "file_seq", "level", "pos", F.element_at("up", level - 1).alias("subject"), rest("up").alias("inner"), rest("within").alias("names"), "ns", "local", "tag", "text")
-    found = names.join(subjects, ["file", "subject"]).where((F.col("level") == level) | F.col("local").contains("."))
+    found = names.join(wide(subjects), ["file", "subject"]).where((F.col("level") == level) | F.col("local").contains("."))
     holders = found.where(F.col("level") > level).select("file", F.explode("inner").alias("pos")).distinct()
     path = F.concat_ws("/", F.filter("names", lambda n: n.contains(".")), "local")
-    named = found.join(holders, ["file", "pos"], "left_anti").withColumn("attr", path)
+    named = found.join(wide(holders), ["file", "pos"], "left_anti").withColumn("attr", path)
     return named.withColumns({"resource": T.attribute(F.col("tag"), "resource"), "illegal": X.has_illegal(F.col("text")), "text": X.strip_illegal(F.col("text"))}).drop("tag", "inner", "names", "local")
 
 
@@ -355,7 +355,7 @@ def rendered(m: Model, scope: int, prefix: Prefix = "cim") -> DataFrame:
     slots = m.in_profiles(scope)
     defined = F.broadcast(m.vocabulary.classes.select(F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.lit(scope)) != 0).alias("introduces")))
     own = m.objects.where(F.col("profiles").bitwiseAND(F.lit(scope)) != 0).join(defined.where("introduces").select(F.col("element").alias("class")), "class", "left_semi").select("mrid")
-    live = m.objects.join(slots.select("mrid").union(own).distinct(), "mrid", "left_semi")
+    live = m.objects.join(wide(slots.select("mrid").union(own).distinct()), "mrid", "left_semi")
     return drawn(element_class(live, slots, m.vocabulary, scope).select("mrid", "element").join(defined, "element", "left"), slots, m.vocabulary, prefix)
 
 
@@ -400,7 +400,7 @@ def drawn(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary, prefix:
     bodies = items.select(*keys, F.array_join(lines, "\n").alias("body"))
     own = M.parse(F.col("mrid"))
     identity = F.when(X.identifier_form(own["key"]) == "iri", F.concat(F.lit('rdf:about="'), X.escape_attribute(own["key"]))).when(F.col("introduces"), F.concat(F.lit('rdf:ID="'), X.escape_attribute(M.rdf_id(own)))).otherwise(F.concat(F.lit('rdf:about="'), X.escape_attribute(M.rdf_resource(own))))
-    named = objects.join(bodies, list(keys), "left").join(classes, "element", "left")
+    named = objects.join(wide(bodies), list(keys), "left").join(classes, "element", "left")
     element = qualified(F.col("element"), F.col("element_ns"), prefix)
     start = F.concat(F.lit("  <"), element, F.lit(" "), identity, F.lit('"'))
     return named.select(*keys, F.when(F.col("body").isNull(), F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">\n"), F.col("body"), F.lit("\n  </"), element, F.lit(">"))).alias("element"))
@@ -448,7 +448,7 @@ def content_id(m: Model, parts: int = 4096) -> str:
     from ..operators.difference import value_text
 
     values = m.slots.select("mrid", F.concat_ws("\x1f", "attr", "kind", value_text()).alias("v")).groupBy("mrid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "\x1e"), 256).alias("v"))
-    each = m.objects.join(values, "mrid", "left").select("mrid", F.sha2(F.concat_ws("\x1f", "mrid", "class", "v"), 256).alias("h"))
+    each = m.objects.join(wide(values), "mrid", "left").select("mrid", F.sha2(F.concat_ws("\x1f", "mrid", "class", "v"), 256).alias("h"))
     bucket = F.conv(F.substring(F.md5("mrid"), 1, 6), 16, 10).cast("long") % parts
     ranges = each.groupBy(bucket.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: F.concat_ws(":", x["part"], x["h"])), ","), 256)).first()[0]
@@ -589,14 +589,14 @@ def as_loaded(m: Model, docs: Documents, heads: DataFrame, prefix: Prefix = "cim
     members = m.members.join(T.near(masks, n_files), "file_seq")
     # the first file of each profile; a value's mask is told bit by bit, so nothing meets all files
     firsts = F.broadcast(masks.select(F.explode(P.bits(F.col("file_mask"))).alias("bit"), F.struct("file_seq", "file", "file_mask").alias("f")).groupBy("bit").agg(F.min("f").alias("f")))  # 64 rows at most
-    homeless = m.slots.join(members.select("mrid").distinct(), "mrid", "left_anti").select("mrid", F.explode(P.bits(F.col("profiles"))).alias("bit")).distinct().join(firsts, "bit")
+    homeless = m.slots.join(wide(members.select("mrid").distinct()), "mrid", "left_anti").select("mrid", F.explode(P.bits(F.col("profiles"))).alias("bit")).distinct().join(firsts, "bit")
     adopted = homeless.groupBy("mrid").agg(F.min("f").alias("f")).select("f.file_seq", "mrid", "f.file", "f.file_mask")
     homes = members.select("file_seq", "mrid", "file", "file_mask").unionByName(adopted)
     used = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("_root"), "used_in"))
     slots = m.slots.withColumn("_root", F.substring_index("attr", "/", 1)).join(used, "_root").drop("_root")
     fits = F.when(F.col("profiles") != 0, F.col("profiles")).otherwise(F.col("used_in")).bitwiseAND(F.col("file_mask")) != 0
-    placed = slots.join(homes, "mrid").where(fits)
-    unwritten = m.slots.join(placed.select("mrid", "attr", "ord").distinct(), ["mrid", "attr", "ord"], "left_anti")
+    placed = slots.join(wide(homes), "mrid").where(fits)
+    unwritten = m.slots.join(wide(placed.select("mrid", "attr", "ord").distinct()), ["mrid", "attr", "ord"], "left_anti")
     defined = F.broadcast(m.vocabulary.classes.select("class", "defined_in"))
-    objects = homes.join(m.objects.select("mrid", "class"), "mrid").join(defined, "class").select("file", "mrid", F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.col("file_mask")) != 0).alias("introduces"))
+    objects = homes.join(wide(m.objects.select("mrid", "class")), "mrid").join(defined, "class").select("file", "mrid", F.col("class").alias("element"), (F.col("defined_in").bitwiseAND(F.col("file_mask")) != 0).alias("introduces"))
     return drawn(objects, placed, m.vocabulary, prefix, ("file", "mrid")), unwritten

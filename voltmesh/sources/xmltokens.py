@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import xmltext as X
-from ..functions.shared import cut
+from ..functions.shared import cut, wide
 from . import datasource
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -115,7 +115,7 @@ def leveled(found: DataFrame) -> DataFrame:
 
 def near(df: DataFrame, rows: int) -> DataFrame:
     """``df`` broadcast if it has few rows by count (rows of files or of splits)."""
-    return F.broadcast(df) if rows <= 100_000 else df
+    return F.broadcast(df) if rows <= 100_000 else wide(df)
 
 
 def places(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def nodes(found: DataFrame) -> Nodes:
     piece = F.when(F.col("kind") == "cdata", F.concat(X.unescape(F.col("text")), F.regexp_extract("tag", r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>)?$", 1))).otherwise(X.unescape(F.col("text")))
     own = placed.where("rel > 1").select("file", place(F.element_at("around", F.col("rel") - 1)).alias("pos"), F.struct("split", "at", piece.alias("piece")).alias("p"), (F.col("kind") == "close").alias("close"))
     texts = own.groupBy("file", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"), F.bool_or("close").alias("closed"))
-    joined = starts.join(texts, ["file", "pos"], "left").join(near(prefixes, n_files), "file", "left")
+    joined = starts.join(wide(texts), ["file", "pos"], "left").join(near(prefixes, n_files), "file", "left")
     prefix = F.when(F.instr("name", ":") > 0, F.substring_index("name", ":", 1)).otherwise("")
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     found_nodes = joined.select("file", "level", "pos", "up", "within", F.coalesce(F.try_element_at("prefixes", prefix), F.lit("")).alias("ns"), F.substring_index("name", ":", -1).alias("local"), "tag", clean.alias("text"), (F.col("empty") | F.coalesce("closed", F.lit(False))).alias("closed"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.shared import wide
 from ..operators.difference import typed_values, value_text
 from ..operators.model import Model
 from ..operators.vocabulary import Vocabulary
@@ -45,9 +46,9 @@ def load(spark: SparkSession, vocabulary: Vocabulary, store: str, version: int)
     last = log.withColumn("n", F.row_number().over(Window.partitionBy("mrid", "attr").orderBy(F.desc("version")))).where("n = 1")
     values = last.where("attr is not null")
     slots = values.select("mrid", "attr", F.inline(F.from_json("held", HELD_TYPE))).drop("text").select(*m.slots.columns)
-    kept = m.slots.join(values.select("mrid", "attr"), ["mrid", "attr"], "left_anti").select(*m.slots.columns)
+    kept = m.slots.join(wide(values.select("mrid", "attr")), ["mrid", "attr"], "left_anti").select(*m.slots.columns)
     named = last.where("attr is null")
-    objects = m.objects.join(named.select("mrid"), "mrid", "left_anti").unionByName(named.where("class is not null").select("mrid", "class", "profiles"))
+    objects = m.objects.join(wide(named.select("mrid")), "mrid", "left_anti").unionByName(named.where("class is not null").select("mrid", "class", "profiles"))
     return m.with_(objects=objects, slots=kept.unionByName(slots))
 
 
