@@ -17,3 +17,14 @@ def test_model_sized_joins_are_not_broadcast(spark):
     """Compressed key columns look small to Spark: 2 million objects or 8 million values were broadcast through the driver."""
     for found in (K.validate(star.model(spark, SF, ("customer", "part"))), QUERIES["severity_counts"](spark, SF), QUERIES["report_summary"](spark, SF), QUERIES["put_values"](spark, SF), QUERIES["follow_nation"](spark, SF)):
         assert not re.search(r"BroadcastHashJoin \[(mrid|target)#", plan(found)) and "SortMergeJoin" in plan(found)
+
+
+def test_many_values_are_asserted_whole(spark):
+    """Applying a difference to orders with many parts gives the target's values, as often as they stand there."""
+    from voltmesh.operators import difference as D
+    from voltmesh.plans.registry import _many_valued
+
+    base, target = _many_valued(spark, SF)
+    done = D.apply(base, D.statements(base, target))
+    count = lambda m: sorted((r.mrid, r.v_ref, r["count"]) for r in m.slots.groupBy("mrid", "v_ref").count().collect())
+    assert count(done) == count(target)
