@@ -28,3 +28,29 @@ def test_many_values_are_asserted_whole(spark):
     done = D.apply(base, D.statements(base, target))
     count = lambda m: sorted((r.mrid, r.v_ref, r["count"]) for r in m.slots.groupBy("mrid", "v_ref").count().collect())
     assert count(done) == count(target)
+
+
+def test_splits_that_move_between_readings(spark, tmp_path):
+    """Splits follow from the cores that are there when a file is read: if they change while a document is read, no tag is lost."""
+    from voltmesh.sources import cimxml
+    from voltmesh.sources import xmltokens as T
+
+    (tmp_path / "doc").mkdir()
+    body = "".join(f'<s:Region rdf:about="region:{i}"><s:Thing.name>name {i}</s:Thing.name></s:Region>\n' for i in range(4000))
+    (tmp_path / "doc" / "part-00000-x.txt").write_text(f'<rdf:RDF xmlns:rdf="{T.RDF}" xmlns:s="{star.NS}">\n{body}</rdf:RDF>\n')
+    settle, size = T.cut, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+
+    def moved(df):
+        out = settle(df)
+        spark.conf.set(size, "30000")
+        return out
+
+    try:
+        spark.conf.set(size, "100000")
+        T.cut = moved
+        m = cimxml.read(cimxml.parts(spark, str(tmp_path)), star.vocabulary(spark))[0]
+        assert m.objects.count() == 4000 and m.slots.count() == 4000
+    finally:
+        T.cut = settle
+        spark.conf.set(size, before)

@@ -25,7 +25,7 @@ def hyphenated(uuid: Column) -> Column:
 
 def parse(text: Column) -> Column:
     """STRUCT<is_uuid, key, written, form>; form is uuid, compact or opaque."""
-    uuid = F.nullif(F.regexp_extract(text, UUID, 1), F.lit(""))
+    uuid = F.when(F.length(text) >= 32, F.nullif(F.regexp_extract(text, UUID, 1), F.lit("")))  # shorter texts hold none
     form = F.when(uuid.isNull(), "opaque").when(F.length(uuid) == 32, "compact").otherwise("uuid")
     written = F.coalesce(uuid, undecorated(text))
     return F.struct(uuid.isNotNull().alias("is_uuid"), F.coalesce(hyphenated(uuid), written).alias("key"), written.alias("written"), form.alias("form"))

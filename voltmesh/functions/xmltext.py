@@ -22,7 +22,7 @@ def illegal_offset(text: Column) -> Column:
 
 
 def strip_illegal(text: Column) -> Column:
-    return F.regexp_replace(text, ILLEGAL, "")
+    return F.when(has_illegal(text), F.regexp_replace(text, ILLEGAL, "")).otherwise(text)
 
 
 def describe_char(c: Column) -> Column:
@@ -67,7 +67,8 @@ def unescape(text: Column) -> Column:
         return F.when(code == 38, "&amp;").when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(ref)
 
     plain = F.when(F.size(numbers) > 0, F.aggregate(numbers, text, lambda t, ref: F.replace(t, ref, character(ref)))).otherwise(text)
-    return _replaced(plain, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")])
+    entities = _replaced(plain, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")])
+    return F.when(text.contains("&"), entities).otherwise(text)  # most texts have none
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

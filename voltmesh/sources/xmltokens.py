@@ -86,8 +86,8 @@ def zip_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def attribute(tag: Column, local: str) -> Column:
     """An attribute's value by its local name; null without one."""
-    pattern = rf"(?s)\s(?:[\w.-]+:)?{local}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    return F.when(tag.rlike(pattern), X.unescape(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))))
+    quoted = F.regexp_extract(tag, rf"(?s)\s(?:[\w.-]+:)?{local}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    return F.when(tag.contains(local) & (quoted != ""), X.unescape(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
 
 
 def namespaces(leveled: DataFrame) -> DataFrame:
@@ -100,17 +100,21 @@ def namespaces(leveled: DataFrame) -> DataFrame:
 
 
 def leveled(found: DataFrame) -> DataFrame:
-    """``tokens`` with text, tag, kind (open, empty, close, cdata, other, text), name and ``depth``, how many elements are open before the tag."""
-    text = F.regexp_extract("value", r"(?s)^([^<]*)", 1)
+    """``tokens`` with text, tag, kind (open, empty, close, cdata, other, text), name and ``depth``, how many elements are open before the tag.
+
+    The tags are read once and settled: where splits begin follows from the cores that are there when a file is read, so two readings may number them differently.
+    """
+    text = F.substring_index("value", "<", 1)
     rows = found.withColumn("text", text).withColumn("tag", F.expr("substring(value, length(text) + 1)")).drop("value")
     tag = F.col("tag")
-    kind = F.when(tag == "", "text").when(tag.startswith("<![CDATA["), "cdata").when(tag.rlike("^<[!?]"), "other").when(tag.startswith("</"), "close").when(tag.rlike(r"/\s*>$"), "empty").otherwise("open")
+    kind = F.when(tag == "", "text").when(tag.startswith("<![CDATA["), "cdata").when(tag.startswith("<!") | tag.startswith("<?"), "other").when(tag.startswith("</"), "close").when(tag.endswith("/>") | (tag.contains("/") & tag.rlike(r"/\s*>$")), "empty").otherwise("open")
     rows = rows.withColumn("kind", kind).withColumn("name", F.when(F.col("kind").isin("open", "empty", "close"), F.regexp_extract("tag", r"^</?([^\s/>]+)", 1)))
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    here = Window.partitionBy("file", "split").orderBy("at")
+    rows = cut(rows.withColumn("inside", F.sum(step).over(here) - step))
     sums = cut(rows.groupBy("file", "split").agg(F.sum(step).alias("n")))
     before = sums.select("file", "split", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
-    here = Window.partitionBy("file", "split").orderBy("at")
-    return rows.withColumn("inside", F.sum(step).over(here) - step).join(near(before, sums.count()), ["file", "split"]).withColumn("depth", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
+    return rows.join(near(before, sums.count()), ["file", "split"]).withColumn("depth", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
 
 
 def near(df: DataFrame, rows: int) -> DataFrame:
@@ -156,7 +160,7 @@ def nodes(found: DataFrame) -> Nodes:
     A node is an element below ``rdf:RDF`` (wherever that stands): file, level (1: elements, 2: properties, and as deep as the documents go, up to MOST_LEVELS), pos, up and within (the positions and
     local names of the nodes around it), ns, local, tag, text (its own, white space kept, line ends as line feeds) and closed.
     """
-    rows = cut(leveled(found))
+    rows = leveled(found)
     prefixes = cut(namespaces(rows))
     n_files = prefixes.count()
     local = F.substring_index("name", ":", -1)
@@ -182,12 +186,16 @@ def nodes(found: DataFrame) -> Nodes:
     # a start tag stands in the nodes of lower levels; the text before a tag, and an end tag, belong to the nodes open there
     up = F.slice("around", F.lit(1), F.col("rel") - 1)
     place = lambda x: F.struct(x["split"].alias("split"), x["at"].alias("at"))
-    starts = placed.where(start & (F.col("rel") <= levels)).select("file", F.col("rel").alias("level"), pos.alias("pos"), F.transform(up, place).alias("up"), F.transform(up, lambda x: x["local"]).alias("within"), "name", "tag", (F.col("kind") == "empty").alias("empty"))
+    node = F.struct(F.col("rel").alias("level"), F.transform(up, place).alias("up"), F.transform(up, lambda x: x["local"]).alias("within"), "name", "tag", (F.col("kind") == "empty").alias("empty"))
     piece = F.when(F.col("kind") == "cdata", F.concat(X.unescape(F.col("text")), F.regexp_extract("tag", r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>)?$", 1))).otherwise(X.unescape(F.col("text")))
-    own = placed.where("rel > 1").select("file", place(F.element_at("around", F.col("rel") - 1)).alias("pos"), F.struct("split", "at", piece.alias("piece")).alias("p"), (F.col("kind") == "close").alias("close"))
-    texts = own.groupBy("file", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"), F.bool_or("close").alias("closed"))
-    joined = starts.join(wide(texts), ["file", "pos"], "left").join(near(prefixes, n_files), "file", "left")
+    # both go to their node in one shuffle: a row is the start of a node, a piece of the one around it, or both
+    begun = F.when(start & (F.col("rel") <= levels), F.struct(pos.alias("pos"), node.alias("node"), F.lit(None).alias("p"), F.lit(None).alias("close")))
+    within = F.when(F.col("rel") > 1, F.struct(place(F.element_at("around", F.col("rel") - 1)).alias("pos"), F.lit(None).alias("node"), F.struct("split", "at", piece.alias("piece")).alias("p"), (F.col("kind") == "close").alias("close")))
+    told = placed.select("file", F.inline(F.filter(F.array(begun, within), lambda x: x.isNotNull())))
+    whole = told.groupBy("file", "pos").agg(F.first("node", ignorenulls=True).alias("node"), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"), F.bool_or("close").alias("closed"))
+    joined = whole.where("node is not null").select("file", "pos", "node.*", "text", "closed").join(near(prefixes, n_files), "file", "left")
     prefix = F.when(F.instr("name", ":") > 0, F.substring_index("name", ":", 1)).otherwise("")
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    text = F.coalesce("text", F.lit(""))
+    clean = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
     found_nodes = joined.select("file", "level", "pos", "up", "within", F.coalesce(F.try_element_at("prefixes", prefix), F.lit("")).alias("ns"), F.substring_index("name", ":", -1).alias("local"), "tag", clean.alias("text"), (F.col("empty") | F.coalesce("closed", F.lit(False))).alias("closed"))
     return Nodes(rows, found_nodes, prefixes, no_root, deep)
