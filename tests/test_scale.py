@@ -54,3 +54,22 @@ def test_splits_that_move_between_readings(spark, tmp_path):
     finally:
         T.cut = settle
         spark.conf.set(size, before)
+
+
+def test_beam_search_holds_little():
+    """Searching the lists of many queries holds a block of vectors, not 500 rows' neighbours' (half a GB for a beam of 64)."""
+    import tracemalloc
+
+    import numpy as np
+    from voltmesh.llm import posting_lists as L
+
+    rng = np.random.default_rng(3)
+    shared, x = L.Centroids(rng.normal(size=(2000, 64))), rng.normal(size=(512, 64))
+    tracemalloc.start()
+    try:
+        found, dist = shared.near(x, 64)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    whole = L.beam_search(x, shared.c, shared.graph, 64, shared.entries)
+    assert (found == whole[0]).all() and np.allclose(dist, whole[1])

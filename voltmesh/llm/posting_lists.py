@@ -22,6 +22,8 @@ own; fewer than k candidates are all returned; no vectors give an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, least_by, map_batches
 
 VECTOR = "array<double>"
+#: The numbers that a block of distances or of gathered vectors holds at most, 16 MB of doubles.
+AT_ONCE = 1 << 21
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -79,9 +83,10 @@ def neighbour_graph(c: np.ndarray, degree: int) -> np.ndarray:
     """The ``degree`` nearest centroids of each, and links from far parts: a row of numbers each."""
     near = np.empty((len(c), min(degree, len(c))), np.int32)
     square = (c * c).sum(1)
-    for i in range(0, len(c), 1024):
-        d = square[None, :] - 2 * c[i : i + 1024] @ c.T
-        near[i : i + 1024] = np.argpartition(d, near.shape[1] - 1, 1)[:, : near.shape[1]]
+    step = max(1, AT_ONCE // len(c))
+    for i in range(0, len(c), step):
+        d = square[None, :] - 2 * c[i : i + step] @ c.T
+        near[i : i + step] = np.argpartition(d, near.shape[1] - 1, 1)[:, : near.shape[1]]
     far = (np.arange(len(c))[:, None] * 7919 + np.arange(1, 5)[None, :] * 104729) % len(c)
     return np.concatenate([near, far.astype(np.int32)], 1)
 
@@ -120,7 +125,9 @@ class Centroids:
         self.entries = np.unique(np.linspace(0, len(c) - 1, 16).astype(np.int64))
 
     def near(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = [beam_search(x[i : i + 512], self.c, self.graph, width, self.entries) for i in range(0, len(x), 512)]
+        # a row meets its beam and the neighbours of all in it, each a vector
+        step = max(1, AT_ONCE // (min(width, len(self.c)) * (self.graph.shape[1] + 1) * self.c.shape[1]))
+        parts = [beam_search(x[i : i + step], self.c, self.graph, width, self.entries) for i in range(0, len(x), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -131,12 +138,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 def lists_of(rows: DataFrame, shared, ratio: float, most: int, least: int, beam: int) -> DataFrame:
     """``rows`` (entry, vector and more) once for each list: those within ``ratio`` of the nearest distance."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, dist = shared.value.near(matrix(batch.column(1)), beam)
-        take = (dist <= ratio * dist[:, :1]) | (np.arange(dist.shape[1])[None, :] < least)
-        take &= np.isfinite(dist) & (np.arange(dist.shape[1])[None, :] < most)
-        row, col = np.nonzero(take)
-        return pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(found[row, col].astype(np.int32))], names=[*batch.schema.names, "list"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, batch.num_rows, 256):  # a row may leave ``most`` times, with its vector
+            some = batch.slice(i, 256)
+            found, dist = shared.value.near(matrix(some.column(1)), beam)
+            take = (dist <= ratio * dist[:, :1]) | (np.arange(dist.shape[1])[None, :] < least)
+            take &= np.isfinite(dist) & (np.arange(dist.shape[1])[None, :] < most)
+            row, col = np.nonzero(take)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in some.columns), pa.array(found[row, col].astype(np.int32))], names=[*batch.schema.names, "list"])
 
     return map_batches(rows, run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", list int")
 
