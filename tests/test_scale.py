@@ -73,3 +73,12 @@ def test_beam_search_holds_little():
         tracemalloc.stop()
     whole = L.beam_search(x, shared.c, shared.graph, 64, shared.entries)
     assert (found == whole[0]).all() and np.allclose(dist, whole[1])
+
+
+def test_lists_that_no_query_reads(spark):
+    """On large tables some lists are read by no query: an empty answer failed to become an array of structs."""
+    from voltmesh.llm import posting_lists as L
+
+    rows = [(i, [float(i // 20 * 1000 + 1), float(i % 20)]) for i in range(400)]
+    found = L.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, query_every=400, per_list=20, copies=1, least_lists=1, prune=1.0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 1), (2, 2), (3, 3)]

@@ -189,15 +189,17 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int
     probes = probes.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posted = posted.join(F.broadcast(parts), "list").withColumn("part", (F.col("part") % F.col("parts")).cast("int"))
 
+    told = ["query", "entry", "least", "ids", "score"]
+
     def nearest(asked_rows: pd.DataFrame, list_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked_rows) or not len(list_rows):
-            return pd.DataFrame({"query": [], "entry": [], "least": [], "ids": [], "score": []})
+            return pd.DataFrame([], columns=told, dtype=object)  # a list that no query reads; arrays have no other type
         x, ids, entry, least = np.array(list_rows["vector"].tolist()), list_rows["ids"].to_numpy(), list_rows["entry"].to_numpy(), list_rows["least"].to_numpy()
         out = []
         for query, vector in zip(asked_rows["entry"], asked_rows["vector"]):
             near, exact = nearest_of(x, least, np.asarray(vector), k + 1)
             out += [(query, entry[at], least[at], ids[at], score) for at, score in zip(near, exact)]
-        return pd.DataFrame(out, columns=["query", "entry", "least", "ids", "score"])
+        return pd.DataFrame(out, columns=told)
 
     blocks = probes.select("list", "part", "entry", "vector").groupBy("list", "part").cogroup(posted.select("list", "part", "entry", "vector", "least", "ids").groupBy("list", "part"))
     found = blocks.applyInPandas(nearest, "query long, entry long, least long, ids array<struct<vec_id:long,row:long>>, score double")
