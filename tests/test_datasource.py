@@ -1,6 +1,8 @@
 """The data source: headers read by their beginnings, archives by entry, one-file and archive writers, positions and compounds of any depth."""
 
+import hashlib
 import os
+import re
 import zipfile
 
 import pytest
@@ -237,3 +239,25 @@ def test_too_deep_is_reported(spark, monkeypatch, deep):
     monkeypatch.setattr(xmltokens, "MOST_LEVELS", 4)
     model, _, findings = cimxml.read(cimxml.in_content(spark.createDataFrame([("f", DEEP)], "file string, content string")), deep)
     assert {r.written for r in findings.where("rule = 'CIM0015'").collect()} == {"more than 4 levels"} and findings.count() == 4 and "Pump.head" in {r.attr for r in model.slots.collect()}
+
+
+def test_blocks_are_tokens():
+    """Blocks hold the tokens of the stream, whatever stands in comments, quotes or broken ends, and wherever chunks end."""
+    plain = re.compile(markup.PLAIN)
+    for doc in ("<a>t</a><b x=\"1>2\"/> <!-- c > -->x<![CDATA[ > ]]><c/>", "a < b <c>d</c", "<a b='<'><?p > ?><>", "<a><b c=\"never closed> <d/>", "<!DOCTYPE x><a/>tail", ""):
+        for size in (1, 3, 100):
+            chunks = [doc[i : i + size] for i in range(0, len(doc), size)]
+            cut = [t for run, text in markup.blocks(chunks) for t in (plain.findall(text) if run else [text])]
+            assert cut == list(markup.tokens(chunks)) and "".join(cut) == doc
+
+
+def test_one_large_document_is_cut_by_many_tasks(spark, tmp_path):
+    """A document is one stream, but its tags are cut by a task for each split or so; nothing is lost or doubled."""
+    n = 150_000
+    (tmp_path / "large.xml").write_text("<rdf:RDF>" + "".join(f"<e><p>{i} padding of a text to make the file as large as two tasks' share</p></e>" for i in range(n)) + "</rdf:RDF>")
+    found = xmltokens.of_blocks(datasource.blocks(spark, str(tmp_path)))
+    parts = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in parts) == 4 * n + 2 and len(parts) > 1
+    assert found.select("file", "split", "at").distinct().count() == 4 * n + 2
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "")
+    assert found.agg(F.md5(text).alias("h")).first().h == hashlib.md5((tmp_path / "large.xml").read_bytes()).hexdigest()

@@ -87,20 +87,20 @@ def zipped(spark: SparkSession, path: str) -> Documents:
     if not S.reachable(path):
         entries = cut(T.zip_entries(spark, path))
         return Documents.of(T.cut_whole(entries.where("content is not null")), entries.where("content is null"))
-    return Documents.of(*streamed(datasource.scan(spark, path, ends=".zip")))
+    return Documents.of(*streamed(datasource.blocks(spark, path, ends=".zip")))
 
 
 def streamed(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the documents that were read to their end, and the problems of the others (file, problem)."""
+    """Tokens of the documents, given as blocks, that were read to their end, and the problems of the others (file, problem)."""
     found = cut(scanned)
     bad = cut(found.where("problem is not null").select("file", "problem"))
     fine = found.where("problem is null").join(T.near(bad.select("file"), bad.count()), "file", "left_anti")
-    return fine.select("file", "split", "at", "value"), bad
+    return T.of_blocks(fine), bad
 
 
 def folder(spark: SparkSession, path: str) -> Documents:
     """Whatever documents ``path`` has or is: XML files and the XML entries of archives."""
-    return Documents.of(*streamed(datasource.scan(spark, path)))
+    return Documents.of(*streamed(datasource.blocks(spark, path)))
 
 
 def in_content(docs: DataFrame) -> Documents:

@@ -4,6 +4,8 @@ Reading, by the option ``scan``:
 
 * ``tokens`` (default): the rows of ``xmltokens.tokens``. A document is one stream in one task, cut by its markup, whatever stands in comments, CDATA or attributes; a chunk is held at a time.
   With ``splitBytes`` it is planned in byte ranges, cut at every ``>``.
+* ``blocks``: the same documents as runs of plain tags, each some hundred thousand characters, and the other tokens between them; ``at`` is the place in the split by characters. Reading a document is one stream, so it
+  does no more there than find where tags end; tasks cut the blocks (``xmltokens.of_blocks``).
 * ``headers``: a row for each document with its header's fields. A document is read up to the end of its header.
 * ``namespaces``: a row for each document with the namespaces that its start tags declare, read up to the first tag that declares one of the option ``known`` (separated by spaces); without it the
   first tag that declares any. That tells the vintage.
@@ -39,12 +41,15 @@ from . import store as S
 
 SCHEMAS = {
     "tokens": "file string, split long, at long, value string, problem string",
+    "blocks": "file string, split long, at long, value string, plain boolean, problem string",
     "headers": "file string, kind string, id string, fields array<struct<ns:string,local:string,resource:string,text:string>>, size long, bytes_read long, problem string",
     "namespaces": "file string, namespaces array<string>, size long, bytes_read long, problem string",
 }
 #: What a file that isn't what its name says raises.
 UNREADABLE = (OSError, UnicodeError, LookupError, ArrowInvalid, zipfile.BadZipFile, zlib.error)
 SPLIT_CHARS = 1 << 22
+#: Characters of a batch of blocks, and bytes of documents for a task that cuts blocks into tags.
+BLOCK_CHARS, TASK_BYTES = 1 << 18, 1 << 23
 
 
 @dataclass
@@ -84,8 +89,8 @@ class Reader(DataSourceReader):
         self.path, self.ends = options["path"], tuple(options.get("ends", ".xml .zip").split())
         self.files = json.loads(options["files"]) if "files" in options else None
         self.split = int(options.get("splitbytes", 0))
-        self.together = int(options.get("filesperpartition", 1 if self.scan == "tokens" else 32))
-        self.chunk = int(options.get("chunkbytes", S.CHUNK if self.scan == "tokens" else 1 << 13))
+        self.together = int(options.get("filesperpartition", 1 if self.scan in ("tokens", "blocks") else 32))
+        self.chunk = int(options.get("chunkbytes", {"tokens": S.CHUNK, "blocks": BLOCK_CHARS}.get(self.scan, 1 << 13)))
         self.known = set(options.get("known", "").split())
         self.glob = options.get("glob")
         self.conditions: list[Filter] = []
@@ -123,13 +128,16 @@ class Reader(DataSourceReader):
             yield from self.document(f"{e.archive}!{e.name}", source, S.unpacked(e, source), e.size)
 
     def failed(self, name: str, problem: str, size: int, read: int):
-        return {"tokens": (name, 0, 0, None, problem), "headers": (name, None, None, None, size, read, problem), "namespaces": (name, None, size, read, problem)}[self.scan]
+        return {"tokens": (name, 0, 0, None, problem), "blocks": self.batch([(name, 0, 0, None, None, problem)]), "headers": (name, None, None, None, size, read, problem), "namespaces": (name, None, size, read, problem)}[self.scan]
 
     def document(self, name: str, source: S.Counted, chunks: Iterator[bytes], size: int | None):
         try:
             if size is None:
                 store, inside = S.at(source.path)
                 size = store.get_file_info(inside).size
+            if self.scan == "blocks":
+                yield from self.blocks(name, chunks)
+                return
             tokens = K.tokens(K.decoded(chunks))
             if self.scan == "tokens":
                 split = at = chars = 0
@@ -152,6 +160,24 @@ class Reader(DataSourceReader):
         except UNREADABLE as e:
             yield self.failed(name, type(e).__name__, size or 0, source.bytes)
 
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["file", "split", "at", "value", "plain", "problem"])
+
+    def blocks(self, name: str, chunks: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        split = at = held = 0
+        rows: list[tuple] = []
+        for plain, value in K.blocks(K.decoded(chunks)):
+            rows.append((name, split, at, value, plain, None))
+            at, held = at + len(value), held + len(value)
+            if held >= BLOCK_CHARS:
+                yield self.batch(rows)
+                rows, held = [], 0
+            if at >= SPLIT_CHARS:
+                split, at = split + 1, 0
+        if rows:
+            yield self.batch(rows)
+
     def range_of(self, path: str, start: int, end: int):
         """The records, each up to a ``>``, that begin in a byte range."""
         at, place, rest = 0, max(0, start - 1), b""
@@ -254,6 +280,22 @@ def scan(spark: SparkSession, path: str, kind: str = "tokens", **options) -> Dat
     return spark.read.format("cimxml").options(scan=kind, **{k: str(v) for k, v in options.items()}).load(path)
 
 
+def text_size(path: str, ends: str = ".xml .zip", files: str | None = None) -> int:
+    """Bytes of the documents that such a scan reads, those of entries unpacked."""
+    total = 0
+    for name, size in [f for p in (json.loads(files) if files else [path]) for f in S.listing(p, tuple(ends.split()))]:
+        try:
+            total += sum(e.size for e in S.entries(name)) if name.lower().endswith(".zip") else size
+        except UNREADABLE:
+            pass
+    return total
+
+
+def blocks(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The scan ``blocks``, dealt by split over a task for each TASK_BYTES of text."""
+    return scan(spark, path, "blocks", **options).repartition(1 + text_size(path, **options) // TASK_BYTES, "file", "split")
+
+
 def write(rows: DataFrame, path: str, zipped: bool = False) -> list[str]:
     """``rows`` (document, text), in the order of their partitions, as one file for each document under ``path``, or as the archive ``path``; the paths written.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import xmltext as X
 from ..functions.shared import cut, wide
 from . import datasource
+from .markup import PLAIN
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 COMPLETE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
@@ -39,7 +40,7 @@ def tokens(spark: SparkSession, path: str, glob: str = "*.[xX][mM][lL]") -> Data
         return rows
     plain = rows.where(~F.col("file").isin(odd))
     if datasource.S.reachable(odd[0]):
-        return plain.unionByName(datasource.scan(spark, path, files=json.dumps(odd)).select("file", "split", "at", "value"))
+        return plain.unionByName(of_blocks(datasource.blocks(spark, path, files=json.dumps(odd))))
     whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     return plain.unionByName(cut_whole(whole))
 
@@ -52,6 +53,12 @@ def part_tokens(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.regexp_extract(name, r"^(.*)/[^/]*$", 1).alias("file"), (F.shiftleft(part, 40) + F.col("_metadata.file_block_start")).alias("split"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit(">")).alias("value"))
 
 
+def of_blocks(blocks: DataFrame) -> DataFrame:
+    """The same rows from the data source's blocks; a token is no shorter than a character, so places by characters leave room for all."""
+    each = F.when(F.col("plain"), F.regexp_extract_all("value", F.lit(PLAIN), 0)).otherwise(F.array("value"))
+    return blocks.where("value is not null").select("file", "split", F.col("at").alias("_from"), F.posexplode(each).alias("_n", "value")).select("file", "split", (F.col("_from") + F.col("_n")).alias("at"), "value")
+
+
 def cut_whole(docs: DataFrame) -> DataFrame:
     """The same rows from file and content."""
     return docs.select("file", F.lit(0).cast("long").alias("split"), F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("at", "value")).select("file", "split", F.col("at").cast("long").alias("at"), "value").where("value <> ''")
