@@ -261,3 +261,22 @@ def test_one_large_document_is_cut_by_many_tasks(spark, tmp_path):
     assert found.select("file", "split", "at").distinct().count() == 4 * n + 2
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "")
     assert found.agg(F.md5(text).alias("h")).first().h == hashlib.md5((tmp_path / "large.xml").read_bytes()).hexdigest()
+
+
+@pytest.mark.parametrize("way", ["documents", "elements"])
+def test_elements_are_rendered_once(spark, tmp_path, way):
+    """Dealing in ranges takes a sample of its rows first; what is written isn't made a second time for that."""
+    made = spark.sparkContext.accumulator(0)
+
+    def element(n):
+        made.add(1)
+        return f"<e>{n}</e>"
+
+    rows = spark.range(100).select(F.lit("d.xml").alias("document"), F.format_string("x%03d", "id").alias("mrid"), F.udf(element, "string")("id").alias("element"))
+    if way == "documents":
+        cimxml.write_documents(rows, spark.createDataFrame([("d.xml", None)], "document string, header string"), str(tmp_path / "out"), {})
+    else:
+        cimxml.write_elements(rows, str(tmp_path / "out"), "", {})
+    assert made.value == 100
+    text = "".join(sorted(r.value for r in spark.read.text(str(tmp_path / "out")).where("value like '<e>%'").collect()))
+    assert text == "".join(sorted(f"<e>{n}</e>" for n in range(100)))

@@ -244,7 +244,7 @@ def write(found: DataFrame, m: Model, path: str, header: dict, namespaces: dict[
     """A difference model as one document in part files, reverse statements first (B5). ``found`` has seq."""
     from ..sources import cimxml
 
-    lines = statement_lines(found, m, prefix).select(F.when(F.col("direction") == "reverse", 1).otherwise(3).alias("part"), F.col("seq").cast("long").alias("seq"), "element")
+    lines = cut(statement_lines(found, m, prefix).select(F.when(F.col("direction") == "reverse", 1).otherwise(3).alias("part"), F.col("seq").cast("long").alias("seq"), "element"))
     bound = {"rdf": cimxml.T.RDF, "md": cimxml.MD, "dm": cimxml.DM, **namespaces}
     head = cimxml.header_text(header, kind="DifferenceModel").replace("md:DifferenceModel", "dm:DifferenceModel").rsplit("\n", 1)[0]
     root = "".join(f' xmlns:{k}="{v}"' for k, v in bound.items())

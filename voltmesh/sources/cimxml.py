@@ -472,21 +472,24 @@ END = "</rdf:RDF>"
 
 
 def write_elements(rows: DataFrame, path: str, header: str, namespaces: dict[str, str]) -> None:
-    """One document in part files: ``rows`` (mrid, element) sorted by identifier; its text is the parts in name order."""
+    """One document in part files: ``rows`` (mrid, element) sorted by identifier; its text is the parts in name order.
+
+    Elements are settled first: dealing in ranges reads its rows twice, and would render them twice.
+    """
     spark = rows.sparkSession
     ends = spark.createDataFrame([(0, "", root_text(namespaces, header)), (2, "", END)], "part int, mrid string, element string")
-    body = rows.select(F.lit(1).alias("part"), "mrid", "element")
+    body = cut(rows.select(F.lit(1).alias("part"), "mrid", "element"))
     ends.unionByName(body).orderBy("part", *M.sort_keys(M.parse(F.col("mrid")))).select("element").write.mode("overwrite").text(path)
 
 
 def write_documents(elements: DataFrame, heads: DataFrame, path: str, namespaces: dict[str, str], zipped: bool = False) -> list[str]:
     """One file for each document under ``path``, or the archive ``path``: ``elements`` (document, mrid, element) sorted by identifier, between its root and end; ``heads``: document and header text (or null).
 
-    All documents are dealt in ranges by name and identifier and written in parts by all tasks; the parts are then joined by copying (``datasource``).
+    All documents are dealt in ranges by name and identifier, once their elements are settled, and written in parts by all tasks; the parts are then joined by copying (``datasource``).
     """
     start = F.concat_ws("", F.lit(root_text(namespaces)), F.when(F.col("header").isNotNull(), F.concat("header", F.lit("\n"))))
     ends = heads.select("document", F.explode(F.array(F.struct(F.lit(0).alias("part"), start.alias("text")), F.struct(F.lit(2).alias("part"), F.lit(END + "\n").alias("text")))).alias("x")).select("document", "x.part", F.lit("").alias("mrid"), "x.text")
-    body = elements.select("document", F.lit(1).alias("part"), "mrid", F.concat("element", F.lit("\n")).alias("text"))
+    body = cut(elements.select("document", F.lit(1).alias("part"), "mrid", F.concat("element", F.lit("\n")).alias("text")))
     order = ["document", "part", *M.sort_keys(M.parse(F.col("mrid")))]
     rows = ends.unionByName(body)
     return datasource.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), path, zipped)
