@@ -82,3 +82,37 @@ def test_lists_that_no_query_reads(spark):
     rows = [(i, [float(i // 20 * 1000 + 1), float(i % 20)]) for i in range(400)]
     found = L.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, query_every=400, per_list=20, copies=1, least_lists=1, prune=1.0).collect()
     assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 1), (2, 2), (3, 3)]
+
+
+def _saved(spark):
+    from voltmesh.plans.documents import saved
+    from voltmesh.sources import cimxml
+
+    return cimxml.parts(spark, saved(spark, SF)[1])
+
+
+def test_text_is_made_by_all_tasks(spark):
+    """A table in one small file is read by one task, which made the text of all of its elements (61 s of one task at 60 times sf0.1)."""
+    from voltmesh.sources import cimxml
+
+    for found in (cimxml.whole(star.model(spark, SF, ("customer",)), "s"), cimxml.rendered(star.model(spark, SF, ("customer",)), 2, "s")):
+        text = plan(found)
+        assert "ArrowEvalPython" in text and re.search(r"ArrowEvalPython.*REPARTITION_BY_COL", text, re.S)
+
+
+def test_closed_elements_are_not_joined_by_sorting(spark):
+    """Whoever asked for nodes, headers or values sorted and joined all nodes with all elements, to leave out one that is cut off."""
+    docs = _saved(spark)
+    assert "SortMergeJoin" not in plan(docs.nodes) and docs.levels == 2
+
+
+def test_cut_off_and_closed(spark):
+    """An element that is cut off goes with all that is in it; those before it stay, and so does the other document."""
+    from voltmesh.sources import cimxml
+    from voltmesh.sources import xmltokens as T
+
+    start = f'<rdf:RDF xmlns:rdf="{T.RDF}" xmlns:s="{star.NS}">'
+    one = '<s:Region rdf:about="region:{0}"><s:Thing.name>n{0}</s:Thing.name></s:Region>'
+    texts = [("a.xml", start + one.format(1) + '<s:Region rdf:about="region:2"><s:Thing.name>n2</s:Thing.name>'), ("b.xml", start + one.format(3) + "</rdf:RDF>")]
+    m = cimxml.read(cimxml.in_content(spark.createDataFrame(texts, "file string, content string")), star.vocabulary(spark))[0]
+    assert sorted(r.mrid for r in m.objects.collect()) == ["region:1", "region:3"] == sorted(r.mrid for r in m.slots.collect())

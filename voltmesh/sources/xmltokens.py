@@ -159,6 +159,7 @@ class Nodes:
     prefixes: DataFrame  # file, prefixes
     no_root: DataFrame  # file
     deep: DataFrame  # file, pos: elements below MOST_LEVELS
+    levels: int  # of the deepest node
 
 
 def nodes(found: DataFrame) -> Nodes:
@@ -205,4 +206,4 @@ def nodes(found: DataFrame) -> Nodes:
     text = F.coalesce("text", F.lit(""))
     clean = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
     found_nodes = joined.select("file", "level", "pos", "up", "within", F.coalesce(F.try_element_at("prefixes", prefix), F.lit("")).alias("ns"), F.substring_index("name", ":", -1).alias("local"), "tag", clean.alias("text"), (F.col("empty") | F.coalesce("closed", F.lit(False))).alias("closed"))
-    return Nodes(rows, found_nodes, prefixes, no_root, deep)
+    return Nodes(rows, found_nodes, prefixes, no_root, deep, levels)
