@@ -136,6 +136,7 @@ def opened(spark: SparkSession, path: str, vintages: dict[str, Vocabulary]) -> t
 
 def located(findings: DataFrame, docs: Documents) -> DataFrame:
     """``findings`` with the line and column, from 1 and in bytes, of the tag each is about; null for those about a whole file."""
+    findings = cut(findings)
     return findings.join(T.places(docs.rows, findings.where("pos is not null")), ["file", "pos"], "left").drop("pos")
 
 

@@ -135,7 +135,9 @@ def places(rows: DataFrame, files: DataFrame) -> DataFrame:
     lines = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
     size = lambda x: F.octet_length(x).cast("long")
     tail = lambda x: F.when(F.instr(x, "\n") > 0, size(x) - size(F.substring_index(x, "\n", -1)))  # noqa: E731  bytes up to the last line end
-    some = rows.join(files.select("file").distinct(), "file", "left_semi").select("file", "split", "at", size(value).alias("bytes"), size(F.col("text")).alias("ahead"), lines(value).alias("ends"), lines(F.col("text")).alias("ends_ahead"), tail(value).alias("last"), tail(F.col("text")).alias("last_ahead"))
+    # a join by sorting would put all tags of a file into one task, and the windows would keep them there
+    named = cut(files.select("file").distinct())
+    some = rows.join(near(named, named.count()), "file", "left_semi").select("file", "split", "at", size(value).alias("bytes"), size(F.col("text")).alias("ahead"), lines(value).alias("ends"), lines(F.col("text")).alias("ends_ahead"), tail(value).alias("last"), tail(F.col("text")).alias("last_ahead"))
     here = Window.partitionBy("file", "split").orderBy("at")
     inside = some.withColumns({"start": F.sum("bytes").over(here) - F.col("bytes"), "line": F.sum("ends").over(here) - F.col("ends")})
     inside = inside.withColumn("found", F.max(F.col("start") + F.col("last")).over(here.rowsBetween(Window.unboundedPreceding, -1)))
