@@ -126,3 +126,26 @@ def test_places_are_found_by_split(spark):
     found = T.places(rows, rows.select("file"))
     assert "BroadcastHashJoin [file#" in plan(found) and not re.search(r"SortMergeJoin \[file#\d+L?\], \[file#\d+L?\], LeftSemi", plan(found))
     assert sorted((r.pos.split, r.line, r.col) for r in found.collect()) == [(i, i + 2, 1) for i in range(8)]
+
+
+def test_triples_compile(spark):
+    """Terms are made by compiled code: a step whose code is too large runs many times slower, and Spark says so only in its log."""
+    from pyspark.sql import functions as F
+
+    from voltmesh.functions import rdfterms as R
+
+    fallback = "spark.sql.codegen.fallback"
+    before = spark.conf.get(fallback)
+    spark.conf.set(fallback, "false")
+    try:
+        found = QUERIES["deep_triples"](spark, SF)
+        assert found.count() == 9 * spark.read.parquet(f"{SF}/customer.parquet").count()
+        # no filter on a subject is repeated where tables are read
+        assert not re.search(r"Filter .*RLIKE", plan(found))
+    finally:
+        spark.conf.set(fallback, before)
+    odd = "".join(map(chr, range(0x21))) + '<>"{}|^`\\'
+    text = f"a{odd}é\U0001d11e-{odd}\\u0041"
+    want = "".join(f"\\u{ord(c):04X}" if c in odd else c for c in text)
+    rows = spark.createDataFrame([(text,), ("plain/\U0001d11e",), ("",), (None,)], "x string").select("x", R.escape_iri(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [want, "plain/\U0001d11e", "", None]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters that an IRI can't hold, as a class of a regular expression.
+_NO_IRI = r'\x{0}-\x{20}<>"{}|^`\\'
+
 
 def escape_literal(text: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -13,11 +16,13 @@ def escape_literal(text: Column) -> Column:
 
 
 def escape_iri(text: Column) -> Column:
-    """Characters that an IRI can't hold as ``\\uXXXX``; most texts have none and are left alone."""
-    escaped = text
-    for c in ("\\", *'<>"{}|^`', *map(chr, range(0x21))):
-        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04X}"))
-    return F.when(text.rlike(r'[\x{0}-\x{20}<>"{}|^`\\]'), escaped).otherwise(text)
+    """Characters that an IRI can't hold as ``\\uXXXX``; most texts have none and are left alone.
+
+    Run by run: a call for each character would make code too large to be compiled.
+    """
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)[{_NO_IRI}]|[^{_NO_IRI}]+"), F.lit(0))
+    one = lambda run: F.when(run.rlike(f"[{_NO_IRI}]"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(run)), 4, "0"))).otherwise(run)
+    return F.when(text.rlike(f"[{_NO_IRI}]"), F.array_join(F.transform(runs, one), "")).otherwise(text)
 
 
 def iri(text: Column) -> Column:

@@ -86,7 +86,10 @@ def _canonical(values: pd.Series) -> pd.Series:
             return f"{sign}{digits[: exponent + 1]}.{digits[exponent + 1 :]}"
         return f"{sign}0.{'0' * (-exponent - 1)}{digits}"
 
-    return values.map(one, na_action=None)
+    found = values.notna()  # most rows of a model hold no double
+    out = pd.Series("NaN", index=values.index, dtype=object)
+    out[found] = values[found].map(one)
+    return out
 
 
 def format_shortest(x: float) -> tuple[str, int]:

@@ -21,6 +21,11 @@ def leaf(attr: Column | str = "attr") -> Column:
     return F.substring_index(attr, "/", -1)
 
 
+def above(attr: Column | str = "attr") -> Column:
+    """The path of the compound around a value; empty for one in none."""
+    return F.substring(attr, F.lit(1), F.length(attr) - F.length(leaf(attr)) - 1)
+
+
 def inside(attr: str = "attr") -> Column:
     return F.contains(F.col(attr), F.lit("/"))
 

@@ -235,11 +235,14 @@ def merge(models: list[Model]) -> Model:
 
 def element_class(objects: DataFrame, slots: DataFrame, vocabulary: Vocabulary, scope: int) -> DataFrame:
     """mrid and the class an export names: the nearest ancestor declared in ``scope`` whose required attributes the object all has."""
-    closure = vocabulary.closure()
     declared = vocabulary.classes.where(F.col("profiles").bitwiseAND(F.lit(scope)) != 0).select(F.col("class").alias("ancestor"))
-    ups = objects.select("mrid", "class").join(F.broadcast(closure), "class").join(F.broadcast(declared), "ancestor", "left_semi")
     required = vocabulary.class_attrs().where((F.col("least") > 0) & (F.col("used_in").bitwiseAND(F.lit(scope)) != 0)).select(F.col("class").alias("ancestor"), "attr")
-    missing = ups.join(F.broadcast(required), "ancestor").join(wide(slots.select("mrid", "attr").distinct()), ["mrid", "attr"], "left_anti").select("mrid", "ancestor").distinct()
-    complete = ups.join(wide(missing), ["mrid", "ancestor"], "left_anti")
-    found = complete.groupBy("mrid").agg(F.min_by("ancestor", "depth").alias("element"))
-    return objects.select("mrid", "class").join(wide(found), "mrid", "left").select("mrid", F.coalesce("element", "class").alias("element"))
+    needs = required.groupBy("ancestor").agg(F.collect_set("attr").alias("needs"))
+    none = F.array().cast("array<string>")
+    # the ancestors of each class, nearest first, with what they need: a row for each class of the vocabulary
+    ups = vocabulary.closure().join(F.broadcast(declared), "ancestor", "left_semi").join(F.broadcast(needs), "ancestor", "left").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("depth", "ancestor", F.coalesce("needs", none).alias("needs")))).alias("ups"))
+    # and of each object the required attributes that it has: values are shuffled once, by object
+    has = slots.join(F.broadcast(required.select("attr").distinct()), "attr", "left_semi").groupBy("mrid").agg(F.collect_set("attr").alias("has"))
+    told = objects.select("mrid", "class").join(F.broadcast(ups), "class", "left").join(wide(has), "mrid", "left")
+    complete = F.filter("ups", lambda up: F.size(F.array_except(up["needs"], F.coalesce("has", none))) == 0)
+    return told.select("mrid", F.coalesce(F.get(complete, F.lit(0))["ancestor"], "class").alias("element"))

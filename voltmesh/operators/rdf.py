@@ -16,8 +16,8 @@ RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def subject(parsed, base: str = ""):
-    """The term of a parsed identifier."""
-    return F.when(parsed["is_uuid"], R.iri(M.urn(parsed))).when(F.lit(bool(base)), R.iri(F.concat(F.lit(base), parsed["key"]))).otherwise(R.blank_label(parsed["key"]))
+    """The term of a parsed identifier. What is no UUID has ``written`` as its key; that is the shorter code."""
+    return F.when(parsed["is_uuid"], F.concat(F.lit("<urn:uuid:"), parsed["key"], F.lit(">"))).when(F.lit(bool(base)), R.iri(F.concat(F.lit(base), parsed["written"]))).otherwise(R.blank_label(parsed["written"]))
 
 
 def with_terms(rows: DataFrame, base: str, **columns: str) -> DataFrame:
@@ -30,25 +30,32 @@ def triples(m: Model, scope: int, ns: str = "http://example.org/model#", base: s
     """subject, predicate, object, datatype: types by element class and every value of the scope; objects without a value in it are left out (L1-L4)."""
     slots = m.in_profiles(scope)
     live = m.objects.join(wide(slots.select("mrid").distinct()), "mrid", "left_semi")
-    types = element_class(live, slots, m.vocabulary, scope).select("mrid", F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("element"))).alias("object"), F.lit(None).cast("string").alias("datatype"))
-    # a value inside a compound stands in the blank node of its object and the path around it
-    named = slots.withColumns({"around": F.array_join(C.holders(), "/"), "leaf": C.leaf()})
-    kinds = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive"))
+    own = lambda name: R.iri(F.concat(F.lit(ns), F.col(name)))
+    # terms that follow from the vocabulary are made there, once
+    classes = F.broadcast(m.vocabulary.classes.select(F.col("class").alias("element"), own("class").alias("known")))
+    types = element_class(live, slots, m.vocabulary, scope).join(classes, "element", "left").select("mrid", F.lit(f"<{RDF_TYPE}>").alias("predicate"), F.coalesce("known", own("element")).alias("object"), F.lit(None).cast("string").alias("datatype"))
+    # a value inside a compound stands in the blank node of its object and the path around it; terms are made by all tasks, as a table in one file is read by few
+    named = slots.repartition("mrid").withColumns({"around": C.above(), "leaf": C.leaf()})
+    kinds = F.broadcast(m.vocabulary.attrs.select(F.col("attr").alias("leaf"), "primitive", V.xsd_datatype(F.col("primitive")).alias("xsd"), own("attr").alias("predicate")))
     typed = with_terms(named.join(kinds, "leaf"), base, target="v_ref")
     shown = F.coalesce("v_text", F.col("v_int").cast("string"), F.col("v_bool").cast("string"), F.when(F.col("lex").isNotNull() & V.is_lexical(F.col("lex"), F.col("primitive")), F.col("lex")).when(F.col("v_dbl").isNotNull(), V.canonical_float("v_dbl")))
-    datatype = F.when(F.col("kind").isin("ref", "enum"), None).otherwise(V.xsd_datatype(F.col("primitive")))
-    term = F.when(F.col("kind") == "ref", F.col("target")).when(F.col("kind") == "enum", R.iri(F.concat(F.lit(ns), F.col("v_text")))).otherwise(R.literal(shown, V.xsd_datatype(F.col("primitive"))))
+    datatype = F.when(F.col("kind").isin("ref", "enum"), None).otherwise(F.col("xsd"))
+    term = F.when(F.col("kind") == "ref", F.col("target")).when(F.col("kind") == "enum", own("v_text")).otherwise(R.literal(shown, F.col("xsd")))
     inner = F.col("around") != ""
     blank = lambda path: F.concat(F.lit("_:c"), F.md5(F.concat_ws("/", F.col("mrid"), path)))
-    values = typed.select("mrid", F.when(inner, blank(F.col("around"))).alias("node"), R.iri(F.concat(F.lit(ns), F.col("leaf"))).alias("predicate"), term.alias("object"), datatype.alias("datatype"))
+    values = typed.select("mrid", F.when(inner, blank(F.col("around"))).alias("node"), "predicate", term.alias("object"), datatype.alias("datatype"))
     every_path = F.transform(F.sequence(F.lit(1), F.size(C.holders())), lambda n: F.array_join(F.slice(C.holders(), F.lit(1), n), "/"))
     holders = named.where(inner).select("mrid", F.explode(every_path).alias("path")).distinct()
-    holders = holders.select("mrid", "path", C.leaf("path").alias("root"), F.array_join(C.holders("path"), "/").alias("above")).join(F.broadcast(m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("root"), F.col("target").alias("compound"))), "root")
+    holders = holders.select("mrid", "path", C.leaf("path").alias("root"), C.above("path").alias("above")).join(F.broadcast(m.vocabulary.attrs.where("kind = 'compound'").select(F.col("attr").alias("root"), own("attr").alias("predicate"), own("target").alias("compound"))), "root")
     none = F.lit(None).cast("string")
-    held = holders.select("mrid", F.when(F.col("above") != "", blank(F.col("above"))).alias("node"), R.iri(F.concat(F.lit(ns), F.col("root"))).alias("predicate"), blank(F.col("path")).alias("object"), none.alias("datatype"))
-    typed_nodes = holders.select("mrid", blank(F.col("path")).alias("node"), F.lit(f"<{RDF_TYPE}>").alias("predicate"), R.iri(F.concat(F.lit(ns), F.col("compound"))).alias("object"), none.alias("datatype"))
-    every = types.withColumn("node", none).select("mrid", "node", "predicate", "object", "datatype").unionByName(values).unionByName(held).unionByName(typed_nodes)
-    return with_terms(every, base, subject="mrid").select(F.coalesce("node", "subject").alias("subject"), "predicate", "object", "datatype")
+    # the node of each holder: what holds it, and its type
+    nodes = holders.withColumns({"_node": blank(F.col("path")), "_above": F.when(F.col("above") != "", blank(F.col("above")))})
+    nodes = nodes.select("mrid", F.inline(F.array(F.struct(F.col("_above").alias("node"), "predicate", F.col("_node").alias("object")), F.struct(F.col("_node").alias("node"), F.lit(f"<{RDF_TYPE}>").alias("predicate"), F.col("compound").alias("object"))))).withColumn("datatype", none)
+    every = types.withColumn("node", none).select("mrid", "node", "predicate", "object", "datatype").unionByName(values).unionByName(nodes)
+    named_by = every.withColumn("_owner", F.when(F.col("node").isNull(), F.col("mrid")))  # nodes of compounds have their names
+    found = with_terms(named_by, base, subject="_owner")
+    # generated rows: Spark would repeat a filter's terms at every table they are read from, in code too large to be compiled well
+    return found.select(F.inline(F.array(F.struct(F.coalesce("node", "subject").alias("subject"), "predicate", "object", "datatype"))))
 
 
 #: The header's terms and what they are typed as.
