@@ -149,3 +149,23 @@ def test_triples_compile(spark):
     want = "".join(f"\\u{ord(c):04X}" if c in odd else c for c in text)
     rows = spark.createDataFrame([(text,), ("plain/\U0001d11e",), ("",), (None,)], "x string").select("x", R.escape_iri(F.col("x")).alias("y")).collect()
     assert [r.y for r in rows] == [want, "plain/\U0001d11e", "", None]
+
+
+def test_checking_a_difference_reads_the_values_once(spark):
+    """Findings of a difference need the values of the objects it names: all others are read once, to tell them apart."""
+    from voltmesh.operators import difference as D
+    from voltmesh.plans.sources import _statements
+
+    m = star.model(spark, SF, ("orders",))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = m.with_(slots=m.slots.mapInArrow(counted, m.slots.schema))
+    found, _ = D.resolve(_statements(spark, SF), m)
+    findings = D.apply_checked(watched, found)[1]
+    assert findings.where("message like '% was dropped with the class'").count() > 0
+    assert seen.value == m.slots.count()

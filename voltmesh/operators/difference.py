@@ -112,14 +112,17 @@ def _order(found: DataFrame) -> Column:
 def apply(base: Model, found: DataFrame, profiles: int = 0) -> Model:
     """``base`` with the statements applied: retract, retype, assert, then drop touched objects without values (H7-H9).
 
-    Only the values of attributes that have a statement are read into the shuffle, by object and attribute; the others pass by an anti-join with the statements' keys, whose rows are counted. A retraction takes the first of equal
+    The values of objects that statements name are settled once, and all is judged on them; the others pass by an anti-join with the statements' keys, whose rows are counted. A retraction takes the first of equal
     values, by place and spelling; asserted values come after those there, in the order of ``seq`` if ``found`` has it, and of a single-valued attribute the last stays. Asserted values belong to ``profiles``.
     """
     return _applied(base, cut(found), profiles)[0]
 
 
-def _applied(base: Model, found: DataFrame, profiles: int) -> tuple[Model, DataFrame, DataFrame]:
-    """The changed model, the values that reclassifying shed, and the retractions that found no value (mrid, attr, n)."""
+def _applied(base: Model, found: DataFrame, profiles: int, own: DataFrame | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The changed model, the values that reclassifying shed, and the retractions that found no value (mrid, attr, n).
+
+    ``own``: mrid and class, as ``was``, of the base's objects that statements name, where they are known.
+    """
     order = _order(found)
     values = typed_values(found.where("kind <> 'class'")).withColumn("profiles", F.lit(profiles).cast("long")).select(*SLOT_COLUMNS, "value", F.when(F.col("direction") == "reverse", 1).otherwise(2).alias("side"), F.struct(order.alias("at")).alias("at"))
     keys = cut(values.select("mrid", "attr").distinct())
@@ -127,7 +130,8 @@ def _applied(base: Model, found: DataFrame, profiles: int) -> tuple[Model, DataF
     touched = cut(found.select("mrid").distinct())
     n_touched = touched.count()
     stay = base.slots.join(_near(keys, n_keys), ["mrid", "attr"], "left_anti").select(*SLOT_COLUMNS)
-    held = base.slots.join(_near(keys, n_keys), ["mrid", "attr"], "left_semi").select(*SLOT_COLUMNS, value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
+    theirs = cut(base.slots.join(_near(touched, n_touched), "mrid", "left_semi").select(*SLOT_COLUMNS))
+    held = theirs.join(_near(keys, n_keys), ["mrid", "attr"], "left_semi").select(*SLOT_COLUMNS, value_text().alias("value"), F.lit(0).alias("side"), F.lit(None).cast(values.schema["at"].dataType).alias("at"))
     single = F.broadcast(base.vocabulary.attrs.where("most = 1").select("attr", F.lit(True).alias("_single")))
     rows = held.unionByName(values).join(single, "attr", "left").repartition("mrid", "attr")
     equal = Window.partitionBy("mrid", "attr", "kind", "value")
@@ -141,19 +145,24 @@ def _applied(base: Model, found: DataFrame, profiles: int) -> tuple[Model, DataF
     named = found.where("class is not null and direction = 'forward'")
     retype = cut(named.groupBy("mrid").agg((F.min_by("class", "seq") if "seq" in found.columns else F.min("class")).alias("class")))
     m = base.with_(slots=stay.unionByName(changed))
-    own = base.objects.join(_near(touched, n_touched), "mrid", "left_semi")
-    moved = cut(retype.join(wide(own.select("mrid", F.col("class").alias("was"))), "mrid").where("class <> was").drop("was"))
-    shed = m.slots.limit(0)
-    if not moved.isEmpty():
-        m, shed = m.reclassify(_near(moved, moved.count()))
-        shed = cut(shed)
+    after = theirs.join(_near(keys, n_keys), ["mrid", "attr"], "left_anti").unionByName(changed.where("ord >= 0"))  # all: a union of a checkpoint itself keeps constraints on columns that it lacks, and Spark fails
+    if own is None:
+        own = base.objects.join(_near(touched, n_touched), "mrid", "left_semi").select("mrid", F.col("class").alias("was"))
+    moved = cut(retype.join(wide(own), "mrid").where("class <> was").drop("was"))
+    shed = changed.limit(0)
+    n_moved = moved.count()
+    if n_moved:
+        near_moved = _near(moved, n_moved)
+        shed = cut(m.with_(slots=after).reclassify(near_moved)[1])
+        lost = wide(shed.select("mrid", "attr").distinct())
+        left = lambda slots: slots.join(lost, ["mrid", "attr"], "left_anti")
+        m, after = m.with_(objects=m.reclassify(near_moved)[0].objects, slots=left(m.slots)), left(after)
     owner = m.vocabulary.attrs.select("attr", "owner")
     first = values.where("side = 2").join(F.broadcast(owner), "attr").groupBy("mrid").agg(F.min_by("owner", "at").alias("owner"))
     created = first.join(wide(own.select("mrid")), "mrid", "left_anti").join(wide(retype), "mrid", "left").select("mrid", F.coalesce("class", "owner").alias("class"), F.lit(profiles).cast("long").alias("profiles"))
     objects = m.objects.select("mrid", "class", "profiles").unionByName(created)
     # of the objects that statements name, those without values go
-    near = _near(touched, n_touched)
-    empty = cut(touched.join(wide(m.slots.join(near, "mrid", "left_semi").select("mrid").distinct()), "mrid", "left_anti"))
+    empty = touched.join(wide(after.select("mrid").distinct()), "mrid", "left_anti")
     return m.with_(objects=objects.join(_near(empty, n_touched), "mrid", "left_anti")), shed, missed
 
 
@@ -185,7 +194,7 @@ def apply_checked(base: Model, found: DataFrame, profiles: int = 0) -> tuple[Mod
     judged = cut(found.join(wide(becomes), "mrid", "left").join(owned, ["_becomes", "attr"], "left").withColumn("_foreign", (F.col("direction") == "forward") & (F.col("kind") != "class") & F.col("_owned").isNull()))
     foreign = finding(judged.where("_foreign"), "warning", "class-membership", F.concat("_becomes", F.lit(" has no "), "attr"), F.col("attr"))
     usable = judged.where("not _foreign").join(F.broadcast(v.classes.select("class", F.lit(True).alias("_known"))), "class", "left").withColumn("class", F.when(F.col("_known"), F.col("class"))).select(*found.columns)
-    done, shed, missed = _applied(base, cut(usable), profiles)
+    done, shed, missed = _applied(base, cut(usable), profiles, own)
     lost = finding(shed.join(wide(retype), "mrid"), "warning", "structure", F.concat("attr", F.lit(" was dropped with the class")), F.col("attr"))
     missing = finding(missed.join(wide(own), "mrid", "left_semi"), "info", "structure", F.concat("n", F.lit(" not present")), F.col("attr"))
     out = unknown
