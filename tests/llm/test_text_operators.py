@@ -638,3 +638,14 @@ def test_components(spark):
         assert {r.node: r.component for r in components.connected_components(edges, most_edges=most).collect()} == label
     with pytest.raises(RuntimeError):
         components.connected_components(edges, most_rounds=1)
+
+
+def test_piece_dropout_in_arrays():
+    """Merged parts stay in arrays, with the bytes of characters outside the vocabulary, and every pair is found by its hash."""
+    with open(queries.vocabulary("piece_bpe_32k.model"), "rb") as f:
+        p = piece_dropout.Pieces(f.read(), 0.25, 11, 4)
+    parts = [" " + w for w in "international \U0001d11eok straße 12345 a".split()] + ["   x", "\n", "\x01"]
+    ids, size = p.merge_all(parts, np.zeros(len(parts), np.uint64))
+    assert ids.tolist() == [i for x in parts for i in p.agenda(x, 0)] and size.sum() == len(ids)
+    found, there = p.place(np.concatenate([p.pair, p.pair + p.size * p.size, [-1]]))
+    assert (found[: len(p.pair)] == np.arange(len(p.pair))).all() and there.sum() == len(p.pair)

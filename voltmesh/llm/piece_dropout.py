@@ -103,6 +103,10 @@ class Pieces:
         pairs.sort()
         self.pair, self.merged = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
         self.pair_of = dict(pairs)
+        # a pair's place by its hash; of those that share one only the first has it, the others are searched for
+        slot = self.slot(self.pair)
+        self.first, self.shared = np.zeros(1 << 19, np.int32), np.bincount(slot, minlength=1 << 19) > 1
+        self.first[slot[::-1]] = np.arange(len(self.pair), dtype=np.int32)[::-1]
         self.char_id = np.full(0x110000, -1, np.int32)
         for piece, i in self.id_of.items():
             if len(piece) == 1:
@@ -122,16 +126,16 @@ class Pieces:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         apart = lengths > LONG
         short = np.flatnonzero(~apart)
-        got: list[list[int]] = [[]] * len(parts)
         some = sizes[short]
         sets = np.full((len(short), 1 + int(some.max(initial=0))), -1, np.int64)
         sets[:, 0] = short
         row = np.repeat(np.arange(len(short)), some)
         sets[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)] = dropped
         self.seen: list[np.ndarray] = []
-        for i, g in zip(short.tolist(), self.together([parts[i] for i in short.tolist()], sets)):
-            got[i] = g
-        self.ids.add(np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got], np.int64))
+        ids, counts = self.merge_all([parts[i] for i in short.tolist()], sets)
+        every = np.zeros(len(parts), np.int64)
+        every[short] = counts
+        self.ids.add(ids, every)
         offered = np.sort(np.concatenate([np.empty(0, np.int64), *self.seen]))
         offered = offered[np.append(offered[1:] != offered[:-1], True)] if len(offered) else offered
         self.offers.add(offered & 0xFFFFFFFF, np.bincount(offered >> 32, minlength=len(parts)))
@@ -217,12 +221,26 @@ class Pieces:
             at = nxt[at]
         return self.as_ids(out)
 
+    def slot(self, pairs: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pairs.astype(np.uint64) * np.uint64(_GOLD) >> np.uint64(45)).astype(np.int64)
+
+    def place(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of some pairs, and whether they are there."""
+        slot = self.slot(want)
+        found = self.first[slot]
+        ok = self.pair[found] == want
+        again = np.flatnonzero(self.shared[slot] & ~ok)
+        if len(again):
+            found[again] = np.minimum(np.searchsorted(self.pair, want[again]), len(self.pair) - 1)
+            ok[again] = self.pair[found[again]] == want[again]
+        return found, ok
+
     def candidate(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``size``: none) and piece of the merges of adjacent symbols. ``key``: the parts' dropout keys, or rows of a number and the candidates to drop."""
         want = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
-        found = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
+        found, ok = self.place(want)
         piece = self.merged[found]
-        ok = self.pair[found] == want
         code = place.astype(np.int64) * self.size + piece
         if key.ndim == 2:
             ok &= ~(key[:, 1:] == code[:, None]).any(1)
@@ -231,18 +249,36 @@ class Pieces:
             ok &= ~self.skips((key >> np.uint64(32)).astype(np.uint32), code)
         return np.where(ok, self.rank[piece], self.size).astype(np.int32), piece.astype(np.int32)
 
+    def with_bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``as_ids`` of rows of symbols, ``counts`` in each."""
+        odd = symbols < 0
+        if not odd.any():
+            return symbols, counts
+        spelled = [self.as_ids([s]) for s in symbols[odd].tolist()]
+        size = np.ones(len(symbols), np.int64)
+        size[odd] = [len(s) for s in spelled]
+        out, there = np.empty(int(size.sum()), np.int32), np.repeat(odd, size)
+        out[there], out[~there] = np.fromiter(chain.from_iterable(spelled), np.int32), symbols[~odd]
+        return out, np.add.reduceat(size, np.cumsum(counts) - counts)  # every part has a symbol
+
     def together(self, parts: list[str], occurrences) -> list[list[int]]:
-        """Many parts of at most LONG characters, each round merging the best pair of every part.
+        """``merge_all`` as lists."""
+        ids, size = self.merge_all(parts, np.asarray(occurrences) if isinstance(occurrences, np.ndarray) else np.array(occurrences, np.uint64))
+        flat, ends = ids.tolist(), np.cumsum(size).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merge_all(self, parts: list[str], occurrences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many parts of at most LONG characters in a row, and how many each has; each round merges the best pair of every part.
 
         ``occurrences``: their numbers, or a matrix with a row of a number and the candidates to drop for each part.
         """
-        occurrences = np.asarray(occurrences) if isinstance(occurrences, np.ndarray) else np.array(occurrences, np.uint64)
-        out: list[list[int]] = [[]] * len(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        out = Runs(np.int32)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(lengths, kind="stable")
         for i in range(0, len(order), 8192):
             rows = order[i : i + 8192]
-            length = np.array([len(parts[r]) for r in rows])
-            chars = characters("".join([parts[r] for r in rows]))
+            length = lengths[rows]
+            chars = characters("".join([parts[r] for r in rows.tolist()]))
             starts = np.cumsum(length) - length
             key = occurrences[rows] if occurrences.ndim == 2 else self.keys(chars, starts, occurrences[rows])
             n, width = len(rows), int(length.max())
@@ -273,13 +309,10 @@ class Pieces:
                 some = np.flatnonzero(left >= 0)
                 left, rest = left[some], live[some]
                 rank[some, left], piece[rest, left] = self.candidate(m[rest, left], made[some], keys[some], left)
-            flat, bounds = m[:, :width][alive].tolist(), np.cumsum(alive.sum(1)).tolist()
-            begin = 0
-            for r, end in zip(rows, bounds):
-                s = flat[begin:end]
-                out[r] = s if min(s) >= 0 else self.as_ids(s)
-                begin = end
-        return out
+            out.add(*self.with_bytes(m[:, :width][alive], alive.sum(1)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return out.take(back)
 
     def parts_of(self, text: str | None) -> list[str]:
         """The parts of a text, as keys: a word after a space is itself, a line feed is itself, any other part has a NUL before it."""
